@@ -67,7 +67,7 @@ def batch_summary(spark, sf):
     return metrics.batch_summary(p)
 
 
-_SETTINGS = training.TrainSettings(max_features=2000, folds=3, sample_size=10_000, max_iter=100)
+_SETTINGS = training.TrainSettings(max_features=2000, folds=3, sample_size=10_000, max_iter=50)
 _trained: dict = {}
 
 

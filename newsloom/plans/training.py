@@ -24,7 +24,7 @@ class TrainSettings:
     seed: int = 42
     max_iter: int = 1000
     tol: float = 1e-4
-    parallel_folds: int = 3
+    parallel_folds: int = 1        # a fit is itself a distributed job
 
 
 FULL = TrainSettings()
