@@ -100,10 +100,12 @@ def search_keyword_fields(spark, sf):
 
 
 def search_query_batch(spark, sf):
-    """The title of every labelled article as a query."""
-    arts = distinct_articles(spark, sf)
+    """The title of every labelled article as a query, on an index written for it."""
     labelled = views.labelled(spark, sf).select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
-    return search.query_batch(postings.index_articles(arts, stem=False), labelled, k=5)
+    path, layout = scratch_path(spark, "index"), postings.IndexLayout(term_buckets=8, salts=2)
+    postings.write_index(distinct_articles(spark, sf), path, fields=postings.DEFAULT_FIELDS, stem=False,
+                         layout=layout)
+    return search.query_batch(postings.load_index(spark, path, layout, stem=False), labelled, k=5)
 
 
 def postings_table(spark, sf):
@@ -118,7 +120,7 @@ def term_stats(spark, sf):
 
 
 def field_stats(spark, sf):
-    return postings.field_statistics(distinct_articles(spark, sf), stem=False)
+    return postings.field_statistics(distinct_articles(spark, sf))
 
 
 def index_written(spark, sf):
@@ -127,9 +129,9 @@ def index_written(spark, sf):
     layout = postings.IndexLayout(term_buckets=4, salts=2)
     arts = distinct_articles(spark, sf)
     first = arts.filter("doc_id % 3 = 0")
-    postings.write_index(first, path, 0, stem=False, layout=layout)
+    postings.write_index(first, path, 0, postings.DEFAULT_FIELDS, stem=False, layout=layout)
     rest = postings.not_indexed(arts, path)
-    postings.write_index(rest, path, 1, stem=False, layout=layout)
+    postings.write_index(rest, path, 1, postings.DEFAULT_FIELDS, stem=False, layout=layout)
     index = postings.load_index(spark, path, layout, stem=False)
     return search.match_all(index, SearchSpec("ering attion")).select("article_id", "score")
 

@@ -20,7 +20,9 @@ _INK = r"[^\s\x1c-\x1f]"
 _CLEANING_STEPS = (
     (rf"(?U)http{_INK}+|www{_INK}+|https{_INK}+", ""),   # addresses
     (r"<[^\n]*?>", ""),                                  # tags, one line only
-    (rf"(?U){_INK}+@{_INK}+", ""),                       # e-mail
+    # e-mail; a match always reaches back to the start of its run of characters, and
+    # trying only there keeps long runs linear
+    (rf"(?U)(?<!{_INK}){_INK}+@{_INK}+", ""),
     (r"[!-/:-@\[-`{-~]", ""),                            # the 32 ASCII marks
     (rf"(?U){_BLANK}+", " "),                            # white space
 )
@@ -53,8 +55,8 @@ def word_tokens(clean) -> Column:
     Without ASCII punctuation what is left to do is to split on blanks, to cut
     the fused words in two and to set quotation marks apart.
     """
-    seams = "|".join(rf"(?<=\b{head})(?={tail}\b)" for head, tail in FUSED_WORDS)
-    out = F.regexp_replace(_as_col(clean), rf"(?U){seams}", " ")
+    fused = "|".join(rf"{head}(?={tail}\b)" for head, tail in FUSED_WORDS)
+    out = F.regexp_replace(_as_col(clean), rf"(?U)\b({fused})", "$1 ")
     out = F.regexp_replace(out, f"([{QUOTE_MARKS}])", " $1 ")
     return F.filter(F.split(out, " "), lambda t: t != "")
 

@@ -12,6 +12,7 @@ so no task holds it whole, neither when it is written nor when it is read.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,11 +41,16 @@ class IndexLayout:
 
 @dataclass(frozen=True)
 class SearchIndex:
+    """Three tables, written or lazy.
+
+    ``look_up`` of a lazy index makes the postings of given terms without the others.
+    """
     postings: DataFrame
     term_stats: DataFrame
     field_stats: DataFrame
     layout: IndexLayout = IndexLayout()
     stem: bool = True
+    look_up: Callable[[list[str], tuple[str, ...]], DataFrame] | None = None
 
 
 def term_bucket(term: str, layout: IndexLayout) -> int:
@@ -90,24 +96,37 @@ def token_rows(articles: DataFrame, fields: tuple[str, ...] = DEFAULT_FIELDS, st
 
 def build_postings(articles: DataFrame, fields: tuple[str, ...] = DEFAULT_FIELDS, stem: bool = True,
                    layout: IndexLayout = IndexLayout(), keyword_mode: str = "value",
-                   spread: bool = False) -> DataFrame:
+                   only_terms: list[str] | None = None) -> DataFrame:
     """``(field, term, article_id, tf, positions, ...)``, one row per term of a field.
 
-    With ``spread`` token rows are distributed once by (field, bucket, salt): the
-    grouping and the files of :func:`write_index` then both use that distribution.
-    Without it they are distributed by the full key, with partial counts first.
+    A narrow step.  A field of an article is one row, so its terms are grouped inside
+    the row: (term, position) pairs are sorted, and every stretch of one term is cut
+    out.  No token ever crosses a shuffle.  ``only_terms`` leaves out all others before
+    the sort.
     """
-    rows = (token_rows(articles, fields, stem, keyword_mode)
-            .select("article_id", "published", "category", "source", "field", "field_length",
-                    F.posexplode("tokens").alias("pos", "term"))
-            .withColumn("term_bucket", _bucket(layout))
-            .withColumn("salt", article_salt(layout)))
-    if spread:
-        rows = rows.repartition("field", "term_bucket", "salt")
-    return (rows.groupBy("field", "term_bucket", "salt", "term", "article_id", "field_length",
-                         "published", "category", "source")
-            .agg(F.count("*").alias("tf"),
-                 F.sort_array(F.collect_list("pos")).alias("positions")))
+    placed = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    rows = (token_rows(articles, fields, stem, keyword_mode).filter("field_length > 0")
+            .withColumn("placed", placed))
+    if only_terms is not None:
+        rows = (rows.withColumn("placed", F.filter("placed", lambda x: x["term"].isin(only_terms)))
+                .filter(F.size("placed") > 0))
+    rows = rows.withColumn("placed", F.sort_array("placed"))
+    places = F.sequence(F.lit(1), F.size("placed"))
+    starts = F.filter(places, lambda i: (i == 1) | (
+        F.get(F.col("placed"), i - 1)["term"] != F.get(F.col("placed"), i - 2)["term"]))
+    rows = rows.withColumn("starts", starts)
+
+    def stretch(start, k):
+        end = F.coalesce(F.get(F.col("starts"), k + 1), F.size("placed") + 1)
+        return F.struct(
+            F.get(F.col("placed"), start - 1)["term"].alias("term"), (end - start).alias("tf"),
+            F.transform(F.slice("placed", start, end - start), lambda x: x["pos"]).alias("positions"))
+
+    return (rows.select("article_id", "published", "category", "source", "field", "field_length",
+                        F.explode(F.transform("starts", stretch)).alias("t"))
+            .select("field", "t.term", "article_id", "t.tf", "t.positions", "field_length",
+                    "published", "category", "source")
+            .withColumn("term_bucket", _bucket(layout)).withColumn("salt", article_salt(layout)))
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
@@ -117,7 +136,7 @@ def term_statistics(postings: DataFrame) -> DataFrame:
 
 
 def field_statistics(articles: DataFrame, fields: tuple[str, ...] = DEFAULT_FIELDS,
-                     stem: bool = True, keyword_mode: str = "value") -> DataFrame:
+                     keyword_mode: str = "value") -> DataFrame:
     """Articles and total length per field; additive over batches.
 
     Stemming maps tokens one to one, so lengths need no stems.
@@ -129,9 +148,12 @@ def field_statistics(articles: DataFrame, fields: tuple[str, ...] = DEFAULT_FIEL
 def index_articles(articles: DataFrame, fields: tuple[str, ...] = DEFAULT_FIELDS, stem: bool = True,
                    layout: IndexLayout = IndexLayout(), keyword_mode: str = "value") -> SearchIndex:
     """The index of distinct articles as lazy tables."""
+    def look_up(terms, wanted):
+        return build_postings(articles, wanted, stem, layout, keyword_mode, terms)
+
     postings = build_postings(articles, fields, stem, layout, keyword_mode)
     return SearchIndex(postings, term_statistics(postings),
-                       field_statistics(articles, fields, stem, keyword_mode), layout, stem)
+                       field_statistics(articles, fields, keyword_mode), layout, stem, look_up)
 
 
 def write_index(articles: DataFrame, path: str, batch_id: int = 0,
@@ -144,15 +166,22 @@ def write_index(articles: DataFrame, path: str, batch_id: int = 0,
     the texts.
     """
     spark = articles.sparkSession
-    postings = build_postings(articles, fields, stem, layout, keyword_mode, spread=True)
+    postings = (build_postings(articles, fields, stem, layout, keyword_mode)
+                .repartition("field", "term_bucket", "salt"))
     tables.write_batch(postings.drop("salt").sortWithinPartitions("field", "term_bucket", "term"),
                        f"{path}/postings", batch_id, ("field", "term_bucket"))
     written = read_postings(spark, path).filter(F.col("ingest_batch") == batch_id)
     tables.write_batch(term_statistics(written).sortWithinPartitions("term"),
                        f"{path}/term_stats", batch_id, ("field", "term_bucket"))
-    tables.write_batch(field_statistics(articles, fields, stem, keyword_mode).coalesce(1),
-                       f"{path}/field_stats", batch_id)
     tables.write_batch(articles.select("article_id"), f"{path}/indexed_ids", batch_id)
+    n = spark.read.parquet(f"{path}/indexed_ids").filter(F.col("ingest_batch") == batch_id).agg(
+        F.count("*").alias("n")).scalar()
+    lengths = (spark.read.parquet(f"{path}/term_stats").filter(F.col("ingest_batch") == batch_id)
+               .groupBy("field").agg(F.sum("cf").alias("length")))
+    every = spark.createDataFrame([(f,) for f in fields], "field string")
+    field_rows = every.join(lengths, "field", "left").select(
+        "field", n.alias("n_articles"), F.coalesce("length", F.lit(0)).alias("total_length"))
+    tables.write_batch(field_rows.coalesce(1), f"{path}/field_stats", batch_id)
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:

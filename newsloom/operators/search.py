@@ -52,6 +52,13 @@ def analyse_query(text: str, index: SearchIndex) -> list[str]:
     return list(dict.fromkeys(query_terms(text, SEARCH_STOP_WORDS, index.stem)))
 
 
+def _hits(index: SearchIndex, terms: list[str], fields) -> DataFrame:
+    """Postings of the given terms: looked up, or made for them by a lazy index."""
+    if index.look_up is not None:
+        return index.look_up(terms, tuple(fields))
+    return _of_terms(index.postings, terms, fields, index)
+
+
 def _of_terms(table: DataFrame, terms: list[str], fields, index: SearchIndex) -> DataFrame:
     """Rows of the given terms; all three conditions reach the scan of a written index."""
     buckets = sorted({term_bucket(t, index.layout) for t in terms})
@@ -86,13 +93,18 @@ def _bm25() -> Column:
     return idf * (F.col("tf") * F.lit(BM25_K1 + 1)) / (F.col("tf") + F.lit(BM25_K1) * norm)
 
 
-def _scored(index: SearchIndex, hits: DataFrame, terms: list[str], fields) -> DataFrame:
+def _scored(index: SearchIndex, all_hits: DataFrame, hits: DataFrame, terms: list[str], fields) -> DataFrame:
     """Hits with their BM25 weight.
 
-    Both broadcast sides have a fixed bound: fields x query terms, and fields.
+    Document frequencies come from the statistics of a written index; a lazy one
+    counts its hits.  Both broadcast sides have a fixed bound: fields x query terms,
+    and fields.
     """
-    dfs = (_of_terms(index.term_stats, terms, fields, index)
-           .groupBy("field", "term").agg(F.sum("df").alias("df")))
+    if index.look_up is not None:
+        dfs = all_hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    else:
+        dfs = (_of_terms(index.term_stats, terms, fields, index)
+               .groupBy("field", "term").agg(F.sum("df").alias("df")))
     return (hits.join(F.broadcast(dfs), ["field", "term"])
             .join(F.broadcast(_field_means(index)), "field")
             .withColumn("weight", _bm25()))
@@ -105,8 +117,8 @@ def match_all(index: SearchIndex, spec: SearchSpec) -> DataFrame:
     equal scores are equal whatever the order of the sum, and ties go by id.
     """
     terms = analyse_query(spec.query, index)
-    hits = _filtered(_of_terms(index.postings, terms, spec.fields, index), spec)
-    scored = _scored(index, hits, terms, spec.fields)
+    hits = _hits(index, terms, spec.fields)
+    scored = _scored(index, hits, _filtered(hits, spec), terms, spec.fields)
     held = [F.max(F.col("term") == t).alias(f"has_{i}") for i, t in enumerate(terms)]
     grouped = scored.groupBy("article_id").agg(
         F.max("published").alias("published"), F.round(F.sum("weight"), 6).alias("score"), *held)
@@ -159,7 +171,7 @@ def phrase_ids(index: SearchIndex, phrase: str, fields=DEFAULT_FIELDS) -> DataFr
     terms = list(dict.fromkeys(sequence))
     if not terms:
         return index.postings.select("article_id", "field").filter(F.lit(False))
-    hits = _of_terms(index.postings, terms, fields, index)
+    hits = _hits(index, terms, fields)
     places = hits.groupBy("article_id", "field").agg(*[
         F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"at_{i}")
         for i, t in enumerate(terms)])

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import spread_small
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as articles; copies of a text share an article_id."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return spread_small(table(spark, sf_dir, "documents"), "doc_id").selectExpr(
         r"md5(concat(split_part(text, '\n', 1), 'https://example.org/', md5(text))) AS article_id",
         "doc_id",
         r"split_part(text, '\n', 1) AS title",
@@ -51,13 +53,13 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").selectExpr(
+    docs = spread_small(table(spark, sf_dir, "documents"), "doc_id").selectExpr(
         "doc_id", r"split_part(text, '\n', 1) AS title", "text")
     return table(spark, sf_dir, "labels").selectExpr("doc_id", "quality AS label").join(docs, "doc_id")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return spread_small(table(spark, sf_dir, "pages"), "page_id").select("page_id", "url", "html")
 
 
 def pseudo_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,17 @@ def scan(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """A scan with fewer splits than there are cores, distributed by ``key``.
+
+    For jobs that spend their time on text: a file of one row group would keep one
+    core busy.  A large input has more splits than cores and is left as it is.  Only
+    for plain scans, whose number of splits is known without running anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path).schema
