@@ -68,16 +68,16 @@ def keep_content_words(tokens, stop_words=ENGLISH_STOP_WORDS, min_length: int =
                     lambda t: (F.length(t) >= min_length) & ~t.isin(stop))
 
 
-def search_tokens(text, stem_later: bool = False) -> Column:
+def search_tokens(text: str) -> Column:
     """Tokens of the search analyser: words, dots allowed inside, lower case.
 
     Positions are counted after the stop words are gone, so "state of art" holds
     the phrase "state art".
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(_as_col(text), F.lit(""))),
-                                 F.lit(r"(?U)\w++(?:\.\w++)*+"), F.lit(0))
-    kept = keep_content_words(words, SEARCH_STOP_WORDS, 2)
-    return F.array_join(kept, " ") if stem_later else kept
+    stop = ", ".join(f"'{w}'" for w in SEARCH_STOP_WORDS)
+    return F.expr(f"""filter(
+        regexp_extract_all(lower(coalesce({text}, '')), r'(?U)\w++(?:\.\w++)*+', 0),
+        t -> length(t) >= 2 AND t NOT IN ({stop}))""")
 
 
 def preview(text, size: int, always_dots: bool = False) -> Column:
