@@ -5,43 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Zone names of RFC 822 and their offsets.
-ZONE_OFFSETS = {"UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000",
-                "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
-                "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+# Zone names of RFC 822 by their offset.
+ZONE_NAMES = {"+0000": "UT|UTC|GMT|Z", "-0400": "EDT", "-0500": "EST|CDT", "-0600": "CST|MDT",
+              "-0700": "MST|PDT", "-0800": "PST"}
 
-# Forms seen in feeds once the weekday is gone and the zone is numeric.
-RFC822_FORMATS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z",
-                  "d MMM yy HH:mm:ss Z", "d MMM yy HH:mm Z")
 
-
-def _numeric_zone(text: Column) -> Column:
-    zone = F.upper(F.regexp_extract(text, r"\s([A-Za-z]{1,4})$", 1))
-    offset = F.lit(None).cast("string")
-    for name, value in ZONE_OFFSETS.items():
-        offset = F.when(zone == name, F.lit(value)).otherwise(offset)
-    named = F.regexp_replace(text, r"\s[A-Za-z]{1,4}$", " ")
-    with_name = F.concat(named, offset)
-    bare = F.when(text.rlike(r":\d\d$"), F.concat(text, F.lit(" +0000"))).otherwise(text)
-    return F.when(offset.isNotNull(), with_name).otherwise(
-        F.regexp_replace(bare, r"([+-]\d\d):(\d\d)$", "$1$2"))
+def _rewritten(text: Column, *rules: tuple[str, str]) -> Column:
+    for pattern, replacement in rules:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
 
 
 def parse_feed_date(value) -> Column:
-    """RFC 822 or ISO 8601 text to a UTC timestamp, null when it is neither.
+    """RFC 822 or ISO 8601 text to a timestamp, null when it is neither.
 
-    A text without a zone is taken as UTC.
+    A text without a zone is taken as UTC.  Each family is first rewritten to one form,
+    so that one format reads it.
     """
     text = F.trim(F.col(value) if isinstance(value, str) else value)
-    text = F.regexp_replace(text, r"\s+", " ")
-    rfc = _numeric_zone(F.regexp_replace(text, r"^[A-Za-z]{3,9},?\s*(?=\d)", ""))
-    iso = F.when(text.rlike(r"^\d{4}-\d\d-\d\d"),
-                 F.when(text.rlike(r"[T ]\d\d:.*([zZ]|[+-]\d\d:?\d\d)$"), text)
-                 .when(text.rlike(r"[T ]\d\d:"), F.concat(text, F.lit("Z")))
-                 .otherwise(F.concat(F.substring(text, 1, 10), F.lit("T00:00:00Z"))))
-    iso = F.regexp_replace(iso, r"([+-]\d\d)(\d\d)$", "$1:$2")
-    return F.coalesce(F.try_to_timestamp(iso),
-                      *[F.try_to_timestamp(rfc, F.lit(f)) for f in RFC822_FORMATS])
+    rfc = _rewritten(
+        text, (r"\s+", " "), (r"^[A-Za-z]{3,9},? ?(?=\d)", ""),
+        *[(rf"(?i) ({names})$", f" {offset}") for offset, names in ZONE_NAMES.items()],
+        (r"( \d\d?:\d\d(:\d\d)?)$", "$1 +0000"),             # no zone
+        (r"([+-]\d\d):(\d\d)$", "$1$2"),
+        (r"( \d\d?:\d\d) ", "$1:00 "),                        # no seconds
+        (r"^(\d\d? [A-Za-z]{3}) (\d\d) ", "$1 20$2 "))        # year of two digits
+    iso = _rewritten(
+        F.regexp_extract(text, r"^\d{4}-\d\d-\d\d.*$", 0),
+        (r"^(\d{4}-\d\d-\d\d)$", "$1T00:00:00Z"),
+        (r"([T ]\d\d:\d\d(:\d\d(\.\d+)?)?)$", "$1Z"),      # no zone
+        (r"([T ]\d\d:\d\d)([zZ+-])", "$1:00$2"),              # no seconds
+        (r"([+-]\d\d)(\d\d)$", "$1:$2"))
+    return F.coalesce(F.try_to_timestamp(F.nullif(iso, F.lit(""))),
+                      F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm:ss Z")))
 
 
 def entry_published(published, updated, fetched_at) -> Column:

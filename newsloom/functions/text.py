@@ -75,7 +75,7 @@ def search_tokens(text: str) -> Column:
     the phrase "state art".
     """
     stop = ", ".join(f"'{w}'" for w in SEARCH_STOP_WORDS)
-    return F.expr(f"""filter(
+    return F.expr(rf"""filter(
         regexp_extract_all(lower(coalesce({text}, '')), r'(?U)\w++(?:\.\w++)*+', 0),
         t -> length(t) >= 2 AND t NOT IN ({stop}))""")
 

@@ -16,6 +16,7 @@ MIN_DF = 2
 MAX_DF_SHARE = 0.95
 FULL_FEATURES = 10_000
 QUICK_FEATURES = 5_000
+ROWS_PER_TASK = 2_000
 
 
 def _bigrams(words: Column) -> Column:
@@ -123,5 +124,7 @@ class CredibilityClassifier(Estimator):
         regression = LogisticRegression(
             featuresCol="features", labelCol=self.label_col, regParam=1.0 / size, elasticNetParam=0.0,
             standardization=False, maxIter=self.max_iter, tol=self.tol)
-        fitted = regression.fit(vectors.select("features", self.label_col))
+        # every step of the fit is one job over all partitions; small inputs use few
+        points = vectors.select("features", self.label_col).coalesce(size // ROWS_PER_TASK + 1)
+        fitted = regression.fit(points)
         return PipelineModel([*text, counts, weights, unit, fitted])

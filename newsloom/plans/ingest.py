@@ -46,7 +46,9 @@ def candidates(parsed: DataFrame, registry: DataFrame) -> DataFrame:
     rows = dedupe.with_article_id(feed_source.entries_to_articles(parsed, registry))
     # the time of storing is the time of fetching, so a repeated run writes equal rows
     rows = rows.withColumn("created_at", F.col("fetched_at")).withColumn("updated_at", F.col("fetched_at"))
-    return dedupe.first_per_article(rows.select(*[f.name for f in schemas.ARTICLES.fields]))
+    # of equal entries the one of the feed that comes first by name is kept
+    return dedupe.first_per_article(rows.select(*[f.name for f in schemas.ARTICLES.fields]),
+                                    ("published", "link", "source", "feed_key"))
 
 
 def feed_results(parsed: DataFrame, stored: DataFrame, registry: DataFrame,
