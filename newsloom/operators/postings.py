@@ -31,13 +31,25 @@ DEFAULT_FIELDS = STEMMED_FIELDS
 
 @dataclass(frozen=True)
 class IndexLayout:
-    """How postings are spread; raise both numbers with the corpus.
+    """How postings are spread.
 
-    A build can use up to fields x term_buckets x salts tasks.
+    A build can use up to fields x term_buckets x salts tasks.  Choose it once per index,
+    with :meth:`for_bytes` for anything large; queries need the same ``term_buckets``.
     """
     term_buckets: int = 64
     salts: int = 4
 
+    @classmethod
+    def for_bytes(cls, text_bytes: int, task_bytes: int = 256 << 20) -> IndexLayout:
+        """Layout for a corpus of ``text_bytes``: about ``task_bytes`` of text per task.
+
+        Buckets grow first (a query reads one bucket per term), up to 4096 folders per
+        field; salts take what is left.
+        """
+        tasks = max(1, -(-text_bytes // task_bytes))
+        buckets = min(4096, max(16, tasks))
+        return cls(buckets, max(1, -(-tasks // buckets)))
+
 
 @dataclass(frozen=True)
 class SearchIndex:

@@ -15,15 +15,18 @@ def with_expiry(df: DataFrame, ts: str, row_id: str, cutoff: Column, keep_count:
     that many rows per key before the shuffle, so a key with a third of all rows costs
     no more than others.  The full table then meets one small row per key.
     """
-    k = F.col(key) if key else F.lit(0)
     order = [F.col(ts).desc_nulls_last(), F.col(row_id).desc()]
-    newest = (df.select(k.alias("_key"), F.col(ts), F.col(row_id))
-              .withColumn("rn", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
+    place = F.struct(ts, row_id)
+    if key is None:                      # one group: a top-k and a comparison, no join
+        last = df.select(ts, row_id).orderBy(*order).limit(keep_count).agg(F.min(place).alias("l")).scalar()
+        return df.withColumn("expired", F.coalesce((place < last) & (F.col(ts) < cutoff), F.lit(False)))
+    newest = (df.select(key, ts, row_id)
+              .withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
               .filter(F.col("rn") <= keep_count))
-    last_kept = newest.groupBy("_key").agg(F.min(F.struct(ts, row_id)).alias("_last"))
-    joined = df.withColumn("_key", k).join(last_kept, "_key", "left")
-    expired = (F.struct(ts, row_id) < F.col("_last")) & (F.col(ts) < cutoff)
-    return joined.withColumn("expired", F.coalesce(expired, F.lit(False))).drop("_key", "_last")
+    last_kept = newest.groupBy(key).agg(F.min(place).alias("_last"))
+    expired = (place < F.col("_last")) & (F.col(ts) < cutoff)
+    return (df.join(last_kept, key, "left")
+            .withColumn("expired", F.coalesce(expired, F.lit(False))).select(*df.columns, "expired"))
 
 
 def retain(df: DataFrame, ts: str, row_id: str, cutoff: Column, keep_count: int = 10,

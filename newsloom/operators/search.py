@@ -151,13 +151,21 @@ def total_hits(matches: DataFrame) -> DataFrame:
     return matches.agg(F.count("*").alias("total"))
 
 
-def with_stored_fields(hits: DataFrame, articles: DataFrame) -> DataFrame:
-    """Hits with their article rows.
+def with_stored_fields(page: DataFrame, articles: DataFrame) -> DataFrame:
+    """The rows of one page of hits (at most MAX_PER_PAGE) with their articles.
 
-    One page of hits is a limit of at most MAX_PER_PAGE rows, which the planner knows
-    and broadcasts; more rows than that are joined like any table.
+    The page is fetched first.  Its ids then go into the scan of the articles as plain
+    comparisons, so that files and row groups without them are skipped by their
+    statistics and bloom filters instead of being read for a join.
     """
-    return articles.join(hits.drop("published"), "article_id").withColumn(
+    rows = page.drop("published").take(MAX_PER_PAGE + 1)
+    if len(rows) > MAX_PER_PAGE:
+        raise ValueError(f"a page has at most {MAX_PER_PAGE} rows")
+    wanted = F.lit(False)
+    for row in rows:
+        wanted = wanted | (F.col("article_id") == row.article_id)
+    small = articles.sparkSession.createDataFrame(rows, page.drop("published").schema)
+    return articles.filter(wanted).join(F.broadcast(small), "article_id").withColumn(
         "tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 

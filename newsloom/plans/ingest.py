@@ -118,7 +118,7 @@ def append_new(batch: DataFrame, path: str, batch_id: int) -> int:
     earlier = tables.read_batches(spark, path, schemas.ARTICLES, before_batch=batch_id)
     seen = Observation()
     new = dedupe.not_stored(batch, earlier).observe(seen, F.count("*").alias("n"))
-    tables.write_batch(new, path, batch_id)
+    tables.write_batch(new, path, batch_id, looked_up_by="article_id")
     return seen.get["n"]
 
 
@@ -160,7 +160,7 @@ def compact(spark: SparkSession, store: Store, new_root: str, through_batch: int
         return spark.read.parquet(path).filter(F.col("ingest_batch") <= through_batch).drop("ingest_batch")
 
     tables.write_batch(rows(store.articles).repartitionByRange("published")
-                       .sortWithinPartitions("published"), new.articles, through_batch)
+                       .sortWithinPartitions("published"), new.articles, through_batch, looked_up_by="article_id")
     tables.write_batch(rows(store.logs), new.logs, through_batch)
     if tables.exists(spark, f"{store.index}/postings"):
         parts = ("field", "term_bucket")

@@ -71,10 +71,10 @@ def pseudo_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_payloads(spark: SparkSession, sf_dir: str, entries_per_payload: int = 20) -> DataFrame:
-    """documents as landed RSS payloads of at most ``entries_per_payload`` entries.
+    """documents as landed RSS payloads, about ``entries_per_payload`` entries each.
 
-    A payload covers a fixed range of doc_id of one source, so its size does not
-    grow with the source.
+    A payload covers a fixed range of doc_id of one source: it cannot have more entries
+    than the range has ids, whatever share of all documents the source has.
     """
     def xml(value):
         # what XML cannot carry becomes a blank; what has a meaning is escaped

@@ -66,11 +66,18 @@ def read_current(spark: SparkSession, path: str, schema: StructType) -> DataFram
     return scan(spark, f"{path}/{version}", schema)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, partitions: tuple[str, ...] = ()) -> None:
-    """Write the rows of one batch; a replay replaces exactly these rows."""
-    (df.withColumn("ingest_batch", F.lit(batch_id).cast("long"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("ingest_batch", *partitions).parquet(path))
+def write_batch(df: DataFrame, path: str, batch_id: int, partitions: tuple[str, ...] = (),
+                looked_up_by: str | None = None) -> None:
+    """Write the rows of one batch; a replay replaces exactly these rows.
+
+    ``looked_up_by`` gets a bloom filter per row group, for later look-ups by value.
+    """
+    writer = (df.withColumn("ingest_batch", F.lit(batch_id).cast("long"))
+              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic"))
+    if looked_up_by:
+        writer = (writer.option(f"parquet.bloom.filter.enabled#{looked_up_by}", "true")
+                  .option(f"parquet.bloom.filter.expected.ndv#{looked_up_by}", "1000000"))
+    writer.partitionBy("ingest_batch", *partitions).parquet(path)
 
 
 def read_batches(spark: SparkSession, path: str, schema: StructType,
