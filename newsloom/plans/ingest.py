@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -112,14 +112,19 @@ def log_events(results: DataFrame, batch_id: int) -> DataFrame:
 def append_new(batch: DataFrame, path: str, batch_id: int) -> int:
     """Append the articles of ``batch`` that are not stored; returns how many.
 
-    The count is observed while writing; nothing is read again for it.
+    They are counted in the written partition, from file footers.  (An observation would
+    count while writing, but a session that has observed anything can no longer apply a
+    freshly fitted regression: its summary drags the session into the task.)
     """
     spark = batch.sparkSession
     earlier = tables.read_batches(spark, path, schemas.ARTICLES, before_batch=batch_id)
-    seen = Observation()
-    new = dedupe.not_stored(batch, earlier).observe(seen, F.count("*").alias("n"))
+    new = dedupe.not_stored(batch, earlier)
     tables.write_batch(new, path, batch_id, looked_up_by="article_id")
-    return seen.get["n"]
+    return batch_rows(spark, path, batch_id).count()
+
+
+def batch_rows(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    return tables.read_batches(spark, path, schemas.ARTICLES).filter(F.col("ingest_batch") == batch_id)
 
 
 def ingest_batch(spark: SparkSession, payloads: DataFrame, registry: DataFrame, store: Store,
@@ -129,8 +134,7 @@ def ingest_batch(spark: SparkSession, payloads: DataFrame, registry: DataFrame,
     parsed = feed_source.parse_payloads(payloads).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         added = append_new(candidates(parsed, registry), store.articles, batch_id)
-        stored = tables.read_batches(spark, store.articles, schemas.ARTICLES).filter(
-            F.col("ingest_batch") == batch_id)
+        stored = batch_rows(spark, store.articles, batch_id)
         indexed = None
         if store.keep_index and added:
             postings.write_index(stored, store.index, batch_id, store.index_fields, layout=store.layout)
