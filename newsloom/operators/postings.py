@@ -183,7 +183,9 @@ def write_index(articles: DataFrame, path: str, batch_id: int = 0,
     tables.write_batch(postings.drop("salt").sortWithinPartitions("field", "term_bucket", "term"),
                        f"{path}/postings", batch_id, ("field", "term_bucket"))
     written = read_postings(spark, path).filter(F.col("ingest_batch") == batch_id)
-    tables.write_batch(term_statistics(written).sortWithinPartitions("term"),
+    # one row per distinct term by now; one task per folder keeps the number of files low
+    stats = term_statistics(written).repartition("field", "term_bucket")
+    tables.write_batch(stats.sortWithinPartitions("field", "term_bucket", "term"),
                        f"{path}/term_stats", batch_id, ("field", "term_bucket"))
     tables.write_batch(articles.select("article_id"), f"{path}/indexed_ids", batch_id)
     n = spark.read.parquet(f"{path}/indexed_ids").filter(F.col("ingest_batch") == batch_id).agg(

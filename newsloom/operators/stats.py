@@ -51,8 +51,8 @@ def feed_totals(feeds: DataFrame, articles: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("kind") == "total", F.col("total"))), F.lit(0)).alias("total_articles"),
         F.coalesce(F.max(F.when(F.col("kind") == "category", F.col("n"))), F.lit(0)).alias("category_count"),
         F.coalesce(F.max(F.when(F.col("kind") == "source", F.col("n"))), F.lit(0)).alias("source_count"))
-    one = F.lit(1).alias("one")
-    return f.select(one, "*").join(a.select(one, "*"), "one").drop("one")
+    row = a.select(F.struct("*").alias("row")).scalar()
+    return f.select("*", *[row.getField(c).alias(c) for c in a.columns])
 
 
 def database_stats(feeds: DataFrame, articles: DataFrame, logs: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def compact(spark: SparkSession, store: Store, new_root: str, through_batch: int
                   .repartition(*parts, "salt").drop("salt").sortWithinPartitions(*parts, "term"))
         tables.write_batch(merged, f"{new.index}/postings", through_batch, parts)
         stats = rows(f"{store.index}/term_stats").groupBy(*parts, "term").agg(
-            F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+            F.sum("df").alias("df"), F.sum("cf").alias("cf")).repartition(*parts)
         tables.write_batch(stats.sortWithinPartitions(*parts, "term"), f"{new.index}/term_stats",
                            through_batch, parts)
         lengths = rows(f"{store.index}/field_stats").groupBy("field").agg(
