@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.driver_views import table
-from . import toxicity
+from . import exact_dedup, licenses, packing, toxicity, warc
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of all documents, lengths in words."""
+    return packing.best_fit(packing.word_lengths(table(spark, sf_dir, "documents")))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and expressions of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to an archive and read back."""
+    return warc.summary(warc.archived(table(spark, sf_dir, "pages")))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +28,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op9_toxicity": op9_toxicity}
-ORACLES: dict[str, str] = {}
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document."""
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_licenses": op2_licenses, "op3_warc": op3_warc,
+           "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup}
+
+# SHA-1 has no function there; it is put together from the 160 bits only in the tests
+ORACLES: dict[str, str] = {
+    "op10_exact_dedup": r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
+                  regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents),
+g AS (SELECT k, count(*) AS group_size, first(doc_id ORDER BY n DESC, doc_id) AS keep_id FROM t GROUP BY k)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256
+FROM t JOIN g USING (k)""",
+}
