@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.driver_views import table
-from . import exact_dedup, licenses, packing, toxicity, warc
+from . import exact_dedup, licenses, minhash, packing, toxicity, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.summary(warc.archived(table(spark, sf_dir, "pages")))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document, on shingles of two words."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.NearDuplicateParams(shingle=2))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score and prediction of every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -34,6 +39,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_packing": op1_packing, "op2_licenses": op2_licenses, "op3_warc": op3_warc,
+           "op4_minhash": op4_minhash,
            "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup}
 
 # SHA-1 has no function there; it is put together from the 160 bits only in the tests

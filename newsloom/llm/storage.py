@@ -12,3 +12,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_by_batches(df: DataFrame, label: str, rows: int) -> DataFrame:
+    """:func:`stored`, with at most ``rows`` rows in an Arrow batch: for rows that are large."""
+    conf = df.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(rows))
+    try:
+        return stored(df, label)
+    finally:
+        conf.set(key, before)
