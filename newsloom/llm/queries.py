@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.driver_views import table
-from . import exact_dedup, licenses, minhash, packing, toxicity, warc
+from . import decontamination, exact_dedup, licenses, line_dedup, minhash, packing, token_counts, toxicity, warc
+
+
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +32,23 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.NearDuplicateParams(shingle=2))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = PIECES) -> DataFrame:
+    """Words and greedy word pieces of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.vocabulary_of(vocabulary))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its later repeated runs of lines."""
+    done = line_dedup.delete_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "_lines.n_lines", "_lines.n_removed", "_lines.n_runs",
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score and prediction of every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -40,6 +61,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_packing": op1_packing, "op2_licenses": op2_licenses, "op3_warc": op3_warc,
            "op4_minhash": op4_minhash,
+           "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination,
+           "op8_line_dedup": op8_line_dedup,
            "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup}
 
 # SHA-1 has no function there; it is put together from the 160 bits only in the tests
@@ -50,4 +73,21 @@ WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
 g AS (SELECT k, count(*) AS group_size, first(doc_id ORDER BY n DESC, doc_id) AS keep_id FROM t GROUP BY k)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256
 FROM t JOIN g USING (k)""",
+    "op8_line_dedup": r"""
+WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM a),
+c AS (SELECT *, CASE WHEN trim(line, ' ') = '' THEN 0
+                     ELSE length(trim(line, ' ')) - length(replace(trim(line, ' '), ' ', '')) + 1 END AS w FROM l),
+b AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY pos
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c WHERE w > 0),
+win AS (SELECT doc_id, pos, max(pos) OVER r AS last, sum(w) OVER r AS n, list(line) OVER r AS k FROM b
+        WINDOW r AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS rn FROM win WHERE n >= 50),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM f WHERE rn > 1),
+isl AS (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM gone),
+runs AS (SELECT doc_id, count(DISTINCT g) AS n_runs, count(*) AS n_removed FROM isl GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS t FROM l ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM a LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
