@@ -6,7 +6,7 @@ joined on the hash.  Around a hit the two texts are laid side by side word by wo
 contaminated by an item if in some window of ``window`` words (or of the whole item, if shorter) at
 least ``percent`` of the words are equal.
 
-Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z folded.
+Words are runs of ASCII letters and digits and of non-ASCII characters, in lower case.
 
 The benchmark is sent to the tasks in blocks of bounded size, and each block is held against all
 documents; documents are not shuffled.
@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def _seed_keys(hashes: np.ndarray, mask: np.ndarray, number: int) -> np.ndarray:
 
 def prepare(ids: np.ndarray, texts: pa.Array, params: SeedParams) -> Benchmark:
     parts, counts = [], []
-    for block in words.blocks(texts):
+    for block in words.blocks(pc.utf8_lower(texts)):
         found = words.words(block, words.NON_ALPHANUMERIC)
         parts.append(words.rolling(block).of(found.starts, found.ends))
         counts.extend(found.counts.tolist())
@@ -148,7 +149,7 @@ def _against(docs: DataFrame, bench: Benchmark, params: SeedParams) -> DataFrame
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for block in words.blocks(batch.column("text")):
+            for block in words.blocks(pc.utf8_lower(batch.column("text"))):
                 rows = search_block(block, own, params)
                 items = [sorted({int(own.ids[i]) for i in row if own.ids[i] is not None}) for row in rows]
                 yield pa.record_batch({
