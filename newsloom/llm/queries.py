@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.driver_views import table
-from . import decontamination, exact_dedup, licenses, line_dedup, minhash, packing, token_counts, toxicity, warc
+from . import decontamination, exact_dedup, licenses, line_dedup, minhash, packing, suffixes, token_counts, toxicity, warc
 
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -42,6 +42,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of repeated strings of 100 bytes."""
+    done = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its later repeated runs of lines."""
     done = line_dedup.delete_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -62,7 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_packing": op1_packing, "op2_licenses": op2_licenses, "op3_warc": op3_warc,
            "op4_minhash": op4_minhash,
            "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination,
-           "op8_line_dedup": op8_line_dedup,
+           "op7_suffix_dedup": op7_suffix_dedup, "op8_line_dedup": op8_line_dedup,
            "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup}
 
 # SHA-1 has no function there; it is put together from the 160 bits only in the tests

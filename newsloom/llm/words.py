@@ -46,7 +46,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _UP = _DOWN = np.ones(1, dtype=np.uint64)
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
-_VALUES = mix((_FOLD + 1).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+_EXACT_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_VALUES = _EXACT_VALUES[_FOLD]
 
 
 class Block(NamedTuple):
@@ -117,7 +118,7 @@ def words(block: Block, separators: bytes = WHITE_SPACE) -> Words:
 
 
 class Rolling(NamedTuple):
-    """Hashes of any byte ranges of a block, A-Z folded to a-z."""
+    """Hashes of any byte ranges of a block."""
     sums: np.ndarray
     down: np.ndarray
 
@@ -125,10 +126,11 @@ class Rolling(NamedTuple):
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
-def rolling(block: Block) -> Rolling:
+def rolling(block: Block, fold: bool = True) -> Rolling:
+    """Rolling hashes of a block, A-Z folded to a-z if ``fold``."""
     up, down = _powers(len(block.data) + 1)
     sums = np.zeros(len(block.data) + 1, dtype=np.uint64)
-    np.cumsum(_VALUES[block.data] * up[:len(block.data)], out=sums[1:])
+    np.cumsum((_VALUES if fold else _EXACT_VALUES)[block.data] * up[:len(block.data)], out=sums[1:])
     return Rolling(sums, down)
 
 
