@@ -13,8 +13,7 @@ documents; documents are not shuffled.
 
 Cases with a defined result: a null or empty text or item has no words and meets nothing; items of
 fewer than ``least`` words are not looked for; items with equal texts are all reported; rows that share
-a doc_id or item_id are each looked at on their own (the counts of rows of one doc_id come from all of
-them if the benchmark takes several blocks).
+a doc_id or item_id are each looked at on their own.
 """
 
 from __future__ import annotations
@@ -28,8 +27,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from . import words
+from .rows import with_column
 
 _FILTER_BITS = 22
 
@@ -140,47 +141,61 @@ def search_block(block: words.Block, bench: Benchmark, params: SeedParams) -> li
     return out
 
 
-_FOUND = "doc_id long, n_items long, items array<long>, overlap double"
+_FOUND = StructType([StructField("items", ArrayType(LongType())), StructField("n_items", LongType()),
+                     StructField("overlap", DoubleType())])
 
 
-def _against(docs: DataFrame, bench: Benchmark, params: SeedParams) -> DataFrame:
+def with_items(docs: DataFrame, bench: Benchmark, params: SeedParams, name: str = "found") -> DataFrame:
+    """All columns of ``docs`` (text, ...) and what each text has of one block of the benchmark; narrow."""
     shared = docs.sparkSession.sparkContext.broadcast(bench)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         own = shared.value
-        for batch in batches:
-            for block in words.blocks(pc.utf8_lower(batch.column("text"))):
-                rows = search_block(block, own, params)
-                items = [sorted({int(own.ids[i]) for i in row if own.ids[i] is not None}) for row in rows]
-                yield pa.record_batch({
-                    "doc_id": batch.column("doc_id").slice(block.rows.start, block.count),
-                    "n_items": pa.array([len(r) for r in rows], pa.int64()),
-                    "items": pa.array(items, pa.list_(pa.int64())),
-                    "overlap": pa.array([max(r.values(), default=0.0) for r in rows], pa.float64())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(read, _FOUND)
+        def search(block: words.Block) -> pa.Array:
+            rows = search_block(block, own, params)
+            items = [sorted({int(own.ids[i]) for i in row if own.ids[i] is not None}) for row in rows]
+            return pa.StructArray.from_arrays(
+                [pa.array(items, pa.list_(pa.int64())), pa.array([len(r) for r in rows], pa.int64()),
+                 pa.array([max(r.values(), default=0.0) for r in rows], pa.float64())], names=_FOUND.names)
 
+        return search
 
-def contamination(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams()) -> DataFrame:
-    """(doc_id, n_items, items, overlap, contaminated) of each row of ``docs`` (doc_id, text).
+    return with_column(docs, name, _FOUND, start, lower=True)
 
-    ``benchmark`` has (item_id, text); ``items`` are the ids of the items found, ``overlap`` the
-    largest share of equal words in a window, 0 for clean documents.
-    """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+def benchmark_blocks(benchmark: DataFrame, params: SeedParams) -> Iterator[Benchmark]:
+    """The benchmark (item_id, text) in blocks of bounded size, prepared on the driver one after the other."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"),
+                             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // params.block_bytes + 1
-    found = []
     for number in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
-        rows = part.toArrow()  # a block of bounded size
-        ids = np.array(rows.column("item_id").to_pylist(), dtype=object)
-        found.append(_against(docs, prepare(ids, rows.column("text"), params), params))
-    out = found[0]
-    if blocks > 1:
-        for more in found[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy("doc_id").agg(
-            F.sum("n_items").alias("n_items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.max("overlap").alias("overlap"))
-    return out.withColumn("contaminated", F.col("n_items") > 0)
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).toArrow()
+        yield prepare(np.array(rows.column("item_id").to_pylist(), dtype=object), rows.column("text"), params)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams()) -> DataFrame:
+    """(doc_id, n_items, items, overlap, contaminated) of each row of ``docs`` (doc_id, text).
+
+    ``items`` are the ids of the items found, ``overlap`` the largest share of equal words in a window,
+    0 for clean documents.
+    """
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = []
+    for number, bench in enumerate(benchmark_blocks(benchmark, params)):
+        names.append(f"found{number}")
+        out = with_items(out, bench, params, names[-1])
+    n_items = sum((F.col(f"{n}.n_items") for n in names), F.lit(0).cast("long"))
+    return out.select("doc_id", n_items.alias("n_items"),
+                      F.array_sort(F.array_distinct(F.concat(*(F.col(f"{n}.items") for n in names)))).alias("items"),
+                      F.array_max(F.array(*(F.col(f"{n}.overlap") for n in names))).alias("overlap"),
+                      (n_items > 0).alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams()) -> DataFrame:
+    """The rows of ``docs`` (text, ...) that have no benchmark passage, with their columns."""
+    out = docs
+    for bench in benchmark_blocks(benchmark, params):
+        out = with_items(out, bench, params, "_found").filter("_found.n_items = 0").drop("_found")
+    return out

@@ -71,8 +71,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             .groupBy("doc_id", "twin").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs")))
 
 
-def delete_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, out: str = "text") -> DataFrame:
-    """All columns of ``docs`` (doc_id, text, ...), with ``out`` the text that is left, and ``_lines``.
+def delete_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """All columns of ``docs`` (doc_id, text, ...), with the text that is left, and ``_lines``.
 
     ``_lines`` is a struct: n_lines of the input, n_removed of them, n_runs.
     """
@@ -89,5 +89,17 @@ def delete_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, out: str
     counts = F.struct(F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"),
                       F.coalesce(F.size("_runs"), F.lit(0)).cast("long").alias("n_runs"))
     left = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    others = [c for c in docs.columns if c != out]
-    return joined.select(*others, left.alias(out), counts.alias("_lines")).select(*docs.columns, *([out] if out not in docs.columns else []), "_lines")
+    return joined.select(*(left.alias(c) if c == "text" else c for c in docs.columns), counts.alias("_lines"))
+
+
+def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The columns of ``docs`` (doc_id, text, ...) after the deletion; n_chars, if there, follows the text.
+
+    Documents of which the deletion leaves no word go.
+    """
+    done = delete_repeated_lines(docs, min_words)
+    done = done.filter(~((F.col("_lines.n_removed") > 0) & (F.trim("text") == "")))
+    if "n_chars" in docs.columns:
+        changed = F.when(F.col("_lines.n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        done = done.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
+    return done.select(*docs.columns)

@@ -232,3 +232,9 @@ def near_duplicates(docs: DataFrame, params: NearDuplicateParams = NearDuplicate
     return (rows.select("doc_id", "n_shingles").join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
                     F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept")))
+
+
+def representatives(docs: DataFrame, params: NearDuplicateParams = NearDuplicateParams()) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) that stay: of each group the one with the smallest doc_id."""
+    gone = near_duplicates(docs, params).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

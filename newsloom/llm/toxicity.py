@@ -24,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import words
+from .rows import with_column
 
 
 @dataclass(frozen=True)
@@ -185,25 +187,24 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: str = "true",
     return fit(found, toxic, prior, params)
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(doc_id, score) of each row of ``docs`` (doc_id, text); narrow."""
+def with_score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` (text, ...) and the score, ``name``, of each row; narrow."""
     at = np.flatnonzero(model.weights)
     shared = docs.sparkSession.sparkContext.broadcast((at, model.weights[at]))  # the telling features only
     bias, bits, prefixes = model.bias, model.bits, model.prefixes
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         weights = np.zeros(1 << bits)
         weights[shared.value[0]] = shared.value[1]
         wanted = weights != 0
-        for batch in batches:
-            for block in words.blocks(batch.column("text")):
-                columns, first = features(block, bits, prefixes, wanted)
-                yield pa.record_batch({
-                    "doc_id": batch.column("doc_id").slice(block.rows.start, block.count),
-                    "score": pa.array(_sigmoid(bias + _sums(weights, columns, first)))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        read, "doc_id long, score double")
+        def score(block: words.Block) -> pa.Array:
+            columns, first = features(block, bits, prefixes, wanted)
+            return pa.array(_sigmoid(bias + _sums(weights, columns, first)))
+
+        return score
+
+    return with_column(docs, name, DoubleType(), start)
 
 
 # a text with this id is held out: its label is never read
@@ -214,6 +215,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
              params: ToxicityParams = ToxicityParams()) -> DataFrame:
     """Train on the ids that are not held out, then score and predict every row."""
     model = train(docs, labels, MAY_LEARN, params)
-    return score(docs, model).select(
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_score(texts, model).select(
         "doc_id", F.coalesce(F.expr(f"NOT ({MAY_LEARN})"), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
+                  params: ToxicityParams = ToxicityParams()) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) that score below the threshold, with their columns."""
+    model = train(docs, labels, MAY_LEARN, params)
+    return with_score(docs, model, "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
