@@ -21,7 +21,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
@@ -60,7 +60,7 @@ def groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(
         F.count("*").alias("group_size"),
         F.min(F.struct((-F.col("n_chars_all")).alias("shorter"), F.col("doc_id").isNull().alias("nameless"),
-                       "doc_id")).alias("best"))
+                       "doc_id", "row")).alias("best"))
 
 
 class Fuse(NamedTuple):
@@ -199,15 +199,11 @@ def exact_duplicates(docs: DataFrame, first_batch: str = "pmod(xxhash64(doc_id),
     Rows for which ``first_batch`` holds make the snapshot, the others are the batch that it screens;
     the split changes nothing in the result.
     """
-    rows = stored(digests(docs), "digests-of-rows")
+    # the number tells apart rows that are repeated whole; it is written, so it stays as it is
+    rows = stored(digests(docs).withColumn("row", F.monotonically_increasing_id()), "digests-of-rows")
     first = F.coalesce(F.expr(first_batch), F.lit(False))
     snapshot = write_snapshot(groups(rows.filter(first)))
     found = add_batch(groups(rows.filter(~first)), snapshot)
-    joined = rows.join(found, list(KEY))
-    is_best = (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_chars_all") == -F.col("best.shorter")))
-    # rows repeated whole are alike; one of them is kept
-    alike = Window.partitionBy(*KEY, "doc_id", "n_chars_all").orderBy(F.lit(1))
-    return joined.select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
-        (is_best & (F.row_number().over(alike) == 1)).alias("kept"),
+    return rows.join(found, list(KEY)).select(
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
