@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from . import words
-from .rows import with_column
+from .rows import unused, with_column
 
 _FILTER_BITS = 22
 
@@ -77,15 +77,20 @@ def prepare(ids: np.ndarray, texts: pa.Array, params: SeedParams) -> Benchmark:
     first = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64)
     masks = [np.flatnonzero([c == "1" for c in mask]) for mask in params.masks]
     span = max(int(m[-1]) + 1 for m in masks)
-    # items that a mask may not fit into are looked for whole
-    masks += [np.arange(n) for n in sorted({n for n in counts if params.least <= n < span})]
+    fits = [None] * len(masks)  # the length of the items that a mask is for; None: all that it fits into
+    # items that a mask may not fit into are looked for whole, with any one word replaced
+    for n in sorted({n for n in counts if params.least <= n < span}):
+        for left_out in range(n):
+            places_ = np.delete(np.arange(n), left_out)
+            masks.append(places_ - places_[0])
+            fits.append(n)
     keys, items, places = [], [], []
     for item in range(len(counts)):
         own = hashes[first[item]:first[item + 1]]
         if len(own) < params.least:
             continue
         for number, mask in enumerate(masks):
-            if number >= len(params.masks) and len(mask) != len(own):
+            if fits[number] not in (None, len(own)):
                 continue
             found_keys = _seed_keys(own, mask, number)
             keys.append(found_keys)
@@ -195,7 +200,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, params: SeedParams = Se
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams()) -> DataFrame:
     """The rows of ``docs`` (text, ...) that have no benchmark passage, with their columns."""
-    out = docs
+    out, name = docs, unused(docs, "found")
     for bench in benchmark_blocks(benchmark, params):
-        out = with_items(out, bench, params, "_found").filter("_found.n_items = 0").drop("_found")
+        out = with_items(out, bench, params, name).filter(F.col(name)["n_items"] == 0).drop(name)
     return out

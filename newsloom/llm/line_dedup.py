@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import unused
 from .storage import stored
 
 MIN_WORDS = 50
@@ -71,25 +72,30 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             .groupBy("doc_id", "twin").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs")))
 
 
-def delete_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text, ...), with the text that is left, and ``_lines``.
+def delete_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: str = "line_counts") -> DataFrame:
+    """All columns of ``docs`` (doc_id, text, ...), with the text that is left, and ``counts``.
 
-    ``_lines`` is a struct: n_lines of the input, n_removed of them, n_runs.
+    ``counts`` is a struct: n_lines of the input, n_removed of them, n_runs.
     """
-    runs = repeated_runs(docs.select("doc_id", "text"), min_words).select(
-        F.col("doc_id").alias("_doc_id"), F.col("twin").alias("_twin"), F.col("runs").alias("_runs"))
-    joined = docs.withColumn("_own_twin", F.xxhash64("text")).join(
-        runs, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_own_twin") == F.col("_twin")), "left")
-    lines = F.split("text", "\n")
-    kept = F.expr("""flatten(transform(sequence(0, size(_runs)), i -> slice(
-        _all_lines, if(i = 0, 0, get(_runs, i - 1).last + 1) + 1,
-        if(i = size(_runs), size(_all_lines), get(_runs, i).first) - if(i = 0, 0, get(_runs, i - 1).last + 1))))""")
-    removed = F.coalesce(F.aggregate("_runs", F.lit(0), lambda total, r: total + r["last"] - r["first"] + 1), F.lit(0))
-    joined = joined.withColumn("_all_lines", F.when(F.col("_runs").isNotNull(), lines))
-    counts = F.struct(F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"),
-                      F.coalesce(F.size("_runs"), F.lit(0)).cast("long").alias("n_runs"))
-    left = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*(left.alias(c) if c == "text" else c for c in docs.columns), counts.alias("_lines"))
+    own, id_, twin, runs, lines = (unused(docs, n) for n in ("own_twin", "run_doc_id", "run_twin", "runs_of_lines", "all_lines"))
+    found = repeated_runs(docs.select("doc_id", "text"), min_words).select(
+        F.col("doc_id").alias(id_), F.col("twin").alias(twin), F.col("runs").alias(runs))
+    joined = docs.withColumn(own, F.xxhash64("text")).join(
+        found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(twin)), "left")
+    joined = joined.withColumn(lines, F.split("text", "\n"))
+    # what stands before, between and behind the runs
+    kept = F.expr(f"""flatten(transform(sequence(0, size({runs})), i -> slice(
+        {lines}, if(i = 0, 0, get({runs}, i - 1).last + 1) + 1,
+        if(i = size({runs}), size({lines}), get({runs}, i).first) - if(i = 0, 0, get({runs}, i - 1).last + 1))))""")
+    removed = F.aggregate(runs, F.lit(0), lambda total, r: total + r["last"] - r["first"] + 1)
+    left = F.when(F.col(runs).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+
+    def number(value):
+        return F.coalesce(value, F.lit(0)).cast("long")
+
+    return joined.select(*(left.alias(c) if c == "text" else c for c in docs.columns), F.struct(
+        number(F.size(lines)).alias("n_lines"), number(removed).alias("n_removed"),
+        number(F.size(runs)).alias("n_runs")).alias(counts))
 
 
 def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -97,9 +103,11 @@ def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataF
 
     Documents of which the deletion leaves no word go.
     """
-    done = delete_repeated_lines(docs, min_words)
-    done = done.filter(~((F.col("_lines.n_removed") > 0) & (F.trim("text") == "")))
+    counts = unused(docs, "line_counts")
+    done = delete_repeated_lines(docs, min_words, counts)
+    changed = F.col(counts)["n_removed"] > 0
+    done = done.filter(~(changed & (F.trim("text") == "")))
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("_lines.n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
-        done = done.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        done = done.withColumn("n_chars", F.when(changed, size).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)

@@ -51,7 +51,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its later repeated runs of lines."""
     done = line_dedup.delete_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "_lines.n_lines", "_lines.n_removed", "_lines.n_runs",
+    return done.select("doc_id", "line_counts.n_lines", "line_counts.n_removed", "line_counts.n_runs",
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

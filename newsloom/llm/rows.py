@@ -12,6 +12,14 @@ from pyspark.sql.types import DataType, StructField, StructType
 from . import words
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_column(docs: DataFrame, name: str, kind: DataType,
                 start: Callable[[], Callable[[words.Block], pa.Array]], lower: bool = False) -> DataFrame:
     """All columns of ``docs`` and ``name``, made from blocks of the column text.

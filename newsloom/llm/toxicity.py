@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from . import words
-from .rows import with_column
+from .rows import unused, with_column
 
 
 @dataclass(frozen=True)
@@ -225,4 +225,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
                   params: ToxicityParams = ToxicityParams()) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) that score below the threshold, with their columns."""
     model = train(docs, labels, MAY_LEARN, params)
-    return with_score(docs, model, "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = unused(docs, "toxicity_score")
+    return with_score(docs, model, name).filter(F.col(name) < threshold).drop(name)
