@@ -21,7 +21,7 @@ from .storage import stored
 _FLUSH = 1_000_000  # links held by a task
 
 
-def _unite(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unite(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, smallest reachable node) of the given links; nodes that are smallest left out."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     parent = np.arange(len(nodes))
@@ -46,7 +46,7 @@ def _unite_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush():
-        a, b = _unite(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+        a, b = unite(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
         return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     for batch in batches:

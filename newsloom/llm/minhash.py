@@ -7,10 +7,12 @@ every component has one; large sets need one or two.  As no two visits of an ele
 component, signatures vary less than those of independent hashes.
 
 Documents with equal sets are one node from the start.  Documents that agree in all rows of a band
-meet in a bucket; the links of a bucket are found by stars: everything in it is compared with one
-pivot, on full sets, until its members are known to be connected or all pairs that are left (in
-different components) have been compared.  So no bucket lists its pairs, and no link that could
-join two components is lost.
+meet in a bucket.  First everything in a bucket is compared, on full sets, with one pivot, the member
+that meets most others: that connects most of a group, however large, by one link per member.  Where
+a bucket still holds several components, its members join the group of its pivot, each once, however
+many buckets they share.  A group is dealt over tiles of bounded size, in which the sizes of all
+intersections come from a product of matrices; only what connects components leaves a tile.  So no
+pairs are listed, and every pair of a bucket that could join two components is judged on full sets.
 
 Cases with a defined result: a null or empty text has an empty set and is linked with nothing; a text
 with fewer words than a shingle has one shingle of all its words; rows that share a doc_id share a
@@ -29,7 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .components import components
+from .components import unite, components
+from .rows import unused
 from .storage import stored, stored_by_batches
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -40,8 +43,9 @@ class NearDuplicateParams:
     shingle: int = 5  # words
     percent: int = 80  # of the union that two linked sets share at least
     size: int = 128  # components of a signature
-    bands: int = 32  # of size / bands rows; a pair at 0.8 is missed with probability 5e-8
-    star_rounds: int = 6  # before the remaining pairs of unresolved buckets are listed
+    bands: int = 32  # of size / bands rows; a pair at 0.8 is in no common bucket with probability 5e-8
+    tile: int = 1024  # members of a part of a group; a tile holds two parts at most
+    tile_shingles: int = 2_000_000  # of a part
 
 
 def signatures(values: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
@@ -128,7 +132,7 @@ def signed(docs: DataFrame, params: NearDuplicateParams) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, params: NearDuplicateParams) -> DataFrame:
-    """(id, n, members) with the sorted shingle hashes of the documents in ``ids``."""
+    """(id, members) with the sorted shingle hashes of the documents in ``ids``."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in words.blocks(batch.column("text")):
@@ -139,7 +143,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, params: NearDuplicateParams) -> Da
                     "members": pa.array([raw[8 * a:8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())],
                                         pa.binary())})
 
-    wanted = _ids_and_texts(docs).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    wanted = _ids_and_texts(docs).join(ids.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
     return wanted.mapInArrow(read, "id long, members binary")
 
 
@@ -158,10 +162,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                "shared": pa.array(shared, pa.int64()), "total": pa.array(union, pa.int64())})
 
 
-def verify(docs: DataFrame, pairs: DataFrame, params: NearDuplicateParams) -> DataFrame:
-    """(a, b, linked) of distinct ``pairs`` (a, b) of ids, on the full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored_by_batches(_sets_of(docs, ids, params), "sets", 1000)
+def verify(pairs: DataFrame, sets: DataFrame, params: NearDuplicateParams) -> DataFrame:
+    """(a, b, linked) of distinct ``pairs`` (a, b) of ids, on the full ``sets`` (id, members)."""
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y"))
     compared = both.mapInArrow(_compare, "a long, b long, shared long, total long")
@@ -174,50 +176,98 @@ def _may_link(n: Column, m: Column, params: NearDuplicateParams) -> Column:
     return 100 * F.least(n, m) >= params.percent * F.greatest(n, m)
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    parts = components(links)
-    return members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "component", F.coalesce("component", "id"))
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections."""
+    count = len(sets)
+    shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    owner = np.repeat(np.arange(count), [len(x) for x in sets])
+    shared = times[shingle] > 1
+    column = (np.cumsum(times > 1) - 1)[shingle[shared]]
+    owner = owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((count, count), dtype=np.float32)
+    width = 4096
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        low, high = np.searchsorted(column, [start, start + width])
+        part = np.zeros((count, width), dtype=np.float32)
+        part[owner[low:high], column[low:high] - start] = 1
+        out += part @ part.T
+    return out
+
+
+def _judge_tile(side: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int):
+    """Links between the components of a tile, one per component that others join."""
+    size = np.array([len(x) for x in sets])
+    shared = _overlaps(sets)
+    apart = component[:, None] < component[None, :]
+    if (side > 0).all():  # 1 and 2 are two parts of a group; pairs within a part have a tile of their own
+        apart &= side[:, None] != side[None, :]
+    x, y = np.nonzero(apart & (100 * shared >= percent * (size[:, None] + size[None, :] - shared)))
+    return unite(component[x], component[y]) if len(x) else None
+
+
+def _between(params: NearDuplicateParams):
+    """Links between components, of tiles whose rows come one after the other."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def judged():
+            if len({c for _, c, _ in held}) > 1:
+                found = _judge_tile(np.array([s for s, _, _ in held]), np.array([c for _, c, _ in held]),
+                                    [x for _, _, x in held], params.percent)
+                if found is not None:
+                    yield pa.record_batch({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+        for batch in batches:
+            for tile, side, component, members in zip(
+                    batch.column("tile").to_pylist(), batch.column("side").to_pylist(),
+                    batch.column("component").to_pylist(), batch.column("members")):
+                if tile != now:
+                    yield from judged()
+                    held, now = [], tile
+                held.append((side, component, np.frombuffer(members.as_py(), np.uint64)))
+        yield from judged()
+
+    return read
+
+
+def _tiles(rows: DataFrame, params: NearDuplicateParams) -> DataFrame:
+    """Rows (pivot, id, n, component) dealt over tiles: a group of g parts has one for each part and every two."""
+    most = F.greatest(F.count("*") / params.tile, F.sum("n") / params.tile_shingles)
+    parts = (rows.groupBy("pivot").agg(F.ceil(most).cast("int").alias("g"), F.min("component").alias("low"),
+                                       F.max("component").alias("high")).filter("low <> high").select("pivot", "g"))
+    placed = rows.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+    return placed.select(F.xxhash64("pivot", low, high).alias("tile"), side.alias("side"), "id", "component")
 
 
 def links_between(docs: DataFrame, classes: DataFrame, params: NearDuplicateParams) -> DataFrame:
     """Verified links (a, b) that connect all ``classes`` (id, n, buckets) which links connect."""
-    spark = docs.sparkSession
     members = classes.select("id", "n", F.explode("buckets").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("k"), F.min("id").alias("pivot")).filter("k > 1")
-    members = stored(members.join(sizes.select("bucket"), "bucket"), "members")
-    links = spark.createDataFrame([], "a long, b long")
-    compared = spark.createDataFrame([], "a long, b long")
-    open_ = members.withColumn("component", F.col("id"))
-    before = None
-    for turn in range(params.star_rounds):
-        # one pivot a bucket: another one each round
-        draw = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        pivots = open_.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "component"), draw).alias("p"))
-        pairs = (open_.join(pivots, "bucket").filter(F.col("component") != F.col("p.component"))
-                 .filter(_may_link(F.col("n"), F.col("p.n"), params))
-                 .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
-                 .join(compared, ["a", "b"], "left_anti"))
-        said = verify(docs, stored(pairs, "pairs"), params)
-        links = links.unionByName(said.filter("linked").select("a", "b"))
-        compared = compared.unionByName(said.select("a", "b"))
-        labelled = stored(_labelled(members, links), "labelled")
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        open_ = stored(labelled.join(mixed.select("bucket"), "bucket"), "open")
-        parts = open_.groupBy("bucket", "component").count().groupBy("bucket").agg(
-            F.sum("count").alias("k"), F.sum(F.col("count") * F.col("count")).alias("within"))
-        left = parts.agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("within")) / 2).alias("pairs")).first()
-        if not left.rows:
-            return links
-        if left.pairs <= 4 * left.rows or left.pairs == before:
-            break
-        before = left.pairs
-    other = open_.select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    rest = (open_.join(other, "bucket").filter("id < id2 AND component <> component2")
-            .filter(_may_link(F.col("n"), F.col("n2"), params)).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-            .join(compared, ["a", "b"], "left_anti"))
-    said = verify(docs, stored(rest, "pairs"), params)
-    return links.unionByName(said.filter("linked").select("a", "b"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1")
+    members = stored(members.join(sizes, "bucket"), "members")
+    sets = stored_by_batches(_sets_of(docs, members.select("id").distinct(), params), "sets", 1000)
+    weights = members.groupBy("id").agg(F.sum("k").alias("weight"))
+    pivots = members.join(weights, "id").groupBy("bucket").agg(
+        F.max_by(F.struct("id", "n"), F.struct("weight", -F.col("id"))).alias("p"))
+    placed = stored(members.join(pivots, "bucket").select(
+        "bucket", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "placed")
+    stars = (placed.filter("id <> pivot").filter(_may_link(F.col("n"), F.col("pivot_n"), params))
+             .select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
+    links = verify(stars, sets, params).filter("linked").select("a", "b")
+    labelled = stored(placed.join(components(links).withColumnRenamed("node", "id"), "id", "left")
+                      .withColumn("component", F.coalesce("component", "id")), "labelled")
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    # pivots have been compared with all of their buckets
+    grouped = stored(labelled.join(mixed.select("bucket"), "bucket").filter("id <> pivot")
+                     .select("pivot", "id", "n", "component").distinct(), "groups")
+    tiled = _tiles(grouped, params).join(sets, "id").repartition("tile").sortWithinPartitions("tile")
+    between = tiled.mapInArrow(_between(params), "a long, b long").distinct()
+    return links.unionByName(stored_by_batches(between, "between", 1000))
 
 
 def near_duplicates(docs: DataFrame, params: NearDuplicateParams = NearDuplicateParams()) -> DataFrame:
@@ -236,5 +286,6 @@ def near_duplicates(docs: DataFrame, params: NearDuplicateParams = NearDuplicate
 
 def representatives(docs: DataFrame, params: NearDuplicateParams = NearDuplicateParams()) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) that stay: of each group the one with the smallest doc_id."""
-    gone = near_duplicates(docs, params).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = near_duplicates(docs, params).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(name), "left_anti")
