@@ -8,8 +8,6 @@ dictionary look-up per token; no token is shuffled for it.
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -186,20 +184,23 @@ def _line_stemmer(extended: bool):
     @F.pandas_udf("string")
     def stem_line(lines: pd.Series) -> pd.Series:
         look_up = memo.__getitem__
-        return lines.map(lambda line: " ".join(map(look_up, line.split(" "))) if line else line)
+        # words repeat: each distinct word of a text is looked up once
+        def stemmed(line):
+            if not line:
+                return line
+            words = line.split(" ")
+            own = {w: look_up(w) for w in set(words)}
+            return " ".join([own[w] for w in words])
+
+        return lines.map(stemmed)
 
     return stem_line
 
 
 def stem_words(joined, extended: bool = True) -> Column:
-    """Stem every word of a blank-joined text."""
-    return _line_stemmer(extended)(F.col(joined) if isinstance(joined, str) else joined)
-
+    """Stem every word of a blank-joined text.
 
-_QUERY_WORD = re.compile(r"\w+(?:\.\w+)*")
-
-
-def query_terms(text: str, stop_words, stem: bool) -> list[str]:
-    """Search terms of a query string, in order; the driver-side twin of the analyser."""
-    words = [w for w in _QUERY_WORD.findall(text.lower()) if len(w) > 1 and w not in stop_words]
-    return [porter_stem(w, extended=False) for w in words] if stem else words
+    A worker remembers the stems of at most a million words and then starts anew; results do
+    not depend on it.
+    """
+    return _line_stemmer(extended)(F.col(joined) if isinstance(joined, str) else joined)

@@ -168,16 +168,44 @@ def index_articles(articles: DataFrame, fields: tuple[str, ...] = DEFAULT_FIELDS
                        field_statistics(articles, fields, keyword_mode), layout, stem, look_up)
 
 
+def _settings(layout: IndexLayout, stem: bool, fields: tuple[str, ...], keyword_mode: str) -> dict:
+    return {"term_buckets": layout.term_buckets, "salts": layout.salts, "stem": stem, "fields": list(fields),
+            "keyword_mode": keyword_mode}
+
+
+_SETTINGS = "term_buckets int, salts int, stem boolean, fields array<string>, keyword_mode string"
+
+
+def keep_settings(spark: SparkSession, path: str, settings: dict) -> None:
+    """Store how an index is made beside it; a batch made in another way is refused."""
+    known = stored_settings(spark, path)
+    if known is None:
+        row = tuple(settings[name] for name in _SETTINGS_NAMES)
+        spark.createDataFrame([row], _SETTINGS).coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+    elif known != settings:
+        raise ValueError(f"the index is made with {known}, not with {settings}")
+
+
+_SETTINGS_NAMES = tuple(part.split()[0] for part in _SETTINGS.split(", "))
+
+
+def stored_settings(spark: SparkSession, path: str) -> dict | None:
+    if not tables.exists(spark, f"{path}/settings"):
+        return None
+    return spark.read.schema(_SETTINGS).parquet(f"{path}/settings").first().asDict()
+
+
 def write_index(articles: DataFrame, path: str, batch_id: int = 0,
                 fields: tuple[str, ...] = DEFAULT_FIELDS + KEYWORD_FIELDS + PLAIN_FIELDS,
                 stem: bool = True, layout: IndexLayout = IndexLayout(),
                 keyword_mode: str = "value") -> None:
     """Append the index of one batch of new articles; a replayed batch replaces itself.
 
-    The statistics are taken from the written postings, not from a second pass over
-    the texts.
+    The statistics are taken from the written postings, not from a second pass over the
+    texts.  Pass stored articles: they are read a second time for the column of ids only.
     """
     spark = articles.sparkSession
+    keep_settings(spark, path, _settings(layout, stem, fields, keyword_mode))
     postings = (build_postings(articles, fields, stem, layout, keyword_mode)
                 .repartition("field", "term_bucket", "salt"))
     tables.write_batch(postings.drop("salt").sortWithinPartitions("field", "term_bucket", "term"),
@@ -202,13 +230,22 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/postings")
 
 
-def load_index(spark: SparkSession, path: str, layout: IndexLayout = IndexLayout(),
-               stem: bool = True) -> SearchIndex:
-    """A written index; statistics of its batches are added up when they are used."""
+def load_index(spark: SparkSession, path: str, layout: IndexLayout | None = None,
+               stem: bool | None = None) -> SearchIndex:
+    """A written index; statistics of its batches are added up when they are used.
+
+    How it was made is stored with it; a ``layout`` or ``stem`` that says otherwise is refused.
+    """
+    known = stored_settings(spark, path)
+    if known is None:
+        raise ValueError(f"no index at {path}")
+    own = IndexLayout(known["term_buckets"], known["salts"])
+    if layout not in (None, own) or stem not in (None, known["stem"]):
+        raise ValueError(f"the index is made with {known}")
     return SearchIndex(
-        read_postings(spark, path).withColumn("salt", article_salt(layout)),
+        read_postings(spark, path).withColumn("salt", article_salt(own)),
         spark.read.parquet(f"{path}/term_stats"),
-        spark.read.parquet(f"{path}/field_stats"), layout, stem)
+        spark.read.parquet(f"{path}/field_stats"), own, known["stem"])
 
 
 def not_indexed(articles: DataFrame, index_path: str) -> DataFrame:

@@ -9,25 +9,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.stemming import query_terms, stem_words
+from ..functions.stemming import porter_stem, stem_words
 from ..functions.text import search_tokens
-from ..functions.wordlists import SEARCH_STOP_WORDS
 from .postings import (DEFAULT_FIELDS, KEYWORD_FIELDS, PLAIN_FIELDS, SearchIndex, term_bucket)
 
 # Parameters of BM25 (Robertson and Zaragoza, 2009).
 BM25_B = 0.75
 BM25_K1 = 1.2
 
-MAX_QUERY_LENGTH = 200
-MAX_PER_PAGE = 100
-
 
 @dataclass(frozen=True)
 class SearchSpec:
-    """One search.  ``after`` continues behind a (score, article_id) without an offset."""
+    """One search.
+
+    ``after`` continues without an offset behind the last row of a page: (score, article_id), or
+    (published, article_id) when sorted by date.  Queries and pages have a largest size; both
+    limits are parameters, and what is larger is refused, not cut.
+    """
     query: str
     category: str | None = None
     source: str | None = None
@@ -36,20 +38,29 @@ class SearchSpec:
     sort_by: str = "relevance"
     fields: tuple[str, ...] = DEFAULT_FIELDS
     keyword_mode: str = "value"
-    after: tuple[float, str] | None = None
+    after: tuple[object, str] | None = None
+    max_query_length: int = 200
+    max_per_page: int = 100
 
     def __post_init__(self):
-        if not 1 <= len(self.query) <= MAX_QUERY_LENGTH:
-            raise ValueError(f"query must have 1 to {MAX_QUERY_LENGTH} characters")
-        if self.page < 1 or not 1 <= self.per_page <= MAX_PER_PAGE:
-            raise ValueError(f"page must be at least 1 and per_page between 1 and {MAX_PER_PAGE}")
+        if not 1 <= len(self.query) <= self.max_query_length:
+            raise ValueError(f"query must have 1 to {self.max_query_length} characters")
+        if self.page < 1 or not 1 <= self.per_page <= self.max_per_page:
+            raise ValueError(f"page must be at least 1 and per_page between 1 and {self.max_per_page}")
         if self.sort_by not in ("relevance", "date"):
             raise ValueError("sort_by must be 'relevance' or 'date'")
 
 
+def query_terms(text: str, stem: bool, spark: SparkSession | None = None) -> list[str]:
+    """Terms of a query, in order: the text goes through the analyser of the index itself."""
+    spark = spark or SparkSession.active()
+    words = spark.range(1).select(F.lit(text).alias("q")).select(search_tokens("q").alias("words")).first().words
+    return [porter_stem(w, extended=False) for w in words] if stem else words
+
+
 def analyse_query(text: str, index: SearchIndex) -> list[str]:
     """Distinct terms of a query, in order of first use."""
-    return list(dict.fromkeys(query_terms(text, SEARCH_STOP_WORDS, index.stem)))
+    return list(dict.fromkeys(query_terms(text, index.stem)))
 
 
 def _hits(index: SearchIndex, terms: list[str], fields) -> DataFrame:
@@ -136,10 +147,16 @@ def result_page(matches: DataFrame, spec: SearchSpec) -> DataFrame:
     else:
         order = [F.col("score").desc(), F.col("article_id")]
     if spec.after is not None:
-        score, last_id = spec.after
-        matches = matches.filter((F.col("score") < score) |
-                                 ((F.col("score") == score) & (F.col("article_id") > last_id)))
-        return matches.orderBy(*order).limit(spec.per_page)
+        last, last_id = spec.after
+        behind = F.col("article_id") > last_id
+        if spec.sort_by == "relevance":
+            rest = (F.col("score") < last) | ((F.col("score") == last) & behind)
+        elif last is None:                  # nulls come last
+            rest = F.col("published").isNull() & behind
+        else:
+            last = F.lit(last).cast(matches.schema["published"].dataType)
+            rest = (F.col("published") < last) | ((F.col("published") == last) & behind) | F.col("published").isNull()
+        return matches.filter(rest).orderBy(*order).limit(spec.per_page)
     return matches.orderBy(*order).offset((spec.page - 1) * spec.per_page).limit(spec.per_page)
 
 
@@ -152,21 +169,21 @@ def total_hits(matches: DataFrame) -> DataFrame:
 
 
 def with_stored_fields(page: DataFrame, articles: DataFrame) -> DataFrame:
-    """The rows of one page of hits (at most MAX_PER_PAGE) with their articles.
+    """The rows of one page of hits with their articles, in the order of the page.
 
-    The page is fetched first.  Its ids then go into the scan of the articles as plain
-    comparisons, so that files and row groups without them are skipped by their
-    statistics and bloom filters instead of being read for a join.
+    The page (at most ``per_page`` rows) is fetched first and its places are kept as ``rank``.  Its
+    ids then go into the scan of the articles as plain comparisons, so that files and row groups
+    without them are skipped by their statistics and bloom filters instead of being read for a join.
     """
-    rows = page.drop("published").take(MAX_PER_PAGE + 1)
-    if len(rows) > MAX_PER_PAGE:
-        raise ValueError(f"a page has at most {MAX_PER_PAGE} rows")
+    rows = page.drop("published").collect()
+    names = page.drop("published").schema
+    ranked = [(*row, place) for place, row in enumerate(rows, 1)]
+    small = articles.sparkSession.createDataFrame(ranked, StructType([*names.fields, StructField("rank", IntegerType())]))
     wanted = F.lit(False)
     for row in rows:
         wanted = wanted | (F.col("article_id") == row.article_id)
-    small = articles.sparkSession.createDataFrame(rows, page.drop("published").schema)
-    return articles.filter(wanted).join(F.broadcast(small), "article_id").withColumn(
-        "tags", F.coalesce("tags", F.array().cast("array<string>")))
+    return (articles.filter(wanted).join(F.broadcast(small), "article_id")
+            .withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).orderBy("rank"))
 
 
 def phrase_ids(index: SearchIndex, phrase: str, fields=DEFAULT_FIELDS) -> DataFrame:
@@ -175,7 +192,7 @@ def phrase_ids(index: SearchIndex, phrase: str, fields=DEFAULT_FIELDS) -> DataFr
     Positions of the terms of one article meet in one row; each step keeps the
     places that continue the phrase.
     """
-    sequence = query_terms(phrase, SEARCH_STOP_WORDS, index.stem)
+    sequence = query_terms(phrase, index.stem)
     terms = list(dict.fromkeys(sequence))
     if not terms:
         return index.postings.select("article_id", "field").filter(F.lit(False))
@@ -209,56 +226,100 @@ class BooleanSpec:
     fields: tuple[str, ...] = DEFAULT_FIELDS
 
 
-def _clause_holds(clause: Clause, spec_fields, index: SearchIndex) -> Column:
-    where = F.col("field").isin([clause.field] if clause.field else list(spec_fields))
+@dataclass(frozen=True)
+class _Test:
+    """What one clause asks of an article: every one of ``parts`` must hold for some posting."""
+    fields: tuple[str, ...]
+    terms: tuple[str, ...] = ()          # exact terms, one part each
+    pattern: Column | None = None        # a prefix or wildcard, one part
+
+    @property
+    def parts(self) -> int:
+        return len(self.terms) + (self.pattern is not None)
+
+    def holds(self, part: int) -> Column:
+        where = F.col("field").isin(list(self.fields))
+        return where & (self.pattern if self.pattern is not None else F.col("term") == self.terms[part])
+
+
+def _test(clause: Clause, spec_fields, index: SearchIndex) -> _Test:
+    fields = (clause.field,) if clause.field else tuple(spec_fields)
     if clause.kind == "term":
         if clause.field in KEYWORD_FIELDS:
-            terms = [clause.value.lower()]
-        else:
-            stem = index.stem and clause.field not in PLAIN_FIELDS
-            terms = query_terms(clause.value, SEARCH_STOP_WORDS, stem) or [clause.value.lower()]
-        buckets = sorted({term_bucket(t, index.layout) for t in terms})
-        return where & F.col("term_bucket").isin(buckets) & F.col("term").isin(terms)
+            return _Test(fields, (clause.value.lower(),))
+        # several words: all of them; stop words only: nothing is asked
+        stem = index.stem and clause.field not in PLAIN_FIELDS
+        return _Test(fields, tuple(dict.fromkeys(query_terms(clause.value, stem))))
     if clause.kind == "prefix":
-        return where & F.col("term").startswith(clause.value.lower())
+        return _Test(fields, pattern=F.col("term").startswith(clause.value.lower()))
     if clause.kind == "wildcard":
         pattern = clause.value.lower()
         for mark in ("\\", "%", "_"):
             pattern = pattern.replace(mark, "\\" + mark)
-        return where & F.col("term").like(pattern.replace("*", "%").replace("?", "_"))
+        return _Test(fields, pattern=F.col("term").like(pattern.replace("*", "%").replace("?", "_")))
     raise ValueError(f"unknown clause kind {clause.kind!r}")
 
 
+def _postings_for(index: SearchIndex, tests: list[_Test]) -> DataFrame:
+    """Postings that some test may want.
+
+    Exact terms are looked up in their buckets.  Patterns are first matched against the statistics,
+    one row per term, and the terms found are then looked up by field, bucket and term.
+    """
+    exact = [t for t in tests if t.terms]
+    loose = [t for t in tests if t.pattern is not None]
+    fields = lambda some: sorted({f for t in some for f in t.fields})
+    found = index.postings.filter(F.lit(False))
+    if exact:
+        found = _of_terms(index.postings, sorted({x for t in exact for x in t.terms}), fields(exact), index)
+    if loose:
+        wanted = F.lit(False)
+        for t in loose:
+            wanted = wanted | t.holds(0)
+        if index.look_up is not None:
+            more = index.postings.filter(wanted)
+        else:
+            terms = index.term_stats.filter(wanted).select("field", "term_bucket", "term").distinct()
+            more = index.postings.join(terms, ["field", "term_bucket", "term"], "left_semi").select(*index.postings.columns)
+        found = found.unionByName(more)
+    return found
+
+
 def boolean_ids(index: SearchIndex, spec: BooleanSpec, universe: DataFrame | None = None) -> DataFrame:
     """``(article_id, published)`` of the articles that satisfy ``spec``.
 
-    One grouping by article decides all clauses.  A query with only ``none_of``
-    needs ``universe``, the articles to choose from.
+    A clause of several words wants all of them; one without any indexed word asks nothing.  One
+    grouping by article decides all clauses.  A query with only ``none_of`` needs ``universe``, the
+    articles to choose from.
     """
     groups = {"all": spec.all_of, "any": spec.any_of, "none": spec.none_of}
-    flags, tests = [], {}
-    for name, clauses in groups.items():
-        for i, clause in enumerate(clauses):
-            holds = _clause_holds(clause, spec.fields, index)
-            tests[f"{name}_{i}"] = holds
-            flags.append(F.max(holds).alias(f"{name}_{i}"))
-    relevant = F.lit(False)
-    for holds in tests.values():
-        relevant = relevant | holds
-    found = (index.postings.filter(relevant).groupBy("article_id")
-             .agg(F.max("published").alias("published"), *flags))
+    tests = {f"{name}_{i}": _test(clause, spec.fields, index)
+             for name, clauses in groups.items() for i, clause in enumerate(clauses)}
+    flags = [F.max(test.holds(part)).alias(f"{name}_{part}") for name, test in tests.items() for part in range(test.parts)]
+    rows = _postings_for(index, list(tests.values())).groupBy("article_id").agg(F.max("published").alias("published"), *flags)
+    asked = {name: test.parts for name, test in tests.items() if test.parts}
+    decided = []
+    for name, parts in asked.items():
+        every = F.lit(True)
+        for part in range(parts):
+            every = every & F.col(f"{name}_{part}")
+        decided.append(every.alias(name))
+    found = rows.select("article_id", "published", *decided)
+    spec_all = [n for n in asked if n.startswith("all_")]
+    spec_any = [n for n in asked if n.startswith("any_")]
+    spec_none = [n for n in asked if n.startswith("none_")]
     keep = F.lit(True)
-    for i in range(len(spec.all_of)):
-        keep = keep & F.col(f"all_{i}")
-    if spec.any_of:
+    for name in spec_all:
+        keep = keep & F.col(name)
+    if spec_any:
         some = F.lit(False)
-        for i in range(len(spec.any_of)):
-            some = some | F.col(f"any_{i}")
+        for name in spec_any:
+            some = some | F.col(name)
         keep = keep & some
     unwanted = F.lit(False)
-    for i in range(len(spec.none_of)):
-        unwanted = unwanted | F.col(f"none_{i}")
-    if spec.all_of or spec.any_of:
+    for name in spec_none:
+        unwanted = unwanted | F.col(name)
+    if spec_all or spec_any:
         out = found.filter(keep & ~unwanted).select("article_id", "published")
     else:
         if universe is None:
@@ -273,55 +334,67 @@ def boolean_ids(index: SearchIndex, spec: BooleanSpec, universe: DataFrame | Non
 
 
 def query_batch(index: SearchIndex, queries: DataFrame, k: int = 10,
-                fields: tuple[str, ...] = DEFAULT_FIELDS) -> DataFrame:
+                fields: tuple[str, ...] = DEFAULT_FIELDS, rows_per_salt: int = 100_000) -> DataFrame:
     """Top ``k`` articles of many queries: ``(query_id, rank, article_id, score)``.
 
-    ``queries`` is ``(query_id, query)``, any number of rows.  An article must hold
-    all terms of a query, so it must hold the rarest.  Only articles with the rarest
-    term become candidates; the other terms are then looked up by (term, article),
-    a key without hot values.  Lists of frequent terms are never joined whole, except
-    for a query that has nothing rarer; that join is salted by article.
+    ``queries`` is ``(query_id, query)``, any number of rows; equal sets of terms are scored once.
+    Postings and statistics are cut down to the terms of the batch by bucket and term before
+    anything else.  An article must hold all terms of a query, so it must hold the rarest: only
+    articles with the rarest term become candidates; the other terms are then looked up by
+    (field, term, article), a key without hot values.  Where even the rarest term is frequent, its
+    list is dealt over salts, one per ``rows_per_salt`` postings.
     """
     q = queries.select("query_id", F.array_distinct(search_tokens("query")).alias("terms"))
     if index.stem:
         line = stem_words(F.array_join("terms", " "), extended=False)
         q = q.withColumn("terms", F.array_distinct(F.split(line, " ")))
-    q = q.filter(F.size("terms") > 0).filter(F.get("terms", F.lit(0)) != "")
-
-    stats = (index.term_stats.filter(F.col("field").isin(list(fields)))
-             .groupBy("field", "term").agg(F.sum("df").alias("df")))
-    # one row per query: its terms with their frequencies, as long as the query text
-    planned = (q.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-               .join(stats, "term")
-               .groupBy("query_id", "n_terms", "term")
+    q = q.filter(F.size("terms") > 0).filter(F.get("terms", F.lit(0)) != "").select("query_id", F.array_sort("terms").alias("terms"))
+    q = q.withColumn("set_id", F.md5(F.array_join("terms", "\n")))
+    # queries with the same terms are scored once
+    sets = q.groupBy("set_id").agg(F.any_value("terms").alias("terms"))
+    asked = sets.select("set_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(index.layout.term_buckets)).cast("int")
+    wanted = asked.select("term").distinct().select("term", bucket.alias("term_bucket"))
+
+    def of_batch(table):
+        """Rows of the terms of the batch; the bucket is a partition, so only its folders are read."""
+        return table.filter(F.col("field").isin(list(fields))).join(wanted, ["term_bucket", "term"], "left_semi")
+
+    stats = of_batch(index.term_stats).groupBy("field", "term").agg(F.sum("df").alias("df"))
+    # one row per set: its terms with their frequencies, as long as the query text
+    planned = (asked.join(stats, "term")
+               .groupBy("set_id", "n_terms", "term")
                .agg(F.sum("df").alias("any_df"), F.collect_list(F.struct("field", "df")).alias("by_field"))
-               .groupBy("query_id", "n_terms")
+               .groupBy("set_id", "n_terms")
                .agg(F.count("*").alias("known"),
-                    F.min_by("term", F.struct("any_df", "term")).alias("rarest"),
+                    F.min(F.struct("any_df", "term")).alias("rarest"),
                     F.flatten(F.collect_list(F.transform("by_field", lambda x: F.struct(
                         F.col("term").alias("term"), x["field"].alias("field"), x["df"].alias("df"))
                     ))).alias("parts"))
                .filter(F.col("known") == F.col("n_terms")))        # an unknown term: no hit
 
-    in_fields = index.postings.filter(F.col("field").isin(list(fields)))
-    salts = F.sequence(F.lit(0), F.lit(index.layout.salts - 1))
-    candidates = (planned.select("query_id", "n_terms", "parts", F.col("rarest").alias("term"),
-                                 F.explode(salts).alias("salt"))
-                  .join(in_fields.select("term", "salt", "article_id"), ["term", "salt"])
-                  .groupBy("query_id", "article_id")
+    in_fields = of_batch(index.postings)
+    # lists of frequent terms are dealt over as many salts as they need
+    salts = (F.col("rarest.any_df") / rows_per_salt).cast("int") + 1
+    rarest = planned.select(F.col("rarest.term").alias("term"), salts.alias("salts")).distinct()
+    lists = (in_fields.select("term", "article_id").join(rarest, "term")
+             .withColumn("salt", F.pmod(F.xxhash64("article_id"), F.col("salts")).cast("int")).drop("salts"))
+    candidates = (planned.select("set_id", "n_terms", "parts", F.col("rarest.term").alias("term"),
+                                 F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+                  .join(lists, ["term", "salt"])
+                  .groupBy("set_id", "article_id")
                   .agg(F.first("n_terms").alias("n_terms"), F.first("parts").alias("parts")))
-    pairs = candidates.select("query_id", "article_id", "n_terms",
-                              F.explode("parts").alias("p")).select(
-        "query_id", "article_id", "n_terms", "p.*")
+    pairs = candidates.select("set_id", "article_id", "n_terms", F.explode("parts").alias("p")).select(
+        "set_id", "article_id", "n_terms", "p.*")
     scored = (pairs.join(in_fields.select("field", "term", "article_id", "tf", "field_length"),
                          ["field", "term", "article_id"])
               .join(F.broadcast(_field_means(index)), "field")
               .withColumn("weight", _bm25()))
-    per_term = (scored.groupBy("query_id", "article_id", "n_terms", "term")
+    per_term = (scored.groupBy("set_id", "article_id", "n_terms", "term")
                 .agg(F.sum("weight").alias("weight")))
-    matches = (per_term.groupBy("query_id", "article_id", "n_terms")
+    matches = (per_term.groupBy("set_id", "article_id", "n_terms")
                .agg(F.count("*").alias("held"), F.round(F.sum("weight"), 6).alias("score"))
                .filter(F.col("held") == F.col("n_terms")))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("article_id"))
-    return (matches.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "article_id", "score"))
+    order = Window.partitionBy("set_id").orderBy(F.col("score").desc(), F.col("article_id"))
+    best = matches.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return q.select("query_id", "set_id").join(best, "set_id").select("query_id", "rank", "article_id", "score")

@@ -168,6 +168,7 @@ def compact(spark: SparkSession, store: Store, new_root: str, through_batch: int
     tables.write_batch(rows(store.logs), new.logs, through_batch)
     if tables.exists(spark, f"{store.index}/postings"):
         parts = ("field", "term_bucket")
+        postings.keep_settings(spark, new.index, postings.stored_settings(spark, store.index))
         merged = (rows(f"{store.index}/postings").withColumn("salt", postings.article_salt(store.layout))
                   .repartition(*parts, "salt").drop("salt").sortWithinPartitions(*parts, "term"))
         tables.write_batch(merged, f"{new.index}/postings", through_batch, parts)
