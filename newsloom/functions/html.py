@@ -1,14 +1,15 @@
 """Title and main text of web pages.
 
 Pages are read with the event parser of the standard library, whole pages at a
-time inside Arrow batches; no tree is built.  A start tag opens a capture when it
-is the first element of a wanted kind, text goes to all open captures, and an end
-tag closes what lies above its partner.  Text of scripts, style sheets and
+time inside Arrow batches; no tree is built.  A start tag opens a stretch of the text
+when it is the first element of a wanted kind, and an end tag closes what lies above
+its partner.  Text of scripts, style sheets and
 templates is not text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -29,13 +30,20 @@ EXTRACT_SCHEMA = "page_id bigint, url string, title string, content string, erro
 
 
 class _PageReader(HTMLParser):
+    """Text pieces of a page in one list; an element is a stretch of it.
+
+    Work is linear in the page: a piece is stored once however many elements are open, elements of
+    no interest are counted by tag only, and an end tag without a partner is found out by that count.
+    """
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open = []            # [(tag, capture keys)]
+        self.pieces = []
+        self.open = []            # [(tag, wanted stretches)]
+        self.depth = Counter()    # open elements by tag
         self.silent = 0
-        self.captures = {}        # key -> list of text pieces
-        self.active = {}          # key -> pieces, while the element is open
-        self.paragraphs = 0
+        self.spans = {}           # key -> [start, end) in the pieces
+        self.paragraphs = []
         self.og_title = None
 
     def handle_starttag(self, tag, attrs):
@@ -45,16 +53,17 @@ class _PageReader(HTMLParser):
         if tag in VOID_ELEMENTS:
             return
         classes = (attrs.get("class") or "").split()
-        keys = [s for s in CONTENT_SELECTORS
-                if s not in self.captures and (s[1:] in classes if s[0] == "." else s == tag)]
-        if tag == "title" and "title" not in self.captures:
-            keys.append("title")
+        spans = []
+        for key in CONTENT_SELECTORS:
+            if key not in self.spans and (key[1:] in classes if key[0] == "." else key == tag):
+                spans.append(self.spans.setdefault(key, [len(self.pieces), None]))
+        if tag == "title" and "title" not in self.spans:
+            spans.append(self.spans.setdefault("title", [len(self.pieces), None]))
         if tag == "p":
-            keys.append(("p", self.paragraphs))
-            self.paragraphs += 1
-        for key in keys:
-            self.captures[key] = self.active[key] = []
-        self.open.append((tag, keys))
+            self.paragraphs.append([len(self.pieces), None])
+            spans.append(self.paragraphs[-1])
+        self.open.append((tag, spans))
+        self.depth[tag] += 1
         self.silent += tag in _SILENT
 
     def handle_startendtag(self, tag, attrs):
@@ -63,27 +72,35 @@ class _PageReader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if not any(name == tag for name, _ in self.open):
+        if not self.depth[tag]:
             return
         while True:
-            name, keys = self.open.pop()
-            for key in keys:
-                del self.active[key]
+            name, spans = self.open.pop()
+            for span in spans:
+                span[1] = len(self.pieces)
+            self.depth[name] -= 1
             self.silent -= name in _SILENT
             if name == tag:
                 return
 
     def handle_data(self, data):
         if not self.silent:
-            for pieces in self.active.values():
-                pieces.append(data)
+            self.pieces.append(data)
 
     def unknown_decl(self, data):
         if data.upper().startswith("CDATA["):
             self.handle_data(data[6:])
 
-    def text(self, key):
-        return "".join(self.captures.get(key, ()))
+    def text(self, span):
+        return "".join(self.pieces[span[0]:span[1]]) if span else ""
+
+    def paragraph_text(self):
+        """Texts of all paragraphs, a blank between them.
+
+        A paragraph that is not closed runs to the end of what holds it, over the paragraphs after it,
+        and their text counts in each.  Only pages without a content element pay for that.
+        """
+        return " ".join(map(self.text, self.paragraphs))
 
 
 def read_page(html: str) -> tuple[str, str]:
@@ -91,11 +108,11 @@ def read_page(html: str) -> tuple[str, str]:
     reader = _PageReader()
     reader.feed(html)
     reader.close()
-    title = reader.text("title").strip() or (reader.og_title or "").strip()
-    chosen = next((s for s in CONTENT_SELECTORS if s in reader.captures), None)
-    content = reader.text(chosen) if chosen else ""
+    title = reader.text(reader.spans.get("title")).strip() or (reader.og_title or "").strip()
+    chosen = next((s for s in CONTENT_SELECTORS if s in reader.spans), None)
+    content = reader.text(reader.spans[chosen]) if chosen else ""
     if not content:
-        content = " ".join(reader.text(("p", i)) for i in range(reader.paragraphs))
+        content = reader.paragraph_text()
     return title, " ".join(content.split())
 
 
@@ -112,7 +129,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                         raise ValueError("page has no source")
                     title, content = read_page(html)
                 except Exception as problem:  # a page must not stop the table
-                    error = f"Could not parse content from URL: {problem}"
+                    error = f"page cannot be read: {problem}"
                 rows.append((page_id, url, title, content, error))
             yield pd.DataFrame(rows, columns=["page_id", "url", "title", "content", "error"])
 

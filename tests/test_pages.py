@@ -50,4 +50,12 @@ def test_page_job_keeps_bad_rows(spark):
                                   "page_id bigint, url string, html string")
     got = {r.page_id: r for r in extract_pages(pages).collect()}
     assert (got[1].title, got[1].content, got[1].error) == ("t", "x", None)
-    assert got[2].title is None and got[2].error.startswith("Could not parse content")
+    assert got[2].title is None and got[2].error.startswith("page cannot be read")
+
+
+def test_open_tags_take_linear_time():
+    import time
+    start = time.perf_counter()
+    assert read_page("<article>x" + "<p>y" * 16_000)[1].startswith("xyy")
+    assert read_page("<div>" * 16_000 + "<b>z</b>" * 16_000 + "<p>end</p>")[1] == "end"
+    assert time.perf_counter() - start < 3
