@@ -42,8 +42,8 @@ def _texts(spark, sf):
 
 def ngram_vocabulary(spark, sf):
     d = _texts(spark, sf)
-    n = d.agg(F.count("*").alias("n")).scalar()
-    return features.vocabulary(features.gram_counts(d, "doc_id", "processed_text"), n).select("term", "df", "total")
+    rows = d.select(features.grams("processed_text").alias("grams"))
+    return features.vocabulary(features.gram_statistics(rows, "grams"), F.lit(d.count())).select("term", "df", "total")
 
 
 def tfidf_long(spark, sf):
@@ -67,7 +67,6 @@ def batch_summary(spark, sf):
     return metrics.batch_summary(p)
 
 
-_SETTINGS = training.TrainSettings(max_features=2000, folds=3, sample_size=10_000, max_iter=50)
 _trained: dict = {}
 
 

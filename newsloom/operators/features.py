@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, NGram, Normalizer,
                                 SQLTransformer)
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import ENGLISH_STOP_WORDS
@@ -16,7 +16,6 @@ MIN_DF = 2
 MAX_DF_SHARE = 0.95
 FULL_FEATURES = 10_000
 QUICK_FEATURES = 5_000
-ROWS_PER_TASK = 2_000
 
 
 def _bigrams(words: Column) -> Column:
@@ -34,20 +33,26 @@ def grams(text, stop_words=ENGLISH_STOP_WORDS) -> Column:
     return F.concat(words, _bigrams(words))
 
 
-def gram_counts(docs: DataFrame, doc_id: str, text: str, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
-    """``(doc, term, tf)``."""
-    return (docs.select(F.col(doc_id).alias("doc"), F.explode(grams(text, stop_words)).alias("term"))
-            .groupBy("doc", "term").agg(F.count("*").alias("tf")))
+def gram_statistics(rows: DataFrame, grams_col: str) -> DataFrame:
+    """``(term, df, total)`` of a column of grams: documents that have a term, and its occurrences.
+
+    One generator gives every document once per distinct term (d) and every occurrence (c); both
+    are summed in the map tasks, so what is shuffled is at most one row per term and task.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    once = F.transform(F.array_distinct(grams_col), lambda t: F.struct(t.alias("term"), one.alias("d"), none.alias("c")))
+    every = F.transform(grams_col, lambda t: F.struct(t.alias("term"), none.alias("d"), one.alias("c")))
+    return (rows.select(F.explode(F.concat(once, every)).alias("x")).select("x.*")
+            .groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("total")))
 
 
-def vocabulary(counts: DataFrame, n_docs: Column, max_features: int = FULL_FEATURES,
+def vocabulary(statistics: DataFrame, n_docs, max_features: int = FULL_FEATURES,
                min_df: int = MIN_DF, max_df: float = MAX_DF_SHARE) -> DataFrame:
     """``(term, df, total)`` of the most frequent terms; ties go by term.
 
     At most ``max_features`` rows, so later steps may broadcast it.
     """
-    stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    return (stats.filter((F.col("df") >= min_df) & (F.col("df") <= n_docs * F.lit(max_df)))
+    return (statistics.filter((F.col("df") >= min_df) & (F.col("df") <= n_docs * F.lit(max_df)))
             .orderBy(F.col("total").desc(), F.col("term")).limit(max_features))
 
 
@@ -55,17 +60,29 @@ def tfidf_rows(docs: DataFrame, doc_id: str, text: str, max_features: int = FULL
                stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """``(doc, term, weight)``: tf * (ln((1+n)/(1+df)) + 1), unit length per document.
 
-    The vocabulary is bounded by ``max_features`` and is broadcast; the window runs
-    over the vocabulary terms of one document, at most ``max_features`` rows.
+    Terms are counted, weighted and scaled inside their document's row; what is shuffled are the
+    partial sums of the vocabulary.  The vocabulary (at most ``max_features`` rows) comes to the
+    driver and goes out again as one map from term to weight.
     """
-    counts = gram_counts(docs, doc_id, text, stop_words)
-    n = docs.agg(F.count("*").alias("n")).scalar()
-    vocab = vocabulary(counts, n, max_features)
-    weighted = (counts.join(F.broadcast(vocab), "term")
-                .withColumn("n", n)
-                .withColumn("w", F.col("tf") * (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1)))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
-    return weighted.select("doc", "term", F.round(F.col("w") / length, 4).alias("weight"))
+    rows = docs.select(F.col(doc_id).alias("doc"), grams(text, stop_words).alias("grams"))
+    n = docs.count()
+    vocab = vocabulary(gram_statistics(rows, "grams"), F.lit(n), max_features)
+    idf = vocab.agg(F.map_from_entries(F.collect_list(F.struct(
+        "term", F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1))).alias("idf"))
+    known = rows.join(F.broadcast(idf)).withColumn(
+        "grams", F.array_sort(F.filter("grams", lambda t: F.map_contains_key("idf", t))))
+    # stretches of equal terms in the sorted array
+    places = F.sequence(F.lit(1), F.size("grams"))
+    starts = F.when(F.size("grams") > 0, F.filter(places, lambda i: (i == 1) | (
+        F.get(F.col("grams"), i - 1) != F.get(F.col("grams"), i - 2)))).otherwise(F.array().cast("array<int>"))
+    known = known.withColumn("starts", starts)
+    weighted = known.withColumn("weights", F.transform("starts", lambda start, k: F.struct(
+        F.get(F.col("grams"), start - 1).alias("term"),
+        ((F.coalesce(F.get(F.col("starts"), k + 1), F.size("grams") + 1) - start)
+         * F.element_at("idf", F.get(F.col("grams"), start - 1))).alias("w"))))
+    length = F.sqrt(F.aggregate("weights", F.lit(0.0), lambda total, x: total + x["w"] * x["w"]))
+    return (weighted.withColumn("length", length).select("doc", "length", F.explode("weights").alias("x"))
+            .select("doc", "x.term", F.round(F.col("x.w") / F.col("length"), 4).alias("weight")))
 
 
 class CredibilityClassifier(Estimator):
@@ -79,15 +96,15 @@ class CredibilityClassifier(Estimator):
 
     def __init__(self, text_col: str = "processed_text", label_col: str = "label",
                  max_features: int = FULL_FEATURES, max_iter: int = 1000, tol: float = 1e-4,
-                 stop_words=ENGLISH_STOP_WORDS):
+                 stop_words=ENGLISH_STOP_WORDS, partitions: int | None = None):
         super().__init__()
         self.text_col, self.label_col = text_col, label_col
         self.max_features, self.max_iter, self.tol = max_features, max_iter, tol
-        self.stop_words = tuple(stop_words)
+        self.stop_words, self.partitions = tuple(stop_words), partitions
 
     def copy(self, extra=None):
         return CredibilityClassifier(self.text_col, self.label_col, self.max_features,
-                                     self.max_iter, self.tol, self.stop_words)
+                                     self.max_iter, self.tol, self.stop_words, self.partitions)
 
     def _text_stages(self):
         stop = ", ".join("'" + w.replace("'", "\\'") + "'" for w in self.stop_words) or "''"
@@ -102,17 +119,8 @@ class CredibilityClassifier(Estimator):
         text = self._text_stages()
         grammed = PipelineModel(text).transform(dataset)
         size = dataset.count()
-        # one generator gives every document once per distinct term (d) and every
-        # occurrence (c); both are summed before anything is shuffled
-        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-        once = F.transform(F.array_distinct("nl_grams"),
-                           lambda t: F.struct(t.alias("term"), one.alias("d"), none.alias("c")))
-        every = F.transform("nl_grams", lambda t: F.struct(t.alias("term"), none.alias("d"), one.alias("c")))
-        stats = (grammed.select(F.explode(F.concat(once, every)).alias("x")).select("x.*")
-                 .groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("total")))
         idf = F.log((F.lit(1.0) + F.lit(size)) / (F.lit(1.0) + F.col("df"))) + 1
-        vocab = (stats.filter((F.col("df") >= MIN_DF) & (F.col("df") <= size * MAX_DF_SHARE))
-                 .orderBy(F.col("total").desc(), F.col("term")).limit(self.max_features)
+        vocab = (vocabulary(gram_statistics(grammed, "nl_grams"), F.lit(size), self.max_features)
                  .select("term", idf.alias("idf")).collect())     # at most max_features rows
         if not vocab:
             raise ValueError("no term occurs in two documents; nothing to learn from")
@@ -124,7 +132,8 @@ class CredibilityClassifier(Estimator):
         regression = LogisticRegression(
             featuresCol="features", labelCol=self.label_col, regParam=1.0 / size, elasticNetParam=0.0,
             standardization=False, maxIter=self.max_iter, tol=self.tol)
-        # every step of the fit is one job over all partitions; small inputs use few
-        points = vectors.select("features", self.label_col).coalesce(size // ROWS_PER_TASK + 1)
+        points = vectors.select("features", self.label_col)
+        if self.partitions is not None:     # every step of the fit is one job over all partitions
+            points = points.coalesce(self.partitions)
         fitted = regression.fit(points)
         return PipelineModel([*text, counts, weights, unit, fitted])
