@@ -41,7 +41,7 @@ def active_feed_payloads(spark, sf):
 
 def _run(spark, sf, batches=1, **kwargs):
     """Ingest the payloads in ``batches`` runs, by time of fetching."""
-    store = ingest.Store(scratch_path(spark, "ingest"), IndexLayout(4, 1), index_fields=("title",))
+    store = ingest.Store(scratch_path(spark, "ingest"), IndexLayout(4, 1))
     payloads, registry = views.feed_payloads(spark, sf), views.feeds(spark, sf)
     for i in range(batches):
         part = payloads.filter(F.pmod(F.unix_seconds("fetched_at"), F.lit(batches)) == i)
@@ -73,7 +73,7 @@ def stream_ingest(spark, sf):
     """Payloads land as files, the stream takes them one file at a time."""
     landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "stream")
     views.feed_payloads(spark, sf).repartition(2, "fetched_at").write.parquet(landing)
-    store = ingest.Store(scratch_path(spark, "store"), keep_index=False)
+    store = ingest.Store(scratch_path(spark, "store"), IndexLayout(4, 1))
     query = feed_stream.start_ingest(spark, landing, lambda s: views.feeds(s, sf), store, checkpoint, once=True,
                                      max_files=1)
     query.awaitTermination()

@@ -16,17 +16,22 @@ def first_per_article(df: DataFrame, order: tuple[str, ...] = ("published", "lin
                       key: str = "article_id") -> DataFrame:
     """One row per ``key``: the first by ``order``.
 
-    The choice is an aggregate, so copies collapse in the map tasks and a group of
-    copies of any size sends one row per task through the shuffle.  What
-    ``order`` leaves undecided is decided by a hash of the other columns, so the result
-    does not depend on how the input is cut into tasks.
+    The winners are found on narrow columns: key, order, and a hash of the other columns that
+    decides what ``order`` leaves open, so the result does not depend on how the input is cut into
+    tasks.  Only keys with several rows need a choice.  Their winners meet the full rows in a
+    join; all other rows pass through without a comparison.  Rows that are equal in every column
+    collapse in the end, where there are only winners.  ``order`` and the key must not be maps.
     """
-    others = [c for c in df.columns if c != key]
-    rest = [c for c in others if c not in order]
-    row = F.struct(*others)
-    rank = F.struct(*order, F.xxhash64(*rest).alias("tie")) if rest else F.struct(*order)
-    best = df.groupBy(key).agg(F.min_by(row, rank).alias("row"))
-    return best.select(key, "row.*").select(*df.columns)
+    rest = [c for c in df.columns if c != key and c not in order]
+    tie = F.xxhash64(*rest) if rest else F.lit(0).cast("long")
+    rows = df.withColumn("_place", F.struct(*order, tie.alias("tie")))
+    repeated = (rows.groupBy(key).agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+                .select(F.col(key).alias("_key"), "_first"))
+    marked = rows.join(repeated, F.col(key).eqNullSafe(F.col("_key")), "left")
+    alone = marked.filter("_first IS NULL").select(*df.columns)
+    best = (marked.filter(F.col("_place").eqNullSafe(F.col("_first")))
+            .groupBy("_key").agg(F.any_value(F.struct(*df.columns)).alias("row")).select("row.*"))
+    return alone.unionByName(best)
 
 
 def not_stored(new: DataFrame, stored: DataFrame, key: str = "article_id") -> DataFrame:

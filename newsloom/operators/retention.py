@@ -13,7 +13,8 @@ def with_expiry(df: DataFrame, ts: str, row_id: str, cutoff: Column, keep_count:
     Only the place of the ``keep_count``-th newest row per key matters.  It comes from
     a row-number window limited to ``keep_count``: Spark cuts every task's share to
     that many rows per key before the shuffle, so a key with a third of all rows costs
-    no more than others.  The full table then meets one small row per key.
+    no more than others.  The full table then meets one small row per key.  Rows with a null
+    key are a group of their own, and expire as others do.
     """
     order = [F.col(ts).desc_nulls_last(), F.col(row_id).desc()]
     place = F.struct(ts, row_id)
@@ -23,9 +24,9 @@ def with_expiry(df: DataFrame, ts: str, row_id: str, cutoff: Column, keep_count:
     newest = (df.select(key, ts, row_id)
               .withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
               .filter(F.col("rn") <= keep_count))
-    last_kept = newest.groupBy(key).agg(F.min(place).alias("_last"))
+    last_kept = newest.groupBy(F.col(key).alias("_key")).agg(F.min(place).alias("_last"))
     expired = (place < F.col("_last")) & (F.col(ts) < cutoff)
-    return (df.join(last_kept, key, "left")
+    return (df.join(last_kept, F.col(key).eqNullSafe(F.col("_key")), "left")
             .withColumn("expired", F.coalesce(expired, F.lit(False))).select(*df.columns, "expired"))
 
 

@@ -19,8 +19,9 @@ def seeded_hash(row_id: str, seed: int) -> Column:
 
 
 def _ranked(df: DataFrame, row_id: str, seed: int, label: str) -> DataFrame:
-    """Adds ``rank`` (1-based, per label) and ``label_count``."""
-    hashed = (df.withColumn("_hash", seeded_hash(row_id, seed))
+    """Adds ``rank`` (1-based, per label) and ``label_count``.  A null label is a label of its own."""
+    # a null id has no hash of its own; it comes first
+    hashed = (df.withColumn("_hash", F.coalesce(seeded_hash(row_id, seed), F.lit("")))
               .withColumn("_range", F.substring("_hash", 1, _DIGITS)))
     histogram = hashed.groupBy(label, "_range").agg(F.count("*").alias("_n"))
     by_label = Window.partitionBy(label)
@@ -30,9 +31,10 @@ def _ranked(df: DataFrame, row_id: str, seed: int, label: str) -> DataFrame:
         F.sum("_n").over(by_label).alias("label_count"))
     inside = Window.partitionBy(label, "_range").orderBy("_hash", row_id)
     return (hashed.withColumn("_inside", F.row_number().over(inside))
-            .join(offsets, [label, "_range"])
+            .join(offsets.withColumnsRenamed({label: "_label", "_range": "_offset_range"}),
+                  F.col(label).eqNullSafe(F.col("_label")) & F.col("_range").eqNullSafe(F.col("_offset_range")))
             .withColumn("rank", F.col("_inside") + F.col("_before"))
-            .drop("_hash", "_range", "_inside", "_before"))
+            .drop("_hash", "_range", "_inside", "_before", "_label", "_offset_range"))
 
 
 def stratified_split(df: DataFrame, row_id: str, label: str = "label", test_size: float = 0.2,

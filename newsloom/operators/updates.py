@@ -42,10 +42,42 @@ def latest_status(logs: DataFrame, id_column: str = "log_id") -> DataFrame:
             .select("feed_key", "row.*"))
 
 
-def apply_status(feeds: DataFrame, status: DataFrame) -> DataFrame:
-    """Feed rows with their derived status columns; a feed never fetched keeps nulls."""
-    return feeds.join(status.withColumnRenamed("feed_key", "key"), "key", "left").withColumn(
-        "last_articles_count", F.coalesce("last_articles_count", F.lit(0)))
+def latest_metadata(logs: DataFrame) -> DataFrame:
+    """Title, description and time of change that a feed last told, from its successful runs.
+
+    A run that tells none of one leaves what an earlier run told.
+    """
+    def last(name):
+        value = F.nullif(F.col("feed_metadata")[name], F.lit(""))
+        told = F.when((F.col("status") == "success") & value.isNotNull(), F.struct("started_at", value.alias("value")))
+        return F.max(told)["value"].alias(name)
+
+    return logs.groupBy("feed_key").agg(last("title"), last("description"), last("updated"))
+
+
+def apply_status(feeds: DataFrame, status: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """Feed rows with their derived columns in place of the ones they had.
+
+    A feed without a run keeps its status columns if the table has them, else gets nulls; with
+    ``metadata`` (see :func:`latest_metadata`) told values replace stored ones, others stay.
+    """
+    derived = [c for c in status.columns if c != "feed_key"]
+    fresh = status.select(F.col("feed_key").alias("_key"), F.lit(True).alias("_run"), *[F.col(c).alias(f"_new_{c}") for c in derived])
+    out = feeds.join(fresh, feeds["key"] == F.col("_key"), "left")
+    for name in derived:
+        value = F.col(f"_new_{name}")
+        if name in feeds.columns:
+            value = F.when(F.col("_run"), value).otherwise(F.col(name)).cast(feeds.schema[name].dataType)
+        out = out.withColumn(name, F.coalesce(value, F.lit(0)) if name == "last_articles_count" else value)
+    out = out.select(*feeds.columns, *[c for c in derived if c not in feeds.columns])
+    if metadata is None:
+        return out
+    told = metadata.select(F.col("feed_key").alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in ("title", "description", "updated")])
+    joined = out.join(told, F.col("key") == F.col("_key"), "left")
+    for name in ("title", "description", "updated"):
+        stored = F.col(name).cast("string") if name in out.columns else F.lit(None).cast("string")
+        joined = joined.withColumn(name, F.coalesce(f"_new_{name}", stored))
+    return joined.select(*out.columns, *[c for c in ("title", "description", "updated") if c not in out.columns])
 
 
 def run_summary(results: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ that dies leaves a folder nobody points to.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,23 +18,10 @@ def scan(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """A scan with fewer splits than there are cores, distributed by ``key``.
-
-    For jobs that spend their time on text: a file of one row group would keep one
-    core busy.  A large input has more splits than cores and is left as it is.  Only
-    for plain scans, whose number of splits is known without running anything.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except AnalysisException:
-        return False
+    """Whether there is anything at ``path``; other problems with it are not taken for absence."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def publish(df: DataFrame, path: str, version: str) -> None:
@@ -68,16 +54,19 @@ def read_current(spark: SparkSession, path: str, schema: StructType) -> DataFram
 
 def write_batch(df: DataFrame, path: str, batch_id: int, partitions: tuple[str, ...] = (),
                 looked_up_by: str | None = None) -> None:
-    """Write the rows of one batch; a replay replaces exactly these rows.
+    """Write the rows of one batch; a replay replaces exactly these rows, also by none.
 
-    ``looked_up_by`` gets a bloom filter per row group, for later look-ups by value.
+    The batch is a folder of its own that is overwritten as a whole, so a repeat that has fewer rows
+    or partitions leaves none of the old ones.  ``looked_up_by`` gets a bloom filter per row group,
+    for later look-ups by value.
     """
-    writer = (df.withColumn("ingest_batch", F.lit(batch_id).cast("long"))
-              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic"))
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if looked_up_by:
         writer = (writer.option(f"parquet.bloom.filter.enabled#{looked_up_by}", "true")
                   .option(f"parquet.bloom.filter.expected.ndv#{looked_up_by}", "1000000"))
-    writer.partitionBy("ingest_batch", *partitions).parquet(path)
+    if partitions:
+        writer = writer.partitionBy(*partitions)
+    writer.parquet(f"{path}/ingest_batch={batch_id}")
 
 
 def read_batches(spark: SparkSession, path: str, schema: StructType,
