@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import dedupe, updates
+from ..operators import dedupe, postings, updates
 from ..operators.postings import IndexLayout
-from ..plans import ingest
+from ..plans import ingest, maintenance
 from ..session import scratch_path
 from ..sources import driver_views as views
 from ..sources import feeds as feed_source
@@ -59,7 +59,8 @@ def feed_run_results(spark, sf):
     """One run over the active feeds: found, added and status per feed, from the log."""
     store = _run(spark, sf)
     return ingest.update_logs(spark, store).select(
-        "feed_key", "feed_name", "status", "articles_found", "articles_updated", "feed_entries_count",
+        "feed_key", "feed_name", "status", "articles_found", "articles_new", "articles_indexed", "articles_updated",
+        "feed_entries_count",
         F.col("feed_metadata")["title"].alias("feed_title"))
 
 
@@ -82,7 +83,90 @@ def stream_ingest(spark, sf):
     return tables.read_batches(spark, store.articles, schemas.ARTICLES).select("article_id", "link")
 
 
+def run_summary_stored(spark, sf):
+    """Summary of a run over the active feeds, from its stored log."""
+    return updates.run_summary(updates.run_results(ingest.update_logs(spark, _run(spark, sf))))
+
+
+def feed_status_applied(spark, sf):
+    """The registry after a run: status and what the payloads tell; inactive feeds keep what they had."""
+    feeds = views.feeds(spark, sf)
+    for field in schemas.FEEDS.fields:
+        if field.name not in feeds.columns:
+            feeds = feeds.withColumn(field.name, F.lit("old title" if field.name == "feed_title" else None).cast(field.dataType))
+    done = ingest.refreshed_registry(spark, _run(spark, sf), feeds)
+    return done.select("key", "last_fetch_status", "last_articles_count", "feed_title", "feed_description",
+                       F.col("last_fetched_at").isNotNull().alias("fetched"))
+
+
+def feed_bad_payload(spark, sf):
+    """One feed's payloads are broken: it ends as an error, the others are stored."""
+    store = ingest.Store(scratch_path(spark, "ingest"), IndexLayout(4, 1))
+    payloads = views.feed_payloads(spark, sf).withColumn(
+        "payload", F.when(F.col("feed_key") == "src1", F.lit("<rss><channel>")).otherwise(F.col("payload")))
+    ingest.ingest_batch(spark, payloads, views.feeds(spark, sf), store, 0)
+    return ingest.update_logs(spark, store).select("feed_key", "status", "articles_found",
+                                                   F.col("error_message").isNotNull().alias("told"))
+
+
+def replay_emptier(spark, sf):
+    """A batch that comes again with some payloads fewer: no article, posting or log row of the others stays."""
+    store = ingest.Store(scratch_path(spark, "ingest"), IndexLayout(4, 1))
+    payloads, feeds = views.feed_payloads(spark, sf), views.feeds(spark, sf)
+    ingest.ingest_batch(spark, payloads, feeds, store, 0)
+    ingest.ingest_batch(spark, payloads.filter("feed_key = 'src2'"), feeds, store, 0)
+    hits = postings.read_postings(spark, store.index).filter("field = 'source'").select("article_id", "term")
+    arts = tables.read_batches(spark, store.articles, schemas.ARTICLES).select("article_id", "feed_key")
+    return arts.join(hits, "article_id", "full").select("article_id", "feed_key", F.col("term").alias("indexed_source"))
+
+
+def _maintained(spark, sf, job):
+    store = _run(spark, sf, include_inactive=True)
+    return job(store, scratch_path(spark, "maintained"))
+
+
+def store_delete_feed(spark, sf):
+    """What is left after two feeds are deleted: articles, postings, df and number of articles of each source."""
+    def job(store, root):
+        keys = spark.createDataFrame([("src0",), ("src3",)], "key string")
+        return maintenance.delete_feeds(spark, store, root, 0, views.feeds(spark, sf), keys)
+
+    store, feeds = _maintained(spark, sf, job)
+    arts = tables.read_batches(spark, store.articles, schemas.ARTICLES).groupBy("source").agg(F.count("*").alias("articles"))
+    held = postings.read_postings(spark, store.index).filter("field = 'source'").groupBy("term").agg(F.count("*").alias("postings"))
+    df = postings.read_term_stats(spark, store.index).filter("field = 'source'").select("term", "df")
+    n = postings.read_field_stats(spark, store.index).filter("field = 'source'").agg(F.sum("n_articles")).scalar()
+    return (feeds.select("key", F.col("name").alias("source")).join(arts, "source")
+            .join(held.withColumnRenamed("term", "low"), F.col("low") == F.lower("source"))
+            .join(df.withColumnRenamed("term", "own"), F.col("own") == F.lower("source"))
+            .select("key", "articles", "postings", "df", n.alias("n_articles")))
+
+
+def store_rename(spark, sf):
+    def job(store, root):
+        names = spark.createDataFrame([("src1", "first")], "key string, new_key string")
+        return maintenance.rename_feeds(spark, store, root, 0, views.feeds(spark, sf), names)
+
+    store, feeds = _maintained(spark, sf, job)
+    arts = tables.read_batches(spark, store.articles, schemas.ARTICLES).groupBy("feed_key").agg(F.count("*").alias("articles"))
+    logs = ingest.update_logs(spark, store).groupBy("feed_key").agg(F.count("*").alias("logs"))
+    return feeds.select(F.col("key").alias("feed_key")).join(arts, "feed_key").join(logs, "feed_key")
+
+
+def store_retention(spark, sf):
+    """Of every feed the five newest articles, and all from a day on."""
+    def job(store, root):
+        return maintenance.retain_articles(spark, store, root, 0, F.expr("TIMESTAMP'2024-01-01 12:00:00'"), 5)
+
+    store = _maintained(spark, sf, job)
+    arts = tables.read_batches(spark, store.articles, schemas.ARTICLES).select("article_id", "feed_key")
+    return arts.join(postings.read_ids(spark, store.index).select("article_id"), "article_id", "full").select("article_id", "feed_key")
+
+
 QUERIES = {
+    "run_summary_stored": run_summary_stored, "feed_status_applied": feed_status_applied,
+    "feed_bad_payload": feed_bad_payload, "replay_emptier": replay_emptier, "store_delete_feed": store_delete_feed,
+    "store_rename": store_rename, "store_retention": store_retention,
     "feed_entries": feed_entries, "feed_entry_texts": feed_entry_texts,
     "active_feed_payloads": active_feed_payloads, "ingest_articles": ingest_articles,
     "feed_run_results": feed_run_results, "ingest_added": ingest_added, "stream_ingest": stream_ingest,
@@ -93,6 +177,13 @@ _IDS = f"""a AS (SELECT *, md5(concat({_T}, 'https://example.org/', md5(text)))
     concat('https://example.org/', md5(text)) AS link FROM documents)"""
 _SQUEEZE = "md5(regexp_replace({0}, '[^a-zA-Z0-9]+', '', 'g'))"
 
+_ACTIVE = "CAST(substr(source, 4) AS INT) % 5 <> 0"
+# of the copies of an article the first by publish time, link and name of the feed is stored
+_FIRST = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY doc_id, concat('Feed ', source), source) AS rn
+    FROM (SELECT doc_id, source, md5(concat(trim(split_part(text, chr(10), 1)), 'https://example.org/', md5(text))) AS article_id
+          FROM documents WHERE {where})) WHERE rn = 1"""
+_NEW = "SELECT source, count(*) AS n FROM (" + _FIRST + ") GROUP BY source"
+
 ORACLES = {
     "feed_entries": f"""WITH {_IDS} SELECT link, {_T} AS title, article_id,
         concat('Writer ', CAST(length(text) % 97 AS VARCHAR)) AS author, lang AS tags, source AS feed_key,
@@ -104,9 +195,32 @@ ORACLES = {
         FROM documents WHERE source IN (SELECT key FROM feeds WHERE active) GROUP BY source""",
     "ingest_articles": f"WITH {_IDS} SELECT DISTINCT article_id, link FROM a",
     "feed_run_results": f"""WITH {FEEDS} SELECT source AS feed_key, concat('Feed ', source) AS feed_name,
-        'success' AS status, CAST(count(*) AS INT) AS articles_found, 0 AS articles_updated,
+        'success' AS status, CAST(count(*) AS INT) AS articles_found, CAST(coalesce(any_value(n), 0) AS INT) AS articles_new,
+        CAST(coalesce(any_value(n), 0) AS INT) AS articles_indexed, 0 AS articles_updated,
         CAST(count(*) AS INT) AS feed_entries_count, source AS feed_title
-        FROM documents WHERE source IN (SELECT key FROM feeds WHERE active) GROUP BY source""",
+        FROM documents LEFT JOIN ({_NEW.format(where=_ACTIVE)}) USING (source)
+        WHERE {_ACTIVE} GROUP BY source""",
+    "run_summary_stored": f"""WITH {FEEDS}, {_IDS} SELECT count(DISTINCT source) AS total_feeds,
+        count(DISTINCT source) AS successful, 0 AS failed, count(DISTINCT article_id) AS articles_added,
+        count(DISTINCT article_id) AS articles_indexed FROM a WHERE {_ACTIVE}""",
+    "feed_status_applied": f"""WITH {FEEDS} SELECT key, CASE WHEN active THEN 'success' END AS last_fetch_status,
+        CASE WHEN active THEN coalesce(CAST(n AS INT), 0) ELSE 0 END AS last_articles_count,
+        CASE WHEN active THEN key ELSE 'old title' END AS feed_title,
+        CASE WHEN active THEN 'landed' END AS feed_description, active AS fetched
+        FROM feeds LEFT JOIN ({_NEW.format(where=_ACTIVE)}) x ON x.source = key""",
+    "feed_bad_payload": f"""WITH {FEEDS} SELECT source AS feed_key, CASE WHEN source = 'src1' THEN 'error' ELSE 'success' END AS status,
+        CASE WHEN source = 'src1' THEN 0 ELSE CAST(count(*) AS INT) END AS articles_found, source = 'src1' AS told
+        FROM documents WHERE {_ACTIVE} GROUP BY source""",
+    "replay_emptier": f"""WITH {_IDS} SELECT DISTINCT article_id, 'src2' AS feed_key, 'feed src2' AS indexed_source
+        FROM a WHERE source = 'src2'""",
+    "store_delete_feed": f"""WITH x AS ({_NEW.format(where='TRUE')}), k AS (SELECT * FROM x WHERE source NOT IN ('src0', 'src3'))
+        SELECT source AS key, n AS articles, n AS postings, n AS df, CAST((SELECT sum(n) FROM k) AS BIGINT) AS n_articles FROM k""",
+    "store_rename": f"""SELECT CASE WHEN source = 'src1' THEN 'first' ELSE source END AS feed_key, n AS articles, 1 AS logs
+        FROM ({_NEW.format(where='TRUE')})""",
+    "store_retention": f"""WITH f AS ({_FIRST.format(where='TRUE')}), r AS (
+          SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS published FROM f),
+        p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY published DESC NULLS LAST, article_id DESC) AS place FROM r)
+        SELECT article_id, source AS feed_key FROM p WHERE place <= 5 OR published >= TIMESTAMP '2024-01-01 12:00:00'""",
     "ingest_added": f"WITH {_IDS} SELECT count(DISTINCT article_id) AS articles_new, count(DISTINCT source) AS feeds FROM a",
     "stream_ingest": f"""WITH {FEEDS}, {_IDS} SELECT DISTINCT article_id, link FROM a
         WHERE source IN (SELECT key FROM feeds WHERE active)""",

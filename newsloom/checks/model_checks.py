@@ -26,6 +26,12 @@ def split_documents(spark, sf):
     return splits.stratified_split(d, "doc_id", test_size=0.25, seed=7).select("doc_id", "is_test")
 
 
+def split_null_label(spark, sf):
+    """Documents of one language have no label: they are split as a label of their own."""
+    d = views.table(spark, sf, "documents").selectExpr("doc_id", "nullif(lang, 'de') AS label")
+    return splits.stratified_split(d, "doc_id", test_size=0.25, seed=7).select("doc_id", "label", "is_test")
+
+
 def folds(spark, sf):
     return splits.stratified_folds(_labels(spark, sf), "doc_id", 5).select("doc_id", "label", "fold")
 
@@ -70,16 +76,16 @@ def batch_summary(spark, sf):
 _trained: dict = {}
 
 
-def _train(spark, sf):
-    """Train once per session and folder; several queries look at the result."""
-    key = (spark.sparkContext.applicationId, sf)
+def _train(spark, sf, settings=training.QUICK):
+    """Train once per session, folder and settings; several queries look at the result."""
+    key = (spark.sparkContext.applicationId, sf, settings)
     if key not in _trained:
         work = scratch_path(spark, "train")
         prepared = f"{work}/prepared"
         corpus.prepare(views.labelled(spark, sf), "doc_id").write.parquet(prepared)
         rows = spark.read.parquet(prepared)
-        result = training.train(rows, work, _SETTINGS)
-        training.save(result, work, _SETTINGS)
+        result = training.train(rows, work, settings)
+        training.save(result, work, settings)
         _trained[key] = (rows, work)
     return _trained[key]
 
@@ -91,6 +97,33 @@ def model_train_quick(spark, sf):
     return facts.select("model_type", "accuracy", "cv_mean", "cv_std", "majority_share")
 
 
+def model_train_full(spark, sf):
+    """The full run: all features, five folds, every labelled row."""
+    _, facts, _ = training.load(spark, _train(spark, sf, training.FULL)[1])
+    return facts.select("model_type", "accuracy", "cv_mean", "cv_std", "majority_share")
+
+
+def model_majority(spark, sf):
+    """The share that a model must beat, on the stored hold-out."""
+    _, facts, _ = training.load(spark, _train(spark, sf, training.QUICK)[1])
+    return facts.select("model_type", F.round("majority_share", 6).alias("majority_share"))
+
+
+def model_report_support(spark, sf):
+    return model_report(spark, sf).filter("class IN ('0', '1')").select("class", F.col("support").cast("long").alias("support"))
+
+
+def model_sample_ids(spark, sf):
+    return model_sample_predictions(spark, sf).select("doc_id", "actual")
+
+
+def model_scores_facts(spark, sf):
+    """What holds for every score, whatever the model: shares, confidence and what is said of them."""
+    s = model_scores(spark, sf)
+    return s.select("idx", (F.abs(F.col("fake_probability") + F.col("real_probability") - 1) < 1e-6).alias("sums_to_one"),
+                    (F.abs(F.col("confidence") - F.greatest("fake_probability", "real_probability")) < 1e-6).alias("is_largest"))
+
+
 def model_report(spark, sf):
     rows, work = _train(spark, sf)
     model, _, split = training.load(spark, work)
@@ -123,6 +156,9 @@ QUERIES = {
     "confusion_matrix": lambda s, p: metrics.confusion_matrix(views.pseudo_predictions(s, p)),
     "classification_report": lambda s, p: metrics.classification_report(views.pseudo_predictions(s, p)),
     "cv_summary": cv_summary, "batch_summary": batch_summary, "interpretation": interpretation,
+    "split_null_label": split_null_label, "model_train_full": model_train_full, "model_majority": model_majority,
+    "model_report_support": model_report_support, "model_sample_ids": model_sample_ids,
+    "model_scores_facts": model_scores_facts,
     "model_train_quick": model_train_quick, "model_report": model_report,
     "model_sample_predictions": model_sample_predictions, "model_scores": model_scores,
     "page_scores": page_scores,
@@ -136,6 +172,8 @@ def _split_sql(source, share, seed):
 
 _LABELS = "SELECT doc_id, quality AS label FROM labels"
 
+_HELD_OUT = f"SELECT * FROM ({_split_sql(_LABELS, 0.2, 42)}) WHERE is_test"
+
 _GRAMS = f"""{LABELLED}, t AS (
   SELECT doc_id, list_filter(regexp_extract_all(array_to_string({content_word_list('text')}, ' '), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}'),
          lambda x: length(x) > 1) AS words FROM labelled),
@@ -166,6 +204,14 @@ ORACLES = {
     "stratified_split": f"SELECT doc_id, label, is_test FROM ({_split_sql(_LABELS, 0.2, 42)})",
     "split_documents": "SELECT doc_id, is_test FROM ("
                        + _split_sql("SELECT doc_id, lang AS label FROM documents", 0.25, 7) + ")",
+    "split_null_label": "SELECT doc_id, label, is_test FROM ("
+                        + _split_sql("SELECT doc_id, nullif(lang, 'de') AS label FROM documents", 0.25, 7) + ")",
+    "model_majority": f"""SELECT 'logistic_regression' AS model_type, round(greatest(avg(label), 1 - avg(label)), 6) AS majority_share
+        FROM ({_HELD_OUT})""",
+    "model_report_support": f"SELECT CAST(label AS VARCHAR) AS class, count(*) AS support FROM ({_HELD_OUT}) GROUP BY label",
+    "model_sample_ids": f"""SELECT doc_id, label AS actual FROM ({_HELD_OUT})
+        ORDER BY md5(concat(CAST(doc_id AS VARCHAR), '#42')), doc_id LIMIT 10""",
+    "model_scores_facts": "SELECT doc_id AS idx, TRUE AS sums_to_one, TRUE AS is_largest FROM documents",
     "folds": """SELECT doc_id, quality AS label, CAST((row_number() OVER (PARTITION BY quality
         ORDER BY md5(concat(CAST(doc_id AS VARCHAR), '#42')), doc_id) - 1) % 5 AS INT) AS fold FROM labels""",
     "seeded_sample": """SELECT doc_id, source FROM documents

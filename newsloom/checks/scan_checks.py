@@ -137,6 +137,13 @@ def retention_logs(spark, sf):
     return kept.select("log_id", "feed_key", "expired")
 
 
+def retention_null_key(spark, sf):
+    """Rows without a key are a group of their own and expire as others do."""
+    logs = views.logs(spark, sf).withColumn("feed_key", F.when(F.col("feed_key") != "src3", F.col("feed_key")))
+    kept = retention.with_expiry(logs, "started_at", "log_id", F.expr("TIMESTAMP_NTZ'2024-01-20 00:00:00'"), 10, "feed_key")
+    return kept.select("log_id", "feed_key", "expired")
+
+
 def retention_table(spark, sf):
     return retention.retain(views.logs(spark, sf), "started_at", "log_id",
                             F.expr("TIMESTAMP_NTZ'2024-01-25 00:00:00'"), 10).select("log_id")
@@ -172,6 +179,7 @@ QUERIES = {
     "tag_filter": tag_filter, "tags_round_trip": tags_round_trip, "article_by_id": article_by_id,
     "recent_articles": recent_articles, "article_quality": article_quality,
     "article_json_fields": article_json_fields, "previews": previews, "retention": retention_logs,
+    "retention_null_key": retention_null_key,
     "retention_table": retention_table, "snapshot": snapshot, "snapshot_restore": snapshot_restore,
 }
 
@@ -187,6 +195,9 @@ def _preview(text, n):
     return f"CASE WHEN length({text}) > {n} THEN concat(substr({text}, 1, {n}), '...') ELSE {text} END"
 
 
+_KEY = "concat('src', CAST(user_id % 20 AS VARCHAR)) AS feed_key"
+_NULL_KEY = "nullif(concat('src', CAST(user_id % 20 AS VARCHAR)), 'src3') AS feed_key"
+
 ORACLES = {
     "article_scan": f"WITH {RAW} SELECT article_id, doc_id, title, link, published, source, category, author FROM raw",
     "article_ids": f"WITH {RAW} SELECT doc_id, md5(concat(title, link)) AS article_id FROM raw",
@@ -224,6 +235,9 @@ ORACLES = {
     "retention": f"""WITH {LOGS}, r AS (SELECT *, row_number() OVER
           (PARTITION BY feed_key ORDER BY started_at DESC NULLS LAST, log_id DESC) AS rn FROM logs)
         SELECT log_id, feed_key, rn > 10 AND started_at < TIMESTAMP '2024-01-20 00:00:00' AS expired FROM r""",
+    "retention_null_key": f"""WITH {LOGS.replace(_KEY, _NULL_KEY)}, r AS (SELECT *, row_number() OVER
+          (PARTITION BY feed_key ORDER BY started_at DESC NULLS LAST, log_id DESC) AS rn FROM logs)
+        SELECT log_id, feed_key, rn > 10 AND started_at < TIMESTAMP '2024-01-20 00:00:00' AS expired FROM r""",
     "retention_table": f"""WITH {LOGS}, r AS (SELECT *, row_number() OVER
           (ORDER BY started_at DESC NULLS LAST, log_id DESC) AS rn FROM logs)
         SELECT log_id FROM r WHERE NOT (rn > 10 AND started_at < TIMESTAMP '2024-01-25 00:00:00')""",

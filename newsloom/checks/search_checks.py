@@ -140,7 +140,59 @@ def search_stemmed(spark, sf):
     return search.search_ids(_index(spark, sf, stem=True), SearchSpec("things")).select("article_id", "score")
 
 
+_written: dict = {}
+
+
+def _stored_index(spark, sf, **kwargs):
+    """The index as users have it: written once per session and folder, then loaded."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _written:
+        path = scratch_path(spark, "index")
+        postings.write_index(distinct_articles(spark, sf), path, fields=postings.DEFAULT_FIELDS, stem=False,
+                             layout=postings.IndexLayout(term_buckets=8, salts=2))
+        _written[key] = path
+    return postings.load_index(spark, _written[key], **kwargs)
+
+
+def search_page_ranked(spark, sf):
+    """A page of article rows in its order, from the entry point that users call."""
+    page = search_articles(distinct_articles(spark, sf), SearchSpec("thble thtion", per_page=15, page=2), _stored_index(spark, sf))
+    return page.select("rank", "article_id", "score", "title")
+
+
+def search_clause_words(spark, sf):
+    """A clause of several words wants all of them; one of stop words asks nothing."""
+    spec = BooleanSpec(all_of=(Clause("term", "ering thing"), Clause("term", "the of")),
+                       none_of=(Clause("prefix", "thane"), Clause("wildcard", "th?b*e", "title")))
+    return search.boolean_ids(_stored_index(spark, sf), spec).select("article_id")
+
+
+def search_date_after(spark, sf):
+    """The page behind the last row of the first one, by publish time."""
+    index = _stored_index(spark, sf)
+    last = search.search_ids(index, SearchSpec("thing", sort_by="date", per_page=15)).collect()[-1]
+    spec = SearchSpec("thing", sort_by="date", per_page=15, after=(last.published, last.article_id))
+    return search.search_ids(index, spec).select("article_id", "published")
+
+
+def index_layout_loaded(spark, sf):
+    """An index that is loaded without saying how it was written."""
+    return search.match_all(_stored_index(spark, sf), SearchSpec("ering attion")).select("article_id", "score")
+
+
+def search_phrase_stored(spark, sf):
+    return search.phrase_ids(_stored_index(spark, sf), "ering thing")
+
+
+def search_filtered_stored(spark, sf):
+    spec = SearchSpec("thing", category="EN", source="Src1", per_page=100)
+    return search.search_ids(_stored_index(spark, sf), spec).select("article_id", "score")
+
+
 QUERIES = {
+    "search_page_ranked": search_page_ranked, "search_clause_words": search_clause_words,
+    "search_date_after": search_date_after, "index_layout_loaded": index_layout_loaded,
+    "search_phrase_stored": search_phrase_stored, "search_filtered_stored": search_filtered_stored,
     "search_ranked": search_ranked, "search_ranked_all": search_ranked_all,
     "search_ranked_filtered": search_ranked_filtered, "search_by_date": search_by_date,
     "search_ranked_page": search_ranked_page, "search_total": search_total,
@@ -214,4 +266,19 @@ ORACLES = {
     "field_stats": f"""WITH {TOKENS} SELECT field, count(*) AS n_articles, CAST(sum(len(toks)) AS BIGINT) AS total_length
         FROM lists GROUP BY field""",
     "index_written": _ranked(("ering", "attion")),
+    "index_layout_loaded": _ranked(("ering", "attion")),
+    "search_page_ranked": f"""SELECT CAST(row_number() OVER (ORDER BY score DESC, article_id) AS INT) AS rank, article_id, score, title
+        FROM ({_ranked(("thble", "thtion"), tail=_BEST.format(15, 15))}) JOIN (
+          SELECT article_id, any_value(title) AS title FROM (
+            SELECT md5(concat(split_part(text, chr(10), 1), 'https://example.org/', md5(text))) AS article_id,
+                   split_part(text, chr(10), 1) AS title FROM documents) GROUP BY article_id) USING (article_id)""",
+    "search_clause_words": f"""WITH {TOKENS} SELECT article_id FROM tf GROUP BY article_id
+        HAVING bool_or(term = 'thing') AND bool_or(term = 'ering') AND NOT bool_or(starts_with(term, 'thane'))
+           AND NOT bool_or(field = 'title' AND term LIKE 'th_b%e')""",
+    "search_date_after": f"""WITH {TOKENS} SELECT article_id, max(published) AS published FROM w WHERE term = 'thing'
+        GROUP BY article_id ORDER BY published DESC NULLS LAST, article_id LIMIT 15 OFFSET 15""",
+    "search_phrase_stored": f"""WITH {TOKENS} SELECT DISTINCT a.article_id, a.field FROM e a
+        JOIN e b ON a.article_id = b.article_id AND a.field = b.field AND b.pos = a.pos + 1
+        WHERE a.term = 'ering' AND b.term = 'thing'""",
+    "search_filtered_stored": _ranked(("thing",), "lower(category) = 'en' AND lower(source) = 'src1'", _BEST.format(100, 0)),
 }

@@ -168,12 +168,13 @@ def index_articles(articles: DataFrame, fields: tuple[str, ...] = DEFAULT_FIELDS
                        field_statistics(articles, fields, keyword_mode), layout, stem, look_up)
 
 
-def _settings(layout: IndexLayout, stem: bool, fields: tuple[str, ...], keyword_mode: str) -> dict:
+def _settings(layout: IndexLayout, stem: bool, fields: tuple[str, ...], keyword_mode: str, published: str) -> dict:
     return {"term_buckets": layout.term_buckets, "salts": layout.salts, "stem": stem, "fields": list(fields),
-            "keyword_mode": keyword_mode}
+            "keyword_mode": keyword_mode, "published_type": published}
 
 
-_SETTINGS = "term_buckets int, salts int, stem boolean, fields array<string>, keyword_mode string"
+_SETTINGS = ("term_buckets int, salts int, stem boolean, fields array<string>, keyword_mode string, "
+             "published_type string")
 
 
 def keep_settings(spark: SparkSession, path: str, settings: dict) -> None:
@@ -205,29 +206,51 @@ def write_index(articles: DataFrame, path: str, batch_id: int = 0,
     texts.  Pass stored articles: they are read a second time for the column of ids only.
     """
     spark = articles.sparkSession
-    keep_settings(spark, path, _settings(layout, stem, fields, keyword_mode))
+    keep_settings(spark, path, _settings(layout, stem, fields, keyword_mode,
+                                         articles.schema["published"].dataType.simpleString()))
     postings = (build_postings(articles, fields, stem, layout, keyword_mode)
                 .repartition("field", "term_bucket", "salt"))
     tables.write_batch(postings.drop("salt").sortWithinPartitions("field", "term_bucket", "term"),
                        f"{path}/postings", batch_id, ("field", "term_bucket"))
-    written = read_postings(spark, path).filter(F.col("ingest_batch") == batch_id)
+    tables.write_batch(articles.select("article_id"), f"{path}/indexed_ids", batch_id)
+    write_statistics(spark, path, batch_id, fields)
+
+
+def write_statistics(spark: SparkSession, path: str, batch_id: int, fields: tuple[str, ...]) -> None:
+    """Statistics of one batch, from its written postings and ids."""
+    batch = F.col("ingest_batch") == batch_id
     # one row per distinct term by now; one task per folder keeps the number of files low
-    stats = term_statistics(written).repartition("field", "term_bucket")
+    stats = term_statistics(read_postings(spark, path).filter(batch)).repartition("field", "term_bucket")
     tables.write_batch(stats.sortWithinPartitions("field", "term_bucket", "term"),
                        f"{path}/term_stats", batch_id, ("field", "term_bucket"))
-    tables.write_batch(articles.select("article_id"), f"{path}/indexed_ids", batch_id)
-    n = spark.read.parquet(f"{path}/indexed_ids").filter(F.col("ingest_batch") == batch_id).agg(
-        F.count("*").alias("n")).scalar()
-    lengths = (spark.read.parquet(f"{path}/term_stats").filter(F.col("ingest_batch") == batch_id)
-               .groupBy("field").agg(F.sum("cf").alias("length")))
+    n = read_ids(spark, path).filter(batch).agg(F.count("*").alias("n")).scalar()
+    lengths = read_term_stats(spark, path).filter(batch).groupBy("field").agg(F.sum("cf").alias("length"))
     every = spark.createDataFrame([(f,) for f in fields], "field string")
     field_rows = every.join(lengths, "field", "left").select(
         "field", n.alias("n_articles"), F.coalesce("length", F.lit(0)).alias("total_length"))
     tables.write_batch(field_rows.coalesce(1), f"{path}/field_stats", batch_id)
 
 
+# The stored tables are read with their schemas: nothing is inferred, and a batch may be empty.
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/postings")
+    published = stored_settings(spark, path)["published_type"]
+    return spark.read.schema(
+        f"term string, article_id string, tf int, positions array<int>, field_length int, published {published}, "
+        "category string, source string, ingest_batch long, field string, term_bucket int").parquet(f"{path}/postings")
+
+
+def read_term_stats(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("term string, df long, cf long, ingest_batch long, field string, term_bucket int").parquet(
+        f"{path}/term_stats")
+
+
+def read_field_stats(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("field string, n_articles long, total_length long, ingest_batch long").parquet(
+        f"{path}/field_stats")
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("article_id string, ingest_batch long").parquet(f"{path}/indexed_ids")
 
 
 def load_index(spark: SparkSession, path: str, layout: IndexLayout | None = None,
@@ -244,8 +267,7 @@ def load_index(spark: SparkSession, path: str, layout: IndexLayout | None = None
         raise ValueError(f"the index is made with {known}")
     return SearchIndex(
         read_postings(spark, path).withColumn("salt", article_salt(own)),
-        spark.read.parquet(f"{path}/term_stats"),
-        spark.read.parquet(f"{path}/field_stats"), own, known["stem"])
+        read_term_stats(spark, path), read_field_stats(spark, path), own, known["stem"])
 
 
 def not_indexed(articles: DataFrame, index_path: str) -> DataFrame:
@@ -253,6 +275,6 @@ def not_indexed(articles: DataFrame, index_path: str) -> DataFrame:
     spark = articles.sparkSession
     if not tables.exists(spark, f"{index_path}/indexed_ids"):
         return articles
-    seen = (spark.read.parquet(f"{index_path}/indexed_ids")
+    seen = (read_ids(spark, index_path)
             .join(articles.select("article_id"), "article_id", "left_semi").select("article_id"))
     return articles.join(seen, "article_id", "left_anti")

@@ -120,15 +120,19 @@ def patch(base: DataFrame, patches: DataFrame, key: str, columns: list[str], now
     return base.join(p, key, "left").select(*out)
 
 
-def rename_keys(feeds: DataFrame, articles: DataFrame, renames: DataFrame) -> dict[str, DataFrame]:
-    """Change feed keys (``key``, ``new_key``) in the registry and in the articles."""
+def rename_keys(feeds: DataFrame, articles: DataFrame, renames: DataFrame,
+                logs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Change feed keys (``key``, ``new_key``) in the registry, the articles and, when given, the logs."""
     r = renames.select("key", "new_key")
     new_feeds = (feeds.join(r, "key", "left")
                  .withColumn("key", F.coalesce("new_key", "key")).drop("new_key"))
-    new_articles = (articles.join(r.withColumnRenamed("key", "feed_key"), "feed_key", "left")
-                    .withColumn("feed_key", F.coalesce("new_key", "feed_key")).drop("new_key"))
-    return {"feeds": new_feeds.select(*feeds.columns),
-            "articles": new_articles.select(*articles.columns)}
+
+    def renamed(table):
+        return (table.join(r.withColumnRenamed("key", "feed_key"), "feed_key", "left")
+                .withColumn("feed_key", F.coalesce("new_key", "feed_key")).select(*table.columns))
+
+    out = {"feeds": new_feeds.select(*feeds.columns), "articles": renamed(articles)}
+    return out if logs is None else out | {"logs": renamed(logs)}
 
 
 def toggle(base: DataFrame, keys: DataFrame, key: str, flag: str = "active") -> DataFrame:

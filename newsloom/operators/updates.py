@@ -50,7 +50,7 @@ def latest_metadata(logs: DataFrame) -> DataFrame:
     def last(name):
         value = F.nullif(F.col("feed_metadata")[name], F.lit(""))
         told = F.when((F.col("status") == "success") & value.isNotNull(), F.struct("started_at", value.alias("value")))
-        return F.max(told)["value"].alias(name)
+        return F.max(told)["value"].alias(f"feed_{name}")
 
     return logs.groupBy("feed_key").agg(last("title"), last("description"), last("updated"))
 
@@ -72,12 +72,19 @@ def apply_status(feeds: DataFrame, status: DataFrame, metadata: DataFrame | None
     out = out.select(*feeds.columns, *[c for c in derived if c not in feeds.columns])
     if metadata is None:
         return out
-    told = metadata.select(F.col("feed_key").alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in ("title", "description", "updated")])
+    names = [c for c in metadata.columns if c != "feed_key"]
+    told = metadata.select(F.col("feed_key").alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in names])
     joined = out.join(told, F.col("key") == F.col("_key"), "left")
-    for name in ("title", "description", "updated"):
+    for name in names:
         stored = F.col(name).cast("string") if name in out.columns else F.lit(None).cast("string")
         joined = joined.withColumn(name, F.coalesce(f"_new_{name}", stored))
-    return joined.select(*out.columns, *[c for c in ("title", "description", "updated") if c not in out.columns])
+    return joined.select(*out.columns, *[c for c in names if c not in out.columns])
+
+
+def run_results(logs: DataFrame) -> DataFrame:
+    """Rows of the stored log under the names of a run's results."""
+    return logs.select("feed_key", "feed_name", "status", F.col("articles_found").alias("articles_count"),
+                       F.col("articles_new").alias("articles_added"), "articles_indexed", "error_message")
 
 
 def run_summary(results: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ id, so a run that is repeated after a failure replaces its own rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
@@ -101,6 +102,7 @@ def log_events(results: DataFrame, batch_id: int) -> DataFrame:
             (F.col("status") if done else F.lit("running")).alias("status"),
             value(F.when(ok, F.col("articles_count")).otherwise(0), "int").alias("articles_found"),
             value(F.col("articles_added"), "int").alias("articles_new"),
+            value(F.col("articles_indexed"), "int").alias("articles_indexed"),
             value(F.lit(0), "int").alias("articles_updated"),
             value(F.col("error_message"), "string").alias("error_message"),
             value(F.when(ok, F.col("articles_count")).otherwise(0), "int").alias("feed_entries_count"),
@@ -136,7 +138,8 @@ def ingest_batch(spark: SparkSession, payloads: DataFrame, registry: DataFrame,
         added = append_new(candidates(parsed, registry), store.articles, batch_id)
         stored = batch_rows(spark, store.articles, batch_id)
         indexed = None
-        if store.keep_index and added:
+        # a replay that ends without articles must empty its index too
+        if store.keep_index and (added or tables.exists(spark, f"{store.index}/postings/ingest_batch={batch_id}")):
             postings.write_index(stored, store.index, batch_id, store.index_fields, layout=store.layout)
             indexed = stored
         results = feed_results(parsed, stored, registry, indexed)
@@ -151,33 +154,51 @@ def update_logs(spark: SparkSession, store: Store) -> DataFrame:
     return updates.fold_events(tables.read_batches(spark, store.logs, schemas.UPDATE_LOGS))
 
 
-def compact(spark: SparkSession, store: Store, new_root: str, through_batch: int) -> Store:
-    """Merge the many small files of past batches into a new store.
+def refreshed_registry(spark: SparkSession, store: Store, registry: DataFrame) -> DataFrame:
+    """The feed registry with status and metadata of the last runs, to be published after a run."""
+    logs = update_logs(spark, store)
+    return updates.apply_status(registry, updates.latest_status(logs, "run_id"), updates.latest_metadata(logs))
 
-    All rows of batches up to ``through_batch`` are written to ``new_root`` as that one
-    batch, articles by publish time so that row groups can be skipped.  The old store
-    stays as it is; later batches go to the returned one.
-    """
-    new = replace(store, root=new_root)
 
-    def rows(path):
-        return spark.read.parquet(path).filter(F.col("ingest_batch") <= through_batch).drop("ingest_batch")
+def rewrite(spark: SparkSession, store: Store, new_root: str, through_batch: int,
+            articles: Callable[[DataFrame], DataFrame] | None = None,
+            logs: Callable[[DataFrame], DataFrame] | None = None) -> Store:
+    """A new store with the batches up to ``through_batch`` as one, changed by the given functions.
 
-    tables.write_batch(rows(store.articles).repartitionByRange("published")
-                       .sortWithinPartitions("published"), new.articles, through_batch, looked_up_by="article_id")
-    tables.write_batch(rows(store.logs), new.logs, through_batch)
-    if tables.exists(spark, f"{store.index}/postings"):
+    Articles are laid out by publish time, so that row groups can be skipped.  The index follows
+    the articles: postings and ids of articles that are no more go, and statistics are counted
+    anew.  The old store stays as it is; later batches go to the returned one.
+    """
+    new = replace(store, root=new_root)
+    past = F.col("ingest_batch") <= through_batch
+
+    def changed(change, rows):
+        return rows if change is None else change(rows)
+
+    old = tables.read_batches(spark, store.articles, schemas.ARTICLES).filter(past).drop("ingest_batch")
+    tables.write_batch(changed(articles, old).repartitionByRange("published").sortWithinPartitions("published"),
+                       new.articles, through_batch, looked_up_by="article_id")
+    events = tables.read_batches(spark, store.logs, schemas.UPDATE_LOGS).filter(past).drop("ingest_batch")
+    tables.write_batch(changed(logs, events), new.logs, through_batch)
+    settings = postings.stored_settings(spark, store.index)
+    if settings is not None:
+        postings.keep_settings(spark, new.index, settings)
+        left = tables.read_batches(spark, new.articles, schemas.ARTICLES).select("article_id")
+
+        def alive(rows):
+            rows = rows.filter(past).drop("ingest_batch")
+            return rows if articles is None else rows.join(left, "article_id", "left_semi")
+
+        layout = postings.IndexLayout(settings["term_buckets"], settings["salts"])
         parts = ("field", "term_bucket")
-        postings.keep_settings(spark, new.index, postings.stored_settings(spark, store.index))
-        merged = (rows(f"{store.index}/postings").withColumn("salt", postings.article_salt(store.layout))
-                  .repartition(*parts, "salt").drop("salt").sortWithinPartitions(*parts, "term"))
-        tables.write_batch(merged, f"{new.index}/postings", through_batch, parts)
-        stats = rows(f"{store.index}/term_stats").groupBy(*parts, "term").agg(
-            F.sum("df").alias("df"), F.sum("cf").alias("cf")).repartition(*parts)
-        tables.write_batch(stats.sortWithinPartitions(*parts, "term"), f"{new.index}/term_stats",
-                           through_batch, parts)
-        lengths = rows(f"{store.index}/field_stats").groupBy("field").agg(
-            F.sum("n_articles").alias("n_articles"), F.sum("total_length").alias("total_length"))
-        tables.write_batch(lengths, f"{new.index}/field_stats", through_batch)
-        tables.write_batch(rows(f"{store.index}/indexed_ids"), f"{new.index}/indexed_ids", through_batch)
+        rows = alive(postings.read_postings(spark, store.index)).withColumn("salt", postings.article_salt(layout))
+        tables.write_batch(rows.repartition(*parts, "salt").drop("salt").sortWithinPartitions(*parts, "term"),
+                           f"{new.index}/postings", through_batch, parts)
+        tables.write_batch(alive(postings.read_ids(spark, store.index)), f"{new.index}/indexed_ids", through_batch)
+        postings.write_statistics(spark, new.index, through_batch, tuple(settings["fields"]))
     return new
+
+
+def compact(spark: SparkSession, store: Store, new_root: str, through_batch: int) -> Store:
+    """Merge the many small files of past batches into a new store."""
+    return rewrite(spark, store, new_root, through_batch)

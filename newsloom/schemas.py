@@ -25,7 +25,7 @@ ARTICLES = _struct(
 UPDATE_LOGS = _struct(
     ("run_id", _S), ("feed_key", _S), ("feed_name", _S), ("event_seq", _I),
     ("started_at", _TS), ("completed_at", _TS), ("status", _S),
-    ("articles_found", _I), ("articles_new", _I), ("articles_updated", _I),
+    ("articles_found", _I), ("articles_new", _I), ("articles_indexed", _I), ("articles_updated", _I),
     ("error_message", _S), ("feed_entries_count", _I),
     ("feed_metadata", T.MapType(_S, _S)))
 

@@ -14,7 +14,7 @@ from newsloom import checks
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = checks.all_queries(), checks.all_oracles()
 # covered by tests of their own; here they would repeat a training run
-SLOW = {"model_train_quick", "model_report", "model_sample_predictions", "model_scores", "page_scores"}
+SLOW = {"model_train_full", "model_train_quick", "model_report", "model_sample_predictions", "model_scores", "page_scores"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no data folder")
 
