@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, NGram, Normalizer,
                                 SQLTransformer)
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import ENGLISH_STOP_WORDS
@@ -60,29 +60,23 @@ def tfidf_rows(docs: DataFrame, doc_id: str, text: str, max_features: int = FULL
                stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """``(doc, term, weight)``: tf * (ln((1+n)/(1+df)) + 1), unit length per document.
 
-    Terms are counted, weighted and scaled inside their document's row; what is shuffled are the
-    partial sums of the vocabulary.  The vocabulary (at most ``max_features`` rows) comes to the
-    driver and goes out again as one map from term to weight.
+    Terms are counted inside their document's row.  The vocabulary is bounded by ``max_features`` and
+    is broadcast; the only shuffle of rows is by document, of its vocabulary terms, for the length.
     """
-    rows = docs.select(F.col(doc_id).alias("doc"), grams(text, stop_words).alias("grams"))
+    rows = docs.select(F.col(doc_id).alias("doc"), F.array_sort(grams(text, stop_words)).alias("grams"))
     n = docs.count()
     vocab = vocabulary(gram_statistics(rows, "grams"), F.lit(n), max_features)
-    idf = vocab.agg(F.map_from_entries(F.collect_list(F.struct(
-        "term", F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1))).alias("idf"))
-    known = rows.join(F.broadcast(idf)).withColumn(
-        "grams", F.array_sort(F.filter("grams", lambda t: F.map_contains_key("idf", t))))
     # stretches of equal terms in the sorted array
     places = F.sequence(F.lit(1), F.size("grams"))
     starts = F.when(F.size("grams") > 0, F.filter(places, lambda i: (i == 1) | (
         F.get(F.col("grams"), i - 1) != F.get(F.col("grams"), i - 2)))).otherwise(F.array().cast("array<int>"))
-    known = known.withColumn("starts", starts)
-    weighted = known.withColumn("weights", F.transform("starts", lambda start, k: F.struct(
+    counted = rows.withColumn("starts", starts).select("doc", F.explode(F.transform("starts", lambda start, k: F.struct(
         F.get(F.col("grams"), start - 1).alias("term"),
-        ((F.coalesce(F.get(F.col("starts"), k + 1), F.size("grams") + 1) - start)
-         * F.element_at("idf", F.get(F.col("grams"), start - 1))).alias("w"))))
-    length = F.sqrt(F.aggregate("weights", F.lit(0.0), lambda total, x: total + x["w"] * x["w"]))
-    return (weighted.withColumn("length", length).select("doc", "length", F.explode("weights").alias("x"))
-            .select("doc", "x.term", F.round(F.col("x.w") / F.col("length"), 4).alias("weight")))
+        (F.coalesce(F.get(F.col("starts"), k + 1), F.size("grams") + 1) - start).alias("tf")))).alias("x")).select("doc", "x.*")
+    weighted = counted.join(F.broadcast(vocab), "term").withColumn(
+        "w", F.col("tf") * (F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+    return weighted.select("doc", "term", F.round(F.col("w") / length, 4).alias("weight"))
 
 
 class CredibilityClassifier(Estimator):
