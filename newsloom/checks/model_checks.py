@@ -114,7 +114,7 @@ def model_report_support(spark, sf):
 
 
 def model_sample_ids(spark, sf):
-    return model_sample_predictions(spark, sf).select("doc_id", "actual")
+    return model_sample_predictions(spark, sf).select(F.col("doc_id").cast("long").alias("doc_id"), "actual")
 
 
 def model_scores_facts(spark, sf):
