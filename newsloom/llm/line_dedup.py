@@ -1,11 +1,13 @@
 """Repeated runs of lines, found by winnowing; DataFrame functions only.
 
-A window starts at a line with words and takes following lines with words until it has ``min_words``.
-Of each window the least line hash is its fingerprint: a repeated run of at least that many words has
-a window, and so a fingerprint, in both places.  Fingerprints that are in one place only rule their
-windows out.  Around the places of the others the windows are compared; a window whose lines all
-stand on end earlier too (smaller doc_id, or earlier in the same text) is a match, matches that touch
-extend one another both ways to a run, and the run's lines go.  The first place of a run stays.
+From every line with words a window goes to the right, and another one to the left, over lines with words
+until it has ``min_words``.  Of each window the least line hash is its fingerprint: a repeated run of at
+least that many words has windows, and so fingerprints, in both places.  Fingerprints that are in one
+place only rule their windows out.  Around the places of the others the windows are compared; a window
+whose lines all stand on end earlier too (smaller doc_id, or earlier in the same text) is a match.
+Matches that touch extend one another both ways, to the first and the last line of the repeated run
+(its first lines by windows to the right, its last ones by windows to the left), and the run's lines go.
+The first place of a run stays.
 
 Only hashes of lines are shuffled; texts meet the few rows of their runs once, at the end.
 
@@ -38,17 +40,23 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
               .groupBy("doc_id", "twin").agg(F.any_value("lines").alias("lines"))  # rows repeated whole
               .select("doc_id", "twin", F.inline("lines")).filter("w > 0"))
     text = Window.partitionBy("doc_id", "twin")
-    before = F.sum("w").over(text.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    placed = hashed.withColumn("before", F.coalesce(before, F.lit(0)).cast("long"))
-    # the lines that start less than min_words words after this one
-    reach = text.orderBy("before").rangeBetween(0, min_words - 1)
-    lines_of = F.collect_list("h").over(reach)
-    least = F.min(F.struct("h", "pos")).over(reach)
-    return (placed.select("doc_id", "twin", "pos", F.max("pos").over(reach).alias("last"), F.sum("w").over(reach).alias("n"),
-                          least.alias("least"), lines_of.alias("hs"))
-            .filter(F.col("n") >= min_words)
-            .select("doc_id", "twin", "pos", "last", F.col("least.h").alias("print"), F.col("least.pos").alias("print_pos"),
-                    F.xxhash64("hs").alias("k1"), F.xxhash64(F.lit(1), F.reverse("hs")).alias("k2")))
+    until = F.sum("w").over(text.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    placed = hashed.withColumn("until", until.cast("long")).withColumn("before", F.col("until") - F.col("w"))
+
+    def window(kind, reach):
+        hs = F.collect_list("h").over(reach)
+        least = F.min(F.struct("h", "pos")).over(reach)
+        return F.struct(
+            F.min("pos").over(reach).alias("pos"), F.max("pos").over(reach).alias("last"), F.sum("w").over(reach).alias("n"),
+            least["h"].alias("print"), least["pos"].alias("print_pos"),
+            F.xxhash64(F.lit(kind), hs).alias("k1"), F.xxhash64(F.lit(kind + 2), F.reverse(hs)).alias("k2"))
+
+    # the lines that start less than min_words words after this one does, or end less than that before its end
+    right = window(0, text.orderBy("before").rangeBetween(0, min_words - 1))
+    left = window(1, text.orderBy("until").rangeBetween(1 - min_words, 0))
+    return (placed.select("doc_id", "twin", right.alias("right"), left.alias("left"))
+            .select("doc_id", "twin", F.inline(F.array("right", "left")))
+            .filter(F.col("n") >= min_words).drop("n"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

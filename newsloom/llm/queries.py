@@ -84,11 +84,14 @@ WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM a),
 c AS (SELECT *, CASE WHEN trim(line, ' ') = '' THEN 0
                      ELSE length(trim(line, ' ')) - length(replace(trim(line, ' '), ' ', '')) + 1 END AS w FROM l),
-b AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY pos
-                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c WHERE w > 0),
-win AS (SELECT doc_id, pos, max(pos) OVER r AS last, sum(w) OVER r AS n, list(line) OVER r AS k FROM b
-        WINDOW r AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
-f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS rn FROM win WHERE n >= 50),
+b AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS until,
+             (sum(w) OVER (PARTITION BY doc_id ORDER BY pos) - w)::BIGINT AS before FROM c WHERE w > 0),
+win AS (SELECT doc_id, 'right' AS kind, pos, max(pos) OVER r AS last, sum(w) OVER r AS n, list(line) OVER r AS k FROM b
+        WINDOW r AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+        UNION ALL
+        SELECT doc_id, 'left', min(pos) OVER l, pos, sum(w) OVER l, list(line) OVER l FROM b
+        WINDOW l AS (PARTITION BY doc_id ORDER BY until RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+f AS (SELECT *, row_number() OVER (PARTITION BY kind, k ORDER BY doc_id, pos, last) AS rn FROM win WHERE n >= 50),
 gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM f WHERE rn > 1),
 isl AS (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM gone),
 runs AS (SELECT doc_id, count(DISTINCT g) AS n_runs, count(*) AS n_removed FROM isl GROUP BY doc_id),

@@ -6,26 +6,25 @@ from newsloom.llm import line_dedup
 
 
 def plain(rows, least):
-    """Windows of lines in order of (doc_id, line); every later copy goes."""
+    """Windows of lines to the right and to the left, in order of (doc_id, line); every later copy goes."""
     seen, out = set(), {}
     for i, text in sorted(rows):
         lines = (text or "").split("\n")
         count = [line.strip(" ").count(" ") + 1 if line.strip(" ") else 0 for line in lines]
         gone = set()
         for s in range(len(lines)):
-            if not count[s]:
-                continue
-            total, window, e = 0, [], s
-            while e < len(lines) and total < least:
-                if count[e]:
-                    total += count[e]
-                    window.append(lines[e])
-                    last = e
-                e += 1
-            if total >= least:
-                if tuple(window) in seen:
-                    gone.update(range(s, last + 1))
-                seen.add(tuple(window))
+            for step in (1, -1):
+                total, e, held = 0, s, []
+                while count[s] and 0 <= e < len(lines) and total < least:
+                    if count[e]:
+                        total += count[e]
+                        held.append(e)
+                    e += step
+                if total >= least and held:
+                    key = (step, *(lines[k] for k in held))
+                    if key in seen:
+                        gone.update(range(min(held), max(held) + 1))
+                    seen.add(key)
         out[i] = (len(gone), None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone))
     return out
 
@@ -60,6 +59,13 @@ def test_hot_line_and_one_long_line(spark):
     assert {r.text for r in got if r.doc_id == 5} == {"own5 line\nend5"}
 
 
+def test_runs_go_to_their_last_line(spark):
+    run = [" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 4), ("b", 30), ("c", 21), ("d", 5), ("e", 2))]
+    rows = [(i, "\n".join([f"head {i}", *run, f"tail {i}"])) for i in range(3)]
+    got = {r.doc_id: r.text for r in line_dedup.delete_repeated_lines(docs(spark, rows)).collect()}
+    assert got == {0: rows[0][1], 1: "head 1\ntail 1", 2: "head 2\ntail 2"}
+
+
 def test_repeated_rows_null_ids_columns(spark):
     long = "\n".join(" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
     rows = [(1, long), (1, long), (2, long), (None, long), (3, None), (4, "")]
