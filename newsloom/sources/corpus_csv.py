@@ -13,11 +13,16 @@ from . import tables
 PREPARATION_VERSION = 1
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with header; quotes are doubled inside quotes, fields may hold line breaks."""
-    return (spark.read.schema(schemas.CORPUS)
-            .option("header", True).option("multiLine", True)
+def read_corpus(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """CSV with header; quotes are doubled inside quotes, fields may hold line breaks.
+
+    Without line breaks in fields (``multi_line=False``) a file is read in splits.  With them a file is
+    one task; its rows are then dealt out anew, by size, so that later work on the texts is not.
+    """
+    rows = (spark.read.schema(schemas.CORPUS)
+            .option("header", True).option("multiLine", multi_line)
             .option("quote", '"').option("escape", '"').csv(path))
+    return rows.hint("rebalance") if multi_line else rows
 
 
 def cache_path(cache_root: str, source_path: str) -> str:
@@ -31,7 +36,7 @@ def _newest(df: DataFrame):
 
 
 def cached_or_prepare(spark: SparkSession, source_path: str, cache_root: str, prepare,
-                      force: bool = False) -> DataFrame:
+                      force: bool = False, multi_line: bool = True) -> DataFrame:
     """The prepared corpus; prepared anew unless a cache newer than the source exists.
 
     ``prepare`` is a function from the raw corpus to the prepared one.  What is
@@ -45,5 +50,5 @@ def cached_or_prepare(spark: SparkSession, source_path: str, cache_root: str, pr
         cached_time = _newest(spark.read.parquet(target).select("_metadata"))
         fresh = cached_time is not None and source_time is not None and cached_time > source_time
     if not fresh:
-        prepare(read_corpus(spark, source_path)).write.mode("overwrite").parquet(target)
+        prepare(read_corpus(spark, source_path, multi_line)).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
