@@ -94,7 +94,7 @@ def test_scoring_pages(spark, trained):
     got = {r.idx: r for r in scoring.score_pages(pages, trained[0].model).collect()}
     assert got[1].prediction == "Real" and got[1].url == "u1" and got[1].extracted_title == "Council"
     assert len(got[1].extracted_content_preview) == 503
-    assert got[2].error.startswith("Could not parse") and got[3].error == "No text provided for prediction"
+    assert got[2].error.startswith("page cannot be read") and got[3].error == "No text provided for prediction"
 
 
 def test_scoring_has_no_shuffle(spark, trained):
