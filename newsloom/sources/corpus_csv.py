@@ -16,13 +16,11 @@ PREPARATION_VERSION = 1
 def read_corpus(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV with header; quotes are doubled inside quotes, fields may hold line breaks.
 
-    Without line breaks in fields (``multi_line=False``) a file is read in splits.  With them a file is
-    one task; its rows are then dealt out anew, by size, so that later work on the texts is not.
+    Without line breaks in fields (``multi_line=False``) a file is read in splits, else as one task.
     """
-    rows = (spark.read.schema(schemas.CORPUS)
+    return (spark.read.schema(schemas.CORPUS)
             .option("header", True).option("multiLine", multi_line)
             .option("quote", '"').option("escape", '"').csv(path))
-    return rows.hint("rebalance") if multi_line else rows
 
 
 def cache_path(cache_root: str, source_path: str) -> str:
@@ -50,5 +48,6 @@ def cached_or_prepare(spark: SparkSession, source_path: str, cache_root: str, pr
         cached_time = _newest(spark.read.parquet(target).select("_metadata"))
         fresh = cached_time is not None and source_time is not None and cached_time > source_time
     if not fresh:
-        prepare(read_corpus(spark, source_path, multi_line)).write.mode("overwrite").parquet(target)
+        # a file is one task; its rows are dealt out anew, by size, before the work on the texts
+        prepare(read_corpus(spark, source_path, multi_line).hint("rebalance")).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
