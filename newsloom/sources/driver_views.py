@@ -14,9 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of texts as it is scanned.
+
+    A file of one row group keeps one core busy.  A caller who knows that may name a number of
+    partitions in ``spark.newsloom.inputPartitions``; unset, nothing is dealt out anew.
+    """
+    df = table(spark, sf_dir, name)
+    parts = spark.conf.get("spark.newsloom.inputPartitions", None)
+    return df.repartition(int(parts), key) if parts else df
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as articles; copies of a text share an article_id."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return texts(spark, sf_dir, "documents", "doc_id").selectExpr(
         r"md5(concat(split_part(text, '\n', 1), 'https://example.org/', md5(text))) AS article_id",
         "doc_id",
         r"split_part(text, '\n', 1) AS title",
@@ -51,13 +62,13 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").selectExpr(
+    docs = texts(spark, sf_dir, "documents", "doc_id").selectExpr(
         "doc_id", r"split_part(text, '\n', 1) AS title", "text")
     return table(spark, sf_dir, "labels").selectExpr("doc_id", "quality AS label").join(docs, "doc_id")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return texts(spark, sf_dir, "pages", "page_id").select("page_id", "url", "html")
 
 
 def pseudo_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
