@@ -14,9 +14,11 @@ Windows that share an anchor stand on end; together they are a stretch.
    each round doubles the depth by what earlier rounds have found.  Positions that are alone in their
    bucket are final and take no further part.  After 100 bytes, all but the earliest go.
 
-Step 2 compares bytes; step 1 needs two independent 64-bit hashes to agree.  Copies within a task
-collapse before anything is shuffled.  A bucket of very many different stretches is split into
-single windows under their own hash, so no bucket must fit in one task.
+Step 2 compares bytes; step 1 needs two independent 64-bit hashes to agree.  Copies within an Arrow batch
+collapse before anything is shuffled, stretches and windows alike.  Buckets of very many rows are counted
+first: their stretches are dealt by bucket and identifier, then split into single windows under their own
+hash.  So a task of step 1 holds at most ``split_from`` stretches of a bucket, and one more for each
+batch with a single one, which is not counted; and one window of a kind for each batch of step 2.
 
 Cases with a defined result: a null or empty text has no bytes; shorter texts than ``length`` keep all;
 of rows with one doc_id the hash of the text decides which is earlier; rows repeated whole are one document
@@ -137,18 +139,41 @@ def _intervals(ids, twins, starts, ends) -> pa.RecordBatch:
                             pa.array(starts), pa.array(ends - starts), pa.array(np.ones(len(ids), bool))], schema=_ROW)
 
 
+def _of_batch(batch: pa.RecordBatch, params: RepeatParams) -> tuple[np.ndarray, ...] | None:
+    """:func:`stretches` of all documents of a batch."""
+    parts = []
+    for block in words.blocks(batch.column("text")):
+        document, start, count, bucket, name = stretches(block, params)
+        parts.append((document + block.rows.start, start, count, bucket.view(np.int64), name.view(np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else None
+
+
+def _large(docs: DataFrame, params: RepeatParams) -> DataFrame:
+    """The buckets of at least ``split_from`` rows of :func:`_anchors`; a batch's only one of a bucket doesn't count."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _of_batch(batch, params)
+            if found is None:
+                continue
+            *_, bucket, name = found
+            group = _groups(bucket, name)
+            first = np.unique(group, return_index=True)[1]
+            own, rows = np.unique(bucket[first], return_counts=True)
+            yield pa.record_batch({"large": pa.array(own[rows > 1]), "n": pa.array(rows[rows > 1].astype(np.int64))})
+
+    return (docs.mapInArrow(read, "large long, n long").groupBy("large").agg(F.sum("n").alias("n"))
+            .filter(F.col("n") >= params.split_from).select("large"))
+
+
 def _anchors(docs: DataFrame, params: RepeatParams) -> DataFrame:
     """A row per stretch that may be the earliest of its kind, and the intervals known to go."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, twins = _keys(batch)
-            parts = []
-            for block in words.blocks(batch.column("text")):
-                document, start, count, bucket, name = stretches(block, params)
-                parts.append((document + block.rows.start, start, count, bucket.view(np.int64), name.view(np.int64)))
-            if not parts:
+            found = _of_batch(batch, params)
+            if found is None:
                 continue
-            document, start, count, bucket, name = (np.concatenate(c) for c in zip(*parts))
+            document, start, count, bucket, name = found
             later = _not_first(_groups(bucket, name), ids[document], twins[document], start)
             stay = ~later
             owner, low, high = _merged(document[later], start[later], start[later] + count[later] - 1 + params.length)
@@ -168,20 +193,29 @@ _FOUND = "doc_id long, twin long, start long, count long, bucket long, state int
 GONE, OPEN, WIDE = 0, 1, 2  # an interval that goes; a stretch to compare; the same in a large bucket
 
 
-def _buckets(anchors: DataFrame, params: RepeatParams) -> DataFrame:
+def _dealt(anchors: DataFrame, large: DataFrame) -> DataFrame:
+    """Anchors by bucket, those of large buckets by identifier too; ``large`` has at most a row for ``split_from`` anchors."""
+    marked = anchors.join(F.broadcast(large), anchors.bucket == F.col("large"), "left")
+    return (marked.select(*_ROW.names, F.col("large").isNotNull().alias("wide"))
+            .repartition("bucket", F.when(F.col("wide"), F.col("name"))))
+
+
+def _buckets(dealt: DataFrame, params: RepeatParams) -> DataFrame:
     """Sort each bucket by the identifiers of its stretches."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _all_rows(batches)
         if table is None:
             return
-        bucket, name, ids, twins, start, count, known = (table.column(c).to_numpy() for c in _ROW.names)
+        bucket, name, ids, twins, start, count, known, wide = (table.column(c).to_numpy() for c in (*_ROW.names, "wide"))
         later = np.zeros(len(bucket), dtype=bool)
         live = np.flatnonzero(~known)
         bucket_of, size = np.unique(bucket[live], return_inverse=True, return_counts=True)[1:]
-        live, bucket_of = live[size[bucket_of] > 1], bucket_of[size[bucket_of] > 1]  # others are final
+        several = (size[bucket_of] > 1) | wide[live]  # others are final
+        live, bucket_of = live[several], bucket_of[several]
         later[live] = _not_first(_groups(bucket[live], name[live]), ids[live], twins[live], start[live])
         different = live[~later[live]]
         kinds = np.bincount(bucket_of[~later[live]], minlength=len(size))[bucket_of[~later[live]]]
+        kinds = np.where(wide[different], max(params.split_from, 2), kinds)  # others may be in other tasks
         open_, kinds = different[kinds > 1], kinds[kinds > 1]
         gone = np.flatnonzero(known | later)
         span = np.where(known, count, count - 1 + params.length)
@@ -192,36 +226,78 @@ def _buckets(anchors: DataFrame, params: RepeatParams) -> DataFrame:
                     "doc_id": pa.array(ids[rows]), "twin": pa.array(twins[rows]), "start": pa.array(start[rows]),
                     "count": pa.array(size_), "bucket": pa.array(bucket[rows]), "state": pa.array(state, pa.int32())})
 
-    return anchors.repartition("bucket").mapInArrow(read, _FOUND)
+    return dealt.mapInArrow(read, _FOUND)
 
 
 _BYTES = "bucket long, doc_id long, twin long, start long, count long, bytes binary"
 
 
+def _windows(pieces: list[tuple], params: RepeatParams) -> Iterator[pa.RecordBatch]:
+    """The windows of stretches (doc_id, twin, start, bytes) under their own hash; of equal ones the earliest, others go."""
+    length = params.length
+    ids, twins, start = (np.array(c, dtype=np.int64) for c in list(zip(*pieces))[:3])
+    sizes = np.array([len(p[3]) for p in pieces], dtype=np.int64)
+    data = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    count = sizes - length + 1
+    row = np.repeat(np.arange(len(pieces)), count)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    at = offsets[row] + step
+    own = words.rolling(words.Block(slice(0, len(pieces)), data, offsets), fold=False).of(at, at + length).view(np.int64)
+    place = (ids[row], twins[row], start[row] + step)
+    order = np.lexsort((*place[::-1], own))
+    first = np.concatenate([[True], own[order][1:] != own[order][:-1]])
+    earliest = np.empty(len(order), dtype=np.int64)
+    earliest[order] = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    bytes_ = np.lib.stride_tricks.sliding_window_view(data, length)[at]
+    equal = (bytes_ == bytes_[earliest]).all(axis=1)
+    moved = np.zeros(len(row), dtype=bool)
+    for column in place:
+        moved |= column != column[earliest]
+    later = equal & moved
+    stay = np.flatnonzero(~equal | (earliest == np.arange(len(row))))
+    kept = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(stay), [None, pa.py_buffer(bytes_[stay].tobytes())])
+    yield pa.record_batch([pa.array(c[stay]) for c in (own, *place, np.ones(len(row), np.int64))] + [kept.cast(pa.binary())],
+                          schema=_BYTES_ROW)
+    owner, low, high = _merged(row[later], place[2][later], place[2][later] + length)
+    spread = words.mix(ids[owner].astype(np.uint64) + low.astype(np.uint64)).view(np.int64)
+    yield pa.record_batch([pa.array(c) for c in (spread, ids[owner], twins[owner], low, high - low)]
+                          + [pa.nulls(len(owner), pa.binary())], schema=_BYTES_ROW)
+
+
+_BYTES_ROW = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("twin", pa.int64()), ("start", pa.int64()),
+                        ("count", pa.int64()), ("bytes", pa.binary())])
+_HELD = 20_000_000  # bytes of windows held at once, or those of one stretch
+
+
 def _fetched(docs: DataFrame, found: DataFrame, params: RepeatParams) -> DataFrame:
-    """The bytes of the stretches to compare; those of large buckets window by window."""
+    """The bytes of the stretches to compare; those of large buckets window by window, equal ones of a batch once.
+
+    Rows without bytes are intervals that go: ``count`` bytes each.
+    """
     wanted = (found.filter(F.col("state") != GONE)
               .groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "count", "bucket", "state")).alias("wanted")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("bucket", "doc_id", "twin", "start", "count", "bytes")}
+            rows: dict[str, list] = {k: [] for k in _BYTES_ROW.names}
+            pieces, held = [], 0
             for doc_id, twin, text, wanted_ in zip(*(batch.column(c) for c in ("doc_id", "twin", "text", "wanted"))):
                 raw = memoryview(text.as_buffer())
                 for w in wanted_.as_py():
-                    pieces = [(w["start"], w["count"], w["bucket"])]
+                    piece = bytes(raw[w["start"]:w["start"] + w["count"] - 1 + params.length])
                     if w["state"] == WIDE:
-                        pieces = [(w["start"] + i, 1, None) for i in range(w["count"])]
-                    for start, count, bucket in pieces:
-                        piece = bytes(raw[start:start + count - 1 + params.length])
-                        if bucket is None:
-                            own = np.frombuffer(piece, np.uint8)
-                            block = words.Block(slice(0, 1), own, np.array([0, len(own)]))
-                            bucket = int(words.rolling(block, fold=False).of(np.array([0]), np.array([len(own)])).view(np.int64)[0])
-                        for k, v in zip(rows, (bucket, doc_id.as_py(), twin.as_py(), start, count, piece)):
+                        pieces.append((doc_id.as_py(), twin.as_py(), w["start"], piece))
+                        held += w["count"] * params.length
+                        if held >= _HELD:
+                            yield from _windows(pieces, params)
+                            pieces, held = [], 0
+                    else:
+                        for k, v in zip(rows, (w["bucket"], doc_id.as_py(), twin.as_py(), w["start"], w["count"], piece)):
                             rows[k].append(v)
-            yield pa.record_batch([pa.array(rows[k], pa.int64()) for k in list(rows)[:5]] + [pa.array(rows["bytes"], pa.binary())],
-                                  names=list(rows))
+            yield pa.record_batch([pa.array(rows[f.name], f.type) for f in _BYTES_ROW], schema=_BYTES_ROW)
+            if pieces:
+                yield from _windows(pieces, params)
 
     return _with(docs, wanted).filter("wanted IS NOT NULL").mapInArrow(read, _BYTES)
 
@@ -286,6 +362,11 @@ def _compared(fetched: DataFrame, params: RepeatParams) -> DataFrame:
         table = _all_rows(batches)
         if table is None:
             return
+        known = pc.is_null(table.column("bytes"))
+        yield from table.filter(known).select(["doc_id", "twin", "start", "count"]).to_batches()
+        table = table.filter(pc.invert(known))
+        if not table.num_rows:
+            return
         for part in chunks(table.sort_by("bucket")):
             part = part.combine_chunks()
             raw = part.column("bytes").to_pylist()
@@ -313,7 +394,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(keyed: DataFrame, params: RepeatParams) -> DataFrame:
     """(doc_id, twin, spans): the byte intervals (start, count) of a document that go, overlapping ones too."""
-    found = stored(_buckets(_anchors(keyed, params), params), "buckets")
+    large = stored(_large(keyed, params), "large")
+    found = stored(_buckets(_dealt(_anchors(keyed, params), large), params), "buckets")
     compared = _compared(_fetched(keyed, found, params), params)
     gone = found.filter(F.col("state") == GONE).select("doc_id", "twin", "start", "count").unionByName(compared)
     return gone.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "count")).alias("spans"))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from llm_tools import ODD_TEXTS, docs
+from pyspark.sql import functions as F
 
 from newsloom.llm import suffixes
 from newsloom.llm.suffixes import RepeatParams
@@ -68,3 +69,32 @@ def test_refinement_is_exact():
         for k in range(len(raw) - length):
             assert names.setdefault(raw[k:k + length], pointer[k]) == pointer[k]
         assert len(set(names.values())) == len(names)
+
+
+def shared_passage(n):
+    """A passage of 200 bytes in ``n`` texts, between neighbours of their own."""
+    rng = random.Random(6)
+    one = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage = one(200)
+    return [(i, one(150) + passage + one(150)) for i in range(n)]
+
+
+def test_large_buckets_are_spread(spark):
+    rows, params, parts = shared_passage(300), RepeatParams(split_from=50), 4
+    keyed = suffixes._keyed(docs(spark, rows, parts))
+    large = suffixes._large(keyed, params)
+    assert large.count() >= 2  # the passage's ends
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = suffixes._dealt(suffixes._anchors(keyed, params), large)
+        tasks = dealt.withColumn("task", F.spark_partition_id()).filter("wide").groupBy("bucket").agg(F.countDistinct("task").alias("n"))
+        assert min(r.n for r in tasks.collect()) > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    found = suffixes._buckets(dealt, params).localCheckpoint()
+    assert found.filter(F.col("state") == suffixes.WIDE).count() > 300
+    fetched = suffixes._fetched(keyed, found, params).filter("bytes IS NOT NULL")
+    assert max(r["count"] for r in fetched.groupBy("bytes").count().collect()) <= 2 * parts  # a batch or so per task
+    got = suffixes.remove_repeats(docs(spark, rows, parts), params).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == plain(rows, params.length)
