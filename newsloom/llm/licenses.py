@@ -4,7 +4,8 @@ Words are maximal runs of ASCII letters and digits and of non-ASCII characters,
 single Aho-Corasick automaton over the words of a text, joined by one blank each, finds notice
 phrases wherever their words stand on end, whatever stands between them.  Where it meets an
 identifier tag, the expression behind it is read from the raw text, turned into postfix order by
-a shunting yard and evaluated.
+a shunting yard and evaluated.  It ends where no token follows that fits, at the next tag, or at the end
+of the line; inside parentheses lines go on, behind the comment signs that they may begin with.
 
 Cases with a defined result: a null or empty text has no words, no labels and score 0; a tag
 without a readable expression adds no label; rows are scanned one by one, so repeated rows get
@@ -64,8 +65,11 @@ PERMISSIVE = frozenset({"mit", "apache-2", "apache-2.0", "bsd", "bsd-2", "bsd-2-
                         "bsl", "bsl-1.0", "zlib", "cc0", "cc0-1.0", "cc-by", "cc-by-4.0", "unlicense", "0bsd", "public-domain"})
 
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_TAG_TEXT = re.compile(r"SPDX-License-Identifier\s*:?\s*([A-Za-z0-9.+()\-: \t]{1,300})", re.IGNORECASE)
+_IN_WORD = r"[A-Za-z0-9\x80-\U0010FFFF]"
+_TAG_TEXT = re.compile(rf"(?<!{_IN_WORD})SPDX-License-Identifier(?!{_IN_WORD})\s*:?\s*", re.IGNORECASE | re.ASCII)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:\-]+")
+_BLANKS = re.compile(r"[ \t]*")
+_LINES = re.compile(r"[ \t]*(?:\r?\n[ \t]*(?:[#*/;%!]+|-{2,})?[ \t]*)*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -74,16 +78,29 @@ class Expression(NamedTuple):
     allowed: bool  # some choice of its alternatives uses permitted licences only
 
 
-def postfix(text: str) -> list[str]:
-    """Shunting yard: the longest readable expression at the start of ``text``, in postfix order.
+def _tokens(text: str, at: int, end: int) -> Iterator[str]:
+    """The tokens of ``text`` from ``at`` to ``end``, as far as nothing else stands between them."""
+    depth = 0
+    while True:
+        at = (_LINES if depth > 0 else _BLANKS).match(text, at, end).end()
+        found = _TOKEN.match(text, at, end)
+        if found is None:
+            return
+        at = found.end()
+        depth += {"(": 1, ")": -1}.get(found[0], 0)
+        yield found[0]
 
-    Raises ValueError if it doesn't start with one.
+
+def postfix(text: str, at: int = 0, end: int | None = None) -> list[str]:
+    """Shunting yard: the longest readable expression at ``at`` in ``text``, in postfix order.
+
+    Raises ValueError if none starts there.
     """
     out: list[str] = []
     stack: list[str] = []
-    best: list[str] | None = None
+    best: tuple[int, list[str]] | None = None  # tokens of ``out``, and what follows them
     operand_next = True
-    for token in _TOKEN.findall(text):
+    for token in _tokens(text, at, len(text) if end is None else end):
         word = token.lower()
         if operand_next and word == "(":
             stack.append(word)
@@ -102,29 +119,34 @@ def postfix(text: str) -> list[str]:
         else:
             break
         if not operand_next and "(" not in stack:
-            best = out + stack[::-1]
+            best = len(out), stack[::-1]
     if best is None:
         raise ValueError("no licence expression")
-    return best
+    return out[:best[0]] + best[1]
 
 
-def evaluate(text: str, permitted: frozenset[str] = PERMISSIVE) -> Expression:
+def evaluate(text: str, permitted: frozenset[str] = PERMISSIVE, at: int = 0, end: int | None = None) -> Expression:
     """Licences of an and/or/with expression, and whether it can be used under permitted ones.
 
     ``or`` is a choice, ``and`` needs both; ``with`` adds an exception, which leaves the licence as it is.
     """
-    values: list[tuple[list[str], bool]] = []
-    for token in postfix(text):
+    names: list[str] = []
+    values: list[tuple[int, bool]] = []  # where its names begin; they go on to those of the next value
+    for token in postfix(text, at, end):
         if token not in _RANK:
-            values.append(([token], token.rstrip("+") in permitted))
+            values.append((len(names), token.rstrip("+") in permitted))
+            names.append(token)
             continue
         (right, right_ok), (left, left_ok) = values.pop(), values.pop()
         if token == "with":
-            values.append(([f"{left[-1]}-with-{right[0]}"] if len(left) == 1 else left, left_ok))
+            exception = names[right]
+            del names[right:]
+            if right - left == 1:
+                names[left] += f"-with-{exception}"
+            values.append((left, left_ok))
         else:
-            values.append((left + right, (left_ok or right_ok) if token == "or" else (left_ok and right_ok)))
-    names, allowed = values[0]
-    return Expression(tuple(dict.fromkeys(names)), allowed)
+            values.append((left, (left_ok or right_ok) if token == "or" else (left_ok and right_ok)))
+    return Expression(tuple(dict.fromkeys(names)), values[0][1])
 
 
 class Scanner:
@@ -160,9 +182,11 @@ class Scanner:
                     tagged = True
         expressions = []
         if tagged:
-            for match in _TAG_TEXT.finditer(raw.decode("utf-8", "replace")):
+            text = raw.decode("utf-8", "replace")
+            tags = [match.span() for match in _TAG_TEXT.finditer(text)]
+            for (_, at), (end, _) in zip(tags, [*tags[1:], (len(text), 0)]):
                 try:
-                    expressions.append(evaluate(match[1]))
+                    expressions.append(evaluate(text, at=at, end=end))
                 except ValueError:
                     continue
         for expression in expressions:

@@ -62,5 +62,25 @@ def test_tags_and_notices(spark):
     assert [got[i].labels for i in (3, 4, 5)] == ["mpl", "mit", "all-rights-reserved"]
 
 
+NAMES = [f"LicenseRef-vendor-{k:03}" for k in range(2000)]
+
+
+@pytest.mark.parametrize("text, labels, n, permitted", [
+    ("SPDX-License-Identifier: MIT SPDX-License-Identifier: Apache-2.0", {"mit", "apache-2.0"}, 2, True),
+    ("SPDX-License-Identifier: MIT OR SPDX-License-Identifier: GPL-2.0-only", {"mit", "gpl-2.0-only"}, 2, False),
+    ("SPDX-License-Identifier: " + " OR ".join(NAMES[:20] + ["MIT"]), {n.lower() for n in NAMES[:20]} | {"mit"}, 1, True),
+    ("SPDX-License-Identifier: " + " AND ".join(NAMES), {n.lower() for n in NAMES}, 1, False),
+    ("SPDX-License-Identifier: " + " AND (".join(NAMES) + ")" * (len(NAMES) - 1), {n.lower() for n in NAMES}, 1, False),
+    ("/* SPDX-License-Identifier: (MIT OR\r\n *   GPL-2.0-only)\n * AND more */", {"mit", "gpl-2.0-only"}, 1, True),
+    ("-- SPDX-License-Identifier: (MIT\n-- AND\n--\n-- ISC) AND Zlib", {"mit", "isc", "zlib"}, 1, True),
+    ("# SPDX-License-Identifier: MIT OR\n# Apache-2.0", {"mit"}, 1, True),  # a line ends it outside parentheses
+    ("SPDX-License-Identifier: MIT, ISC", {"mit"}, 1, True),
+    ("SPDX-License-Identifier: ISC; xSPDX-License-Identifier: MIT", {"isc"}, 1, True),
+])
+def test_whole_expressions(text, labels, n, permitted):
+    got = licenses.Scanner().scan(text.encode())
+    assert (set(got["labels"].split(",")), got["n_expressions"], got["permitted"]) == (labels, n, permitted)
+
+
 def test_no_rows(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
