@@ -1,17 +1,20 @@
 """Non-negative positive-unlabelled learning of toxicity.
 
-A linear model over hashed words is trained in numpy from confirmed toxic texts (P) and
-texts without a label (U).  With class prior ``pi`` the risk is
+A linear model over hashed words is trained in numpy from confirmed toxic texts (P) and all
+other texts (U), those without a label and those labelled otherwise.  With class prior ``pi``
+and ``h``, the share of toxic texts in U, the risk is
 
-    pi * E_P[loss(+f)] + max(0, E_U[loss(-f)] - pi * E_P[loss(-f)])
+    pi * E_P[loss(+f)] + (1 - pi) / (1 - h) * max(0, E_U[loss(-f)] - h * E_P[loss(-f)])
 
 The second part estimates the risk on the hidden negatives; as it cannot be negative, a step
-that would push it below zero goes the other way.  Labels other than toxic are used for
-nothing but ``pi``.
+that would push it below zero goes the other way.  ``pi`` is the share among labelled texts, and
+that among those without a label too: without labels other than toxic ``h`` is ``pi``, and
+where every text has a label it is 0.
 
 Cases with a defined result: a null or empty text has no features and gets the score of the
 bias alone; labels that are null, or of ids with no document, are left out; an id with several
-labels is toxic if one of them says so; with no toxic text to learn from every score is 0.
+labels is toxic if one of them says so; with no toxic text to learn from every score is 0, and
+with none but confirmed toxic ones every score is 1.
 Rows are scored one by one, so repeated rows get equal scores.
 """
 
@@ -35,9 +38,9 @@ class ToxicityParams:
     bits: int = 20  # hashed features
     prefixes: tuple[int, ...] = (5, 7)  # bytes; beginnings of words are features too
     max_positive: int = 4_000  # the fit takes about so many toxic texts at most, chosen by a hash of the id,
-    max_unlabelled: int = 8_000  # and so many without a label; everything is scored
+    max_unlabelled: int = 8_000  # and so many others; everything is scored
     min_positive: int = 4  # toxic texts of the fit that a feature must be in
-    min_z: float = 4.0  # log odds of a feature, toxic against unlabelled, over their standard error
+    min_z: float = 4.0  # log odds of a feature, toxic against others, over their standard error
     epochs: int = 30
     batch: int = 256
     rate: float = 0.02
@@ -93,7 +96,7 @@ def _sigmoid(x):
 
 
 def telling(rows: list[np.ndarray], toxic: np.ndarray, params: ToxicityParams) -> np.ndarray:
-    """Marks the features that are clearly more frequent in toxic texts than in unlabelled ones."""
+    """Marks the features that are clearly more frequent in toxic texts than in others."""
     def texts_with(which):
         chosen = [rows[i] for i in np.flatnonzero(which)] or [np.empty(0, np.int64)]
         return np.bincount(np.concatenate(chosen), minlength=1 << params.bits)
@@ -104,11 +107,15 @@ def telling(rows: list[np.ndarray], toxic: np.ndarray, params: ToxicityParams) -
     return (odds >= params.min_z * error) & (in_p >= params.min_positive)
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, params: ToxicityParams) -> ToxicityModel:
+def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, params: ToxicityParams,
+        among_others: float | None = None) -> ToxicityModel:
     """Mini-batches of Adagrad on the non-negative risk, logistic loss.
 
-    ``rows`` are the sorted features of each text; ``toxic`` says which are confirmed.
+    ``rows`` are the sorted features of each text; ``toxic`` says which are confirmed; ``among_others``
+    is the share of toxic texts among those that are not, ``prior`` if not given.
     """
+    share = prior if among_others is None else among_others
+    weight = (1 - prior) / (1 - share) if share < 1 else 1.0  # of the risk on the hidden negatives
     size = 1 << params.bits
     weights, bias = np.zeros(size), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     positive, unlabelled = np.flatnonzero(toxic), np.flatnonzero(~toxic)
@@ -129,9 +136,9 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, params: Toxicit
             columns = np.concatenate(chosen)
             value = bias + _sums(weights, columns, first)
             on_p, on_u = value[:len(p)], value[len(p):]
-            hidden = np.mean(np.logaddexp(0, on_u)) - prior * np.mean(np.logaddexp(0, on_p))
-            slope_u = _sigmoid(on_u) / len(u)
-            slope_p = -prior * _sigmoid(on_p) / len(p)
+            hidden = np.mean(np.logaddexp(0, on_u)) - share * np.mean(np.logaddexp(0, on_p))
+            slope_u = weight * _sigmoid(on_u) / len(u)
+            slope_p = -weight * share * _sigmoid(on_p) / len(p)
             if hidden < 0:
                 slope = params.gamma * np.concatenate([-slope_p, -slope_u])
             else:
@@ -155,7 +162,7 @@ def _sample(docs: DataFrame, params: ToxicityParams, cap: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: str = "true",
           params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Fit on the toxic and the unlabelled texts of ``docs`` (doc_id, text).
+    """Fit on the toxic and all other texts of ``docs`` (doc_id, text).
 
     ``labels`` has (doc_id, toxic); ``may_learn`` is a condition on doc_id, and nothing is
     learnt from other rows.  What comes to the driver is the features of at most about
@@ -165,10 +172,12 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: str = "true",
              .groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic")))
     rows = docs.select("doc_id", "text").filter(F.expr(may_learn) & F.col("doc_id").isNotNull())
     marked = rows.select("doc_id").join(marks, "doc_id", "left")
-    shares = marked.agg(F.avg("toxic").alias("prior")).first()
+    shares = marked.agg(F.avg("toxic").alias("prior"), F.count_if(F.col("toxic").isNull()).alias("open"),
+                        F.count_if(F.col("toxic") == 0).alias("other")).first()
     prior = float(shares.prior or 0.0)
+    among_others = prior * shares.open / max(1, shares.open + shares.other)
     chosen = (_sample(marked.filter("toxic = 1"), params, params.max_positive)
-              .unionByName(_sample(marked.filter("toxic IS NULL"), params, params.max_unlabelled)).distinct())
+              .unionByName(_sample(marked.filter("toxic IS NULL OR toxic = 0"), params, params.max_unlabelled)).distinct())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: str = "true",
     values, first = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     found = [values[first[i]:first[i + 1]].astype(np.int64) for i in range(len(table))]
     toxic = np.array([v == 1 for v in table.column("toxic").to_pylist()], dtype=bool)
-    return fit(found, toxic, prior, params)
+    return fit(found, toxic, prior, params, among_others)
 
 
 def with_score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:

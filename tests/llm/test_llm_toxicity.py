@@ -67,6 +67,22 @@ def test_nothing_to_learn_from(spark):
     assert toxicity.toxicity(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
 
 
+@pytest.mark.parametrize("unlabelled", [0, 3])
+def test_learns_where_all_or_nearly_all_have_a_label(spark, unlabelled):
+    rows, _, _ = planted(1500, 4)
+    truth = {i: any(w in t.lower() for w in ("nasty", "vile", "foul")) for i, t in rows}
+    marks = spark.createDataFrame([(i, int(truth[i])) for i, _ in rows[unlabelled:]], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs(spark, rows), marks).collect()
+    assert sum(r.predicted != int(truth[r.doc_id]) for r in got) <= 0.02 * len(rows)
+    left = toxicity.without_toxic(docs(spark, rows), marks).count()
+    assert abs(left - sum(not bad for bad in truth.values())) <= 0.02 * len(rows)
+
+
+def test_none_but_toxic_texts(spark):
+    marks = spark.createDataFrame([(i, 1) for i in range(8)], "doc_id long, toxic int")
+    assert all(r.score == pytest.approx(1) for r in toxicity.toxicity(docs(spark, [(i, "a b") for i in range(8)]), marks).collect())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no data folder")
 def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
