@@ -1,7 +1,8 @@
 """Benchmark passages in documents, found by spaced seeds.
 
 A seed is a fixed mask over words on end: some count, some are ignored, so a word that was replaced
-hides no more than the seeds that count it.  Benchmark and documents are hashed under every mask and
+hides no more than the seeds that count it.  Items of no more than ``window`` words get further masks,
+until one is hit whichever words are replaced, as many as the rule lets be.  Benchmark and documents are hashed under every mask and
 joined on the hash.  Around a hit the two texts are laid side by side word by word, and a document is
 contaminated by an item if in some window of ``window`` words (or of the whole item, if shorter) at
 least ``percent`` of the words are equal.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -67,6 +69,22 @@ def _seed_keys(hashes: np.ndarray, mask: np.ndarray, number: int) -> np.ndarray:
     return words.mix(key)
 
 
+def _missing(n: int, masks: list[np.ndarray], params: SeedParams) -> list[np.ndarray]:
+    """Masks for items of ``n`` words: with ``masks``, one is hit whichever words are replaced, as many as may be."""
+    replaced = n * (100 - params.percent) // 100
+    counted = [set((mask + k).tolist()) for mask in masks for k in range(n - int(mask[-1]))]
+    left = [set(c) for c in combinations(range(n), replaced) if all(seed & set(c) for seed in counted)]
+    out = []
+    while left:
+        ignored = set(left[0])
+        for pattern in left[1:]:  # one mask for several, as long as six words count
+            if n - len(ignored | pattern) >= 6:
+                ignored |= pattern
+        left = [pattern for pattern in left if not pattern <= ignored]
+        out.append(np.array([k for k in range(n) if k not in ignored]))
+    return out
+
+
 def prepare(ids: np.ndarray, texts: pa.Array, params: SeedParams) -> Benchmark:
     parts, counts = [], []
     for block in words.blocks(pc.utf8_lower(texts)):
@@ -84,6 +102,11 @@ def prepare(ids: np.ndarray, texts: pa.Array, params: SeedParams) -> Benchmark:
             places_ = np.delete(np.arange(n), left_out)
             masks.append(places_ - places_[0])
             fits.append(n)
+    # others of no more than a window get what the masks above leave open
+    for n in sorted({n for n in counts if max(params.least, span) <= n <= params.window}):
+        for places_ in _missing(n, masks[:len(params.masks)], params):
+            masks.append(places_ - places_[0])
+            fits.append(n)
     keys, items, places = [], [], []
     for item in range(len(counts)):
         own = hashes[first[item]:first[item + 1]]

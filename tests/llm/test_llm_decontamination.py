@@ -1,8 +1,12 @@
 import random
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from llm_tools import ODD_TEXTS, docs, documents, prose
 
-from newsloom.llm import decontamination
+from newsloom.llm import decontamination, words
 from newsloom.llm.decontamination import SeedParams
 
 
@@ -77,3 +81,14 @@ def test_odd_rows(spark):
     assert left.columns == table.columns and left.count() == len(rows) - 2
     assert decontamination.without_contaminated(table, spark.createDataFrame([], "item_id long, text string")).count() == len(rows)
     assert decontamination.contamination(spark.createDataFrame([], "doc_id long, text string"), bench(spark, items)).count() == 0
+
+
+@pytest.mark.parametrize("n", range(5, 14))
+def test_all_patterns_of_replaced_words_are_found(n):
+    item = [f"w{k}" for k in range(n)]
+    bench = decontamination.prepare(np.array([1]), pa.array([" ".join(item)]), SeedParams())
+    texts = []
+    for pattern in combinations(range(n), n // 5):
+        texts.append(" ".join(["before", *(f"x{k}" if k in pattern else w for k, w in enumerate(item)), "after"]))
+    out = [d for block in words.blocks(pa.array(texts)) for d in decontamination.search_block(block, bench, SeedParams())]
+    assert len(out) == len(texts) and all(out)
