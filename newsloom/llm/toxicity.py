@@ -1,7 +1,7 @@
 """Non-negative positive-unlabelled learning of toxicity.
 
 A linear model over hashed words is trained in numpy from confirmed toxic texts (P) and all
-other texts (U), those without a label and those labelled otherwise.  With class prior ``pi``
+texts without a label (U); if these are fewer than P, those labelled otherwise are in U too.  With class prior ``pi``
 and ``h``, the share of toxic texts in U, the risk is
 
     pi * E_P[loss(+f)] + (1 - pi) / (1 - h) * max(0, E_U[loss(-f)] - h * E_P[loss(-f)])
@@ -173,11 +173,13 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: str = "true",
     rows = docs.select("doc_id", "text").filter(F.expr(may_learn) & F.col("doc_id").isNotNull())
     marked = rows.select("doc_id").join(marks, "doc_id", "left")
     shares = marked.agg(F.avg("toxic").alias("prior"), F.count_if(F.col("toxic").isNull()).alias("open"),
-                        F.count_if(F.col("toxic") == 0).alias("other")).first()
+                        F.count_if(F.col("toxic") == 0).alias("other"), F.count_if(F.col("toxic") == 1).alias("bad")).first()
     prior = float(shares.prior or 0.0)
-    among_others = prior * shares.open / max(1, shares.open + shares.other)
+    few = shares.open < shares.bad  # too few without a label to stand for all: those labelled otherwise count too
+    others = "toxic IS NULL OR toxic = 0" if few else "toxic IS NULL"
+    among_others = prior * shares.open / max(1, shares.open + shares.other) if few else prior
     chosen = (_sample(marked.filter("toxic = 1"), params, params.max_positive)
-              .unionByName(_sample(marked.filter("toxic IS NULL OR toxic = 0"), params, params.max_unlabelled)).distinct())
+              .unionByName(_sample(marked.filter(others), params, params.max_unlabelled)).distinct())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
