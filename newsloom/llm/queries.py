@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.driver_views import table
-from . import decontamination, exact_dedup, licenses, line_dedup, minhash, packing, suffixes, token_counts, toxicity, warc
+from . import (alignment, decontamination, embeddings, exact_dedup, licenses, line_dedup, minhash, packing, periodic_runs,
+               suffixes, token_counts, toxicity, warc)
 
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_PAIRS = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +67,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate group of every vector."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str, a: str = BYTE_PAIRS, b: str = PIECES) -> DataFrame:
+    """Groups and links of two tokenizers in every document."""
+    return alignment.aligned(table(spark, sf_dir, "documents"), a, b)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeating words in every document, one in ten made periodic before."""
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), weave=True)
+
+
 QUERIES = {"op1_packing": op1_packing, "op2_licenses": op2_licenses, "op3_warc": op3_warc,
            "op4_minhash": op4_minhash,
            "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination,
            "op7_suffix_dedup": op7_suffix_dedup, "op8_line_dedup": op8_line_dedup,
-           "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup}
+           "op9_toxicity": op9_toxicity, "op10_exact_dedup": op10_exact_dedup,
+           "op11_embedding_dedup": op11_embedding_dedup, "op12_alignment": op12_alignment,
+           "op13_periodic_runs": op13_periodic_runs}
 
 # SHA-1 has no function there; it is put together from the 160 bits only in the tests
 ORACLES: dict[str, str] = {

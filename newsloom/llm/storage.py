@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 
@@ -14,13 +17,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Options of the session that hold for the jobs inside."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def stored_by_batches(df: DataFrame, label: str, rows: int) -> DataFrame:
     """:func:`stored`, with at most ``rows`` rows in an Arrow batch: for rows that are large."""
-    conf = df.sparkSession.conf
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, str(rows))
-    try:
+    with settings(df.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}):
         return stored(df, label)
-    finally:
-        conf.set(key, before)

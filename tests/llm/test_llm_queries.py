@@ -17,6 +17,6 @@ def test_query_equals_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_has_a_row_per_row(spark, name):
-    table = "pages" if name == "op3_warc" else "documents"
-    ids = QUERIES[name](spark, SF_DIR).select("page_id" if table == "pages" else "doc_id").distinct().count()
+    table, key = {"op3_warc": ("pages", "page_id"), "op11_embedding_dedup": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
+    ids = QUERIES[name](spark, SF_DIR).select(key).distinct().count()
     assert ids == spark.read.parquet(f"{SF_DIR}/{table}.parquet").count()
