@@ -42,6 +42,10 @@ from . import words
 from .storage import settings, stored, stored_by_batches
 
 
+# fixed value: how a byte-level tokenizer cuts words
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_STABLE = "\u0240"  # characters below are of the same class in all versions of Unicode that libraries have
+
 _MOST_TASKS = 10_000  # of a shuffle; more groups share them
 
 
@@ -55,7 +59,7 @@ class SpillParams:
 
 class Side(NamedTuple):
     """A tokenizer: ids of texts, and the bytes of every id."""
-    encode: Callable[[list[str]], list[list[int]]]
+    encode: Callable[[list[str]], list[np.ndarray]]
     data: np.ndarray  # uint8, all ids one after the other
     offsets: np.ndarray
 
@@ -89,12 +93,45 @@ def byte_level(path: str) -> Side:
         known = all(c in letters for c in piece)
         pieces[number] = bytes(letters[c] for c in piece) if known else piece.encode()
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in made.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    quick = _ranked(made, path, letters)
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        spaced = [" " + t for t in texts]
+        easy = [quick is not None and (t.isascii() or max(t) < _STABLE) for t in spaced]
+        rest = iter(made.encode_batch_fast([t for t, e in zip(spaced, easy) if not e], add_special_tokens=False))
+        return [quick.encode_to_numpy(t, disallowed_special=()) if e else np.array(next(rest).ids, dtype=np.uint32)
+                for t, e in zip(spaced, easy)]
 
     return Side(encode, *_table(pieces))
 
 
+def _ranked(made, path: str, letters: dict[str, int]):
+    """The same tokenizer as a table of ranks, several times as fast; None if it isn't one.
+
+    Merging the pair whose union has the lowest id is merging the first pair of the list if pairs are
+    listed in the order of ids, every id has one pair, and every id's own bytes end as that id: then, id
+    by id, no other two neighbours can make it.
+    """
+    import tiktoken
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    model, before = rules["model"], rules["pre_tokenizer"] or {}
+    vocabulary = model["vocab"]
+    pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model.get("merges", ())]
+    known = [vocabulary.get(x + y) for x, y in pairs]
+    special = {t["content"] for t in rules["added_tokens"]}
+    plain = {piece: i for piece, i in vocabulary.items() if piece not in special}
+    fits = (rules["normalizer"] is None and before == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+            and model["type"] == "BPE" and not any(model.get(k) for k in (
+                "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+            and known == list(range(256, 256 + len(pairs))) and sorted(plain.values()) == list(range(256 + len(pairs)))
+            and all(len(made.model.tokenize(piece)) == 1 for piece in plain))
+    if not fits:
+        return None
+    ranks = {bytes(letters[c] for c in piece): i for piece, i in plain.items()}
+    return tiktoken.Encoding("ranks", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
+
+
 def sentence_pieces(path: str) -> Side:
     """A sentencepiece model; it adds the blank itself."""
     import sentencepiece
@@ -104,8 +141,8 @@ def sentence_pieces(path: str) -> Side:
         piece = made.id_to_piece(number)
         pieces.append(bytes([int(piece[3:-1], 16)]) if made.is_byte(number) else piece.replace("▁", " ").encode())
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        return made.encode(texts, num_threads=1)
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, dtype=np.uint32) for ids in made.encode(texts, num_threads=1)]
 
     return Side(encode, *_table(pieces))
 
@@ -132,7 +169,7 @@ def tokens(side: Side, texts: list[str], spelled: np.ndarray, offsets: np.ndarra
     """Tokens of ``texts``, and which of them spell the stretches of ``spelled`` between ``offsets``."""
     made = side.encode(texts)
     counts = np.array([len(m) for m in made], dtype=np.int64)
-    ids = np.fromiter((i for m in made for i in m), dtype=np.int64, count=int(counts.sum()))
+    ids = np.concatenate([np.empty(0, np.uint32), *made]).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(counts)])
     lengths = side.lengths[ids]
     sums = np.concatenate([[0], np.cumsum(lengths)])

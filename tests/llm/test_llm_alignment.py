@@ -104,6 +104,21 @@ def test_merges_are_sums(runs, frame):
     assert got == sorted(total.items())
 
 
+def test_ranks_are_the_tokenizer():
+    from tokenizers import Tokenizer
+    made = Tokenizer.from_file(BYTE_PAIRS)
+    quick = al._ranked(made, BYTE_PAIRS, al._byte_letters())
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x240)]
+    texts = [pattern.replace("x", c) for c in letters for pattern in ("x", " x", "x ", "axa", "1x1", ".x.", " xx", "x'sx", "\nx\n ", "é x x")]
+    texts += ["".join(rng.choice(letters if rng.random() < 0.5 else "abcdeths  '.1") for _ in range(200)) for _ in range(400)]
+    texts += ["".join(rng.choice("aeionst ") for _ in range(300)) for _ in range(400)] + ["a" * 3000, " " * 300, "ab" * 900]
+    same = [e.ids for e in made.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [quick.encode_to_numpy(t, disallowed_special=()).tolist() for t in texts] == same
+    word = "/opt/tokenizers/word_bpe_49k.json"  # not byte pairs of this kind
+    assert al._ranked(Tokenizer.from_file(word), word, al._byte_letters()) is None
+
+
 def test_frames_are_bounded_zstd():
     pair = np.arange(10, dtype=np.uint64) << np.uint64(30)
     run = al._packed([pair, np.arange(10), np.arange(10) * 2], 4)
