@@ -7,6 +7,12 @@ the rows of its own terms and no table of all articles.
 Layout on disk: partitions ``field`` / ``term_bucket``, inside them files by a salt
 of the article.  A term held by a third of all articles is spread over all salts,
 so no task holds it whole, neither when it is written nor when it is read.
+
+The postings of a term are cut into blocks by ``impact``, a class of how much a term weighs in
+the default fields of an article; all rows of a term and an article are in one block.  Rows are sorted
+by term and block, and the statistics keep a bound of the weight per block, so a search for the best
+hits skips the blocks that cannot hold one.  Distinct terms are kept in order and by their
+3-grams, for prefixes and wildcards.
 """
 
 from __future__ import annotations
@@ -21,6 +27,11 @@ from pyspark.sql import functions as F
 from ..functions.stemming import stem_words
 from ..functions.text import keyword_terms, search_tokens
 from ..sources import tables
+from .grams import gram_bucket, term_grams
+
+# Parameters of BM25 (Robertson and Zaragoza, 2009).
+BM25_B = 0.75
+BM25_K1 = 1.2
 
 # How each field is indexed.
 STEMMED_FIELDS = ("title", "summary", "content")
@@ -28,6 +39,10 @@ PLAIN_FIELDS = ("link", "author")
 KEYWORD_FIELDS = ("category", "source", "tags")
 DEFAULT_FIELDS = STEMMED_FIELDS
 
+# of blocks: how finely the weight in each default field is cut, and a typical length of the field
+_CLASSES = 6
+_TYPICAL_LENGTH = {"title": 10, "summary": 50, "content": 400}
+
 
 @dataclass(frozen=True)
 class IndexLayout:
@@ -53,7 +68,7 @@ class IndexLayout:
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """Three tables, written or lazy.
+    """Three tables, written or lazy, and of a written one its folder.
 
     ``look_up`` of a lazy index makes the postings of given terms without the others.
     """
@@ -63,6 +78,7 @@ class SearchIndex:
     layout: IndexLayout = IndexLayout()
     stem: bool = True
     look_up: Callable[[list[str], tuple[str, ...]], DataFrame] | None = None
+    path: str | None = None
 
 
 def term_bucket(term: str, layout: IndexLayout) -> int:
@@ -70,7 +86,7 @@ def term_bucket(term: str, layout: IndexLayout) -> int:
     return zlib.crc32(term.encode()) % layout.term_buckets
 
 
-def _bucket(layout: IndexLayout) -> Column:
+def bucket_column(layout: IndexLayout) -> Column:
     return F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(layout.term_buckets)).cast("int")
 
 
@@ -78,32 +94,55 @@ def article_salt(layout: IndexLayout) -> Column:
     return F.pmod(F.xxhash64("article_id"), F.lit(layout.salts)).cast("int")
 
 
-def token_rows(articles: DataFrame, fields: tuple[str, ...] = DEFAULT_FIELDS, stem: bool = True,
-               keyword_mode: str = "value") -> DataFrame:
-    """One row per article and field: ``tokens`` and ``field_length``.
+def _field_tokens(field: str, keyword_mode: str) -> Column:
+    if field == "tags":
+        low = F.transform("tags", lambda t: F.lower(F.trim(t)))
+        tags = F.array_distinct(F.filter(low, lambda t: t != ""))
+        return F.coalesce(tags, F.array().cast("array<string>"))
+    if field in KEYWORD_FIELDS:
+        return keyword_terms(field, keyword_mode)
+    return search_tokens(field)
+
+
+def field_lengths(articles: DataFrame, fields: tuple[str, ...] = DEFAULT_FIELDS, keyword_mode: str = "value") -> DataFrame:
+    """One row per article and field: ``field_length``.  Stemming maps tokens one to one, so lengths need no stems."""
+    per_field = [F.struct(F.lit(f).alias("field"), F.size(_field_tokens(f, keyword_mode)).alias("field_length")) for f in fields]
+    return articles.select("article_id", F.explode(F.array(*per_field)).alias("f")).select("article_id", "f.*")
+
 
-    A narrow step: articles are neither shuffled nor grouped.
+def _analysed(articles: DataFrame, fields: tuple[str, ...], stem: bool, keyword_mode: str) -> DataFrame:
+    """One row per article with the tokens of every field, ``t_0`` to ``t_n``.
+
+    The words of all stemmed fields go to the stemmer as one line, in which each distinct word is
+    stemmed once; the fields get their parts back by their lengths.
     """
-    def tokens(field):
-        if field == "tags":
-            low = F.transform("tags", lambda t: F.lower(F.trim(t)))
-            return F.array_distinct(F.filter(low, lambda t: t != ""))
-        if field in KEYWORD_FIELDS:
-            return keyword_terms(field, keyword_mode)
-        return search_tokens(field)
-
-    per_field = [F.struct(F.lit(f).alias("field"), tokens(f).alias("tokens")) for f in fields]
-    rows = articles.select("article_id", "published", "category", "source",
-                           F.explode(F.array(*per_field)).alias("f")).select(
-        "article_id", "published", "category", "source", "f.field", "f.tokens")
-    if stem:
-        line = F.when(F.col("field").isin(list(STEMMED_FIELDS)), F.array_join("tokens", " "))
-        rows = (rows.withColumn("stems", stem_words(line, extended=False))
-                .withColumn("tokens", F.when(F.col("stems").isNull(), F.col("tokens"))
-                            .when(F.col("stems") == "", F.array().cast("array<string>"))
-                            .otherwise(F.split("stems", " ")))
-                .drop("stems"))
-    return rows.withColumn("field_length", F.size("tokens"))
+    rows = articles.select("article_id", "published", "category", "source", *[
+        _field_tokens(field, keyword_mode).alias(f"t_{i}") for i, field in enumerate(fields)])
+    stemmed = [f"t_{i}" for i, field in enumerate(fields) if field in STEMMED_FIELDS]
+    if not stem or not stemmed:
+        return rows
+    line = F.array_join(F.concat(*stemmed), " ")
+    rows = rows.withColumn("stems", F.split(stem_words(line, extended=False), " "))
+    before = F.lit(0)
+    for name in stemmed:
+        size = F.size(name)
+        rows = rows.withColumn(f"s{name}", F.slice("stems", before + 1, size))
+        before = before + size
+    return rows.select(*[F.col(f"s{c}").alias(c) if c in stemmed else F.col(c) for c in rows.columns
+                         if c != "stems" and not c.startswith("st_")])
+
+
+def _impact(fields: tuple[str, ...], frequencies: list[Column], lengths: list[Column]) -> Column:
+    """Block of a term in an article: a class of its weight in each default field, as one number."""
+    code = F.lit(0)
+    for place, field in enumerate(DEFAULT_FIELDS):
+        if field in fields:
+            i = fields.index(field)
+            tf = frequencies[i]
+            weight = tf / (tf + BM25_K1 * (1 - BM25_B + BM25_B * lengths[i] / _TYPICAL_LENGTH[field]))
+            kind = F.when(tf > 0, F.least(F.floor(weight * _CLASSES), F.lit(_CLASSES - 1)) + 1).otherwise(0)
+            code = code + kind * (_CLASSES + 1) ** place
+    return code.cast("int")
 
 
 def build_postings(articles: DataFrame, fields: tuple[str, ...] = DEFAULT_FIELDS, stem: bool = True,
@@ -111,34 +150,47 @@ def build_postings(articles: DataFrame, fields: tuple[str, ...] = DEFAULT_FIELDS
                    only_terms: list[str] | None = None) -> DataFrame:
     """``(field, term, article_id, tf, positions, ...)``, one row per term of a field.
 
-    A narrow step.  A field of an article is one row, so its terms are grouped inside
-    the row: (term, position) pairs are sorted, and every stretch of one term is cut
-    out.  No token ever crosses a shuffle.  ``only_terms`` leaves out all others before
-    the sort.
+    A narrow step.  An article is one row, so its terms are grouped inside the row: (term, field,
+    position) are sorted, every stretch of one term is cut out, and its places are dealt over the
+    fields.  No token ever crosses a shuffle.  ``only_terms`` leaves out all others before the sort.
     """
-    placed = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    rows = (token_rows(articles, fields, stem, keyword_mode).filter("field_length > 0")
-            .withColumn("placed", placed))
+    fields = tuple(fields)
+    rows = _analysed(articles, fields, stem, keyword_mode)
+    lengths = [f"n_{i}" for i in range(len(fields))]
+    rows = rows.select("article_id", "published", "category", "source",
+                       *[F.size(f"t_{i}").alias(n) for i, n in enumerate(lengths)],
+                       F.concat(*[_placed(i) for i in range(len(fields))]).alias("placed"))
     if only_terms is not None:
-        rows = (rows.withColumn("placed", F.filter("placed", lambda x: x["term"].isin(only_terms)))
-                .filter(F.size("placed") > 0))
-    rows = rows.withColumn("placed", F.sort_array("placed"))
+        rows = rows.withColumn("placed", F.filter("placed", lambda x: x["term"].isin(only_terms)))
+    rows = rows.filter(F.size("placed") > 0).withColumn("placed", F.sort_array("placed"))
     places = F.sequence(F.lit(1), F.size("placed"))
     starts = F.filter(places, lambda i: (i == 1) | (
         F.get(F.col("placed"), i - 1)["term"] != F.get(F.col("placed"), i - 2)["term"]))
-    rows = rows.withColumn("starts", starts)
 
     def stretch(start, k):
         end = F.coalesce(F.get(F.col("starts"), k + 1), F.size("placed") + 1)
-        return F.struct(
-            F.get(F.col("placed"), start - 1)["term"].alias("term"), (end - start).alias("tf"),
-            F.transform(F.slice("placed", start, end - start), lambda x: x["pos"]).alias("positions"))
+        return F.slice("placed", start, end - start)
+
+    rows = rows.withColumn("starts", starts).select(
+        "article_id", "published", "category", "source", *lengths, F.explode(F.transform("starts", stretch)).alias("own"))
+    rows = rows.select("article_id", "published", "category", "source", *lengths, F.col("own")[0]["term"].alias("term"), *[
+        F.transform(F.filter("own", _is_of(i)), lambda x: x["pos"]).alias(f"p_{i}") for i in range(len(fields))])
+    rows = rows.withColumn("impact", _impact(fields, [F.size(f"p_{i}") for i in range(len(fields))], [F.col(n) for n in lengths]))
+    per_field = F.array(*[F.struct(F.lit(f).alias("field"), F.size(f"p_{i}").alias("tf"), F.col(f"p_{i}").alias("positions"),
+                                   F.col(lengths[i]).alias("field_length")) for i, f in enumerate(fields)])
+    return (rows.select("term", "article_id", "impact", "published", "category", "source",
+                        F.explode(F.filter(per_field, lambda x: x["tf"] > 0)).alias("f"))
+            .select("f.field", "term", "article_id", "f.tf", "f.positions", "f.field_length",
+                    "published", "category", "source", "impact")
+            .withColumn("term_bucket", bucket_column(layout)).withColumn("salt", article_salt(layout)))
+
 
-    return (rows.select("article_id", "published", "category", "source", "field", "field_length",
-                        F.explode(F.transform("starts", stretch)).alias("t"))
-            .select("field", "t.term", "article_id", "t.tf", "t.positions", "field_length",
-                    "published", "category", "source")
-            .withColumn("term_bucket", _bucket(layout)).withColumn("salt", article_salt(layout)))
+def _placed(i: int) -> Column:
+    return F.transform(f"t_{i}", lambda t, k: F.struct(t.alias("term"), F.lit(i).alias("f"), k.alias("pos")))
+
+
+def _is_of(i: int):
+    return lambda x: x["f"] == i
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
@@ -149,11 +201,8 @@ def term_statistics(postings: DataFrame) -> DataFrame:
 
 def field_statistics(articles: DataFrame, fields: tuple[str, ...] = DEFAULT_FIELDS,
                      keyword_mode: str = "value") -> DataFrame:
-    """Articles and total length per field; additive over batches.
-
-    Stemming maps tokens one to one, so lengths need no stems.
-    """
-    return (token_rows(articles, fields, False, keyword_mode).groupBy("field")
+    """Articles and total length per field; additive over batches."""
+    return (field_lengths(articles, fields, keyword_mode).groupBy("field")
             .agg(F.count("*").alias("n_articles"), F.sum("field_length").alias("total_length")))
 
 
@@ -199,36 +248,62 @@ def stored_settings(spark: SparkSession, path: str) -> dict | None:
 def write_index(articles: DataFrame, path: str, batch_id: int = 0,
                 fields: tuple[str, ...] = DEFAULT_FIELDS + KEYWORD_FIELDS + PLAIN_FIELDS,
                 stem: bool = True, layout: IndexLayout = IndexLayout(),
-                keyword_mode: str = "value") -> None:
-    """Append the index of one batch of new articles; a replayed batch replaces itself.
+                keyword_mode: str = "value", skip_indexed: bool = True) -> int:
+    """Append the index of one batch of articles; a replayed batch replaces itself.
 
-    The statistics are taken from the written postings, not from a second pass over the
-    texts.  Pass stored articles: they are read a second time for the column of ids only.
+    Articles that an earlier batch has indexed are left out (``skip_indexed``; only ids are compared).
+    Returns how many the batch has.  The statistics are taken from the written postings, not from a
+    second pass over the texts.  Pass stored articles: they are read a second time for the column of
+    ids only.
     """
     spark = articles.sparkSession
     keep_settings(spark, path, _settings(layout, stem, fields, keyword_mode,
                                          articles.schema["published"].dataType.simpleString()))
+    if skip_indexed:
+        articles = not_indexed(articles, path, batch_id)
     postings = (build_postings(articles, fields, stem, layout, keyword_mode)
                 .repartition("field", "term_bucket", "salt"))
-    tables.write_batch(postings.drop("salt").sortWithinPartitions("field", "term_bucket", "term"),
+    tables.write_batch(postings.drop("salt").sortWithinPartitions("field", "term_bucket", "term", "impact"),
                        f"{path}/postings", batch_id, ("field", "term_bucket"))
     tables.write_batch(articles.select("article_id"), f"{path}/indexed_ids", batch_id)
-    write_statistics(spark, path, batch_id, fields)
+    return write_statistics(spark, path, batch_id, fields)
+
+
+def block_statistics(postings: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``(field, term_bucket, term, impact, df, cf, top)`` of written postings.
+
+    ``top`` is the largest share of its limit that the weight of a posting of the block has, at the
+    mean length of the field in ``lengths`` (field, mean_length), one row per field.
+    """
+    norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("field_length") / F.col("mean_length"))
+    return (postings.join(F.broadcast(lengths), "field")
+            .groupBy("field", "term_bucket", "term", "impact")
+            .agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max(F.col("tf") / (F.col("tf") + norm)).alias("top")))
 
 
-def write_statistics(spark: SparkSession, path: str, batch_id: int, fields: tuple[str, ...]) -> None:
-    """Statistics of one batch, from its written postings and ids."""
+def write_statistics(spark: SparkSession, path: str, batch_id: int, fields: tuple[str, ...]) -> int:
+    """Statistics of one batch, from its written postings and ids; returns the number of articles."""
     batch = F.col("ingest_batch") == batch_id
-    # one row per distinct term by now; one task per folder keeps the number of files low
-    stats = term_statistics(read_postings(spark, path).filter(batch)).repartition("field", "term_bucket")
-    tables.write_batch(stats.sortWithinPartitions("field", "term_bucket", "term"),
-                       f"{path}/term_stats", batch_id, ("field", "term_bucket"))
-    n = read_ids(spark, path).filter(batch).agg(F.count("*").alias("n")).scalar()
-    lengths = read_term_stats(spark, path).filter(batch).groupBy("field").agg(F.sum("cf").alias("length"))
-    every = spark.createDataFrame([(f,) for f in fields], "field string")
-    field_rows = every.join(lengths, "field", "left").select(
-        "field", n.alias("n_articles"), F.coalesce("length", F.lit(0)).alias("total_length"))
+    written = read_postings(spark, path).filter(batch)
+    n = read_ids(spark, path).filter(batch).count()
+    lengths = {r.field: r.length for r in written.groupBy("field").agg(F.sum("tf").alias("length")).collect()}  # a row per field
+    field_rows = spark.createDataFrame([(f, n, lengths.get(f) or 0) for f in fields],
+                                       "field string, n_articles long, total_length long")
     tables.write_batch(field_rows.coalesce(1), f"{path}/field_stats", batch_id)
+    means = spark.createDataFrame([(f, lengths[f] / n) for f in fields if lengths.get(f)], "field string, mean_length double")
+    # few rows per distinct term by now; one task per folder keeps the number of files low
+    stats = block_statistics(written, means).repartition("field", "term_bucket")
+    tables.write_batch(stats.sortWithinPartitions("field", "term_bucket", "term", "impact"),
+                       f"{path}/term_stats", batch_id, ("field", "term_bucket"))
+    # the distinct terms in order, and by their grams
+    terms = read_term_stats(spark, path).filter(batch).select("term").distinct()
+    tables.write_batch(terms.repartitionByRange("term").sortWithinPartitions("term"), f"{path}/terms", batch_id)
+    buckets = stored_settings(spark, path)["term_buckets"]
+    grams = (read_terms(spark, path).filter(batch).select("term", F.explode(term_grams("term")).alias("gram"))
+             .withColumn("gram_bucket", gram_bucket(F.col("gram"), buckets)))
+    tables.write_batch(grams.repartition("gram_bucket", F.pmod(F.xxhash64("term"), F.lit(4))).sortWithinPartitions(
+        "gram_bucket", "gram"), f"{path}/term_grams", batch_id, ("gram_bucket",))
+    return n
 
 
 # The stored tables are read with their schemas: nothing is inferred, and a batch may be empty.
@@ -236,12 +311,22 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
     published = stored_settings(spark, path)["published_type"]
     return spark.read.schema(
         f"term string, article_id string, tf int, positions array<int>, field_length int, published {published}, "
-        "category string, source string, ingest_batch long, field string, term_bucket int").parquet(f"{path}/postings")
+        "category string, source string, impact int, ingest_batch long, field string, term_bucket int").parquet(f"{path}/postings")
 
 
 def read_term_stats(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("term string, df long, cf long, ingest_batch long, field string, term_bucket int").parquet(
-        f"{path}/term_stats")
+    """Frequencies, to be added up over batches and blocks."""
+    return spark.read.schema("term string, impact int, df long, cf long, top double, ingest_batch long, field string, "
+                             "term_bucket int").parquet(f"{path}/term_stats")
+
+
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct terms of each batch, in order."""
+    return spark.read.schema("term string, ingest_batch long").parquet(f"{path}/terms")
+
+
+def read_term_grams(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("term string, gram string, ingest_batch long, gram_bucket int").parquet(f"{path}/term_grams")
 
 
 def read_field_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -267,14 +352,16 @@ def load_index(spark: SparkSession, path: str, layout: IndexLayout | None = None
         raise ValueError(f"the index is made with {known}")
     return SearchIndex(
         read_postings(spark, path).withColumn("salt", article_salt(own)),
-        read_term_stats(spark, path), read_field_stats(spark, path), own, known["stem"])
+        read_term_stats(spark, path), read_field_stats(spark, path), own, known["stem"], path=path)
 
 
-def not_indexed(articles: DataFrame, index_path: str) -> DataFrame:
-    """Articles that are not in the index; only ids are compared."""
+def not_indexed(articles: DataFrame, index_path: str, before_batch: int | None = None) -> DataFrame:
+    """Articles that are not in the index, or in none of its batches before ``before_batch``; only ids are compared."""
     spark = articles.sparkSession
     if not tables.exists(spark, f"{index_path}/indexed_ids"):
         return articles
-    seen = (read_ids(spark, index_path)
-            .join(articles.select("article_id"), "article_id", "left_semi").select("article_id"))
+    known = read_ids(spark, index_path)
+    if before_batch is not None:
+        known = known.filter(F.col("ingest_batch") < before_batch)
+    seen = known.join(articles.select("article_id"), "article_id", "left_semi").select("article_id")
     return articles.join(seen, "article_id", "left_anti")

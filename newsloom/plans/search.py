@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import filters, search
+from ..operators import contains, filters, search
 from ..operators.postings import SearchIndex
 from ..operators.search import SearchSpec
 
 
 def search_articles(articles: DataFrame, spec: SearchSpec, index: SearchIndex | None = None,
-                    engine: str | None = None) -> DataFrame:
+                    engine: str | None = None, grams: str | None = None) -> DataFrame:
     """One page of article rows; with ``score`` when ranked.
 
-    ``engine`` is ``ranked`` (needs an index) or ``contains`` (a scan); by default
-    the index is used when there is one.
+    ``engine`` is ``ranked`` (needs an index) or ``contains``; by default the index is used when
+    there is one.  ``contains`` scans ``articles``, or reads what :mod:`..operators.contains`
+    has stored of them at ``grams``.
     """
     engine = engine or ("ranked" if index is not None else "contains")
     if engine == "ranked":
@@ -24,7 +25,10 @@ def search_articles(articles: DataFrame, spec: SearchSpec, index: SearchIndex |
         return search.with_stored_fields(search.search_ids(index, spec), articles)
     if engine != "contains":
         raise ValueError(f"unknown engine {engine!r}")
-    rows = filters.contains_filter(articles, spec.query, spec.category, spec.source)
+    if grams is None:
+        rows = filters.contains_filter(articles, spec.query, spec.category, spec.source)
+    else:
+        rows = contains.search_contains(articles.sparkSession, grams, articles.schema, spec.query, spec.category, spec.source)
     return filters.page_of(rows, filters.article_order(spec.sort_by), spec.page, spec.per_page)
 
 
