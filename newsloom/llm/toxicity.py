@@ -1,15 +1,16 @@
 """Non-negative positive-unlabelled learning of toxicity.
 
 A linear model over hashed words is trained in numpy from confirmed toxic texts (P) and all
-texts without a label (U); if these are fewer than P, those labelled otherwise are in U too.  With class prior ``pi``
-and ``h``, the share of toxic texts in U, the risk is
+others (U), those without a label and those labelled otherwise.  With class prior ``pi`` and ``h``,
+the share of toxic texts in U, the risk is
 
     pi * E_P[loss(+f)] + (1 - pi) / (1 - h) * max(0, E_U[loss(-f)] - h * E_P[loss(-f)])
 
 The second part estimates the risk on the hidden negatives; as it cannot be negative, a step
 that would push it below zero goes the other way.  ``pi`` is the share among labelled texts, and
-that among those without a label too: without labels other than toxic ``h`` is ``pi``, and
-where every text has a label it is 0.
+that among those without a label too; so ``h`` is ``pi`` times the part of U that has no label,
+whatever the numbers are.  The texts of the fit are taken in the order of a hash, so the model
+doesn't depend on how the tables are cut into tasks.
 
 Cases with a defined result: a null or empty text has no features and gets the score of the
 bias alone; labels that are null, or of ids with no document, are left out; an id with several
@@ -87,8 +88,10 @@ def features(block: words.Block, bits: int, prefixes: tuple[int, ...],
 
 def _sums(weights: np.ndarray, columns: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of weights over the root of the number of features, for each document."""
-    sums = np.concatenate([[0.0], np.cumsum(weights[columns])])
-    return (sums[first[1:]] - sums[first[:-1]]) / np.sqrt(np.maximum(np.diff(first), 1))
+    size = np.diff(first)
+    # document by document: a sum doesn't depend on what else is in the block
+    sums = np.bincount(np.repeat(np.arange(len(size)), size), weights=weights[columns], minlength=len(size))
+    return sums / np.sqrt(np.maximum(size, 1))
 
 
 def _sigmoid(x):
@@ -173,24 +176,24 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: str = "true",
     rows = docs.select("doc_id", "text").filter(F.expr(may_learn) & F.col("doc_id").isNotNull())
     marked = rows.select("doc_id").join(marks, "doc_id", "left")
     shares = marked.agg(F.avg("toxic").alias("prior"), F.count_if(F.col("toxic").isNull()).alias("open"),
-                        F.count_if(F.col("toxic") == 0).alias("other"), F.count_if(F.col("toxic") == 1).alias("bad")).first()
+                        F.count_if(F.col("toxic") == 0).alias("other")).first()
     prior = float(shares.prior or 0.0)
-    few = shares.open < shares.bad  # too few without a label to stand for all: those labelled otherwise count too
-    others = "toxic IS NULL OR toxic = 0" if few else "toxic IS NULL"
-    among_others = prior * shares.open / max(1, shares.open + shares.other) if few else prior
+    among_others = prior * shares.open / max(1, shares.open + shares.other)
     chosen = (_sample(marked.filter("toxic = 1"), params, params.max_positive)
-              .unionByName(_sample(marked.filter(others), params, params.max_unlabelled)).distinct())
+              .unionByName(_sample(marked.filter("toxic IS NULL OR toxic = 0"), params, params.max_unlabelled)).distinct())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in words.blocks(batch.column("text")):
                 columns, first = features(block, params.bits, params.prefixes)
                 yield pa.record_batch({
+                    "place": batch.column("place").slice(block.rows.start, block.count),
                     "toxic": batch.column("toxic").slice(block.rows.start, block.count),
                     "features": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(columns, pa.int32()))})
 
     table = (rows.join(F.broadcast(chosen), "doc_id")  # at most the sample's bound, narrow
-             .select("toxic", "text").mapInArrow(read, "toxic int, features array<int>").toArrow())
+             .select(F.xxhash64("text", "doc_id", F.lit(params.seed)).alias("place"), "toxic", "text")
+             .mapInArrow(read, "place long, toxic int, features array<int>").toArrow().sort_by("place"))
     lists = table.column("features").combine_chunks()
     values, first = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     found = [values[first[i]:first[i + 1]].astype(np.int64) for i in range(len(table))]

@@ -78,6 +78,49 @@ def test_learns_where_all_or_nearly_all_have_a_label(spark, unlabelled):
     assert abs(left - sum(not bad for bad in truth.values())) <= 0.02 * len(rows)
 
 
+def test_scores_do_not_depend_on_the_cut_of_the_tables(spark):
+    rows, labels, _ = planted(700, 6)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    a, b = ({r.doc_id: r.score for r in toxicity.toxicity(docs(spark, rows, parts), own).collect()}
+            for parts, own in ((1, marks), (7, marks.repartition(5))))
+    assert a == b
+
+
+def test_one_label_more_changes_little(spark):
+    """About as many texts without a label as toxic ones: there is no number at which the training set changes."""
+    rows, _, _ = planted(900, 7)
+    truth = {i: any(w in t.lower() for w in ("nasty", "vile", "foul")) for i, t in rows}
+    bad = sum(truth[i] and not held(i) for i, _ in rows)
+    order = [i for i, _ in rows if not held(i) and not truth[i]]
+    scores = []
+    for open_ in (bad - 1, bad, bad + 1):
+        hidden = set(order[:open_])
+        marks = spark.createDataFrame([(i, int(truth[i])) for i, _ in rows if i not in hidden], "doc_id long, toxic int")
+        scores.append({r.doc_id: r.score for r in toxicity.toxicity(docs(spark, rows), marks).collect()})
+    assert all(abs(scores[0][i] - s[i]) < 0.1 for s in scores[1:] for i in s)
+
+
+def test_risk_falls_along_its_gradient():
+    """The step of the fit against a numerical gradient of the risk, written out anew."""
+    rng = np.random.default_rng(3)
+    params = toxicity.ToxicityParams(bits=6, min_positive=0, min_z=-1e9, epochs=1, batch=64, decay=0.0, rate=1e-7)
+    rows = [np.unique(rng.integers(0, 64, size=8)) for _ in range(40)]
+    marked = np.arange(40) < 15
+
+    def risk(weights, bias, prior=0.3, share=0.2):
+        value = np.array([bias + weights[r].sum() / np.sqrt(len(r)) for r in rows])
+        positive = np.logaddexp(0, -value[marked]).mean()
+        hidden = np.logaddexp(0, value[~marked]).mean() - share * np.logaddexp(0, value[marked]).mean()
+        return prior * positive + (1 - prior) / (1 - share) * max(0.0, hidden)
+
+    start = float(np.log(0.3 / 0.7))
+    model = toxicity.fit(rows, marked, 0.3, params, 0.2)
+    moved = model.weights  # one step of the first batch, in which all texts are
+    slope = np.array([(risk(np.eye(64)[k] * 1e-5, start) - risk(-np.eye(64)[k] * 1e-5, start)) / 2e-5 for k in range(64)])
+    clear = np.abs(slope) > 1e-4
+    assert clear.sum() > 30 and (np.sign(moved[clear]) == -np.sign(slope[clear])).all()
+
+
 def test_none_but_toxic_texts(spark):
     marks = spark.createDataFrame([(i, 1) for i in range(8)], "doc_id long, toxic int")
     assert all(r.score == pytest.approx(1) for r in toxicity.toxicity(docs(spark, [(i, "a b") for i in range(8)]), marks).collect())
