@@ -29,7 +29,8 @@ _LONG_WORD = 2_000  # bytes; longer words are walked one by one, not in step wit
 
 
 class Automaton(NamedTuple):
-    steps: np.ndarray  # [state, byte class]: next state * 256 + popped pieces
+    steps: np.ndarray  # [state, byte class]: the next state, above ``shift`` bits of popped pieces
+    shift: int
     ends: np.ndarray  # pieces popped at the end of a word
     classes: np.ndarray  # of each byte
     start: int  # state after the mark of a word's start
@@ -38,10 +39,11 @@ class Automaton(NamedTuple):
     def count(self, data: bytes) -> int:
         """Pieces of one word."""
         state, total = self.start, self.start_pops
-        steps, classes = self.steps, self.classes
+        steps, classes, shift = self.steps, self.classes, self.shift
+        popped = (1 << shift) - 1
         for byte in data:
             step = int(steps[state, classes[byte]])
-            state, total = step >> 8, total + (step & 255)
+            state, total = step >> shift, total + (step & popped)
         return total + int(self.ends[state])
 
 
@@ -68,11 +70,15 @@ def build(pieces: list[bytes], mark: str = WORD_START) -> Automaton:
     for byte in lonely[1:]:
         del children[0][byte]
     fail, pops = np.zeros(len(children), np.int64), np.zeros(len(children), np.int64)
-    steps = np.zeros((len(children), width), dtype=np.uint32)
+    # a state never pops more pieces than it has bytes
+    shift = max(map(len, vocabulary)).bit_length()
+    popped = (1 << shift) - 1
+    kind = np.uint32 if len(children).bit_length() + shift <= 32 else np.uint64
+    steps = np.zeros((len(children), width), dtype=kind)
     ends = np.zeros(len(children), dtype=np.int64)
     level = [0]
     for byte, child in children[0].items():
-        steps[0, classes[byte]] = child << 8
+        steps[0, classes[byte]] = child << shift
     while level:
         following = []
         for node in level:
@@ -81,19 +87,19 @@ def build(pieces: list[bytes], mark: str = WORD_START) -> Automaton:
                     fail[child], pops[child] = 0, 1
                 else:  # what the parent pops, then on from where it fails to
                     step = int(steps[fail[node], classes[byte]])
-                    fail[child], pops[child] = step >> 8, pops[node] + (step & 255)
+                    fail[child], pops[child] = step >> shift, pops[node] + (step & popped)
                 following.append(child)
         for child in following:
-            steps[child] = steps[fail[child]] + np.uint32(pops[child])
+            steps[child] = steps[fail[child]] + kind(pops[child])
             for byte, grandchild in children[child].items():
-                steps[child, classes[byte]] = grandchild << 8
+                steps[child, classes[byte]] = grandchild << shift
             ends[child] = pops[child] + ends[fail[child]]
         level = following
     state, total = 0, 0
     for byte in mark.encode():
         step = int(steps[state, classes[byte]])
-        state, total = step >> 8, total + (step & 255)
-    return Automaton(steps, ends, classes, state, total)
+        state, total = step >> shift, total + (step & popped)
+    return Automaton(steps, shift, ends, classes, state, total)
 
 
 def vocabulary_of(path: str) -> list[bytes]:
@@ -124,13 +130,14 @@ def count_block(block: words.Block, automaton: Automaton) -> tuple[np.ndarray, n
     state = np.full(len(order), automaton.start, dtype=np.int64)
     total = totals[order]
     flat, width = automaton.steps.reshape(-1), automaton.steps.shape[1]
+    shift, popped = flat.dtype.type(automaton.shift), flat.dtype.type((1 << automaton.shift) - 1)
     classes = automaton.classes[block.data]
     live = len(order)
     for position in range(int(sorted_length[0]) if len(order) else 0):
         live = int(np.searchsorted(-sorted_length[:live], -position, side="left"))
         step = flat[state[:live] * width + classes[start[:live] + position]]
-        state[:live] = step >> np.uint32(8)
-        total[:live] += step & np.uint32(255)
+        state[:live] = step >> shift
+        total[:live] += (step & popped).astype(np.int64)
     totals[order] = total + automaton.ends[state]
     sums = np.concatenate([[0], np.cumsum(totals)])
     return found.counts, sums[found.first[1:]] - sums[found.first[:-1]]

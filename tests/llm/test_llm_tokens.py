@@ -47,6 +47,21 @@ def test_random_vocabularies():
         assert counted(texts, pieces) == [plain(t, frozenset(pieces)) for t in texts]
 
 
+def test_long_pieces():
+    for size in (255, 256, 257, 300, 5000):
+        pieces = [b"a" * size, b"ab", b"c" * (size - 1) + b"d"]
+        texts = ["a" * (size - 1) + "b", "a" * (2 * size - 1), "c" * (size - 1), "c" * (size - 1) + "da", "c" * 3 * size]
+        automaton = token_counts.build(pieces)
+        for text in texts:
+            at, want, word = 0, 0, "▁".encode() + text.encode()
+            while at < len(word):
+                at += max([len(p) for p in pieces if word.startswith(p, at)], default=1)
+                want += 1
+            assert automaton.count(text.encode()) == want
+            block = next(words.blocks(pa.array([text])))
+            assert token_counts.count_block(block, automaton)[1].tolist() == [want]
+
+
 def test_rows(spark):
     rows = list(enumerate(ODD_TEXTS)) + [(None, "abc abc"), (3, "abc")]
     got = token_counts.token_counts(docs(spark, rows), VOCABULARY).collect()
