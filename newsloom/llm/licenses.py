@@ -2,10 +2,12 @@
 
 Words are maximal runs of ASCII letters and digits and of non-ASCII characters, A-Z folded.  A
 single Aho-Corasick automaton over the words of a text, joined by one blank each, finds notice
-phrases wherever their words stand on end, whatever stands between them.  Where it meets an
-identifier tag, the expression behind it is read from the raw text, turned into postfix order by
-a shunting yard and evaluated.  It ends where no token follows that fits, at the next tag, or at the end
-of the line; inside parentheses lines go on, behind the comment signs that they may begin with.
+phrases wherever their words stand on end, whatever stands between them.  It finds identifier tags in
+the same way; from where a tag's last word ends in the raw text the expression is read, turned into
+postfix order by a shunting yard and evaluated.  It ends where no token follows that fits, at the next
+tag, or at the end of the line; inside parentheses lines go on, behind the comment signs that they may
+begin with.  Names of known families of licences and LicenseRef names are licences; other words
+behind a tag give no label and are counted as unknown.
 
 Cases with a defined result: a null or empty text has no words, no labels and score 0; a tag
 without a readable expression adds no label; rows are scanned one by one, so repeated rows get
@@ -64,15 +66,27 @@ TAG = "spdx license identifier"
 PERMISSIVE = frozenset({"mit", "apache-2", "apache-2.0", "bsd", "bsd-2", "bsd-2-clause", "bsd-3", "bsd-3-clause", "isc",
                         "bsl", "bsl-1.0", "zlib", "cc0", "cc0-1.0", "cc-by", "cc-by-4.0", "unlicense", "0bsd", "public-domain"})
 
+# What the names of licences begin with, up to the first hyphen.
+FAMILIES = frozenset(
+    "0bsd aal afl agpl apache apsl artistic beerware blueoak bsd bsl busl bzip2 cal catosl cc cc0 cddl cecill cpl curl ecl epl "
+    "eupl fsfap ftl gfdl gpl hpnd icu ijg imagemagick intel ipl isc jasper lgpl libpng lppl mit mpl ms mulanpsl ncsa "
+    "nist odbl odc ofl openssl osl pddl php postgresql psf python qpl ruby sgi sissl sleepycat sspl tcl unicode unlicense "
+    "upl vim w3c wtfpl x11 xnet zend zlib zpl".split())
+
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_IN_WORD = r"[A-Za-z0-9\x80-\U0010FFFF]"
-_TAG_TEXT = re.compile(rf"(?<!{_IN_WORD})SPDX-License-Identifier(?!{_IN_WORD})\s*:?\s*", re.IGNORECASE | re.ASCII)
+_WORD = re.compile(rb"[^ ]+")
+_BEFORE = re.compile(r"\s*:?\s*", re.ASCII)  # between a tag and its expression
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:\-]+")
 _BLANKS = re.compile(r"[ \t]*")
 _LINES = re.compile(r"[ \t]*(?:\r?\n[ \t]*(?:[#*/;%!]+|-{2,})?[ \t]*)*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
+def is_licence(name: str) -> bool:
+    """Whether a lower-case name is that of a licence."""
+    return name.split("-", 1)[0].rstrip("+") in FAMILIES or "licenseref-" in name
+
+
 class Expression(NamedTuple):
     licences: tuple[str, ...]  # in the order of the text, distinct
     allowed: bool  # some choice of its alternatives uses permitted licences only
@@ -170,7 +184,8 @@ class Scanner:
         base: set[str] = set()
         labels: set[str] = set()
         score = 0.0
-        tagged = False
+        tags: list[int] = []  # index of each tag's first word
+        words_before = counted = 0
         for end, (length, entries) in self.automaton.iter(joined.decode("latin-1")):
             for kind, label in entries:
                 if kind == "base":
@@ -179,18 +194,25 @@ class Scanner:
                 elif kind == "notice":
                     labels.add(label)
                 else:
-                    tagged = True
-        expressions = []
-        if tagged:
-            text = raw.decode("utf-8", "replace")
-            tags = [match.span() for match in _TAG_TEXT.finditer(text)]
-            for (_, at), (end, _) in zip(tags, [*tags[1:], (len(text), 0)]):
+                    words_before += joined.count(b" ", counted, end - length)
+                    counted = end - length
+                    tags.append(words_before)
+        expressions, unknown = [], 0
+        if tags:
+            text = raw.decode("latin-1")  # a character for each byte; what is read is ASCII
+            spans = [match.span() for match in _WORD.finditer(raw.translate(_FOLD))]
+            for number, next_tag in zip(tags, [*tags[1:], None]):
+                at = _BEFORE.match(text, spans[number + 2][1]).end()
+                end = len(text) if next_tag is None else spans[next_tag][0]
                 try:
-                    expressions.append(evaluate(text, at=at, end=end))
+                    expression = evaluate(text, at=at, end=end)
                 except ValueError:
                     continue
-        for expression in expressions:
-            labels.update(expression.licences)
+                known = [x for x in expression.licences if is_licence(x)]
+                unknown += len(expression.licences) - len(known)
+                if known:
+                    expressions.append(expression)
+                    labels.update(known)
         if expressions:
             score = 1.0
         elif base:
@@ -201,21 +223,22 @@ class Scanner:
         at = [joined.count(b" ", 0, s) for s in (min(starts), max(starts))] if starts else [None, None]
         return {"n_words": len(found), "n_base": len(starts), "first_word": at[0], "last_word": at[1],
                 "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | labels)), "score": score,
-                "n_expressions": len(expressions),
+                "n_expressions": len(expressions), "n_unknown": unknown,
                 "permitted": all(e.allowed for e in expressions) if expressions else None}
 
 
 _SCHEMA = ("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
-           "score double, n_expressions long, permitted boolean")
+           "score double, n_expressions long, n_unknown long, permitted boolean")
 _ARROW = pa.schema([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
                     ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()),
-                    ("n_expressions", pa.int64()), ("permitted", pa.bool_())])
+                    ("n_expressions", pa.int64()), ("n_unknown", pa.int64()), ("permitted", pa.bool_())])
 
 
 def scan(docs: DataFrame, base: dict[str, str] = BASE_PHRASES, notices: dict[str, str] = NOTICE_PHRASES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): words, places of base phrases, labels, score.
 
-    ``n_expressions`` counts readable tag expressions; ``permitted`` says whether all of them can be
+    ``n_expressions`` counts readable tag expressions with a known licence, ``n_unknown`` the other
+    names behind tags; ``permitted`` says whether all of them can be
     met by permissive licences (null without any).  Narrow: no shuffle.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -75,6 +75,10 @@ NAMES = [f"LicenseRef-vendor-{k:03}" for k in range(2000)]
     ("-- SPDX-License-Identifier: (MIT\n-- AND\n--\n-- ISC) AND Zlib", {"mit", "isc", "zlib"}, 1, True),
     ("# SPDX-License-Identifier: MIT OR\n# Apache-2.0", {"mit"}, 1, True),  # a line ends it outside parentheses
     ("SPDX-License-Identifier: MIT, ISC", {"mit"}, 1, True),
+    ("SPDX License Identifier: MIT", {"mit"}, 1, True), ("é spdx_license.identifier (ISC)", {"isc"}, 1, True),
+    ("SPDX-License-Identifier: the license of this file", {""}, 0, None),
+    ("SPDX-License-Identifier: Foo-1.0 OR MIT SPDX-License-Identifier: bar", {"mit"}, 1, True),
+    ("SPDX-License-Identifier: DocumentRef-x:LicenseRef-y", {"documentref-x:licenseref-y"}, 1, False),
     ("SPDX-License-Identifier: ISC; xSPDX-License-Identifier: MIT", {"isc"}, 1, True),
 ])
 def test_whole_expressions(text, labels, n, permitted):
@@ -82,5 +86,12 @@ def test_whole_expressions(text, labels, n, permitted):
     assert (set(got["labels"].split(",")), got["n_expressions"], got["permitted"]) == (labels, n, permitted)
 
 
+def test_unknown_names_are_counted_apart():
+    got = licenses.Scanner().scan(b"SPDX-License-Identifier: Foo-1.0 OR MIT\nSPDX-License-Identifier: bar")
+    assert (got["n_expressions"], got["n_unknown"], got["labels"]) == (1, 2, "mit")
+    many = licenses.Scanner().scan(b"SPDX-License-Identifier: ISC\n" * 20_000)  # linear in the number of tags
+    assert many["n_expressions"] == 20_000
+
+
 def test_no_rows(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
