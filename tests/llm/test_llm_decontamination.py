@@ -2,11 +2,9 @@ import random
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
-import pytest
 from llm_tools import ODD_TEXTS, docs, documents, prose
 
-from newsloom.llm import decontamination, words
+from newsloom.llm import decontamination
 from newsloom.llm.decontamination import SeedParams
 
 
@@ -31,7 +29,7 @@ def plain(text, item, window=13, percent=80):
 
 def test_contiguous_passages_equal_plain_search(spark):
     rng = random.Random(7)
-    items = [(k, " ".join(prose(rng, rng.choice([5, 6, 9, 12, 20, 45])))) for k in range(30)]
+    items = [(k, " ".join(prose(rng, rng.choice([1, 2, 4, 5, 6, 9, 12, 20, 45])))) for k in range(30)]
     rows = []
     for k in range(120):
         own = prose(rng, rng.randrange(0, 80))
@@ -61,13 +59,15 @@ def test_replaced_words_are_tolerated(spark):
     assert not any(got[500 + k].contaminated for k in range(100))
 
 
-def test_blocks_change_nothing(spark):
+def test_repeated_items_and_hot_passages(spark):
     rng = random.Random(9)
     items = [(k, " ".join(prose(rng, 20))) for k in range(30)] + [(3, "the same id with another text of many words here"), (40, None), (None, " ".join(prose(rng, 9)))]
-    rows = [(k, " ".join(prose(rng, 10)) + " " + (items[k % 33][1] or "") + " " + (items[(k * 7) % 33][1] or "")) for k in range(60)]
-    one, many = found(spark, rows, items), found(spark, rows, items, SeedParams(block_bytes=300))
-    assert {i: tuple(r) for i, r in one.items()} == {i: tuple(r) for i, r in many.items()}
-    assert all(r.contaminated for r in one.values())
+    items += [items[0], (31, items[0][1])]  # repeated whole; the same text under another id
+    rows = [(k, " ".join(prose(rng, 10)) + " " + (items[k % 33][1] or "") + " " + items[0][1]) for k in range(66)]
+    got = found(spark, rows, items)
+    assert all(r.contaminated and {0, 31} <= set(r.items) for r in got.values())
+    assert got[3].items == [0, 3, 31] and got[3].n_items == 3 and got[30].items == [0, 3, 31]
+    assert got[32].items == [0, 31] and got[32].n_items == 3  # the item without an id counts
 
 
 def test_odd_rows(spark):
@@ -76,6 +76,8 @@ def test_odd_rows(spark):
     got = decontamination.contamination(docs(spark, rows), bench(spark, items)).collect()
     assert len(got) == len(rows)
     assert sorted(str(r.doc_id) for r in got if r.contaminated) == ["51", "None"]
+    short = decontamination.contamination(docs(spark, [*rows, (60, "it is TOO-SHORT for that")]), bench(spark, items)).collect()
+    assert {r.doc_id: r.items for r in short if r.contaminated and r.doc_id} == {51: [1], 60: [2]}
     table = documents(spark, rows, extra=True)
     left = decontamination.without_contaminated(table, bench(spark, items))
     assert left.columns == table.columns and left.count() == len(rows) - 2
@@ -83,12 +85,26 @@ def test_odd_rows(spark):
     assert decontamination.contamination(spark.createDataFrame([], "doc_id long, text string"), bench(spark, items)).count() == 0
 
 
-@pytest.mark.parametrize("n", range(5, 14))
-def test_all_patterns_of_replaced_words_are_found(n):
-    item = [f"w{k}" for k in range(n)]
-    bench = decontamination.prepare(np.array([1]), pa.array([" ".join(item)]), SeedParams())
-    texts = []
-    for pattern in combinations(range(n), n // 5):
-        texts.append(" ".join(["before", *(f"x{k}" if k in pattern else w for k, w in enumerate(item)), "after"]))
-    out = [d for block in words.blocks(pa.array(texts)) for d in decontamination.search_block(block, bench, SeedParams())]
-    assert len(out) == len(texts) and all(out)
+def test_all_patterns_of_replaced_words_are_found(spark):
+    items, rows = [], []
+    for n in range(1, 14):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for pattern in combinations(range(n), n // 5):
+            text = ["before", *(f"x{k}" if k in pattern else w for k, w in enumerate(item)), "after"]
+            rows.append((100_000 * n + len(rows), " ".join(text)))
+        if n < 5:  # none may be replaced
+            rows.append((-n, " ".join(["before", "x", *item[1:]])))
+    got = found(spark, rows, items)
+    assert {i: r.items for i, r in got.items()} == {i: [i // 100_000] if i > 0 else [] for i, _ in rows}
+
+
+def test_the_driver_sees_no_benchmark_text(spark):
+    """Two documents, one passage: the plan joins seeds, and only the bit table and sizes are fetched."""
+    rng = random.Random(10)
+    items = [(k, " ".join(prose(rng, 30))) for k in range(5)]
+    seeds = decontamination.item_seeds(decontamination.benchmark_items(bench(spark, items)), SeedParams())
+    table = decontamination.screen(seeds)
+    keys = np.array([r.key for r in seeds.collect()], dtype=np.int64).view(np.uint64)
+    assert decontamination._passes(table, keys).all()
+    assert decontamination._passes(table, np.random.default_rng(1).integers(0, 1 << 63, 100_000, dtype=np.uint64)).mean() < 1e-3
