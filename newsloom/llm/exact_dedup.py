@@ -162,8 +162,16 @@ def write_snapshot(grouped: DataFrame) -> Snapshot:
 
 
 def screen(grouped: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """The groups of a new batch with ``maybe``: the filter of their bucket lets them pass."""
+    """The groups of a new batch with ``maybe``: the filter of their bucket lets them pass.
+
+    A batch that is larger than the snapshot is dealt over parts of its buckets, each with a copy of
+    the bucket's filter.
+    """
+    grouped = stored(grouped, "incoming")
+    parts = grouped.count() // (snapshot.buckets * DIGESTS_A_BUCKET) + 1
     incoming = _bucketed(grouped, snapshot.buckets)
+    part = F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(parts)).cast("int")
+    filters = snapshot.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     fields = "digest binary, maybe boolean"
 
     def test(digest: pa.Table, fuse: pa.Table) -> pa.Table:
@@ -175,8 +183,8 @@ def screen(grouped: DataFrame, snapshot: Snapshot) -> DataFrame:
                          np.frombuffer(r["prints"], dtype=np.uint16)).has(_keys(digest.column("digest")))
         return pa.table({"digest": digest.column("digest").cast(pa.binary()), "maybe": pa.array(maybe)})
 
-    said = (incoming.select("bucket", "digest").distinct().groupBy("bucket")
-            .cogroup(snapshot.filters.groupBy("bucket")).applyInArrow(test, fields))
+    said = (incoming.select("bucket", part.alias("part"), "digest").distinct().groupBy("bucket", "part")
+            .cogroup(filters.groupBy("bucket", "part")).applyInArrow(test, fields))
     return incoming.join(said, "digest")
 
 

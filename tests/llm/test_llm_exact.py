@@ -51,3 +51,10 @@ def test_screen_lets_known_digests_pass(spark):
 
 def test_no_rows(spark):
     assert exact_dedup.exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_batch_larger_than_its_snapshot_is_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "DIGESTS_A_BUCKET", 50)
+    rows = [(i, f"text {i % 600}") for i in range(900)]
+    got = exact_dedup.exact_duplicates(docs(spark, rows), "doc_id < 30").collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain(rows)
