@@ -1,14 +1,14 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
-Documents are cut into pieces of the largest capacity, and pieces are dealt by a hash of their id
-over shards of about equal size, which are packed independently; more data make more shards.
+Documents are cut into pieces of the largest capacity, and pieces are numbered and dealt by a hash of
+the number over shards of about equal size, which are packed independently; more data make more shards.
 Within a shard, pieces go longest first into the open sequence that they fill best.  Where none has
 room, the capacity that costs least per token it can still get is opened; at the end each sequence
 shrinks to the smallest permitted capacity that holds its contents.
 
 Cases with a defined result: a null length counts as 0, and a document without tokens is one row with
 no bin; pieces of equal length go in order of (doc_id, piece), a null doc_id first; repeated rows
-are packed each on its own.
+are packed each on its own and are spread over shards like others.
 """
 
 from __future__ import annotations
@@ -77,7 +77,8 @@ def best_fit(lengths: DataFrame, params: PackingParams = PackingParams()) -> Dat
     pieces = stored(
         docs.select("doc_id", "whole", F.explode(F.expr(f"sequence(0L, greatest(whole - 1, 0L) div {largest})")).alias("p"))
         .select("doc_id", F.col("p").cast("int").alias("piece"), (F.col("p") * largest).alias("start"),
-                F.least(F.col("whole") - F.col("p") * largest, F.lit(largest)).alias("length")), "pieces")
+                F.least(F.col("whole") - F.col("p") * largest, F.lit(largest)).alias("length"))
+        .withColumn("number", F.monotonically_increasing_id()), "pieces")  # written, so it stays as it is
     shards = max(1, -(-pieces.count() // params.pieces_a_shard))
 
     def pack_shard(table: pa.Table) -> pa.Table:
@@ -86,13 +87,13 @@ def best_fit(lengths: DataFrame, params: PackingParams = PackingParams()) -> Dat
         shard = table.column("shard")[0].as_py()
         bins = np.array(bins)
         fill = np.bincount(bins, weights=table.column("length").to_numpy()).astype(np.int64)
-        return table.drop(["shard"]).append_column("bin_id", pa.array([f"{shard}-{b}" for b in bins])).append_column(
+        return table.drop(["shard", "number"]).append_column("bin_id", pa.array([f"{shard}-{b}" for b in bins])).append_column(
             "capacity", pa.array(np.array(capacity)[bins])).append_column(
             "offset", pa.array(offsets, pa.int64())).append_column("bin_fill", pa.array(fill[bins]))
 
     full = pieces.filter("length > 0").withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)).cast("int"))
-    empty = pieces.filter("length = 0").select(
+        "shard", F.pmod(F.xxhash64("number"), F.lit(shards)).cast("int"))
+    empty = pieces.filter("length = 0").drop("number").select(
         "*", F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("long").alias("capacity"),
         F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("bin_fill"))
     return full.groupBy("shard").applyInArrow(pack_shard, _PACKED).unionByName(empty)

@@ -67,3 +67,10 @@ def test_no_rows_and_word_lengths(spark):
     assert packing.best_fit(spark.createDataFrame([], "doc_id long, length long")).count() == 0
     got = packing.word_lengths(docs(spark, [(1, "a  b\n\tc"), (2, None), (3, ""), (4, "é\x0bf")])).collect()
     assert {r.doc_id: r.length for r in got} == {1: 3, 2: 0, 3: 0, 4: 2}
+
+
+def test_equal_rows_are_spread_over_shards(spark):
+    rows = [(None, 7)] * 300 + [(5, 7)] * 300
+    table = spark.createDataFrame(rows, "doc_id long, length long").repartition(3)
+    got = packing.best_fit(table, SMALL).collect()
+    assert len(got) == 600 and len({r.bin_id.split("-")[0] for r in got}) == 12
