@@ -199,7 +199,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def _judge_tile(side: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int):
     """Links between the components of a tile, one per component that others join."""
     size = np.array([len(x) for x in sets])
-    shared = _overlaps(sets)
+    shared = _overlaps(sets).astype(np.int64)
     apart = component[:, None] < component[None, :]
     if (side > 0).all():  # 1 and 2 are two parts of a group; pairs within a part have a tile of their own
         apart &= side[:, None] != side[None, :]
