@@ -1,17 +1,19 @@
 """Repeated runs of lines, found by winnowing; DataFrame functions only.
 
 From every line with words a window goes to the right, and another one to the left, over lines with words
-until it has ``min_words``.  Of each window the least line hash is its fingerprint: a repeated run of at
-least that many words has windows, and so fingerprints, in both places.  Fingerprints that are in one
-place only rule their windows out.  Around the places of the others the windows are compared; a window
-whose lines all stand on end earlier too (smaller doc_id, or earlier in the same text) is a match.
-Matches that touch extend one another both ways, to the first and the last line of the repeated run
-(its first lines by windows to the right, its last ones by windows to the left), and the run's lines go.
-The first place of a run stays.
+until it has ``min_words``.  Of each window the least line hash is selected as a fingerprint, and the
+distinct (fingerprint, place) are kept: a repeated run of at least that many words has windows, and so
+fingerprints, in both places.  Places whose fingerprint is nowhere else are done with.  Around the others
+the lines are read again, and the windows that selected them are compared by the hashes of all their
+lines; a window whose lines all stand on end earlier too (smaller doc_id, or earlier in the same text) is
+a match.  Matches that touch extend one another both ways, to the first and the last line of the repeated
+run (its first lines by windows to the right, its last ones by windows to the left), and the run's lines
+go.  The first place of a run stays.  Windows are grouped instead of pairs of places, so a fingerprint
+that is in a third of all texts costs a row for each of its windows and no pairs.
 
 Only hashes of lines are shuffled; texts meet the few rows of their runs once, at the end.
 
-Words are counted as fields between single blanks.  Cases with a defined result: a null text stays null,
+Words are runs of characters other than ASCII white space.  Cases with a defined result: a null text stays null,
 an empty one empty; windows that end before they have ``min_words`` are no windows; of rows with one
 doc_id, the order of their texts' hashes decides which is earlier; rows repeated whole are one document and
 get equal results; a null doc_id comes first.
@@ -28,33 +30,36 @@ from .storage import stored
 MIN_WORDS = 50
 
 
-def _windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, twin, pos, last, print, print_pos, k1, k2) of every window."""
-    def words(line):
-        trimmed = F.trim(line)
-        return F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1)
-
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, twin, pos, h, before, until) of every line with words: its hash, and the words before and up to its end."""
     lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(
-        i.alias("pos"), F.xxhash64(line).alias("h"), words(line).alias("w")))
+        i.alias("pos"), F.xxhash64(line).alias("h"), F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")).alias("w")))
     hashed = (docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("twin"), lines.alias("lines"))
               .groupBy("doc_id", "twin").agg(F.any_value("lines").alias("lines"))  # rows repeated whole
               .select("doc_id", "twin", F.inline("lines")).filter("w > 0"))
+    text = Window.partitionBy("doc_id", "twin").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return hashed.withColumn("until", F.sum("w").over(text).cast("long")).select(
+        "doc_id", "twin", "pos", "h", (F.col("until") - F.col("w")).alias("before"), "until")
+
+
+def _windows(lines: DataFrame, min_words: int, whole: bool) -> DataFrame:
+    """(doc_id, twin, print, print_pos) of every window; if ``whole`` also pos, last, k1, k2: its extent and contents."""
     text = Window.partitionBy("doc_id", "twin")
-    until = F.sum("w").over(text.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    placed = hashed.withColumn("until", until.cast("long")).withColumn("before", F.col("until") - F.col("w"))
 
     def window(kind, reach):
-        hs = F.collect_list("h").over(reach)
         least = F.min(F.struct("h", "pos")).over(reach)
-        return F.struct(
-            F.min("pos").over(reach).alias("pos"), F.max("pos").over(reach).alias("last"), F.sum("w").over(reach).alias("n"),
-            least["h"].alias("print"), least["pos"].alias("print_pos"),
-            F.xxhash64(F.lit(kind), hs).alias("k1"), F.xxhash64(F.lit(kind + 2), F.reverse(hs)).alias("k2"))
+        parts = [(F.max("until").over(reach) - F.min("before").over(reach)).alias("n"),
+                 least["h"].alias("print"), least["pos"].alias("print_pos")]
+        if whole:
+            hs = F.collect_list("h").over(reach)
+            parts += [F.min("pos").over(reach).alias("pos"), F.max("pos").over(reach).alias("last"),
+                      F.xxhash64(F.lit(kind), hs).alias("k1"), F.xxhash64(F.lit(kind + 2), F.reverse(hs)).alias("k2")]
+        return F.struct(*parts)
 
     # the lines that start less than min_words words after this one does, or end less than that before its end
     right = window(0, text.orderBy("before").rangeBetween(0, min_words - 1))
     left = window(1, text.orderBy("until").rangeBetween(1 - min_words, 0))
-    return (placed.select("doc_id", "twin", right.alias("right"), left.alias("left"))
+    return (lines.select("doc_id", "twin", right.alias("right"), left.alias("left"))
             .select("doc_id", "twin", F.inline(F.array("right", "left")))
             .filter(F.col("n") >= min_words).drop("n"))
 
@@ -64,10 +69,20 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``twin`` is the text's hash, which tells rows of one doc_id apart.
     """
-    windows = stored(_windows(docs, min_words), "windows")
+    lines = stored(_lines(docs), "lines")
+    selected = stored(_windows(lines, min_words, False).distinct(), "selected")
     place = F.struct("doc_id", "twin", "print_pos")
-    prints = windows.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("print")
-    around = windows.join(prints, "print").select("doc_id", "twin", "pos", "last", "k1", "k2")
+    prints = selected.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("print")
+    # selected minima that stand elsewhere too, and the texts that have any
+    shared = stored(selected.join(prints, "print"), "shared")
+    texts = shared.select(F.col("doc_id").alias("id"), F.col("twin").alias("own")).distinct()
+    near = lines.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("twin") == F.col("own")), "left_semi")
+    marks = shared.select(F.col("doc_id").alias("id"), F.col("twin").alias("own"), F.col("print_pos").alias("at"))
+    around = (_windows(near, min_words, True)
+              .join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("twin") == F.col("own"))
+                    & (F.col("print_pos") == F.col("at")), "left_semi")
+              .select("doc_id", "twin", "pos", "last", "k1", "k2"))
+    around = stored(around, "windows")
     earliest = (around.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "twin", "pos")).alias("source"), F.count("*").alias("n"))
                 .filter("n > 1").select("k1", "k2", "source"))
     later = (around.join(earliest, ["k1", "k2"])
@@ -114,7 +129,7 @@ def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataF
     counts = unused(docs, "line_counts")
     done = delete_repeated_lines(docs, min_words, counts)
     changed = F.col(counts)["n_removed"] > 0
-    done = done.filter(~(changed & (F.trim("text") == "")))
+    done = done.filter(~(changed & (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")) == 0)))
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
         done = done.withColumn("n_chars", F.when(changed, size).otherwise(F.col("n_chars")))

@@ -26,7 +26,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to an archive and read back."""
-    return warc.summary(warc.archived(table(spark, sf_dir, "pages")))
+    return warc.summary(warc.records(warc.archived(table(spark, sf_dir, "pages"))))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +101,7 @@ FROM t JOIN g USING (k)""",
     "op8_line_dedup": r"""
 WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM a),
-c AS (SELECT *, CASE WHEN trim(line, ' ') = '' THEN 0
-                     ELSE length(trim(line, ' ')) - length(replace(trim(line, ' '), ' ', '')) + 1 END AS w FROM l),
+c AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
 b AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS until,
              (sum(w) OVER (PARTITION BY doc_id ORDER BY pos) - w)::BIGINT AS before FROM c WHERE w > 0),
 win AS (SELECT doc_id, 'right' AS kind, pos, max(pos) OVER r AS last, sum(w) OVER r AS n, list(line) OVER r AS k FROM b

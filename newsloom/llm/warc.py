@@ -3,6 +3,8 @@
 ``payloads`` holds the bytes of each distinct payload once under its SHA-256, ``headers`` the exact
 header block of every record.  A record is put together again by joining the two.  When the
 archive is read, every payload is hashed again, and one that doesn't fit its address fails the read.
+The headers of a payload that many records share are dealt over copies of it, so that no task puts
+all of them together.
 
 Cases with a defined result: a null payload counts as empty; of records with equal payloads the one
 with the smallest page_id is the response, null ids come last, and of rows repeated whole one is
@@ -25,9 +27,12 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BREAK = "\r\n"
 
 
+RECORDS_A_COPY = 256  # of a payload that many records share
+
+
 class Archive(NamedTuple):
-    payloads: DataFrame  # digest, payload
-    headers: DataFrame  # header, digest
+    payloads: DataFrame  # digest, payload, copies
+    headers: DataFrame  # header, digest, copy
 
 
 def base32_sha1(value: Column) -> Column:
@@ -73,12 +78,13 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
                           payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("digest"))
     # copies meet in their map task first; what is shuffled is at most one payload per task and digest
     (hashed.groupBy("digest").agg(
-        F.any_value("payload").alias("payload"),
+        F.any_value("payload").alias("payload"), F.count("*").alias("n_records"),
         F.min(F.struct(F.col("page_id").isNull().alias("nameless"), "page_id")).alias("first"))
-     .select("digest", "payload", F.col("first.page_id").alias("first_page"), F.octet_length("payload").cast("long").alias("n"),
+     .select("digest", "payload", (F.floor(F.col("n_records") / RECORDS_A_COPY) + 1).cast("int").alias("copies"),
+             F.col("first.page_id").alias("first_page"), F.octet_length("payload").cast("long").alias("n"),
              base32_sha1(F.col("payload")).alias("sha1"))
      .write.parquet(f"{path}/payloads"))
-    known = spark.read.parquet(f"{path}/payloads").select("digest", "first_page", "n", "sha1")
+    known = spark.read.parquet(f"{path}/payloads").select("digest", "first_page", "n", "sha1", "copies")
     records = hashed.select("page_id", "url", "digest").join(known, "digest")
     is_first = F.col("page_id").eqNullSafe(F.col("first_page"))
     alike = Window.partitionBy("digest", "page_id").orderBy(F.lit(1))  # rows repeated whole
@@ -96,52 +102,57 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
         F.lit(VERSION + BREAK), line("WARC-Type", "revisit"), line("WARC-Record-ID", _record_name(F.col("page_id"))),
         *common, line("WARC-Profile", REVISIT_PROFILE), line("WARC-Refers-To", _record_name(F.col("first_page"))),
         line("Content-Length", "0"))
-    (records.select(F.when(F.col("response"), as_response).otherwise(as_revisit).alias("header"), "digest")
+    (records.select(F.when(F.col("response"), as_response).otherwise(as_revisit).alias("header"), "digest",
+                    F.pmod(F.xxhash64("page_id", "url"), "copies").cast("int").alias("copy"))
      .write.parquet(f"{path}/headers"))
 
 
 def read_archive(spark: SparkSession, path: str) -> Archive:
     """The stored tables; a payload whose bytes don't fit its digest fails the read."""
-    payloads = spark.read.schema("digest binary, payload binary").parquet(f"{path}/payloads")
+    payloads = spark.read.schema("digest binary, payload binary, copies int").parquet(f"{path}/payloads")
     fits = F.unhex(F.sha2("payload", 256)) == F.col("digest")
     checked = payloads.withColumn("payload", F.when(fits, F.col("payload")).otherwise(
         F.raise_error(F.concat(F.lit("damaged payload "), F.hex("digest"))).cast("binary")))
-    return Archive(checked, spark.read.schema("header string, digest binary").parquet(f"{path}/headers"))
+    return Archive(checked, spark.read.schema("header string, digest binary, copy int").parquet(f"{path}/headers"))
 
 
 def records(archive: Archive) -> DataFrame:
-    """(header, record): each record's bytes as an archive file has them, and its header block.
+    """(header, record, payload): each record's bytes as an archive file has them, and what it stands for.
 
-    A revisit has no content; :func:`pages` gives the payload that it stands for.
+    ``record`` is the header block, an empty line, the content and two line breaks; a revisit has no
+    content, and its payload is that of the record it refers to.
     """
-    contents = archive.payloads.select(F.col("digest"), F.col("payload").alias("content"))
-    is_response = field(F.col("header"), "WARC-Type") == "response"
-    joined = archive.headers.withColumn("wanted", F.when(is_response, F.col("digest"))).join(
-        contents.withColumnRenamed("digest", "wanted"), "wanted", "left")
+    dealt = archive.payloads.select("digest", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "payload")
+    joined = archive.headers.join(dealt, ["digest", "copy"])
+    content = F.when(field(F.col("header"), "WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
     end = F.lit(BREAK).cast("binary")
-    return joined.select("header", F.concat(
-        F.col("header").cast("binary"), end, F.coalesce("content", F.lit(b"")), end, end).alias("record"))
+    return joined.select("header", F.concat(F.col("header").cast("binary"), end, content, end, end).alias("record"), "payload")
 
 
 def pages(archive: Archive) -> DataFrame:
     """(header, payload) of every record, the full payload for revisits too."""
-    return archive.headers.join(archive.payloads, "digest").select("header", "payload")
+    return records(archive).select("header", "payload")
 
 
-def summary(archive: Archive) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record.
+def summary(rebuilt: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of records as :func:`records` gives them.
 
-    Size and digest are taken from the stored bytes, once per payload, and joined to the headers;
-    a header that claims another digest fails the read.
+    The header block is cut out of the record's own bytes; a length or digest that it claims and that
+    the content or the payload doesn't have fails the read.
     """
-    stored_once = archive.payloads.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"),
-                                          base32_sha1(F.col("payload")).alias("payload_digest"))
-    header = F.col("header")
+    mark = BREAK + BREAK
+    size = F.octet_length(F.col("header").cast("binary"))
+    own = F.col("record").substr(F.lit(1), size).cast("string")
+    n_content = F.octet_length("record") - size - F.lit(len(BREAK) + len(mark))
+    named = rebuilt.select(own.alias("own"), n_content.alias("n_content"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+                           base32_sha1(F.col("payload")).alias("payload_digest"))
+    header = F.col("own")
     claimed = F.substring_index(field(header, "WARC-Payload-Digest"), ":", -1)
-    return archive.headers.join(stored_once, "digest").select(
+    fits = (claimed == F.col("payload_digest")) & (field(header, "Content-Length").cast("long") == F.col("n_content"))
+    return named.select(
         _page_of(field(header, "WARC-Record-ID")).alias("page_id"), "payload_bytes",
-        F.when(claimed == F.col("payload_digest"), F.col("payload_digest")).otherwise(
-            F.raise_error(F.concat(F.lit("header and payload differ: "), header))).alias("payload_digest"),
+        F.when(fits, F.col("payload_digest")).otherwise(
+            F.raise_error(F.concat(F.lit("header and record differ: "), header))).alias("payload_digest"),
         field(header, "WARC-Type").alias("record_type"),
         _page_of(field(header, "WARC-Refers-To")).alias("refers_to"))
 

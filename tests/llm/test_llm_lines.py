@@ -1,4 +1,5 @@
 import random
+import re
 
 from llm_tools import ODD_TEXTS, docs, documents, prose
 
@@ -10,7 +11,7 @@ def plain(rows, least):
     seen, out = set(), {}
     for i, text in sorted(rows):
         lines = (text or "").split("\n")
-        count = [line.strip(" ").count(" ") + 1 if line.strip(" ") else 0 for line in lines]
+        count = [len([w for w in re.split("[\x20\x09-\x0d]+", line) if w]) for line in lines]
         gone = set()
         for s in range(len(lines)):
             for step in (1, -1):
@@ -31,7 +32,7 @@ def plain(rows, least):
 
 def lined(seed):
     rng = random.Random(seed)
-    pool = [" ".join(prose(rng, rng.choice([1, 3, 8, 20]))) for _ in range(60)] + ["", "  ", " two  blanks "]
+    pool = [" ".join(prose(rng, rng.choice([1, 3, 8, 20]))) for _ in range(60)] + ["", "  ", " two  blanks ", "\ttabs\tand   blanks\r"]
     shared = [[rng.choice(pool) for _ in range(rng.randrange(2, 9))] for _ in range(12)]
     rows = []
     for i in range(150):
@@ -77,6 +78,14 @@ def test_repeated_rows_null_ids_columns(spark):
     assert line_dedup.delete_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_words_between_tabs_and_double_blanks(spark):
+    tabs = "\t".join(f"t{k}" for k in range(50))
+    wide = "  ".join(f"b{k}" for k in range(30))  # 30 words, however many blanks
+    got = {r.doc_id: r.line_counts.n_removed for r in line_dedup.delete_repeated_lines(
+        docs(spark, [(1, tabs), (2, f"x\n{tabs}"), (3, wide), (4, wide)])).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
 def test_only_functions_of_spark(spark):
     df = line_dedup.delete_repeated_lines(docs(spark, lined(3)))
     plan = df._jdf.queryExecution().toString()

@@ -30,7 +30,7 @@ def expected(rows, least=0):
 
 @pytest.mark.parametrize("least", [0, 8])
 def test_summary(spark, least):
-    got = warc.summary(warc.archived(table(spark, ROWS), least)).collect()
+    got = warc.summary(warc.records(warc.archived(table(spark, ROWS), least))).collect()
     assert sorted((tuple(r) for r in got), key=str) == expected(ROWS, least)
 
 
@@ -60,9 +60,18 @@ def test_damaged_payload_fails(spark):
     broken.write.parquet(f"{path}-2/payloads")
     spark.read.parquet(f"{path}/headers").write.parquet(f"{path}-2/headers")
     with pytest.raises(Exception, match="damaged payload|DAMAGED|USER_RAISED"):
-        warc.summary(warc.read_archive(spark, f"{path}-2")).collect()
+        warc.summary(warc.records(warc.read_archive(spark, f"{path}-2"))).collect()
 
 
 def test_no_rows(spark):
-    assert warc.summary(warc.archived(spark.createDataFrame(
-        [], "page_id long, url string, html string"))).count() == 0
+    assert warc.summary(warc.records(warc.archived(spark.createDataFrame(
+        [], "page_id long, url string, html string")))).count() == 0
+
+
+def test_many_records_of_one_payload(spark):
+    rows = [(i, f"http://x/{i}", "same") for i in range(3 * warc.RECORDS_A_COPY)] + [(-1, None, "other")]
+    archive = warc.archived(table(spark, rows))
+    assert {r.copies for r in archive.payloads.collect()} == {1, 4}
+    assert len({r["copy"] for r in archive.headers.collect()}) == 4
+    got = warc.summary(warc.records(archive)).collect()
+    assert len(got) == len(rows) and sum(r.record_type == "response" for r in got) == 2
