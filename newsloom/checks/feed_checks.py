@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import dedupe, postings, updates
+from ..operators import dedupe, known_ids, postings, updates
 from ..operators.postings import IndexLayout
-from ..plans import ingest, maintenance
+from ..plans import ingest, maintenance, rollups
 from ..session import scratch_path
 from ..sources import driver_views as views
 from ..sources import feeds as feed_source
 from ..sources import tables
 from ..streaming import feed_stream
-from .sql_parts import FEEDS
+from .scan_checks import distinct_articles
+from .sql_parts import ART, FEEDS
 
 
 def _entries(spark, sf):
@@ -39,9 +40,9 @@ def active_feed_payloads(spark, sf):
     return chosen.groupBy("feed_key").agg(F.count("*").alias("payloads"))
 
 
-def _run(spark, sf, batches=1, **kwargs):
+def _run(spark, sf, batches=1, keep_index=True, **kwargs):
     """Ingest the payloads in ``batches`` runs, by time of fetching."""
-    store = ingest.Store(scratch_path(spark, "ingest"), IndexLayout(4, 1))
+    store = ingest.Store(scratch_path(spark, "ingest"), IndexLayout(4, 1), keep_index=keep_index)
     payloads, registry = views.feed_payloads(spark, sf), views.feeds(spark, sf)
     for i in range(batches):
         part = payloads.filter(F.pmod(F.unix_seconds("fetched_at"), F.lit(batches)) == i)
@@ -163,7 +164,42 @@ def store_retention(spark, sf):
     return arts.join(postings.read_ids(spark, store.index).select("article_id"), "article_id", "full").select("article_id", "feed_key")
 
 
+def _changed_store(spark, sf):
+    """A run, then two feeds are deleted, one gets a new key, and old articles expire."""
+    store = _run(spark, sf, keep_index=False, include_inactive=True)
+    keys = spark.createDataFrame([("src0",), ("src3",)], "key string")
+    store, feeds = maintenance.delete_feeds(spark, store, scratch_path(spark, "deleted"), 0, views.feeds(spark, sf), keys)
+    names = spark.createDataFrame([("src1", "first"), ("src2", "src4")], "key string, new_key string")
+    store, feeds = maintenance.rename_feeds(spark, store, scratch_path(spark, "renamed"), 0, feeds, names)
+    return maintenance.retain_articles(spark, store, scratch_path(spark, "retained"), 0,
+                                       F.expr("TIMESTAMP'2024-01-01 10:00:00'"), 7), feeds
+
+
+def rollup_metadata(spark, sf):
+    """Facets from kept counts, after all kinds of changes; no article is read for them."""
+    store, _ = _changed_store(spark, sf)
+    return rollups.search_metadata(rollups.read(spark, store.rollups))
+
+
+def rollup_feeds(spark, sf):
+    """Articles per feed from kept counts, and a count of the articles themselves."""
+    store, feeds = _changed_store(spark, sf)
+    kept = rollups.feeds_with_counts(feeds, rollups.read(spark, store.rollups)).select("key", "article_count")
+    counted = tables.read_batches(spark, store.articles, schemas.ARTICLES).groupBy(F.col("feed_key").alias("key")).agg(
+        F.count("*").alias("counted"))
+    return kept.join(counted, "key", "left")
+
+
+def new_articles_filtered(spark, sf):
+    """German and French articles are stored in two batches; what is new among all, by filters of their ids."""
+    path, arts = scratch_path(spark, "known"), distinct_articles(spark, sf)
+    for batch, category in enumerate(("de", "fr")):
+        known_ids.write_ids(views.articles(spark, sf).filter(F.col("category") == category).select("article_id").distinct(), path, batch)
+    return known_ids.not_known(arts, path).select("article_id", "doc_id", "source")
+
+
 QUERIES = {
+    "rollup_metadata": rollup_metadata, "rollup_feeds": rollup_feeds, "new_articles_filtered": new_articles_filtered,
     "run_summary_stored": run_summary_stored, "feed_status_applied": feed_status_applied,
     "feed_bad_payload": feed_bad_payload, "replay_emptier": replay_emptier, "store_delete_feed": store_delete_feed,
     "store_rename": store_rename, "store_retention": store_retention,
@@ -184,7 +220,20 @@ _FIRST = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id
           FROM documents WHERE {where})) WHERE rn = 1"""
 _NEW = "SELECT source, count(*) AS n FROM (" + _FIRST + ") GROUP BY source"
 
+_KEPT = f"""f AS ({_FIRST.format(where='TRUE')}), r AS (
+      SELECT article_id, source, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS published, lang
+      FROM f JOIN (SELECT source, min(lang) AS lang FROM documents GROUP BY source) USING (source) WHERE source NOT IN ('src0', 'src3')),
+    p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY published DESC NULLS LAST, article_id DESC) AS place FROM r),
+    k AS (SELECT * FROM p WHERE place <= 7 OR published >= TIMESTAMP '2024-01-01 10:00:00')"""
+
 ORACLES = {
+    "rollup_metadata": f"""WITH {_KEPT} SELECT 'category' AS kind, lang AS value, count(*) AS article_count FROM k WHERE lang <> '' GROUP BY lang
+        UNION ALL SELECT 'source', concat('Feed ', source), count(*) FROM k GROUP BY source UNION ALL SELECT 'total', '', count(*) FROM k""",
+    "rollup_feeds": f"""WITH {FEEDS}, {_KEPT}, c AS (SELECT CASE WHEN source = 'src1' THEN 'first' ELSE source END AS key, count(*) AS n
+          FROM k GROUP BY source), x AS (SELECT CASE WHEN key = 'src1' THEN 'first' ELSE key END AS key FROM feeds WHERE key NOT IN ('src0', 'src3'))
+        SELECT key, coalesce(n, 0) AS article_count, n AS counted FROM x LEFT JOIN c USING (key)""",
+    "new_articles_filtered": f"""WITH {ART} SELECT article_id, doc_id, source FROM art WHERE article_id NOT IN
+        (SELECT article_id FROM raw WHERE category IN ('de', 'fr'))""",
     "feed_entries": f"""WITH {_IDS} SELECT link, {_T} AS title, article_id,
         concat('Writer ', CAST(length(text) % 97 AS VARCHAR)) AS author, lang AS tags, source AS feed_key,
         concat('Feed ', source) AS source,

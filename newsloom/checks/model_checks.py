@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features, metrics, splits
+from ..functions.wordlists import ENGLISH_STOP_WORDS
 from ..plans import corpus, scoring, training
 from ..session import scratch_path
 from ..sources import driver_views as views
 from ..sources import requests
-from .sql_parts import LABELLED, PREDICTIONS, content_word_list
+from .sql_parts import LABELLED, PREDICTIONS, RAW, content_word_list, porter, stemmed_list
 
 
 def _labels(spark, sf):
@@ -74,6 +75,7 @@ def batch_summary(spark, sf):
 
 
 _trained: dict = {}
+_models: dict = {}
 
 
 def _train(spark, sf, settings=training.QUICK):
@@ -85,8 +87,9 @@ def _train(spark, sf, settings=training.QUICK):
         corpus.prepare(views.labelled(spark, sf), "doc_id").write.parquet(prepared)
         rows = spark.read.parquet(prepared)
         result = training.train(rows, work, settings)
-        training.save(result, work, settings)
+        training.save(result, work, settings, prepared)
         _trained[key] = (rows, work)
+        _models[work] = result.model
     return _trained[key]
 
 
@@ -118,12 +121,72 @@ def model_sample_ids(spark, sf):
 
 
 def model_scores_facts(spark, sf):
-    """What holds for every score, whatever the model: shares, confidence and what is said of them."""
+    """What holds for every score, whatever the model: shares, confidence; texts that are refused have none."""
     s = model_scores(spark, sf)
-    return s.select("idx", (F.abs(F.col("fake_probability") + F.col("real_probability") - 1) < 1e-6).alias("sums_to_one"),
+    return s.select("idx", F.col("error").isNotNull().alias("refused"), "text_length", "processed_text_length", (F.abs(F.col("fake_probability") + F.col("real_probability") - 1) < 1e-6).alias("sums_to_one"),
                     (F.abs(F.col("confidence") - F.greatest("fake_probability", "real_probability")) < 1e-6).alias("is_largest"))
 
 
+def model_train_facts(spark, sf):
+    """A quick run: its hold-out, and whether its shares are shares and its corpus is named."""
+    rows, work = _train(spark, sf)
+    _, facts, split = training.load(spark, work)
+    held = split.filter("is_test").agg(F.count("*").alias("held_out"), F.count_if(F.col("label") == 1).alias("ones"))
+    share = lambda c: (F.col(c) >= 0) & (F.col(c) <= 1)
+    told = facts.select(F.lit("quick").alias("run"), (share("accuracy") & share("cv_mean") & share("cv_std") & share("majority_share")
+                        ).alias("in_bounds"), F.col("cache_path").endswith("/prepared").alias("prepared"))
+    return told.crossJoin(held).select("run", "held_out", "ones", "in_bounds", "prepared")
+
+
+def model_loaded(spark, sf):
+    """Scores of the model in memory and of the one that was saved and loaded, for every labelled text."""
+    rows, work = _train(spark, sf)
+    model, _, _ = training.load(spark, work)
+    before = training.predict(_models[work], rows).select("doc_id", F.col("confidence").alias("c"), F.col("prediction").alias("p"))
+    after = training.predict(model, rows).select("doc_id", "confidence", "prediction")
+    return after.join(before, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), (
+        (F.col("p") == F.col("prediction")) & (F.abs(F.col("c") - F.col("confidence")) < 1e-12)).alias("same"))
+
+
+def runs_appended(spark, sf):
+    """A model that is saved twice is one model and two runs."""
+    rows, work = _train(spark, sf)
+    path = scratch_path(spark, "runs")
+    _, facts, split = training.load(spark, work)
+    row = facts.first()
+    result = training.TrainResult(_models[work], row.accuracy, row.cv_mean, row.cv_std, split, row.majority_share)
+    for _ in range(2):
+        training.save(result, path, training.QUICK)
+    return training.runs(spark, path).groupBy("model_type", F.round("majority_share", 6).alias("majority_share")).agg(
+        F.count("*").cast("int").alias("n"))
+
+
+def model_report_facts(spark, sf):
+    share = lambda c: (F.col(c) >= 0) & (F.col(c) <= 1)
+    return model_report(spark, sf).filter("class IN ('0', '1')").select("class", F.col("support").cast("long").alias("support"), (
+        share("precision") & share("recall") & share("f1")).alias("in_bounds"))
+
+
+def page_scores_facts(spark, sf):
+    """What holds for the score of every page, whatever the model."""
+    s = page_scores(spark, sf)
+    return s.select("idx", "url", F.col("error").isNull().alias("scored"),
+                    (F.abs(F.col("fake_probability") + F.col("real_probability") - 1) < 1e-6).alias("sums_to_one"))
+
+
+def tfidf_stemmed(spark, sf):
+    """Term weights of what the classifier sees: the stems of title and text."""
+    rows, _ = _train(spark, sf)
+    return features.tfidf_rows(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "processed_text", 3000).withColumnRenamed(
+        "doc", "doc_id")
+
+
+def seeded_sample_odd_ids(spark, sf):
+    """Ids that repeat, and rows without one: the size is exact all the same."""
+    d = views.table(spark, sf, "documents").select(F.expr("CASE WHEN doc_id % 9 > 0 THEN doc_id div 3 END").alias("id"))
+    return splits.seeded_sample(d, "id", 160)
+
+
 def model_report(spark, sf):
     rows, work = _train(spark, sf)
     model, _, split = training.load(spark, work)
@@ -156,6 +219,9 @@ QUERIES = {
     "confusion_matrix": lambda s, p: metrics.confusion_matrix(views.pseudo_predictions(s, p)),
     "classification_report": lambda s, p: metrics.classification_report(views.pseudo_predictions(s, p)),
     "cv_summary": cv_summary, "batch_summary": batch_summary, "interpretation": interpretation,
+    "model_train_facts": model_train_facts, "model_loaded": model_loaded, "runs_appended": runs_appended,
+    "model_report_facts": model_report_facts, "page_scores_facts": page_scores_facts, "tfidf_stemmed": tfidf_stemmed,
+    "seeded_sample_odd_ids": seeded_sample_odd_ids,
     "split_null_label": split_null_label, "model_train_full": model_train_full, "model_majority": model_majority,
     "model_report_support": model_report_support, "model_sample_ids": model_sample_ids,
     "model_scores_facts": model_scores_facts,
@@ -174,6 +240,10 @@ _LABELS = "SELECT doc_id, quality AS label FROM labels"
 
 _HELD_OUT = f"SELECT * FROM ({_split_sql(_LABELS, 0.2, 42)}) WHERE is_test"
 
+def _stop_words():
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)
+
+
 _GRAMS = f"""{LABELLED}, t AS (
   SELECT doc_id, list_filter(regexp_extract_all(array_to_string({content_word_list('text')}, ' '), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}'),
          lambda x: length(x) > 1) AS words FROM labelled),
@@ -188,6 +258,17 @@ vocab AS (
   HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT n FROM n) ORDER BY total DESC, term LIMIT @limit@)"""
 
 
+_STEMMED_GRAMS = _GRAMS.replace(f"array_to_string({content_word_list('text')}, ' ')", "processed_text").replace(
+    f"{LABELLED}, t AS (", f"""{LABELLED}, tok AS (SELECT doc_id, {content_word_list("concat(title, ' ', text)")} AS toks FROM labelled),
+  at_ AS (SELECT doc_id, unnest(toks) AS word, unnest(range(len(toks))) AS place FROM tok),
+  words_ AS (SELECT DISTINCT word FROM at_), {porter('words_', True)},
+  prepared AS (SELECT doc_id, string_agg(stem, ' ' ORDER BY place) AS processed_text FROM at_ JOIN stems USING (word) GROUP BY doc_id),
+  t AS (""").replace("AS words FROM labelled)", f"""AS words0 FROM prepared),
+t1 AS (SELECT doc_id, list_filter(words0, lambda x: x NOT IN ({_stop_words()})) AS words FROM t)""").replace(
+    "unnest(words) AS term FROM t\n", "unnest(words) AS term FROM t1\n").replace("AS i FROM t))", "AS i FROM t1))").replace(
+    "count(*) AS DOUBLE) AS n FROM labelled", "count(*) AS DOUBLE) AS n FROM prepared")
+
+
 def _report_line(name, p, r, f, support):
     return f"SELECT '{name}' AS class, round({p}, 4) AS precision, round({r}, 4) AS recall, round({f}, 4) AS f1, {support} AS support FROM s"
 
@@ -211,7 +292,25 @@ ORACLES = {
     "model_report_support": f"SELECT CAST(label AS VARCHAR) AS class, count(*) AS support FROM ({_HELD_OUT}) GROUP BY label",
     "model_sample_ids": f"""SELECT doc_id, label AS actual FROM ({_HELD_OUT})
         ORDER BY md5(concat(CAST(doc_id AS VARCHAR), '#42')), doc_id LIMIT 10""",
-    "model_scores_facts": "SELECT doc_id AS idx, TRUE AS sums_to_one, TRUE AS is_largest FROM documents",
+    "model_scores_facts": f"""WITH {RAW}, b AS (SELECT doc_id, trim(concat(title, ' ', content)) AS whole, trim(content) = '' AS blank FROM raw),
+        {stemmed_list('whole').replace('FROM documents', 'FROM b')}, r AS (
+          SELECT doc_id, whole, processed_text, blank OR processed_text = '' AS refused FROM b JOIN stemmed USING (doc_id))
+        SELECT doc_id AS idx, refused, CASE WHEN NOT refused THEN length(whole) END AS text_length,
+          CASE WHEN NOT refused THEN length(processed_text) END AS processed_text_length,
+          CASE WHEN NOT refused THEN TRUE END AS sums_to_one, CASE WHEN NOT refused THEN TRUE END AS is_largest FROM r""",
+    "page_scores_facts": """SELECT page_id AS idx, url, TRUE AS scored, TRUE AS sums_to_one FROM pages""",
+    "model_train_facts": f"""SELECT 'quick' AS run, count(*) AS held_out, count(*) FILTER (label = 1) AS ones, TRUE AS in_bounds, TRUE AS prepared
+        FROM ({_HELD_OUT})""",
+    "model_loaded": f"""WITH {LABELLED} SELECT doc_id, TRUE AS same FROM labelled
+        WHERE len({content_word_list("concat(title, ' ', text)")}) > 0""",
+    "runs_appended": f"""SELECT 'logistic_regression' AS model_type, 2 AS n, round(greatest(avg(label), 1 - avg(label)), 6) AS majority_share
+        FROM ({_HELD_OUT})""",
+    "model_report_facts": f"""SELECT CAST(label AS VARCHAR) AS class, count(*) AS support, TRUE AS in_bounds FROM ({_HELD_OUT}) GROUP BY label""",
+    "tfidf_stemmed": f"""WITH {_STEMMED_GRAMS.replace('@limit@', '3000')}, x AS (
+          SELECT doc_id, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM tf JOIN vocab USING (term), n)
+        SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 4) AS weight FROM x""",
+    "seeded_sample_odd_ids": """SELECT id FROM (SELECT CASE WHEN doc_id % 9 > 0 THEN doc_id // 3 END AS id FROM documents)
+        ORDER BY CASE WHEN id IS NULL THEN '' ELSE md5(concat(CAST(id AS VARCHAR), '#42')) END, id LIMIT 160""",
     "folds": """SELECT doc_id, quality AS label, CAST((row_number() OVER (PARTITION BY quality
         ORDER BY md5(concat(CAST(doc_id AS VARCHAR), '#42')), doc_id) - 1) % 5 AS INT) AS fold FROM labels""",
     "seeded_sample": """SELECT doc_id, source FROM documents

@@ -168,7 +168,32 @@ def snapshot_restore(spark, sf):
     return tables.read_current(spark, f"{root}/logs", logs.schema).select("log_id", "feed_key", "status")
 
 
+def snapshot_bytes(spark, sf):
+    """The catalogue knows the size of each copy; a compressed one is smaller."""
+    root, named = scratch_path(spark, "snapshot"), {"articles": views.articles(spark, sf), "logs": views.logs(spark, sf)}
+    small = snapshots.take(named, root, "s1").select("table_name", "bytes")
+    large = snapshots.take(named, root, "s2", compress=False).select("table_name", F.col("bytes").alias("plain"))
+    return small.join(large, "table_name").select("table_name", (F.col("bytes") > 0).alias("sized"),
+                                                  (F.col("bytes") < F.col("plain")).alias("smaller"))
+
+
+def restore_two_tables(spark, sf):
+    """Two tables of one home go back together, by one row of one table."""
+    home, root = scratch_path(spark, "home"), scratch_path(spark, "snapshots")
+    logs, arts = views.logs(spark, sf), views.articles(spark, sf).select("article_id", "doc_id")
+    snapshots.publish_home({"logs": logs, "articles": arts}, home, "v1")
+    snapshots.take({n: snapshots.read_home(spark, home, n) for n in ("logs", "articles")}, root, "s1")
+    snapshots.publish_home({"logs": logs.limit(1), "articles": arts.limit(1)}, home, "v2")
+    if not snapshots.restore_home(spark, root, "s1", home, ["logs", "articles"], "before"):
+        raise RuntimeError("restore failed")
+    return (snapshots.read_home(spark, home, "logs").agg(F.count("*").alias("n"), F.sum("log_id").alias("total"))
+            .select(F.lit("logs").alias("name"), "n", "total").unionByName(
+                snapshots.read_home(spark, home, "articles").agg(F.count("*").alias("n"), F.sum("doc_id").alias("total"))
+                .select(F.lit("articles").alias("name"), "n", "total")))
+
+
 QUERIES = {
+    "snapshot_bytes": snapshot_bytes, "restore_two_tables": restore_two_tables,
     "article_scan": article_scan, "article_ids": article_ids, "distinct_articles": distinct_articles_query,
     "new_articles": new_articles, "search_contains": search_contains,
     "search_contains_wildcard": search_contains_wildcard,
@@ -199,6 +224,9 @@ _KEY = "concat('src', CAST(user_id % 20 AS VARCHAR)) AS feed_key"
 _NULL_KEY = "nullif(concat('src', CAST(user_id % 20 AS VARCHAR)), 'src3') AS feed_key"
 
 ORACLES = {
+    "snapshot_bytes": "SELECT unnest(['articles', 'logs']) AS table_name, TRUE AS sized, TRUE AS smaller",
+    "restore_two_tables": """SELECT 'logs' AS name, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events
+        UNION ALL SELECT 'articles', count(*), CAST(sum(doc_id) AS BIGINT) FROM documents""",
     "article_scan": f"WITH {RAW} SELECT article_id, doc_id, title, link, published, source, category, author FROM raw",
     "article_ids": f"WITH {RAW} SELECT doc_id, md5(concat(title, link)) AS article_id FROM raw",
     "distinct_articles": f"WITH {ART} SELECT article_id, doc_id, title, source FROM art",

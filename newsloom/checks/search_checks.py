@@ -10,7 +10,7 @@ from ..plans.search import search_articles
 from ..session import scratch_path
 from ..sources import driver_views as views
 from .scan_checks import distinct_articles
-from .sql_parts import ART, RAW, TOKENS
+from .sql_parts import ART, RAW, STEMMED_TOKENS, TOKENS
 
 
 def _index(spark, sf, stem=False, fields=postings.DEFAULT_FIELDS):
@@ -386,6 +386,7 @@ def _terms_like(pattern, like):
 _BATCH_WORDS = "(0, 'en'), (1, 'was'), (2, 'er'), (3, 're'), (4, 'th'), (5, 'es'), (6, 'ou'), (7, 'nd')"
 
 ORACLES = {
+    "search_stemmed": _ranked(("thing",), tail=_BEST.format(20, 0)).replace(TOKENS, STEMMED_TOKENS),
     "search_ranked_lazy": _ranked(("thble", "thtion"), tail=_BEST.format(20, 0)),
     "search_ranked_blocks": _ranked(("en",), tail=_BEST.format(20, 0)),
     "search_ranked_blocks_two": _ranked(("was", "er"), tail=_BEST.format(10, 20)),

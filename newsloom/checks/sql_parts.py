@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.stemming import IRREGULAR, STEP2, STEP3, STEP4
 from ..functions.wordlists import ENGLISH_STOP_WORDS, SEARCH_STOP_WORDS
 
 RAW = """raw AS (
@@ -92,3 +93,85 @@ df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY field, term),
 w AS (
   SELECT tf.*, (ln(n / (df + 1.0)) + 1) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * field_length / mean_length)) AS weight
   FROM tf JOIN df USING (field, term) JOIN st USING (field))"""
+
+
+def _shape(word: str) -> str:
+    """A word with C for consonants and V for vowels; y is a vowel behind a consonant."""
+    out = f"regexp_replace(regexp_replace({word}, '[aeiou]', 'V', 'g'), '[^Vy]', 'C', 'g')"
+    for _ in range(4):  # a pass settles the first y of every run of them, and the one behind it
+        out = f"replace(replace(regexp_replace({out}, '^y', 'C'), 'Cy', 'CV'), 'Vy', 'VC')"
+    return out
+
+
+def _measure(word: str) -> str:
+    return f"(len(string_split({_shape(word)}, 'VC')) - 1)"
+
+
+def _short_end(word: str, extended: bool) -> str:
+    shape = _shape(word)
+    return (f"(CASE WHEN ends_with({shape}, 'CVC') THEN right({word}, 1) NOT IN ('w', 'x', 'y') "
+            f"ELSE {f'{shape} = {chr(39)}VC{chr(39)}' if extended else 'FALSE'} END)")
+
+
+def _cut(word: str, n: int) -> str:
+    return f"left({word}, length({word}) - {n})"
+
+
+def _suffix_step(source: str, target: str, rules: dict, condition: str, tested: str = "stem") -> str:
+    """A step that replaces the longest suffix of the rules where the condition holds."""
+    ordered = sorted(rules, key=lambda r: (-len(r), r))
+    suffix = " ".join(f"WHEN ends_with(w, '{r}') THEN '{r}'" for r in ordered)
+    put = " ".join(f"WHEN '{r}' THEN '{rules[r]}'" for r in ordered)
+    return f"""{target}a AS (SELECT word, w, CASE {suffix} END AS suf FROM {source}),
+{target}b AS (SELECT *, left(w, length(w) - length(suf)) AS stem FROM {target}a),
+{target} AS (SELECT word, CASE WHEN suf IS NULL THEN w WHEN {condition.format(m=_measure(tested))} THEN concat(stem, CASE suf {put} END)
+  ELSE w END AS w FROM {target}b)"""
+
+
+def porter(words: str, extended: bool) -> str:
+    """CTEs that end in ``stems`` (word, stem) of the distinct column ``word`` of ``words``."""
+    ext = "TRUE" if extended else "FALSE"
+    irregular = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in IRREGULAR.items()) if extended else "WHEN '' THEN ''"
+    step2 = {**STEP2, "fulli": "ful"} if extended else STEP2
+    ali = f"CASE WHEN {ext} AND ends_with(w, 'alli') AND {_measure(_cut('w', 4))} > 0 THEN {_cut('w', 2)} ELSE w END"
+    past = f"""CASE WHEN {ext} AND ends_with(w, 'ied') THEN CASE WHEN length(w) = 4 THEN {_cut('w', 1)} ELSE {_cut('w', 2)} END
+  WHEN ends_with(w, 'eed') THEN CASE WHEN {_measure(_cut('w', 3))} > 0 THEN {_cut('w', 1)} ELSE w END
+  WHEN stem IS NULL OR NOT contains({_shape('stem')}, 'V') THEN w
+  WHEN right(stem, 2) IN ('at', 'bl', 'iz') THEN concat(stem, 'e')
+  WHEN length(stem) > 1 AND right(stem, 1) = left(right(stem, 2), 1) AND right({_shape('stem')}, 1) = 'C'
+    THEN CASE WHEN right(stem, 1) IN ('l', 's', 'z') THEN stem ELSE {_cut('stem', 1)} END
+  WHEN {_measure('stem')} = 1 AND {_short_end('stem', extended)} THEN concat(stem, 'e') ELSE stem END"""
+    before_y = _cut("w", 1)
+    turn = (f"length({before_y}) > 1 AND right({_shape(before_y)}, 1) = 'C'" if extended else f"contains({_shape(before_y)}, 'V')")
+    return f"""p1 AS (SELECT word, CASE WHEN ends_with(word, 'sses') THEN {_cut('word', 2)}
+  WHEN ends_with(word, 'ies') THEN CASE WHEN {ext} AND length(word) = 4 THEN {_cut('word', 1)} ELSE {_cut('word', 2)} END
+  WHEN ends_with(word, 's') AND NOT ends_with(word, 'ss') THEN {_cut('word', 1)} ELSE word END AS w FROM {words}),
+p2a AS (SELECT *, CASE WHEN ends_with(w, 'ed') THEN {_cut('w', 2)} WHEN ends_with(w, 'ing') THEN {_cut('w', 3)} END AS stem FROM p1),
+p2 AS (SELECT word, {past} AS w FROM p2a),
+p3 AS (SELECT word, CASE WHEN ends_with(w, 'y') AND {turn} THEN concat({before_y}, 'i') ELSE w END AS w FROM p2),
+p4 AS (SELECT word, {ali} AS w FROM p3),
+{_suffix_step('p4', 'p5', step2, "{m} > 0", f"CASE WHEN {ext} AND suf = 'logi' THEN concat(stem, 'l') ELSE stem END")},
+{_suffix_step('p5', 'p6', STEP3, "{m} > 0")},
+{_suffix_step('p6', 'p7', STEP4, "{m} > 1 AND (suf <> 'ion' OR right(stem, 1) IN ('s', 't'))")},
+p8 AS (SELECT word, CASE WHEN ends_with(w, 'e') AND ({_measure(before_y)} > 1
+  OR ({_measure(before_y)} = 1 AND NOT {_short_end(before_y, extended)})) THEN {before_y} ELSE w END AS w FROM p7),
+p9 AS (SELECT word, CASE WHEN ends_with(w, 'll') AND {_measure(before_y)} > 1 THEN {before_y} ELSE w END AS w FROM p8),
+stems AS (SELECT word, CASE word {irregular} ELSE CASE WHEN length(word) < 3 THEN word ELSE w END END AS stem FROM p9)"""
+
+
+# the tokens as stems
+STEMMED_TOKENS = TOKENS.replace("e AS (\n  SELECT article_id", "e0 AS (\n  SELECT article_id").replace(
+    "tf AS (\n", f"""words AS (SELECT DISTINCT term AS word FROM e0),
+{porter('words', False)},
+e AS (SELECT article_id, published, category, source, field, stem AS term, pos, field_length FROM e0 JOIN stems ON e0.term = stems.word),
+tf AS (\n""", 1)
+
+
+def stemmed_list(text: str) -> str:
+    """CTEs that end in ``stemmed`` (doc_id, processed_text) of all documents: what the classifier sees of ``text``."""
+    return f"""tok AS (SELECT doc_id, {content_word_list(text)} AS toks FROM documents),
+pos AS (SELECT doc_id, unnest(toks) AS word, unnest(range(len(toks))) AS place FROM tok),
+words AS (SELECT DISTINCT word FROM pos),
+{porter('words', True)},
+line AS (SELECT doc_id, string_agg(stem, ' ' ORDER BY place) AS processed_text FROM pos JOIN stems USING (word) GROUP BY doc_id),
+stemmed AS (SELECT doc_id, coalesce(processed_text, '') AS processed_text FROM tok LEFT JOIN line USING (doc_id))"""

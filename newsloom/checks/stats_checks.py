@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..operators import quality, registry, stats, updates
 from ..sources import driver_views as views
+from ..sources import export
 from .scan_checks import distinct_articles
 from .sql_parts import ART, FEEDS, LABELLED, LOGS
 
@@ -142,7 +144,60 @@ def fetched_feeds(spark, sf):
         "key", "last_articles_count")
 
 
+def fetched_feeds_gap(spark, sf):
+    """Some feeds have never been fetched: they are not listed."""
+    status = updates.latest_status(views.logs(spark, sf).filter("feed_key NOT IN ('src3', 'src7', 'src12')"))
+    return updates.fetched_feeds(updates.apply_status(views.feeds(spark, sf), status)).select("key", "last_articles_count")
+
+
+def _renames(spark, sf):
+    """Renames of every kind: to a new key, to one that is taken, two to one key, twice, of no feed, to nothing."""
+    feeds = views.feeds(spark, sf)
+    to = F.expr("""CASE key WHEN 'src0' THEN 'zero' WHEN 'src1' THEN 'src2' WHEN 'src4' THEN 'both' WHEN 'src5' THEN 'both'
+                   WHEN 'src6' THEN '' WHEN 'src7' THEN 'b7' WHEN 'src8' THEN 'src8' END""")
+    named = feeds.select("key", to.alias("new_key")).filter("new_key IS NOT NULL")
+    return (named.unionByName(named.filter("key = 'src7'").withColumn("new_key", F.lit("a7")))
+            .unionByName(named.filter("key = 'src0'").select(F.lit("absent").alias("key"), F.lit("there").alias("new_key"))))
+
+
+def feed_rename_taken(spark, sf):
+    """Keys after renames of which most are refused: every key is there once."""
+    out = registry.rename_keys(views.feeds(spark, sf), _a(spark, sf), _renames(spark, sf))
+    counted = out["articles"].groupBy(F.col("feed_key").alias("key")).agg(F.count("*").alias("articles"))
+    return out["feeds"].groupBy("key").agg(F.count("*").alias("feeds")).join(counted, "key")
+
+
+def feed_rename_rejected(spark, sf):
+    return registry.rename_keys(views.feeds(spark, sf), _a(spark, sf), _renames(spark, sf))["rejected"]
+
+
+def feeds_json(spark, sf):
+    """Feeds in their public form, read back."""
+    feeds = views.feeds(spark, sf)
+    feeds = updates.apply_status(feeds, updates.latest_status(views.logs(spark, sf)))
+    for f in schemas.FEEDS.fields:
+        if f.name not in feeds.columns:
+            feeds = feeds.withColumn(f.name, F.lit(None).cast(f.dataType))
+    parsed = F.from_json("json", "id string, name string, url string, category string, active boolean, last_fetch_status string, "
+                                 "last_articles_count int, last_fetched_at string, feed_title string")
+    return export.feeds_json(feeds).select("id", parsed.alias("j"), F.col("json").contains('"feed_title":null').alias("has_nulls")).select(
+        "id", F.col("j.id").alias("inner_id"), "j.name", "j.active", "j.last_fetch_status", "j.last_articles_count", "j.last_fetched_at", "has_nulls")
+
+
+def logs_json(spark, sf):
+    """Log rows in their public form, read back."""
+    logs = views.logs(spark, sf).withColumn("run_id", F.col("log_id").cast("string"))
+    for f in schemas.UPDATE_LOGS.fields:
+        if f.name not in logs.columns:
+            logs = logs.withColumn(f.name, F.lit(None).cast(f.dataType))
+    parsed = F.from_json("json", "id string, feed_key string, started_at string, status string, articles_new int, error_message string")
+    return export.logs_json(logs).select(F.col("id").cast("long").alias("log_id"), parsed.alias("j")).select(
+        "log_id", "j.feed_key", "j.started_at", "j.status", "j.articles_new", "j.error_message")
+
+
 QUERIES = {
+    "fetched_feeds_gap": fetched_feeds_gap, "feed_rename_taken": feed_rename_taken, "feed_rename_rejected": feed_rename_rejected,
+    "feeds_json": feeds_json, "logs_json": logs_json,
     "article_count": lambda s, p: stats.article_count(_a(s, p)),
     "article_count_by_feed": article_count_by_feed,
     "categories": lambda s, p: stats.distinct_values(_a(s, p), "category"),
@@ -187,7 +242,21 @@ _FEED_REASONS = """concat_ws(',',
   CASE WHEN NOT coalesce(regexp_matches(url, '(?i)^(https?|ftps?)://[^\\s/?#]+\\.[^\\s/?#]+([/?#]\\S*)?$'), false) THEN 'url_invalid' END,
   CASE WHEN coalesce(length(category), 0) = 0 THEN 'category_missing' END)"""
 
+_NEW_KEY = "CASE source WHEN 'src0' THEN 'zero' WHEN 'src4' THEN 'both' WHEN 'src7' THEN 'a7' ELSE source END"
+
 ORACLES = {
+    "fetched_feeds_gap": f"""WITH {LOGS}, {FEEDS}, {_LATEST.format(src="(SELECT * FROM logs WHERE feed_key NOT IN ('src3', 'src7', 'src12'))")}
+        SELECT key, last_articles_count FROM feeds JOIN latest ON key = feed_key""",
+    "feed_rename_taken": f"SELECT {_NEW_KEY} AS key, 1 AS feeds, count(*) AS articles FROM documents GROUP BY source",
+    "feed_rename_rejected": """SELECT * FROM (VALUES ('src1', 'src2', 'the new key is taken'), ('src5', 'both', 'the new key is taken'),
+        ('src6', '', 'no new key'), ('src7', 'b7', 'renamed twice'), ('src8', 'src8', 'the new key is taken'),
+        ('absent', 'there', 'no such feed')) AS t(key, new_key, reason)""",
+    "feeds_json": f"""WITH {LOGS}, {FEEDS}, {_LATEST.format(src='logs')}
+        SELECT key AS id, key AS inner_id, name, active, last_fetch_status, coalesce(last_articles_count, 0) AS last_articles_count,
+               strftime(last_fetched_at, '%Y-%m-%dT%H:%M:%S.%f') AS last_fetched_at, TRUE AS has_nulls
+        FROM feeds LEFT JOIN latest ON key = feed_key""",
+    "logs_json": f"""WITH {LOGS} SELECT log_id, feed_key, strftime(started_at, '%Y-%m-%dT%H:%M:%S.%f') AS started_at, status,
+        articles_new, error_message FROM logs""",
     "article_count": "SELECT count(*) AS article_count FROM documents",
     "article_count_by_feed": "SELECT count(*) AS article_count FROM documents WHERE source = 'src3'",
     "categories": "SELECT DISTINCT lang AS category FROM documents WHERE lang <> ''",

@@ -11,7 +11,7 @@ from ..plans import corpus
 from ..session import scratch_path
 from ..sources import corpus_csv, requests
 from ..sources import driver_views as views
-from .sql_parts import LABELLED, RAW, clean, content_word_list
+from .sql_parts import LABELLED, RAW, clean, content_word_list, stemmed_list
 
 
 def _docs(spark, sf):
@@ -58,7 +58,7 @@ def stemmed_text(spark, sf):
 
 
 def prepared_corpus(spark, sf):
-    """Rows with a text left, without the stems (which SQL cannot say)."""
+    """Rows with a text left."""
     d = corpus.prepare(views.labelled(spark, sf), "doc_id")
     return d.select(F.col("doc_id").cast("long").alias("doc_id"), "label")
 
@@ -86,6 +86,13 @@ def page_extract(spark, sf):
     return extract_pages(views.pages(spark, sf))
 
 
+def page_paragraphs(spark, sf):
+    """Pages without a content element: open, nested and closed paragraphs, some around scripts."""
+    section = F.regexp_replace("html", "(?i)(</?)article", "$1section")
+    with_script = F.regexp_replace(section, "<br>", "<script>var p = '<p>no text</p>';</script><br>")
+    return extract_pages(views.pages(spark, sf).withColumn("html", with_script)).select("page_id", "content")
+
+
 def page_title(spark, sf):
     return extract_pages(views.pages(spark, sf)).select(
         "page_id", F.regexp_replace("title", "&", "&amp;").alias("title"))
@@ -102,12 +109,32 @@ QUERIES = {
     "tokens_filtered": tokens_filtered, "text_lengths": text_lengths, "text_quality": text_quality,
     "stemmed_text": stemmed_text, "prepared_corpus": prepared_corpus,
     "corpus_csv_round_trip": corpus_csv_round_trip, "corpus_cache": corpus_cache,
+    "page_paragraphs": page_paragraphs,
     "page_extract": page_extract, "page_title": page_title, "page_article_text": page_article_text,
 }
 
 _BOTH = "trim(concat(title, ' ', content))"
 
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&#39;", "''"), ("&amp;", "&"))
+
+
+def _readable(html):
+    """Text of a piece of a page whose tags are gone: entities read, blanks squeezed."""
+    for entity, letter in _ENTITIES:
+        html = f"replace({html}, '{entity}', '{letter}')"
+    return f"trim(regexp_replace({html}, '\\s+', ' ', 'g'))"
+
+
+_BARE = "regexp_replace({0}, '(?s)<[^>]*>', '{1}', 'g')"
+
 ORACLES = {
+    "stemmed_text": f"WITH {stemmed_list('text')} SELECT doc_id, processed_text FROM stemmed",
+    "page_extract": f"""SELECT page_id, url, {_readable("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
+        {_readable(_BARE.format("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)", ''))} AS content,
+        CAST(NULL AS VARCHAR) AS error FROM pages""",
+    # without a content element all text from the first paragraph to the end of the section counts
+    "page_paragraphs": f"""SELECT page_id, {_readable(_BARE.format(
+        "regexp_replace(regexp_extract(html, '(?is)<p>(.*)</article>', 1), '(?i)</?p>', ' ', 'g')", ''))} AS content FROM pages""",
     "combined_text": f"""WITH {RAW}, c AS (SELECT doc_id, concat(CASE WHEN doc_id % 3 <> 0 THEN title ELSE '' END,
         ' ', content) AS combined FROM raw) SELECT doc_id, combined, length(combined) AS text_length FROM c""",
     "clean_text": f"SELECT doc_id, {clean('text')} AS clean FROM documents",

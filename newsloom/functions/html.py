@@ -5,6 +5,10 @@ time inside Arrow batches; no tree is built.  A start tag opens a stretch of the
 when it is the first element of a wanted kind, and an end tag closes what lies above
 its partner.  Text of scripts, style sheets and
 templates is not text.
+
+Paragraphs are one sweep over the page: text counts while any paragraph is open, once, however many are,
+and where one begins or ends a blank stands.  So nested paragraphs, and those that nobody closes,
+cost their own length.
 """
 
 from __future__ import annotations
@@ -43,7 +47,7 @@ class _PageReader(HTMLParser):
         self.depth = Counter()    # open elements by tag
         self.silent = 0
         self.spans = {}           # key -> [start, end) in the pieces
-        self.paragraphs = []
+        self.paragraphs = []      # pieces inside of any, a blank at every edge of one
         self.og_title = None
 
     def handle_starttag(self, tag, attrs):
@@ -60,8 +64,7 @@ class _PageReader(HTMLParser):
         if tag == "title" and "title" not in self.spans:
             spans.append(self.spans.setdefault("title", [len(self.pieces), None]))
         if tag == "p":
-            self.paragraphs.append([len(self.pieces), None])
-            spans.append(self.paragraphs[-1])
+            self.paragraphs.append(" ")
         self.open.append((tag, spans))
         self.depth[tag] += 1
         self.silent += tag in _SILENT
@@ -79,6 +82,8 @@ class _PageReader(HTMLParser):
             for span in spans:
                 span[1] = len(self.pieces)
             self.depth[name] -= 1
+            if name == "p":
+                self.paragraphs.append(" ")
             self.silent -= name in _SILENT
             if name == tag:
                 return
@@ -86,6 +91,8 @@ class _PageReader(HTMLParser):
     def handle_data(self, data):
         if not self.silent:
             self.pieces.append(data)
+            if self.depth["p"]:
+                self.paragraphs.append(data)
 
     def unknown_decl(self, data):
         if data.upper().startswith("CDATA["):
@@ -95,12 +102,8 @@ class _PageReader(HTMLParser):
         return "".join(self.pieces[span[0]:span[1]]) if span else ""
 
     def paragraph_text(self):
-        """Texts of all paragraphs, a blank between them.
-
-        A paragraph that is not closed runs to the end of what holds it, over the paragraphs after it,
-        and their text counts in each.  Only pages without a content element pay for that.
-        """
-        return " ".join(map(self.text, self.paragraphs))
+        """The text of all paragraphs, each piece once."""
+        return "".join(self.paragraphs)
 
 
 def read_page(html: str) -> tuple[str, str]:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import ENGLISH_STOP_WORDS
+from ..session import scratch_path
 
 MIN_DF = 2
 MAX_DF_SHARE = 0.95
@@ -33,8 +34,8 @@ def grams(text, stop_words=ENGLISH_STOP_WORDS) -> Column:
     return F.concat(words, _bigrams(words))
 
 
-def gram_statistics(rows: DataFrame, grams_col: str) -> DataFrame:
-    """``(term, df, total)`` of a column of grams: documents that have a term, and its occurrences.
+def gram_statistics(rows: DataFrame, grams_col: str, *by: str) -> DataFrame:
+    """``(*by, term, df, total)`` of a column of grams: documents that have a term, and its occurrences.
 
     One generator gives every document once per distinct term (d) and every occurrence (c); both
     are summed in the map tasks, so what is shuffled is at most one row per term and task.
@@ -42,8 +43,8 @@ def gram_statistics(rows: DataFrame, grams_col: str) -> DataFrame:
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     once = F.transform(F.array_distinct(grams_col), lambda t: F.struct(t.alias("term"), one.alias("d"), none.alias("c")))
     every = F.transform(grams_col, lambda t: F.struct(t.alias("term"), none.alias("d"), one.alias("c")))
-    return (rows.select(F.explode(F.concat(once, every)).alias("x")).select("x.*")
-            .groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("total")))
+    return (rows.select(*by, F.explode(F.concat(once, every)).alias("x")).select(*by, "x.*")
+            .groupBy(*by, "term").agg(F.sum("d").alias("df"), F.sum("c").alias("total")))
 
 
 def vocabulary(statistics: DataFrame, n_docs, max_features: int = FULL_FEATURES,
@@ -109,13 +110,40 @@ class CredibilityClassifier(Estimator):
         both = SQLTransformer(statement="SELECT *, concat(nl_words, nl_pairs) AS nl_grams FROM __THIS__")
         return [words, pairs, both]
 
+    def _chosen(self, statistics: DataFrame, size: int) -> list:
+        """Rows (term, idf) of the vocabulary, ``max_features`` at most."""
+        idf = F.log((F.lit(1.0) + F.lit(size)) / (F.lit(1.0) + F.col("df"))) + 1
+        return vocabulary(statistics, F.lit(size), self.max_features).select("term", idf.alias("idf")).collect()
+
     def _fit(self, dataset):
+        size = dataset.count()
+        grammed = PipelineModel(self._text_stages()).transform(dataset)
+        return self.fit_with(dataset, self._chosen(gram_statistics(grammed, "nl_grams"), size), size)
+
+    def fold_vocabularies(self, dataset: DataFrame, folds: int) -> list[tuple[list, int]]:
+        """Of every fold the vocabulary of the others, and their number of rows.
+
+        One pass counts terms per fold; the counts of the others are all counts less the fold's own.
+        """
+        grammed = PipelineModel(self._text_stages()).transform(dataset)
+        per_fold = gram_statistics(grammed, "nl_grams", "fold")
+        path = scratch_path(dataset.sparkSession, "fold-terms")
+        per_fold.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"), *[
+            F.sum(F.when(F.col("fold") == i, F.col(c)).otherwise(0)).alias(f"{c}_{i}") for i in range(folds) for c in ("df", "total")]
+        ).write.parquet(path)
+        counted = dataset.sparkSession.read.parquet(path)
+        rows = {r.fold: r["count"] for r in dataset.groupBy("fold").count().collect()}
+        out = []
+        for i in range(folds):
+            size = sum(rows.values()) - rows.get(i, 0)
+            others = counted.select("term", (F.col("df") - F.col(f"df_{i}")).alias("df"), (F.col("total") - F.col(f"total_{i}")).alias("total"))
+            out.append((self._chosen(others, size), size))
+        return out
+
+    def fit_with(self, dataset: DataFrame, vocab: list, size: int) -> PipelineModel:
+        """Fit on ``dataset`` of ``size`` rows with a vocabulary that is known."""
         text = self._text_stages()
         grammed = PipelineModel(text).transform(dataset)
-        size = dataset.count()
-        idf = F.log((F.lit(1.0) + F.lit(size)) / (F.lit(1.0) + F.col("df"))) + 1
-        vocab = (vocabulary(gram_statistics(grammed, "nl_grams"), F.lit(size), self.max_features)
-                 .select("term", idf.alias("idf")).collect())     # at most max_features rows
         if not vocab:
             raise ValueError("no term occurs in two documents; nothing to learn from")
         counts = CountVectorizerModel.from_vocabulary([r.term for r in vocab], "nl_grams", "nl_counts")

@@ -7,7 +7,7 @@ change side is usually small and is broadcast when its measured size allows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -120,10 +120,36 @@ def patch(base: DataFrame, patches: DataFrame, key: str, columns: list[str], now
     return base.join(p, key, "left").select(*out)
 
 
+def checked_renames(feeds: DataFrame, renames: DataFrame) -> DataFrame:
+    """``(key, new_key, reason)`` of every distinct rename; ``reason`` is null if it is accepted.
+
+    Keys stay unique: a new key that a feed has, or that several renames want, goes to nobody but, of
+    the latter, the first by key; a feed is renamed once, to the first new key by value.
+    """
+    known = feeds.select("key").distinct()
+    r = renames.select("key", "new_key").distinct()
+    r = (r.join(known.select("key", F.lit(True).alias("is_feed")), "key", "left")
+         .join(known.select(F.col("key").alias("new_key"), F.lit(True).alias("taken")), "new_key", "left"))
+    refused = (F.when(F.col("is_feed").isNull(), "no such feed")
+               .when(F.coalesce(F.col("new_key"), F.lit("")) == "", "no new key")
+               .when(F.col("taken"), "the new key is taken"))
+    r = r.withColumn("reason", refused)
+    open_ = F.col("reason").isNull()
+    first = F.min(F.when(open_, F.col("new_key"))).over(Window.partitionBy("key"))
+    r = r.withColumn("reason", F.when(open_ & (F.col("new_key") != first), "renamed twice").otherwise(F.col("reason")))
+    owner = F.min(F.when(F.col("reason").isNull(), F.col("key"))).over(Window.partitionBy("new_key"))
+    return r.select("key", "new_key", F.when(F.col("reason").isNull() & (F.col("key") != owner), "the new key is taken")
+                    .otherwise(F.col("reason")).alias("reason"))
+
+
 def rename_keys(feeds: DataFrame, articles: DataFrame, renames: DataFrame,
                 logs: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Change feed keys (``key``, ``new_key``) in the registry, the articles and, when given, the logs."""
-    r = renames.select("key", "new_key")
+    """Change feed keys (``key``, ``new_key``) in the registry, the articles and, when given, the logs.
+
+    ``rejected`` has the renames that :func:`checked_renames` refuses; they change nothing.
+    """
+    checked = checked_renames(feeds, renames)
+    r = checked.filter("reason IS NULL").select("key", "new_key")
     new_feeds = (feeds.join(r, "key", "left")
                  .withColumn("key", F.coalesce("new_key", "key")).drop("new_key"))
 
@@ -131,7 +157,8 @@ def rename_keys(feeds: DataFrame, articles: DataFrame, renames: DataFrame,
         return (table.join(r.withColumnRenamed("key", "feed_key"), "feed_key", "left")
                 .withColumn("feed_key", F.coalesce("new_key", "feed_key")).select(*table.columns))
 
-    out = {"feeds": new_feeds.select(*feeds.columns), "articles": renamed(articles)}
+    out = {"feeds": new_feeds.select(*feeds.columns), "articles": renamed(articles),
+           "rejected": checked.filter("reason IS NOT NULL")}
     return out if logs is None else out | {"logs": renamed(logs)}
 
 

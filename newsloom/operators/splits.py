@@ -59,16 +59,20 @@ def stratified_folds(df: DataFrame, row_id: str, k: int = 5, label: str = "label
 def seeded_sample(df: DataFrame, row_id: str, size: int, seed: int = 42) -> DataFrame:
     """Exactly ``size`` rows by seeded order, or all rows when there are no more.
 
-    A first pass over the ids finds the hash range in which row number ``size`` lies;
-    only rows up to that range are kept, and only their ids are sorted.
+    A null id comes first; rows that share an id are rows of their own, in the order of a hash of all
+    their columns.  A first pass over the ids finds the hash range in which row number ``size`` lies;
+    rows of earlier ranges stay as they are, and only those of that range are put in order.
     """
-    hashed = (df.withColumn("_hash", seeded_hash(row_id, seed))
+    hashed = (df.withColumn("_hash", F.coalesce(seeded_hash(row_id, seed), F.lit("")))
               .withColumn("_range", F.substring("_hash", 1, _DIGITS)))
     histogram = hashed.groupBy("_range").agg(F.count("*").alias("_n"))
     running = histogram.withColumn("_sum", F.sum("_n").over(
         Window.partitionBy(F.lit(0)).orderBy("_range")))
-    border = running.agg(F.coalesce(
-        F.min(F.when(F.col("_sum") >= size, F.col("_range"))), F.lit("g"))).scalar()
-    near = hashed.filter(F.col("_range") <= border)
-    chosen = near.select(row_id, "_hash").orderBy("_hash", row_id).limit(size).select(row_id)
-    return near.join(chosen, row_id, "left_semi").drop("_hash", "_range")
+    border = running.filter(F.col("_sum") >= size).orderBy("_range").limit(1).select(
+        F.col("_range"), (F.lit(size) - F.col("_sum") + F.col("_n")).alias("take")).collect()  # at most one row
+    if not border:
+        return df
+    last, take = border[0]
+    columns = [F.to_json(c) if kind.startswith("map") else F.col(c) for c, kind in df.dtypes]
+    inside = hashed.filter(F.col("_range") == last).orderBy("_hash", row_id, F.xxhash64(*columns)).limit(take)
+    return hashed.filter(F.col("_range") < last).unionByName(inside).drop("_hash", "_range")

@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import dedupe, postings, updates
+from ..operators import dedupe, known_ids, postings, updates
 from ..sources import feeds as feed_source
 from ..sources import tables
+from . import rollups
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,14 @@ class Store:
     def index(self):
         return f"{self.root}/index"
 
+    @property
+    def known_ids(self):
+        return f"{self.root}/known_ids"
+
+    @property
+    def rollups(self):
+        return f"{self.root}/rollups"
+
 
 def candidates(parsed: DataFrame, registry: DataFrame) -> DataFrame:
     """Distinct articles of a batch, in the stored form."""
@@ -111,18 +120,30 @@ def log_events(results: DataFrame, batch_id: int) -> DataFrame:
     return results.select(F.explode(F.array(event(0), event(1))).alias("e")).select("e.*")
 
 
-def append_new(batch: DataFrame, path: str, batch_id: int) -> int:
+def append_new(batch: DataFrame, store: Store, batch_id: int) -> int:
     """Append the articles of ``batch`` that are not stored; returns how many.
 
-    They are counted in the written partition, from file footers.  (An observation would
+    Known ids are looked up by filters; a store without them is searched by its articles.  The
+    ids and the counts of the batch are kept beside the articles.  They are counted in the written partition, from file footers.  (An observation would
     count while writing, but a session that has observed anything can no longer apply a
     freshly fitted regression: its summary drags the session into the task.)
     """
-    spark = batch.sparkSession
-    earlier = tables.read_batches(spark, path, schemas.ARTICLES, before_batch=batch_id)
-    new = dedupe.not_stored(batch, earlier)
+    spark, path = batch.sparkSession, store.articles
+    if known_ids.exists(spark, store.known_ids):
+        new = known_ids.not_known(batch, store.known_ids, batch_id)
+    else:
+        new = dedupe.not_stored(batch, tables.read_batches(spark, path, schemas.ARTICLES, before_batch=batch_id))
     tables.write_batch(new, path, batch_id, looked_up_by="article_id")
-    return batch_rows(spark, path, batch_id).count()
+    written = batch_rows(spark, path, batch_id)
+    if known_ids.exists(spark, store.known_ids) or batch_id == 0 or not _has_earlier(spark, path, batch_id):
+        known_ids.write_ids(written, store.known_ids, batch_id)
+    rollups.write(rollups.of_articles(written), store.rollups, batch_id)
+    return written.count()
+
+
+def _has_earlier(spark: SparkSession, path: str, batch_id: int) -> bool:
+    """Whether the store has articles from before it kept ids."""
+    return not tables.read_batches(spark, path, schemas.ARTICLES, before_batch=batch_id).isEmpty()
 
 
 def batch_rows(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
@@ -135,7 +156,7 @@ def ingest_batch(spark: SparkSession, payloads: DataFrame, registry: DataFrame,
     payloads = updates.active_payloads(payloads, registry, include_inactive)
     parsed = feed_source.parse_payloads(payloads).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        added = append_new(candidates(parsed, registry), store.articles, batch_id)
+        added = append_new(candidates(parsed, registry), store, batch_id)
         stored = batch_rows(spark, store.articles, batch_id)
         indexed = None
         # a replay that ends without articles must empty its index too
@@ -162,12 +183,14 @@ def refreshed_registry(spark: SparkSession, store: Store, registry: DataFrame) -
 
 def rewrite(spark: SparkSession, store: Store, new_root: str, through_batch: int,
             articles: Callable[[DataFrame], DataFrame] | None = None,
-            logs: Callable[[DataFrame], DataFrame] | None = None) -> Store:
+            logs: Callable[[DataFrame], DataFrame] | None = None,
+            counts: Callable[[DataFrame], DataFrame] | None = None) -> Store:
     """A new store with the batches up to ``through_batch`` as one, changed by the given functions.
 
     Articles are laid out by publish time, so that row groups can be skipped.  The index follows
     the articles: postings and ids of articles that are no more go, and statistics are counted
-    anew.  The old store stays as it is; later batches go to the returned one.
+    anew.  ``counts`` gives the changes of the kept counts; without it they are those between the
+    counts before and the articles after.  The old store stays as it is; later batches go to the returned one.
     """
     new = replace(store, root=new_root)
     past = F.col("ingest_batch") <= through_batch
@@ -178,6 +201,19 @@ def rewrite(spark: SparkSession, store: Store, new_root: str, through_batch: int
     old = tables.read_batches(spark, store.articles, schemas.ARTICLES).filter(past).drop("ingest_batch")
     tables.write_batch(changed(articles, old).repartitionByRange("published").sortWithinPartitions("published"),
                        new.articles, through_batch, looked_up_by="article_id")
+    written = tables.read_batches(spark, new.articles, schemas.ARTICLES)
+    known_ids.write_ids(written, new.known_ids, through_batch)
+    if tables.exists(spark, store.rollups):
+        before = rollups.read(spark, store.rollups, through_batch + 1)
+        if counts is not None:
+            change = counts(before)
+        elif articles is not None:
+            change = rollups.difference(rollups.of_articles(written), before)
+        else:
+            change = before.limit(0)
+        rollups.write(before.unionByName(change), new.rollups, through_batch)
+    else:
+        rollups.write(rollups.of_articles(written), new.rollups, through_batch)
     events = tables.read_batches(spark, store.logs, schemas.UPDATE_LOGS).filter(past).drop("ingest_batch")
     tables.write_batch(changed(logs, events), new.logs, through_batch)
     settings = postings.stored_settings(spark, store.index)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import registry as feed_registry
 from ..operators import retention
 from ..sources import tables
+from . import rollups
 from .ingest import Store, rewrite
 
 
@@ -39,17 +40,24 @@ def delete_feeds(spark: SparkSession, store: Store, new_root: str, through_batch
     def others(articles):
         return feed_registry.without_keys(articles, keys, "feed_key")
 
-    return (rewrite(spark, store, new_root, through_batch, articles=others),
+    return (rewrite(spark, store, new_root, through_batch, articles=others,
+                    counts=lambda before: rollups.without_feeds(before, keys)),
             feed_registry.without_keys(feeds, keys, "key"))
 
 
 def rename_feeds(spark: SparkSession, store: Store, new_root: str, through_batch: int, feeds: DataFrame,
                  renames: DataFrame) -> tuple[Store, DataFrame]:
-    """Feed keys (``key``, ``new_key``) change in the registry, the articles and the logs."""
+    """Feed keys (``key``, ``new_key``) change in the registry, the articles and the logs.
+
+    Renames that would break the uniqueness of keys are refused, see ``registry.checked_renames``.
+    """
+    accepted = feed_registry.checked_renames(feeds, renames).filter("reason IS NULL")
+
     def renamed(table):
         return feed_registry.rename_keys(feeds, table, renames)["articles"]
 
-    return (rewrite(spark, store, new_root, through_batch, articles=renamed, logs=renamed),
+    return (rewrite(spark, store, new_root, through_batch, articles=renamed, logs=renamed,
+                    counts=lambda before: rollups.with_new_keys(before, accepted)),
             feed_registry.rename_keys(feeds, feeds.select(F.col("key").alias("feed_key")), renames)["feeds"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from statistics import mean, pstdev
 
@@ -82,15 +83,20 @@ def train(corpus: DataFrame, work_path: str, settings: TrainSettings = FULL) ->
 def fold_scores(classifier, training: DataFrame, folds: int) -> list[float]:
     """Accuracy on every fold of a model fitted on the others, vocabulary included.
 
-    One distributed fit after the other; the folds are a stored column, so each fit is
-    a filtered scan.
+    Terms are counted per fold in one pass; what a fold's model is trained on has the sums less its
+    own.  The folds are a stored column, so each fit is a filtered scan, and the fits are submitted
+    side by side.
     """
-    scores = []
-    for fold in range(folds):
-        model = classifier.fit(training.filter(F.col("fold") != fold))
+    vocabularies = classifier.fold_vocabularies(training, folds)
+
+    def score(fold: int) -> float:
+        terms, size = vocabularies[fold]
+        model = classifier.fit_with(training.filter(F.col("fold") != fold), terms, size)
         scored = predict(model, training.filter(F.col("fold") == fold))
-        scores.append(metrics.accuracy(scored).first().accuracy)
-    return scores
+        return metrics.accuracy(scored).first().accuracy
+
+    with ThreadPoolExecutor(folds) as pool:
+        return list(pool.map(score, range(folds)))
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -119,19 +125,34 @@ def sample_predictions(scored: DataFrame, seed: int = 42, size: int = 10) -> Dat
                     F.col("label").alias("actual"), F.col("prediction").alias("predicted"), "confidence"))
 
 
-def save(result: TrainResult, path: str, settings: TrainSettings) -> None:
-    """Model, split and one row of facts about the run."""
+def save(result: TrainResult, path: str, settings: TrainSettings, cache_path: str | None = None) -> None:
+    """Model, split and one row of facts about the run, which is also added to the table of runs.
+
+    ``cache_path`` is where the prepared corpus lies that the model was trained on.
+    """
     spark = result.split.sparkSession
     result.model.write().overwrite().save(f"{path}/model")
     result.split.write.mode("overwrite").parquet(f"{path}/model_split")
     facts = {"model_type": "logistic_regression", "features": "title + text (preprocessed)",
              "vectorizer": "TF-IDF over words and pairs", "accuracy": result.accuracy,
              "cv_mean": result.cv_mean, "cv_std": result.cv_std,
-             "majority_share": result.majority_share, "settings": json.dumps(asdict(settings))}
-    spark.createDataFrame([facts]).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+             "majority_share": result.majority_share, "settings": json.dumps(asdict(settings)),
+             "cache_path": cache_path}
+    row = spark.createDataFrame([facts], _FACTS).coalesce(1)
+    row.write.mode("overwrite").json(f"{path}/metadata", ignoreNullFields=False)
+    row.withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/runs")
+
+
+_FACTS = ("model_type string, features string, vectorizer string, accuracy double, cv_mean double, cv_std double, "
+          "majority_share double, settings string, cache_path string")
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """Facts of every run that was saved at ``path``."""
+    return spark.read.schema(f"{_FACTS}, saved_at timestamp").parquet(f"{path}/runs")
 
 
 def load(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """``(model, metadata, split)``."""
     return (PipelineModel.load(f"{path}/model"),
-            spark.read.json(f"{path}/metadata"), spark.read.parquet(f"{path}/model_split"))
+            spark.read.schema(_FACTS).json(f"{path}/metadata"), spark.read.parquet(f"{path}/model_split"))

@@ -39,4 +39,4 @@ SCORE_REQUESTS = _struct(("idx", _L), ("title", _S), ("content", _S))
 
 SNAPSHOTS = _struct(
     ("snapshot_ts", _S), ("table_name", _S), ("path", _S), ("row_count", _L),
-    ("content_hash", _L), ("compression", _S))
+    ("content_hash", _L), ("compression", _S), ("bytes", _L))
