@@ -41,7 +41,7 @@ class ToxicityParams:
     max_positive: int = 4_000  # the fit takes about so many toxic texts at most, chosen by a hash of the id,
     max_unlabelled: int = 8_000  # and so many others; everything is scored
     min_positive: int = 4  # toxic texts of the fit that a feature must be in
-    min_z: float = 4.0  # log odds of a feature, toxic against others, over their standard error
+    min_z: float = 4.5  # log odds of a feature, toxic against others, over their standard error
     epochs: int = 30
     batch: int = 256
     rate: float = 0.02
