@@ -6,6 +6,11 @@ many, are one row; then the filter of their bucket screens them.  What a filter
 the exact bucket, where the whole key is compared: SHA-256, byte length and an independent
 BLAKE2b digest of the normalised bytes.  What it holds back is new for certain.
 
+Texts that met another one are then compared byte by byte: per key the least and the greatest of the
+normalised texts are found, in the map tasks first, so a text that a third of all rows have is sent once
+per task.  Texts that met none aren't sent.  If texts of one key differ, their bytes become part of
+the key and the groups are made anew.
+
 Cases with a defined result: a null text counts as empty, and empty texts equal one another and
 texts of white space only; of rows with equal texts and lengths that with the smallest doc_id stays,
 a null doc_id comes last; of rows that are repeated whole exactly one is kept.
@@ -24,35 +29,80 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import decontamination, words
 from .storage import stored
 
-KEY = ("digest", "check", "n_bytes")
+KEY = ("digest", "check", "n_bytes", "apart")
 DIGESTS_A_BUCKET = 100_000
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars_all, digest, check, n_bytes) of each row of ``docs`` (doc_id, text); narrow.
+def _normalised(texts: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 of each text without ASCII white space; a null is empty."""
+    for text in pc.fill_null(texts, ""):
+        yield text.as_buffer().to_pybytes().translate(None, words.WHITE_SPACE)
+
+
+def sha256(raw: bytes) -> bytes:
+    return hashlib.sha256(raw).digest()
+
+
+def blake2b(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def digests(docs: DataFrame, differing: frozenset[bytes] = frozenset(), strong=sha256, second=blake2b) -> DataFrame:
+    """(doc_id, n_chars_all, digest, check, n_bytes, apart) of each row of ``docs`` (doc_id, text); narrow.
 
     The digests are of the text without ASCII white space, n_chars_all counts the code points of
-    the whole text.
+    the whole text.  ``apart`` is empty; for digests that different texts have, it is the text.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "")
-            digest, check, size = [], [], []
-            for text in texts:
-                raw = text.as_buffer().to_pybytes().translate(None, words.WHITE_SPACE)
-                digest.append(hashlib.sha256(raw).digest())
-                check.append(hashlib.blake2b(raw, digest_size=16).digest())
+            digest, check, size, apart = [], [], [], []
+            for raw in _normalised(batch.column("text")):
+                digest.append(strong(raw))
+                check.append(second(raw))
                 size.append(len(raw))
+                apart.append(raw if digest[-1] in differing else b"")
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "n_chars_all": pc.utf8_length(texts).cast(pa.int64()),
+                "doc_id": batch.column("doc_id"),
+                "n_chars_all": pc.utf8_length(pc.fill_null(batch.column("text"), "")).cast(pa.int64()),
                 "digest": pa.array(digest, pa.binary()), "check": pa.array(check, pa.binary()),
-                "n_bytes": pa.array(size, pa.int64())})
+                "n_bytes": pa.array(size, pa.int64()), "apart": pa.array(apart, pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        read, "doc_id long, n_chars_all long, digest binary, check binary, n_bytes long")
+        read, "doc_id long, n_chars_all long, digest binary, check binary, n_bytes long, apart binary")
+
+
+def differing_texts(docs: DataFrame, met: DataFrame, strong=sha256, second=blake2b) -> DataFrame:
+    """The digests (digest) of ``met`` that texts of unequal bytes have, their second digest and length being equal.
+
+    A bit table of a fixed size, made of the digests of ``met``, tells which texts are sent; some more
+    than are wanted may pass, and the more digests there are the more do.  Each is compared all the same.
+    """
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch({"key": pa.array(_keys(batch.column("digest")).view(np.int64))})
+
+    shared = docs.sparkSession.sparkContext.broadcast(
+        decontamination.screen(met.select("digest").mapInArrow(key, "key long")))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = list(_normalised(batch.column("text")))
+            digest = [strong(raw) for raw in texts]
+            wanted = np.flatnonzero(decontamination._passes(shared.value, _keys(pa.array(digest, pa.binary()))))
+            once = list({(digest[i], texts[i]): None for i in wanted})
+            yield pa.record_batch({
+                "digest": pa.array([d for d, _ in once], pa.binary()),
+                "check": pa.array([second(raw) for _, raw in once], pa.binary()),
+                "n_bytes": pa.array([len(raw) for _, raw in once], pa.int64()),
+                "raw": pa.array([raw for _, raw in once], pa.binary())})
+
+    texts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
+        read, "digest binary, check binary, n_bytes long, raw binary")
+    return (texts.groupBy("digest", "check", "n_bytes").agg(F.min("raw").alias("least"), F.max("raw").alias("greatest"))
+            .filter("least <> greatest").select("digest").distinct())
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -201,17 +251,27 @@ def add_batch(grouped: DataFrame, snapshot: Snapshot) -> DataFrame:
     return met.unionByName(fresh)
 
 
-def exact_duplicates(docs: DataFrame, first_batch: str = "pmod(xxhash64(doc_id), 2) = 0") -> DataFrame:
+def _grouped(docs: DataFrame, first_batch: str, differing: frozenset[bytes], strong, second) -> tuple[DataFrame, DataFrame]:
+    """The digests of all rows with a number each, and the groups of equal keys; both written."""
+    # the number tells apart rows that are repeated whole; it is written, so it stays as it is
+    rows = stored(digests(docs, differing, strong, second).withColumn("row", F.monotonically_increasing_id()), "digests-of-rows")
+    first = F.coalesce(F.expr(first_batch), F.lit(False))
+    snapshot = write_snapshot(groups(rows.filter(first)))
+    return rows, stored(add_batch(groups(rows.filter(~first)), snapshot), "groups")
+
+
+def exact_duplicates(docs: DataFrame, first_batch: str = "pmod(xxhash64(doc_id), 2) = 0",
+                     strong=sha256, second=blake2b) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Rows for which ``first_batch`` holds make the snapshot, the others are the batch that it screens;
-    the split changes nothing in the result.
+    the split changes nothing in the result.  ``strong`` and ``second`` are the digests of a text's bytes.
     """
-    # the number tells apart rows that are repeated whole; it is written, so it stays as it is
-    rows = stored(digests(docs).withColumn("row", F.monotonically_increasing_id()), "digests-of-rows")
-    first = F.coalesce(F.expr(first_batch), F.lit(False))
-    snapshot = write_snapshot(groups(rows.filter(first)))
-    found = add_batch(groups(rows.filter(~first)), snapshot)
+    rows, found = _grouped(docs, first_batch, frozenset(), strong, second)
+    # no two texts are known that agree in both digests; were there any, they would be few
+    differing = differing_texts(docs, found.filter("group_size > 1"), strong, second).collect()
+    if differing:
+        rows, found = _grouped(docs, first_batch, frozenset(bytes(r.digest) for r in differing), strong, second)
     return rows.join(found, list(KEY)).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))

@@ -58,3 +58,27 @@ def test_a_batch_larger_than_its_snapshot_is_dealt_over_parts(spark, monkeypatch
     rows = [(i, f"text {i % 600}") for i in range(900)]
     got = exact_dedup.exact_duplicates(docs(spark, rows), "doc_id < 30").collect()
     assert sorted((tuple(r) for r in got), key=str) == plain(rows)
+
+
+def _weak():
+    return lambda raw: hashlib.sha256(raw[:1]).digest()  # made here, as tasks can't import this file
+
+
+def test_texts_of_one_key_are_told_apart_by_their_bytes(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab \té") for _ in range(rng.randrange(6))) for _ in range(30)]
+    rows = [(i, rng.choice(texts)) for i in range(200)] + [(None, "ab"), (None, "ab"), (300, None)]
+    given = docs(spark, rows).repartition(5)
+    met = exact_dedup.digests(given, strong=_weak(), second=_weak())
+    assert exact_dedup.differing_texts(given, met, _weak(), _weak()).count() > 1
+    got = exact_dedup.exact_duplicates(given, strong=_weak(), second=_weak()).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=str) == sorted((r[:4] for r in plain(rows)), key=str)
+
+
+def test_only_texts_that_met_another_are_compared(spark):
+    rows = [(i, f"a b{i}") for i in range(50)] + [(90 + i, "ab 7") for i in range(50)]
+    given = docs(spark, rows)
+    met = exact_dedup.groups(exact_dedup.digests(given).selectExpr("*", "1L AS row")).filter("group_size > 1")
+    assert met.count() == 1 and exact_dedup.differing_texts(given, met).count() == 0
+    none = exact_dedup.differing_texts(given, met.filter("false"), _weak(), _weak())
+    assert none.count() == 0  # one key and many texts, but nothing has met
