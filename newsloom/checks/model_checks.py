@@ -53,6 +53,28 @@ def ngram_vocabulary(spark, sf):
     return features.vocabulary(features.gram_statistics(rows, "grams"), F.lit(d.count())).select("term", "df", "total")
 
 
+def ngram_vocabulary_screened(spark, sf):
+    """The same rows from a stored corpus, counting only terms of cells that may hold one of them."""
+    path = scratch_path(spark, "prepared")
+    _texts(spark, sf).write.parquet(path)
+    d = spark.read.parquet(path)
+    rows = d.select(features.grams("processed_text").alias("grams"))
+    return features.frequent_terms(rows, "grams", d.count()).select("term", "df", "total")
+
+
+def fold_vocabularies(spark, sf):
+    """The 500 best terms of the rows outside each of three folds, all folds counted at once."""
+    d = _texts(spark, sf).withColumn("fold", F.col("doc_id") % 3)
+    rows = d.select("fold", features.grams("processed_text").alias("grams"))
+    sizes = {r.fold: r["count"] for r in d.groupBy("fold").count().collect()}
+    every = sum(sizes.values())
+    sizes = {i: every - sizes.get(i, 0) for i in range(3)}
+    statistics = features.frequent_statistics(rows, "grams", sizes, 500)
+    parts = [features.vocabulary(features.without_fold(statistics, i), F.lit(n), 500).select(F.lit(i).alias("fold"), "term", "df", "total")
+             for i, n in sizes.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def tfidf_long(spark, sf):
     return features.tfidf_rows(_texts(spark, sf), "doc_id", "processed_text", features.QUICK_FEATURES).withColumnRenamed(
         "doc", "doc_id")
@@ -214,6 +236,7 @@ def page_scores(spark, sf):
 QUERIES = {
     "stratified_split": stratified_split, "split_documents": split_documents, "folds": folds,
     "seeded_sample": seeded_sample, "ngram_vocabulary": ngram_vocabulary, "tfidf_long": tfidf_long,
+    "ngram_vocabulary_screened": ngram_vocabulary_screened, "fold_vocabularies": fold_vocabularies,
     "accuracy": lambda s, p: metrics.accuracy(views.pseudo_predictions(s, p)).select(
         F.round("accuracy", 6).alias("accuracy")),
     "confusion_matrix": lambda s, p: metrics.confusion_matrix(views.pseudo_predictions(s, p)),
@@ -316,6 +339,13 @@ ORACLES = {
     "seeded_sample": """SELECT doc_id, source FROM documents
         ORDER BY md5(concat(CAST(doc_id AS VARCHAR), '#42')), doc_id LIMIT 150""",
     "ngram_vocabulary": f"WITH {_GRAMS.replace('@limit@', '10000')} SELECT term, df, total FROM vocab",
+    "ngram_vocabulary_screened": f"WITH {_GRAMS.replace('@limit@', '10000')} SELECT term, df, total FROM vocab",
+    "fold_vocabularies": f"""WITH {_GRAMS.replace('@limit@', '1')},
+        fs AS (SELECT unnest(range(3)) AS fold),
+        size AS (SELECT fold, count(*) AS n FROM fs JOIN labelled ON doc_id % 3 <> fold GROUP BY fold),
+        c AS (SELECT fold, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM fs JOIN tf ON doc_id % 3 <> fold GROUP BY fold, term)
+        SELECT CAST(fold AS INT) AS fold, term, df, total FROM c JOIN size USING (fold) WHERE df >= 2 AND df <= 0.95 * n
+        QUALIFY row_number() OVER (PARTITION BY fold ORDER BY total DESC, term) <= 500""",
     "tfidf_long": f"""WITH {_GRAMS.replace('@limit@', '5000')}, x AS (
           SELECT doc_id, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM tf JOIN vocab USING (term), n)
         SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 4) AS weight FROM x""",

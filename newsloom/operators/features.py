@@ -17,6 +17,8 @@ MIN_DF = 2
 MAX_DF_SHARE = 0.95
 FULL_FEATURES = 10_000
 QUICK_FEATURES = 5_000
+CELLS = 1 << 20  # of the sums that bound the counts of terms
+FIRST_CELLS = 4  # cells counted at first, a wanted term
 
 
 def _bigrams(words: Column) -> Column:
@@ -34,17 +36,32 @@ def grams(text, stop_words=ENGLISH_STOP_WORDS) -> Column:
     return F.concat(words, _bigrams(words))
 
 
-def gram_statistics(rows: DataFrame, grams_col: str, *by: str) -> DataFrame:
-    """``(*by, term, df, total)`` of a column of grams: documents that have a term, and its occurrences.
+def gram_statistics(rows: DataFrame, grams_col: str, folds: int = 0, cells: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """``(term, df, total)`` of a column of grams: documents that have a term, and its occurrences.
 
     One generator gives every document once per distinct term (d) and every occurrence (c); both
-    are summed in the map tasks, so what is shuffled is at most one row per term and task.
+    are summed in the map tasks, so what is shuffled is at most one row per term and task.  With
+    ``folds``, ``df_0, total_0`` and so on are the shares of the rows' folds.  ``cells``, if given, are
+    those (cell) of so many whose terms are counted.
     """
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     once = F.transform(F.array_distinct(grams_col), lambda t: F.struct(t.alias("term"), one.alias("d"), none.alias("c")))
     every = F.transform(grams_col, lambda t: F.struct(t.alias("term"), none.alias("d"), one.alias("c")))
-    return (rows.select(*by, F.explode(F.concat(once, every)).alias("x")).select(*by, "x.*")
-            .groupBy(*by, "term").agg(F.sum("d").alias("df"), F.sum("c").alias("total")))
+    by = ["fold"] if folds else []
+    occurring = rows.select(*by, F.explode(F.concat(once, every)).alias("x")).select(*by, "x.*")
+    if cells is not None:
+        wanted, number = cells
+        occurring = occurring.withColumn("cell", _cell("term", number)).join(F.broadcast(wanted.select("cell")), "cell", "left_semi")
+    return occurring.groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("total"), *[
+        F.sum(F.when(F.col("fold") == i, F.col(c)).otherwise(0)).alias(f"{name}_{i}")
+        for i in range(folds) for c, name in (("d", "df"), ("c", "total"))])
+
+
+def without_fold(statistics: DataFrame, fold: int | None) -> DataFrame:
+    """``(term, df, total)`` of all folds but one: all counts less the fold's own."""
+    if fold is None:
+        return statistics.select("term", "df", "total")
+    return statistics.select("term", *[(F.col(c) - F.col(f"{c}_{fold}")).alias(c) for c in ("df", "total")])
 
 
 def vocabulary(statistics: DataFrame, n_docs, max_features: int = FULL_FEATURES,
@@ -57,6 +74,63 @@ def vocabulary(statistics: DataFrame, n_docs, max_features: int = FULL_FEATURES,
             .orderBy(F.col("total").desc(), F.col("term")).limit(max_features))
 
 
+def _cell(term, cells: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(cells)).cast("int")
+
+
+def cell_sums(rows: DataFrame, grams_col: str, folds: int = 0, cells: int = CELLS) -> DataFrame:
+    """``(cell, total)``: occurrences of all terms that a hash puts in the cell, so of none of them more.
+
+    Sums of batches add up.  At most ``cells`` rows are shuffled per task, however many terms there are.
+    With ``folds`` there are ``total_0`` and so on, the shares of the rows' folds.
+    """
+    by = ["fold"] if folds else []
+    placed = rows.select(*by, F.explode(F.transform(grams_col, lambda t: _cell(t, cells))).alias("cell"))
+    return placed.groupBy("cell").agg(F.count("*").alias("total"), *[
+        F.count_if(F.col("fold") == i).alias(f"total_{i}") for i in range(folds)])
+
+
+def frequent_statistics(rows: DataFrame, grams_col: str, sizes: dict[int | None, int], max_features: int = FULL_FEATURES,
+                        min_df: int = MIN_DF, max_df: float = MAX_DF_SHARE, cells: int = CELLS) -> DataFrame:
+    """:func:`gram_statistics` of fewer terms, among them the whole :func:`vocabulary` of each of several corpora.
+
+    ``sizes`` names the corpora and their numbers of rows: None is all rows, a number all rows but those of
+    that fold.  Terms of the heaviest cells are counted first.  The last of the ``max_features`` best of them
+    sets a floor for each corpus, and a cell whose sum is below it holds no better term.  Where all cells
+    from the floor on are counted, the vocabulary is proven whole; the others of them are counted too,
+    and then it is, as a floor only rises.  Where the first cells have fewer terms than wanted, every cell that
+    may hold a term of ``min_df`` documents is counted.  What is broadcast is bounded by ``cells``.
+    """
+    spark = rows.sparkSession
+    folds = 1 + max((f for f in sizes if f is not None), default=-1)
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    sums = kept(cell_sums(rows, grams_col, folds, cells).filter(F.col("total") >= min_df), "cell-sums")
+    first = kept(sums.orderBy(F.col("total").desc(), "cell").limit(FIRST_CELLS * max_features).select("cell"), "first-cells")
+    statistics = kept(gram_statistics(rows, grams_col, folds, (first, cells)), "first-terms")
+    may_hold = F.lit(False)
+    for fold, size in sizes.items():
+        best = vocabulary(without_fold(statistics, fold), F.lit(size), max_features, min_df, max_df)
+        line = best.agg(F.count("*").alias("n"), F.min("total").alias("least")).first()
+        sum_ = F.col("total") if fold is None else F.col("total") - F.col(f"total_{fold}")
+        may_hold = may_hold | (sum_ >= (line.least if line.n and line.n == max_features else min_df))
+    others = kept(sums.filter(may_hold).join(first, "cell", "left_anti").select("cell"), "other-cells")
+    if others.isEmpty():
+        return statistics
+    return statistics.unionByName(kept(gram_statistics(rows, grams_col, folds, (others, cells)), "other-terms"))
+
+
+def frequent_terms(rows: DataFrame, grams_col: str, n_docs: int, max_features: int = FULL_FEATURES,
+                   min_df: int = MIN_DF, max_df: float = MAX_DF_SHARE, cells: int = CELLS) -> DataFrame:
+    """The rows of :func:`vocabulary`, without counting the terms that cannot be among them."""
+    statistics = frequent_statistics(rows, grams_col, {None: n_docs}, max_features, min_df, max_df, cells)
+    return vocabulary(statistics, F.lit(n_docs), max_features, min_df, max_df)
+
+
 def tfidf_rows(docs: DataFrame, doc_id: str, text: str, max_features: int = FULL_FEATURES,
                stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """``(doc, term, weight)``: tf * (ln((1+n)/(1+df)) + 1), unit length per document.
@@ -83,7 +157,7 @@ def tfidf_rows(docs: DataFrame, doc_id: str, text: str, max_features: int = FULL
 class CredibilityClassifier(Estimator):
     """TF-IDF over words and pairs, then L2 logistic regression.
 
-    One pass over the corpus finds vocabulary and document frequencies; the result
+    Vocabulary and document frequencies are counted after a screen by :func:`cell_sums`; the result
     is a pipeline of stock stages, so it is saved, loaded and applied like any other.
     Being one estimator, all of it is fitted anew in every fold.  The penalty is
     1/rows: the loss of the definition is a sum over rows, Spark's is a mean.
@@ -117,28 +191,21 @@ class CredibilityClassifier(Estimator):
 
     def _fit(self, dataset):
         size = dataset.count()
+        return self.fit_with(dataset, *self._vocabularies(dataset, {None: size})[None])
+
+    def _vocabularies(self, dataset: DataFrame, sizes: dict[int | None, int]) -> dict[int | None, tuple[list, int]]:
         grammed = PipelineModel(self._text_stages()).transform(dataset)
-        return self.fit_with(dataset, self._chosen(gram_statistics(grammed, "nl_grams"), size), size)
+        statistics = frequent_statistics(grammed, "nl_grams", sizes, self.max_features)
+        return {fold: (self._chosen(without_fold(statistics, fold), size), size) for fold, size in sizes.items()}
 
-    def fold_vocabularies(self, dataset: DataFrame, folds: int) -> list[tuple[list, int]]:
-        """Of every fold the vocabulary of the others, and their number of rows.
+    def fold_vocabularies(self, dataset: DataFrame, folds: int) -> dict[int | None, tuple[list, int]]:
+        """For every fold the vocabulary of the others and their number of rows; for None that of all.
 
-        One pass counts terms per fold; the counts of the others are all counts less the fold's own.
+        Terms are counted per fold; the counts of the others are all counts less the fold's own.
         """
-        grammed = PipelineModel(self._text_stages()).transform(dataset)
-        per_fold = gram_statistics(grammed, "nl_grams", "fold")
-        path = scratch_path(dataset.sparkSession, "fold-terms")
-        per_fold.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"), *[
-            F.sum(F.when(F.col("fold") == i, F.col(c)).otherwise(0)).alias(f"{c}_{i}") for i in range(folds) for c in ("df", "total")]
-        ).write.parquet(path)
-        counted = dataset.sparkSession.read.parquet(path)
         rows = {r.fold: r["count"] for r in dataset.groupBy("fold").count().collect()}
-        out = []
-        for i in range(folds):
-            size = sum(rows.values()) - rows.get(i, 0)
-            others = counted.select("term", (F.col("df") - F.col(f"df_{i}")).alias("df"), (F.col("total") - F.col(f"total_{i}")).alias("total"))
-            out.append((self._chosen(others, size), size))
-        return out
+        every = sum(rows.values())
+        return self._vocabularies(dataset, {None: every} | {i: every - rows.get(i, 0) for i in range(folds)})
 
     def fit_with(self, dataset: DataFrame, vocab: list, size: int) -> PipelineModel:
         """Fit on ``dataset`` of ``size`` rows with a vocabulary that is known."""

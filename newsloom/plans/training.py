@@ -71,8 +71,9 @@ def train(corpus: DataFrame, work_path: str, settings: TrainSettings = FULL) ->
     training = rows.filter(~F.col("is_test"))
     classifier = features.CredibilityClassifier(
         max_features=settings.max_features, max_iter=settings.max_iter, tol=settings.tol)
-    scores = fold_scores(classifier, training, settings.folds)
-    model = classifier.fit(training)
+    vocabularies = classifier.fold_vocabularies(training, settings.folds)
+    scores = fold_scores(classifier, training, settings.folds, vocabularies)
+    model = classifier.fit_with(training, *vocabularies[None])
     line = predict(model, rows.filter("is_test")).agg(
         F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
         F.avg(F.col("label").cast("double")).alias("ones")).first()
@@ -80,14 +81,14 @@ def train(corpus: DataFrame, work_path: str, settings: TrainSettings = FULL) ->
                        max(line.ones, 1 - line.ones))
 
 
-def fold_scores(classifier, training: DataFrame, folds: int) -> list[float]:
+def fold_scores(classifier, training: DataFrame, folds: int, vocabularies=None) -> list[float]:
     """Accuracy on every fold of a model fitted on the others, vocabulary included.
 
-    Terms are counted per fold in one pass; what a fold's model is trained on has the sums less its
-    own.  The folds are a stored column, so each fit is a filtered scan, and the fits are submitted
+    Terms are counted for all folds at once (``vocabularies``); what a fold's model is trained on has the
+    sums less its own.  The folds are a stored column, so each fit is a filtered scan, and the fits are submitted
     side by side.
     """
-    vocabularies = classifier.fold_vocabularies(training, folds)
+    vocabularies = vocabularies or classifier.fold_vocabularies(training, folds)
 
     def score(fold: int) -> float:
         terms, size = vocabularies[fold]

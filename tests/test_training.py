@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -120,3 +122,42 @@ def test_report_with_a_class_never_predicted(spark):
 def test_quick_sample_is_smaller_than_the_corpus(corpus):
     split = training.assign_split(corpus, training.TrainSettings(sample_size=40, folds=2))
     assert split.count() == 40 and split.filter("is_test").count() == 8
+
+
+def _gram_rows(seed, n, words):
+    rng = random.Random(seed)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.03)), words)}" for _ in range(rng.randrange(12))) for _ in range(n)]
+    return [(i, i % 3, t or None) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("cells, wanted", [(1, 5), (8, 5), (64, 5), (64, 40), (1024, 12), (1 << 20, 12), (1 << 20, 100_000), (64, 0)])
+def test_screened_terms_are_those_of_the_whole_count(spark, monkeypatch, cells, wanted):
+    monkeypatch.setattr(features, "FIRST_CELLS", 1)     # so that more cells have to be counted
+    docs = spark.createDataFrame(_gram_rows(cells + wanted, 120, 150), "doc_id int, fold int, text string").repartition(4)
+    rows = docs.select("fold", features.grams("text").alias("grams"))
+    every = features.gram_statistics(rows, "grams", 3)
+    whole = features.vocabulary(every, F.lit(120), wanted).select("term", "df", "total").collect()
+    assert features.frequent_terms(rows, "grams", 120, wanted, cells=cells).collect() == whole
+    screened = features.frequent_statistics(rows, "grams", {None: 120, 0: 80, 1: 80, 2: 80}, wanted, cells=cells)
+    for fold, size in ((None, 120), (0, 80), (1, 80), (2, 80)):
+        got, want = (features.vocabulary(features.without_fold(s, fold), F.lit(size), wanted).collect() for s in (screened, every))
+        assert got == want and len(got) <= wanted
+        if fold is not None and wanted:
+            others = rows.filter(F.col("fold") != fold)
+            assert got == features.vocabulary(features.gram_statistics(others, "grams"), F.lit(size), wanted).collect()
+
+
+def test_cells_bound_their_terms_and_what_is_counted(spark):
+    docs = spark.createDataFrame(_gram_rows(9, 200, 400), "doc_id int, fold int, text string")
+    rows = docs.select("fold", features.grams("text").alias("grams"))
+    sums = features.cell_sums(rows, "grams", 3, 32)
+    every = features.gram_statistics(rows, "grams")
+    assert sums.count() == 32 and sums.agg(F.sum("total")).first()[0] == every.agg(F.sum("total")).first()[0]
+    assert sums.filter("total <> total_0 + total_1 + total_2").isEmpty()
+    few = features.frequent_statistics(rows, "grams", {None: 200}, 3)
+    assert 3 <= few.count() < every.count() / 10
+
+
+def test_screen_of_no_terms(spark):
+    docs = spark.createDataFrame([(1, None), (2, "")], "doc_id int, text string")
+    assert features.frequent_terms(docs.select(features.grams("text").alias("grams")), "grams", 2).isEmpty()
