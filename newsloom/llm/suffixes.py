@@ -17,8 +17,9 @@ Windows that share an anchor stand on end; together they are a stretch.
 Step 2 compares bytes; step 1 needs two independent 64-bit hashes to agree.  Copies within an Arrow batch
 collapse before anything is shuffled, stretches and windows alike.  Buckets of very many rows are counted
 first: their stretches are dealt by bucket and identifier, then split into single windows under their own
-hash.  So a task of step 1 holds at most ``split_from`` stretches of a bucket, and one more for each
-batch with a single one, which is not counted; and one window of a kind for each batch of step 2.
+hash.  So of one bucket at most ``split_from`` stretches meet in a task of step 1, and one more for each task
+that had a single one, which is not counted; and one window of a kind for each batch of step 2.  Tasks
+read rows sorted by bucket and hold a few megabytes, or twice the largest bucket.
 
 Cases with a defined result: a null or empty text has no bytes; shorter texts than ``length`` keep all;
 of rows with one doc_id the hash of the text decides which is earlier; rows repeated whole are one document
@@ -148,9 +149,17 @@ def _of_batch(batch: pa.RecordBatch, params: RepeatParams) -> tuple[np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*parts)) if parts else None
 
 
+_HAD_BITS = 24
+_BROADCAST_ROWS = 200_000
+
+
 def _large(docs: DataFrame, params: RepeatParams) -> DataFrame:
-    """The buckets of at least ``split_from`` rows of :func:`_anchors`; a batch's only one of a bucket doesn't count."""
+    """The buckets of at least ``split_from`` rows of :func:`_anchors`; a task's only one of a bucket doesn't count.
+
+    Which buckets a task had is remembered by a hash, so some that are not its first of the hash count, too.
+    """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had = np.zeros(1 << _HAD_BITS, dtype=bool)
         for batch in batches:
             found = _of_batch(batch, params)
             if found is None:
@@ -159,7 +168,10 @@ def _large(docs: DataFrame, params: RepeatParams) -> DataFrame:
             group = _groups(bucket, name)
             first = np.unique(group, return_index=True)[1]
             own, rows = np.unique(bucket[first], return_counts=True)
-            yield pa.record_batch({"large": pa.array(own[rows > 1]), "n": pa.array(rows[rows > 1].astype(np.int64))})
+            slot = (words.mix(own.view(np.uint64)) >> np.uint64(64 - _HAD_BITS)).astype(np.int64)
+            again = (rows > 1) | had[slot]
+            had[slot] = True
+            yield pa.record_batch({"large": pa.array(own[again]), "n": pa.array(rows[again].astype(np.int64))})
 
     return (docs.mapInArrow(read, "large long, n long").groupBy("large").agg(F.sum("n").alias("n"))
             .filter(F.col("n") >= params.split_from).select("large"))
@@ -184,28 +196,51 @@ def _anchors(docs: DataFrame, params: RepeatParams) -> DataFrame:
     return docs.mapInArrow(read, _ROW_SQL)
 
 
-def _all_rows(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    held = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(held).combine_chunks() if held else None
+def whole_buckets(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.Table]:
+    """Tables of whole buckets from batches in the order of their column bucket.
 
+    Held are ``room`` bytes, or twice the largest bucket, which keeps the work linear in its size.
+    """
+    held, size, wait = [], 0, room
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < wait:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        bucket = table.column("bucket").to_numpy()
+        cut = int(np.searchsorted(bucket, bucket[-1]))  # the last one may go on
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).to_batches()
+        size = sum(b.nbytes for b in held)
+        wait = max(room, 2 * size)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
+
+_SORTED = 32_000_000  # bytes of rows sorted at once; a bucket is never cut
 _FOUND = "doc_id long, twin long, start long, count long, bucket long, state int"
 GONE, OPEN, WIDE = 0, 1, 2  # an interval that goes; a stretch to compare; the same in a large bucket
 
 
 def _dealt(anchors: DataFrame, large: DataFrame) -> DataFrame:
-    """Anchors by bucket, those of large buckets by identifier too; ``large`` has at most a row for ``split_from`` anchors."""
-    marked = anchors.join(F.broadcast(large), anchors.bucket == F.col("large"), "left")
+    """Anchors by bucket, those of large buckets by identifier too, in the order of buckets.
+
+    ``large`` has at most a row for ``split_from`` anchors, and is broadcast only while these are few.
+    """
+    if large.count() <= _BROADCAST_ROWS:
+        large = F.broadcast(large)
+    marked = anchors.join(large, anchors.bucket == F.col("large"), "left")
     return (marked.select(*_ROW.names, F.col("large").isNotNull().alias("wide"))
-            .repartition("bucket", F.when(F.col("wide"), F.col("name"))))
+            .repartition("bucket", F.when(F.col("wide"), F.col("name"))).sortWithinPartitions("bucket"))
 
 
 def _buckets(dealt: DataFrame, params: RepeatParams) -> DataFrame:
     """Sort each bucket by the identifiers of its stretches."""
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _all_rows(batches)
-        if table is None:
-            return
+    def sort(table: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket, name, ids, twins, start, count, known, wide = (table.column(c).to_numpy() for c in (*_ROW.names, "wide"))
         later = np.zeros(len(bucket), dtype=bool)
         live = np.flatnonzero(~known)
@@ -226,6 +261,10 @@ def _buckets(dealt: DataFrame, params: RepeatParams) -> DataFrame:
                     "doc_id": pa.array(ids[rows]), "twin": pa.array(twins[rows]), "start": pa.array(start[rows]),
                     "count": pa.array(size_), "bucket": pa.array(bucket[rows]), "state": pa.array(state, pa.int32())})
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_buckets(batches, _SORTED):
+            yield from sort(table)
+
     return dealt.mapInArrow(read, _FOUND)
 
 
@@ -348,26 +387,13 @@ def _compared(fetched: DataFrame, params: RepeatParams) -> DataFrame:
     """Intervals that go, after comparing the bytes of all stretches of a bucket."""
     depths = _depths(params.length)
 
-    def chunks(table: pa.Table):
-        bucket = table.column("bucket").to_numpy()
-        size = np.cumsum(pc.binary_length(table.column("bytes")).to_numpy().astype(np.int64))
-        ends = np.concatenate([np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-        begin, done = 0, 0
-        for end in ends:
-            if size[end - 1] - done >= _CHUNK or end == len(bucket):
-                yield table.slice(begin, end - begin)
-                begin, done = end, size[end - 1]
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _all_rows(batches)
-        if table is None:
-            return
-        known = pc.is_null(table.column("bytes"))
-        yield from table.filter(known).select(["doc_id", "twin", "start", "count"]).to_batches()
-        table = table.filter(pc.invert(known))
-        if not table.num_rows:
-            return
-        for part in chunks(table.sort_by("bucket")):
+        for table in whole_buckets(batches, _CHUNK):
+            known = pc.is_null(table.column("bytes"))
+            yield from table.filter(known).select(["doc_id", "twin", "start", "count"]).to_batches()
+            part = table.filter(pc.invert(known))
+            if not part.num_rows:
+                continue
             part = part.combine_chunks()
             raw = part.column("bytes").to_pylist()
             base = np.concatenate([[0], np.cumsum([len(r) for r in raw])[:-1]]).astype(np.int64)
@@ -381,7 +407,8 @@ def _compared(fetched: DataFrame, params: RepeatParams) -> DataFrame:
             yield pa.record_batch({"doc_id": pa.array(ids[owner]), "twin": pa.array(twins[owner]),
                                    "start": pa.array(low), "count": pa.array(high - low)})
 
-    return fetched.repartition("bucket").mapInArrow(read, "doc_id long, twin long, start long, count long")
+    return (fetched.repartition("bucket").sortWithinPartitions("bucket")
+            .mapInArrow(read, "doc_id long, twin long, start long, count long"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

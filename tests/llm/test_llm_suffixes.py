@@ -1,11 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_tools import ODD_TEXTS, docs
 from pyspark.sql import functions as F
 
 from newsloom.llm import suffixes
+from newsloom.llm.storage import settings, stored
 from newsloom.llm.suffixes import RepeatParams
 
 
@@ -92,9 +94,39 @@ def test_large_buckets_are_spread(spark):
         assert min(r.n for r in tasks.collect()) > 1
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
-    found = suffixes._buckets(dealt, params).localCheckpoint()
+    found = stored(suffixes._buckets(dealt, params), "buckets")
     assert found.filter(F.col("state") == suffixes.WIDE).count() > 300
     fetched = suffixes._fetched(keyed, found, params).filter("bytes IS NOT NULL")
     assert max(r["count"] for r in fetched.groupBy("bytes").count().collect()) <= 2 * parts  # a batch or so per task
     got = suffixes.remove_repeats(docs(spark, rows, parts), params).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == plain(rows, params.length)
+
+
+def test_buckets_with_one_stretch_a_batch_are_counted(spark):
+    rows, params = shared_passage(40), RepeatParams(split_from=30)
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}):
+        large = suffixes._large(suffixes._keyed(docs(spark, rows, 2)), params)
+        assert large.count() >= 2
+        got = suffixes.remove_repeats(docs(spark, rows, 2), params).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == plain(rows, params.length)
+
+
+def test_many_large_buckets_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "_BROADCAST_ROWS", 1)
+    monkeypatch.setattr(suffixes, "_SORTED", 100)
+    monkeypatch.setattr(suffixes, "_CHUNK", 100)
+    rows, params = shared_passage(60) + [(1000 + i, t) for i, t in planted(7)], RepeatParams(split_from=10)
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        got = suffixes.remove_repeats(docs(spark, rows, 3), params).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == plain(rows, params.length)
+
+
+@pytest.mark.parametrize("room", [1, 100, 3_000, 10**9])
+def test_buckets_are_read_whole(room):
+    rng = random.Random(room)
+    bucket = sorted(rng.choice([1, 2, 2, 2, rng.randrange(50)]) for _ in range(1000))
+    table = pa.table({"bucket": pa.array(bucket, pa.int64()), "at": list(range(1000))})
+    parts = list(suffixes.whole_buckets(iter([b for k in range(0, 1000, 7) for b in table.slice(k, 7).to_batches()]), room))
+    assert pa.concat_tables(parts).equals(table)
+    assert sum(len(set(p.column("bucket").to_pylist())) for p in parts) == len(set(bucket))
+    assert len(parts) > 1 if room < 10**9 else len(parts) == 1
