@@ -1,3 +1,4 @@
+import os
 import random
 
 import corpus_pipeline
@@ -7,7 +8,8 @@ from test_llm_decontamination import plain as passage_in
 from test_llm_lines import plain as without_lines
 from test_llm_minhash import plain as near_groups
 
-from newsloom.session import scratch_path
+from newsloom.llm.storage import passing_tables, stored
+from newsloom.session import scratch_path, shared_root
 
 
 def corpus(seed):
@@ -79,8 +81,22 @@ def test_stages_equal_plain_versions(spark, folder):
 
 def test_run_equals_its_stages_and_empty_tables_work(spark, folder):
     path, _ = folder
+    before = set(os.listdir(shared_root(spark)))
     assert corpus_pipeline.run(spark, path).count() > 300
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared_root(spark))) - before}
+    assert left == {name for name, _ in corpus_pipeline.STAGES}
     none = scratch_path(spark, "empty")
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{none}/{name}.parquet")
     assert corpus_pipeline.run(spark, none).count() == 0
+
+
+def test_passing_tables_go_also_after_a_failure(spark):
+    kept = stored(spark.range(3), "kept")
+    path = scratch_path(spark, "named")
+    with pytest.raises(ValueError), passing_tables(spark):
+        gone = stored(spark.range(4), "gone")
+        named = stored(gone, "named", path)
+        raise ValueError
+    assert kept.count() == 3 and named.count() == 4 and stored(spark.range(2), "later").count() == 2
+    assert not [name for name in os.listdir(shared_root(spark)) if name.startswith("gone-")]
