@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes each result as
 Parquet to the shared folder and reads it again as the docs of the next.  All but the last return the
-columns of documents.
+columns of documents.  Tables that an operator writes on the way are removed when its stage is written.
 
 Cases with a defined result: an empty table gives an empty table; a null or empty text passes all stages and
 ends as a row without a bin; rows with a null doc_id are kept by all stages that judge by id; columns
@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm import decontamination, line_dedup, minhash, packing, toxicity
-from newsloom.llm.storage import stored
+from newsloom.llm.storage import passing_tables, stored
+from newsloom.session import scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with passing_tables(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, path)
     return docs
