@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import article_id
@@ -16,22 +16,17 @@ def first_per_article(df: DataFrame, order: tuple[str, ...] = ("published", "lin
                       key: str = "article_id") -> DataFrame:
     """One row per ``key``: the first by ``order``.
 
-    The winners are found on narrow columns: key, order, and a hash of the other columns that
-    decides what ``order`` leaves open, so the result does not depend on how the input is cut into
-    tasks.  Only keys with several rows need a choice.  Their winners meet the full rows in a
-    join; all other rows pass through without a comparison.  Rows that are equal in every column
-    collapse in the end, where there are only winners.  ``order`` and the key must not be maps.
+    A hash of the other columns decides what ``order`` leaves open, so the result does not depend on
+    how the input is cut into tasks.  Every map task lets only its own first row of a key through
+    (Spark limits the window before the shuffle), so full rows are shuffled once and a key with many
+    copies is no large group.  Rows that are equal in every column collapse.  ``order`` and the key
+    must not be maps.
     """
     rest = [c for c in df.columns if c != key and c not in order]
     tie = F.xxhash64(*rest) if rest else F.lit(0).cast("long")
-    rows = df.withColumn("_place", F.struct(*order, tie.alias("tie")))
-    repeated = (rows.groupBy(key).agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-                .select(F.col(key).alias("_key"), "_first"))
-    marked = rows.join(repeated, F.col(key).eqNullSafe(F.col("_key")), "left")
-    alone = marked.filter("_first IS NULL").select(*df.columns)
-    best = (marked.filter(F.col("_place").eqNullSafe(F.col("_first")))
-            .groupBy("_key").agg(F.any_value(F.struct(*df.columns)).alias("row")).select("row.*"))
-    return alone.unionByName(best)
+    place = Window.partitionBy(key).orderBy(*order, "_tie")
+    return (df.withColumn("_tie", tie).withColumn("_row", F.row_number().over(place))
+            .filter("_row = 1").select(*df.columns))
 
 
 def not_stored(new: DataFrame, stored: DataFrame, key: str = "article_id") -> DataFrame:

@@ -5,7 +5,7 @@ filtering need (field length, publish time, category, source), so a query touche
 the rows of its own terms and no table of all articles.
 
 Layout on disk: partitions ``field`` / ``term_bucket``, inside them files by a salt
-of the article.  A term held by a third of all articles is spread over all salts,
+of the article, finer than the layout names where there are more tasks.  A term held by a third of all articles is spread over all salts,
 so no task holds it whole, neither when it is written nor when it is read.
 
 The postings of a term are cut into blocks by ``impact``, a class of how much a term weighs in
@@ -21,10 +21,12 @@ import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stemming import stem_words
+from ..functions import term_places
 from ..functions.text import keyword_terms, search_tokens
 from ..sources import tables
 from .grams import gram_bucket, term_grams
@@ -110,39 +112,20 @@ def field_lengths(articles: DataFrame, fields: tuple[str, ...] = DEFAULT_FIELDS,
     return articles.select("article_id", F.explode(F.array(*per_field)).alias("f")).select("article_id", "f.*")
 
 
-def _analysed(articles: DataFrame, fields: tuple[str, ...], stem: bool, keyword_mode: str) -> DataFrame:
-    """One row per article with the tokens of every field, ``t_0`` to ``t_n``.
+def _impact(fields: tuple[str, ...]):
+    """Part of a posting in the number of its block: a class of its weight, in the place of its field."""
+    places = [DEFAULT_FIELDS.index(f) if f in DEFAULT_FIELDS else -1 for f in fields]
+    factor = np.array([(_CLASSES + 1) ** p if p >= 0 else 0 for p in places], np.int64)
+    typical = np.array([_TYPICAL_LENGTH.get(f, 1) for f in fields], np.int64)
+
+    def part(field, tf, length):
+        weight = tf / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / typical[field]))
+        return (np.minimum(np.floor(weight * _CLASSES), _CLASSES - 1) + 1) * factor[field]
+
+    return part
 
-    The words of all stemmed fields go to the stemmer as one line, in which each distinct word is
-    stemmed once; the fields get their parts back by their lengths.
-    """
-    rows = articles.select("article_id", "published", "category", "source", *[
-        _field_tokens(field, keyword_mode).alias(f"t_{i}") for i, field in enumerate(fields)])
-    stemmed = [f"t_{i}" for i, field in enumerate(fields) if field in STEMMED_FIELDS]
-    if not stem or not stemmed:
-        return rows
-    line = F.array_join(F.concat(*stemmed), " ")
-    rows = rows.withColumn("stems", F.split(stem_words(line, extended=False), " "))
-    before = F.lit(0)
-    for name in stemmed:
-        size = F.size(name)
-        rows = rows.withColumn(f"s{name}", F.slice("stems", before + 1, size))
-        before = before + size
-    return rows.select(*[F.col(f"s{c}").alias(c) if c in stemmed else F.col(c) for c in rows.columns
-                         if c != "stems" and not c.startswith("st_")])
-
-
-def _impact(fields: tuple[str, ...], frequencies: list[Column], lengths: list[Column]) -> Column:
-    """Block of a term in an article: a class of its weight in each default field, as one number."""
-    code = F.lit(0)
-    for place, field in enumerate(DEFAULT_FIELDS):
-        if field in fields:
-            i = fields.index(field)
-            tf = frequencies[i]
-            weight = tf / (tf + BM25_K1 * (1 - BM25_B + BM25_B * lengths[i] / _TYPICAL_LENGTH[field]))
-            kind = F.when(tf > 0, F.least(F.floor(weight * _CLASSES), F.lit(_CLASSES - 1)) + 1).otherwise(0)
-            code = code + kind * (_CLASSES + 1) ** place
-    return code.cast("int")
+
+_GIVEN = ("article_id", "published", "category", "source")
 
 
 def build_postings(articles: DataFrame, fields: tuple[str, ...] = DEFAULT_FIELDS, stem: bool = True,
@@ -150,47 +133,40 @@ def build_postings(articles: DataFrame, fields: tuple[str, ...] = DEFAULT_FIELDS
                    only_terms: list[str] | None = None) -> DataFrame:
     """``(field, term, article_id, tf, positions, ...)``, one row per term of a field.
 
-    A narrow step.  An article is one row, so its terms are grouped inside the row: (term, field,
-    position) are sorted, every stretch of one term is cut out, and its places are dealt over the
-    fields.  No token ever crosses a shuffle.  ``only_terms`` leaves out all others before the sort.
+    A narrow step.  An article is one row, so its terms are grouped where the row is, by blocks of
+    articles in Arrow batches (:mod:`newsloom.functions.term_places`); each distinct word of a block
+    is stemmed once.  No token ever crosses a shuffle.  ``only_terms`` leaves out all others before the sort.
     """
     fields = tuple(fields)
-    rows = _analysed(articles, fields, stem, keyword_mode)
-    lengths = [f"n_{i}" for i in range(len(fields))]
-    rows = rows.select("article_id", "published", "category", "source",
-                       *[F.size(f"t_{i}").alias(n) for i, n in enumerate(lengths)],
-                       F.concat(*[_placed(i) for i in range(len(fields))]).alias("placed"))
-    if only_terms is not None:
-        rows = rows.withColumn("placed", F.filter("placed", lambda x: x["term"].isin(only_terms)))
-    rows = rows.filter(F.size("placed") > 0).withColumn("placed", F.sort_array("placed"))
-    places = F.sequence(F.lit(1), F.size("placed"))
-    starts = F.filter(places, lambda i: (i == 1) | (
-        F.get(F.col("placed"), i - 1)["term"] != F.get(F.col("placed"), i - 2)["term"]))
-
-    def stretch(start, k):
-        end = F.coalesce(F.get(F.col("starts"), k + 1), F.size("placed") + 1)
-        return F.slice("placed", start, end - start)
-
-    rows = rows.withColumn("starts", starts).select(
-        "article_id", "published", "category", "source", *lengths, F.explode(F.transform("starts", stretch)).alias("own"))
-    rows = rows.select("article_id", "published", "category", "source", *lengths, F.col("own")[0]["term"].alias("term"), *[
-        F.transform(F.filter("own", _is_of(i)), lambda x: x["pos"]).alias(f"p_{i}") for i in range(len(fields))])
-    rows = rows.withColumn("impact", _impact(fields, [F.size(f"p_{i}") for i in range(len(fields))], [F.col(n) for n in lengths]))
-    per_field = F.array(*[F.struct(F.lit(f).alias("field"), F.size(f"p_{i}").alias("tf"), F.col(f"p_{i}").alias("positions"),
-                                   F.col(lengths[i]).alias("field_length")) for i, f in enumerate(fields)])
-    return (rows.select("term", "article_id", "impact", "published", "category", "source",
-                        F.explode(F.filter(per_field, lambda x: x["tf"] > 0)).alias("f"))
-            .select("f.field", "term", "article_id", "f.tf", "f.positions", "f.field_length",
-                    "published", "category", "source", "impact")
+    rows = articles.select(*_GIVEN, *[_field_tokens(f, keyword_mode).alias(f"t_{i}") for i, f in enumerate(fields)])
+    places = list(range(len(_GIVEN), len(_GIVEN) + len(fields)))
+    stemmed = [stem and f in STEMMED_FIELDS for f in fields]
+    part = _impact(fields)
+
+    def group(batches):
+        made, names = term_places.Postings(stemmed, only_terms, part), pa.array(fields, pa.string())
+        for batch in batches:
+            for block in term_places.blocks(batch, places):
+                own = made.of_block([block.column(i) for i in places])
+                row = pa.array(own["row"])
+                given = [block.column(i).take(row) for i in range(len(_GIVEN))]
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(own["field"])), own["term"], given[0], pa.array(own["tf"]), own["positions"],
+                     pa.array(own["field_length"]), *given[1:], pa.array(own["impact"])], names=_POSTING)
+
+    kinds = {name: rows.schema[name].dataType.simpleString() for name in _GIVEN}
+    schema = (f"field string, term string, article_id {kinds['article_id']}, tf int, positions array<int>, field_length int, "
+              f"published {kinds['published']}, category {kinds['category']}, source {kinds['source']}, impact int")
+    return (rows.mapInArrow(group, schema)
             .withColumn("term_bucket", bucket_column(layout)).withColumn("salt", article_salt(layout)))
 
 
-def _placed(i: int) -> Column:
-    return F.transform(f"t_{i}", lambda t, k: F.struct(t.alias("term"), F.lit(i).alias("f"), k.alias("pos")))
+_POSTING = ["field", "term", "article_id", "tf", "positions", "field_length", "published", "category", "source", "impact"]
 
 
-def _is_of(i: int):
-    return lambda x: x["f"] == i
+def spread_salt(spark: SparkSession, layout: IndexLayout) -> Column:
+    """The salt of an article, made finer where there are more tasks than the layout names."""
+    return F.pmod(F.xxhash64("article_id"), F.lit(layout.salts * tables.pieces(spark, layout.term_buckets * layout.salts)))
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
@@ -261,10 +237,10 @@ def write_index(articles: DataFrame, path: str, batch_id: int = 0,
                                          articles.schema["published"].dataType.simpleString()))
     if skip_indexed:
         articles = not_indexed(articles, path, batch_id)
-    postings = (build_postings(articles, fields, stem, layout, keyword_mode)
-                .repartition("field", "term_bucket", "salt"))
-    tables.write_batch(postings.drop("salt").sortWithinPartitions("field", "term_bucket", "term", "impact"),
-                       f"{path}/postings", batch_id, ("field", "term_bucket"))
+    postings = (build_postings(articles, fields, stem, layout, keyword_mode).drop("salt")
+                .repartition("term_bucket", spread_salt(spark, layout)))
+    tables.write_batch(postings.sortWithinPartitions("field", "term_bucket", "term", "impact"),
+                       f"{path}/postings", batch_id, ("field", "term_bucket"), options=tables.ID_PAGES)
     tables.write_batch(articles.select("article_id"), f"{path}/indexed_ids", batch_id)
     return write_statistics(spark, path, batch_id, fields)
 
@@ -291,17 +267,18 @@ def write_statistics(spark: SparkSession, path: str, batch_id: int, fields: tupl
                                        "field string, n_articles long, total_length long")
     tables.write_batch(field_rows.coalesce(1), f"{path}/field_stats", batch_id)
     means = spark.createDataFrame([(f, lengths[f] / n) for f in fields if lengths.get(f)], "field string, mean_length double")
-    # few rows per distinct term by now; one task per folder keeps the number of files low
-    stats = block_statistics(written, means).repartition("field", "term_bucket")
+    buckets = stored_settings(spark, path)["term_buckets"]
+    # few rows per distinct term by now, dealt by term over no more tasks than there are
+    dealt = F.pmod(F.xxhash64("term"), F.lit(tables.pieces(spark, 2 * buckets * len(fields))))
+    stats = block_statistics(written, means).repartition("field", "term_bucket", dealt)
     tables.write_batch(stats.sortWithinPartitions("field", "term_bucket", "term", "impact"),
                        f"{path}/term_stats", batch_id, ("field", "term_bucket"))
     # the distinct terms in order, and by their grams
     terms = read_term_stats(spark, path).filter(batch).select("term").distinct()
     tables.write_batch(terms.repartitionByRange("term").sortWithinPartitions("term"), f"{path}/terms", batch_id)
-    buckets = stored_settings(spark, path)["term_buckets"]
     grams = (read_terms(spark, path).filter(batch).select("term", F.explode(term_grams("term")).alias("gram"))
              .withColumn("gram_bucket", gram_bucket(F.col("gram"), buckets)))
-    tables.write_batch(grams.repartition("gram_bucket", F.pmod(F.xxhash64("term"), F.lit(4))).sortWithinPartitions(
+    tables.write_batch(grams.repartition("gram_bucket", F.pmod(F.xxhash64("term"), F.lit(max(4, tables.pieces(spark, buckets))))).sortWithinPartitions(
         "gram_bucket", "gram"), f"{path}/term_grams", batch_id, ("gram_bucket",))
     return n
 

@@ -11,11 +11,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import dedupe, known_ids, postings, updates
+from ..session import scratch_path
 from ..sources import feeds as feed_source
 from ..sources import tables
 from . import rollups
@@ -129,7 +130,9 @@ def append_new(batch: DataFrame, store: Store, batch_id: int) -> int:
     freshly fitted regression: its summary drags the session into the task.)
     """
     spark, path = batch.sparkSession, store.articles
-    if known_ids.exists(spark, store.known_ids):
+    if not _has_earlier(spark, path, batch_id):
+        new = batch
+    elif known_ids.exists(spark, store.known_ids):
         new = known_ids.not_known(batch, store.known_ids, batch_id)
     else:
         new = dedupe.not_stored(batch, tables.read_batches(spark, path, schemas.ARTICLES, before_batch=batch_id))
@@ -152,7 +155,12 @@ def batch_rows(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
 
 def ingest_batch(spark: SparkSession, payloads: DataFrame, registry: DataFrame, store: Store,
                  batch_id: int, include_inactive: bool = False) -> dict[str, int]:
-    """Run one batch and write articles, index and log under ``batch_id``."""
+    """Run one batch and write articles, index and log under ``batch_id``.
+
+    The registry is written to the shared folder first: a feed table may be the result of a job whose
+    size nobody knows, and then every payload would be shuffled to meet a few feeds.
+    """
+    registry = _kept_registry(registry)
     payloads = updates.active_payloads(payloads, registry, include_inactive)
     parsed = feed_source.parse_payloads(payloads).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -170,6 +178,13 @@ def ingest_batch(spark: SparkSession, payloads: DataFrame, registry: DataFrame,
     return {"articles_added": added, "batch_id": batch_id}
 
 
+def _kept_registry(registry: DataFrame) -> DataFrame:
+    spark, path = registry.sparkSession, scratch_path(registry.sparkSession, "feeds")
+    rows = registry.select(*[c for c in ("key", "name", "category", "active") if c in registry.columns])
+    rows.coalesce(1).write.parquet(path)
+    return tables.scan(spark, path, rows.schema)
+
+
 def update_logs(spark: SparkSession, store: Store) -> DataFrame:
     """Update log in its current state: one row per feed and run."""
     return updates.fold_events(tables.read_batches(spark, store.logs, schemas.UPDATE_LOGS))
@@ -184,13 +199,15 @@ def refreshed_registry(spark: SparkSession, store: Store, registry: DataFrame) -
 def rewrite(spark: SparkSession, store: Store, new_root: str, through_batch: int,
             articles: Callable[[DataFrame], DataFrame] | None = None,
             logs: Callable[[DataFrame], DataFrame] | None = None,
-            counts: Callable[[DataFrame], DataFrame] | None = None) -> Store:
+            counts: Callable[[DataFrame], DataFrame] | None = None, broadcast_rows: int = 500_000) -> Store:
     """A new store with the batches up to ``through_batch`` as one, changed by the given functions.
 
     Articles are laid out by publish time, so that row groups can be skipped.  The index follows
     the articles: postings and ids of articles that are no more go, and statistics are counted
     anew.  ``counts`` gives the changes of the kept counts; without it they are those between the
     counts before and the articles after.  The old store stays as it is; later batches go to the returned one.
+    The ids of articles that go are broadcast while they are at most ``broadcast_rows``; then no posting
+    is shuffled to find out whether it stays.
     """
     new = replace(store, root=new_root)
     past = F.col("ingest_batch") <= through_batch
@@ -219,22 +236,38 @@ def rewrite(spark: SparkSession, store: Store, new_root: str, through_batch: int
     settings = postings.stored_settings(spark, store.index)
     if settings is not None:
         postings.keep_settings(spark, new.index, settings)
-        left = tables.read_batches(spark, new.articles, schemas.ARTICLES).select("article_id")
-
-        def alive(rows):
-            rows = rows.filter(past).drop("ingest_batch")
-            return rows if articles is None else rows.join(left, "article_id", "left_semi")
-
+        ids = postings.read_ids(spark, store.index).filter(past)
+        alive = _alive(ids, written.select("article_id"), past, broadcast_rows) if articles is not None else (
+            lambda rows: rows.filter(past).drop("ingest_batch"))
         layout = postings.IndexLayout(settings["term_buckets"], settings["salts"])
         parts = ("field", "term_bucket")
-        rows = alive(postings.read_postings(spark, store.index)).withColumn("salt", postings.article_salt(layout))
-        tables.write_batch(rows.repartition(*parts, "salt").drop("salt").sortWithinPartitions(*parts, "term"),
-                           f"{new.index}/postings", through_batch, parts)
+        rows = alive(postings.read_postings(spark, store.index))
+        # the postings of a single batch lie in their folders already; those of several are merged
+        if ids.select("ingest_batch").distinct().count() > 1:
+            rows = rows.repartition("term_bucket", postings.spread_salt(spark, layout))
+        tables.write_batch(rows.sortWithinPartitions(*parts, "term", "impact"),
+                           f"{new.index}/postings", through_batch, parts, options=tables.ID_PAGES)
         tables.write_batch(alive(postings.read_ids(spark, store.index)), f"{new.index}/indexed_ids", through_batch)
         postings.write_statistics(spark, new.index, through_batch, tuple(settings["fields"]))
     return new
 
 
+def _alive(ids: DataFrame, left: DataFrame, past: Column, broadcast_rows: int) -> Callable[[DataFrame], DataFrame]:
+    """What leaves out the rows of indexed articles (``ids``) that are not ``left``."""
+    spark, path = ids.sparkSession, scratch_path(ids.sparkSession, "gone")
+    ids.select("article_id").join(left, "article_id", "left_anti").write.parquet(path)
+    gone = spark.read.schema("article_id string").parquet(path)
+    n = gone.count()
+
+    def alive(rows):
+        rows = rows.filter(past).drop("ingest_batch")
+        if n > broadcast_rows:
+            return rows.join(left, "article_id", "left_semi")
+        return rows.join(F.broadcast(gone), "article_id", "left_anti") if n else rows
+
+    return alive
+
+
 def compact(spark: SparkSession, store: Store, new_root: str, through_batch: int) -> Store:
     """Merge the many small files of past batches into a new store."""
     return rewrite(spark, store, new_root, through_batch)

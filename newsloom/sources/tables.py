@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+# of a file that lists the same articles many times: their ids as numbers, not as text each time
+ID_PAGES = {"parquet.dictionary.page.size": str(16 << 20)}
+
+
+def pieces(spark: SparkSession, folders: int) -> int:
+    """Into how many pieces each of ``folders`` is cut, so that there are two for every shuffle task."""
+    return max(1, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // folders))
+
+
 def scan(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Scan with a given schema: nothing is inferred, unused columns are not read."""
     return spark.read.schema(schema).parquet(path)
@@ -53,14 +62,14 @@ def read_current(spark: SparkSession, path: str, schema: StructType) -> DataFram
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, partitions: tuple[str, ...] = (),
-                looked_up_by: str | None = None) -> None:
+                looked_up_by: str | None = None, options: dict[str, str] | None = None) -> None:
     """Write the rows of one batch; a replay replaces exactly these rows, also by none.
 
     The batch is a folder of its own that is overwritten as a whole, so a repeat that has fewer rows
     or partitions leaves none of the old ones.  ``looked_up_by`` gets a bloom filter per row group,
-    for later look-ups by value.
+    for later look-ups by value; ``options`` are those of the writer.
     """
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static").options(**(options or {}))
     if looked_up_by:
         writer = (writer.option(f"parquet.bloom.filter.enabled#{looked_up_by}", "true")
                   .option(f"parquet.bloom.filter.expected.ndv#{looked_up_by}", "1000000"))
