@@ -67,15 +67,17 @@ def write_grams(articles: DataFrame, path: str, batch_id: int = 0, layout: GramL
     elif known != layout:
         raise ValueError(f"the table is made with {known}, not with {layout}")
     stored = articles.withColumn("id_bucket", _id_bucket(layout))
-    tables.write_batch(stored.repartition("id_bucket").sortWithinPartitions("id_bucket", "article_id"), f"{path}/articles",
+    # folders are cut into as many files as there are tasks for, however few the layout names
+    part = F.pmod(F.xxhash64("article_id", F.lit(1)), F.lit(tables.pieces(spark, layout.id_buckets)))
+    tables.write_batch(stored.repartition("id_bucket", part).sortWithinPartitions("id_bucket", "article_id"), f"{path}/articles",
                        batch_id, ("id_bucket",), looked_up_by="article_id")
     texts = _articles(spark, path, articles.schema).filter(F.col("ingest_batch") == batch_id)
     every = F.array_distinct(F.flatten(F.array(*[F.coalesce(text_grams(f), F.array().cast("array<string>")) for f in TEXT_FIELDS])))
     lists = (texts.select("article_id", F.explode(every).alias("gram"))
              .withColumn("gram_bucket", gram_bucket(F.col("gram"), layout.gram_buckets)))
-    salt = F.pmod(F.xxhash64("article_id"), F.lit(layout.salts))
+    salt = F.pmod(F.xxhash64("article_id"), F.lit(layout.salts * tables.pieces(spark, layout.gram_buckets * layout.salts)))
     tables.write_batch(lists.repartition("gram_bucket", salt).sortWithinPartitions("gram_bucket", "gram"), f"{path}/lists",
-                       batch_id, ("gram_bucket",))
+                       batch_id, ("gram_bucket",), options=tables.ID_PAGES)
     counted = _lists(spark, path).filter(F.col("ingest_batch") == batch_id).groupBy("gram").agg(F.count("*").alias("n"))
     tables.write_batch(counted.repartitionByRange("gram").sortWithinPartitions("gram"), f"{path}/counts", batch_id)
 
