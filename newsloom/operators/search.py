@@ -446,7 +446,7 @@ def boolean_ids(index: SearchIndex, spec: BooleanSpec, universe: DataFrame | Non
 
 def query_batch(index: SearchIndex, queries: DataFrame, k: int = 10,
                 fields: tuple[str, ...] = DEFAULT_FIELDS, rows_per_salt: int = 100_000,
-                first_rows: int = 4096) -> DataFrame:
+                first_rows: int = 4096, broadcast_rows: int = 200_000) -> DataFrame:
     """Top ``k`` articles of many queries: ``(query_id, rank, article_id, score)``.
 
     ``queries`` is ``(query_id, query)``, any number of rows; equal sets of terms are scored once.
@@ -512,6 +512,9 @@ def query_batch(index: SearchIndex, queries: DataFrame, k: int = 10,
     of_sets = (planned.select("set_id", "term", "others", F.posexplode("blocks").alias("place", "b"))
                .select("set_id", "term", "place", "b.impact", "b.rows", (F.col("b.bound") + F.col("others")).alias("bound"))
                .withColumn("before", F.sum("rows").over(best_first) - F.col("rows")))
+    terms = _kept(planned.select(F.explode("parts.term").alias("term")).distinct().withColumn(
+        "term_bucket", postings.bucket_column(index.layout)), "terms")
+    few_terms = terms.count() <= broadcast_rows
     block = F.col("impact") if index.path is not None else F.lit(0)
     in_fields = index.postings.filter(F.col("field").isin(list(fields))).withColumn("block", block)
 
@@ -528,8 +531,12 @@ def query_batch(index: SearchIndex, queries: DataFrame, k: int = 10,
         candidates = _kept(candidates.join(planned.select("set_id", "n_terms", "parts"), "set_id"), f"{label}-candidates")
         pairs = candidates.select("set_id", "article_id", "n_terms", F.explode("parts").alias("p")).select(
             "set_id", "article_id", "n_terms", "p.*").withColumn("term_bucket", postings.bucket_column(index.layout))
-        rows = (in_fields.select("field", "term_bucket", "term", "article_id", "tf", "field_length")
-                .join(candidates.select("article_id").distinct(), "article_id", "left_semi"))
+        # what is looked up are rows of the batch's own terms; few enough terms or articles are broadcast to drop the others
+        rows = in_fields.select("field", "term_bucket", "term", "article_id", "tf", "field_length")
+        if few_terms:
+            rows = rows.join(F.broadcast(terms), ["term_bucket", "term"], "left_semi")
+        if candidates.count() <= broadcast_rows:
+            rows = rows.join(F.broadcast(candidates.select("article_id").distinct()), "article_id", "left_semi")
         scored = (pairs.join(rows, ["field", "term_bucket", "term", "article_id"]).join(F.broadcast(_field_means(index)), "field")
                   .withColumn("weight", _bm25()))
         return (scored.groupBy("set_id", "article_id", "n_terms")
