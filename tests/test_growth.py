@@ -55,3 +55,14 @@ def test_blocks_of_tokens_do_not_change_postings(spark, monkeypatch):
         own = made.of_block([block.column(0)])
         found += zip(own["term"].to_pylist(), own["tf"].tolist(), own["positions"].to_pylist(), own["field_length"].tolist())
     assert sorted(found) == [("a", 1, [0], 1), ("a", 1, [1], 3), ("b", 2, [0, 2], 3)]
+
+
+def test_dead_postings_go_by_broadcast_and_by_join(spark, tmp_path):
+    from newsloom.plans.ingest import _alive
+    rows = _articles(spark).select("article_id").withColumn("ingest_batch", F.lit(0).cast("long"))
+    ids, left = rows.select("article_id"), rows.select("article_id").limit(25)
+    left = spark.createDataFrame(left.collect(), "article_id string")
+    past = F.col("ingest_batch") <= 0
+    broadcast, joined = [_alive(ids, left, past, most)(rows) for most in (500_000, 0)]
+    assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().executedPlan().toString()
+    assert sorted(broadcast.collect()) == sorted(joined.collect()) == sorted(left.collect())
