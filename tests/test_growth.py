@@ -1,11 +1,13 @@
 """What keeps large tables from ending in a few tasks, in many shuffles or in large Python objects."""
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from newsloom.functions import slices, term_places
 from newsloom.operators import contains, dedupe, postings
 from newsloom.operators.postings import IndexLayout
+from newsloom.sources import tables
 
 
 def _articles(spark, n=40):
@@ -66,3 +68,77 @@ def test_dead_postings_go_by_broadcast_and_by_join(spark, tmp_path):
     broadcast, joined = [_alive(ids, left, past, most)(rows) for most in (500_000, 0)]
     assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().executedPlan().toString()
     assert sorted(broadcast.collect()) == sorted(joined.collect()) == sorted(left.collect())
+
+
+def test_articles_are_dealt_by_the_bytes_of_their_files(spark, tmp_path, monkeypatch):
+    from newsloom import schemas
+    from newsloom.plans import ingest
+    path = str(tmp_path / "a")
+    rows = _articles(spark, 400).selectExpr("*", *[f"cast(null AS {f.dataType.simpleString()}) AS {f.name}" for f in schemas.ARTICLES.fields
+                                                   if f.name not in _articles(spark).columns])
+    for batch in (0, 1):
+        tables.write_batch(rows.filter(f"length(title) % 2 = {batch}"), path, batch)
+    every, some = tables.read_batches(spark, path, schemas.ARTICLES), ingest.batch_rows(spark, path, 1)
+    assert sorted(map(repr, some.collect())) == sorted(map(repr, every.filter("ingest_batch = 1").select(some.columns).collect()))
+    assert 0 < tables.input_bytes(some) < tables.input_bytes(every) and tables.input_bytes(spark.range(3)) == 0
+    assert postings.dealt_articles(every).rdd.getNumPartitions() == every.rdd.getNumPartitions()
+    monkeypatch.setattr(postings, "LEAST_BYTES", 1)
+    monkeypatch.setattr(postings, "TASK_BYTES", -(-tables.input_bytes(every) // 9))
+    assert postings.dealt_articles(every).rdd.getNumPartitions() == 9
+
+
+def test_postings_are_the_same_with_and_without_a_shuffle(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "a")
+    _articles(spark, 60).write.parquet(path)
+    monkeypatch.setattr(postings, "LEAST_BYTES", 1)
+    found = []
+    for i, folders in enumerate((postings.OWN_FOLDERS, 0)):
+        monkeypatch.setattr(postings, "OWN_FOLDERS", folders)
+        own = str(tmp_path / f"i{i}")
+        assert postings.write_index(spark.read.parquet(path), own, fields=("title", "content"), layout=IndexLayout(3, 1)) == 60
+        found.append([sorted(map(repr, read(spark, own).collect())) for read in (
+            postings.read_postings, postings.read_term_stats, postings.read_terms, postings.read_term_grams)])
+    assert found[0] == found[1] and found[0][0]
+
+
+def test_batches_are_written_with_zstd(spark, tmp_path):
+    tables.write_batch(spark.range(9).coalesce(1), str(tmp_path), 0)
+    file, = (tmp_path / "ingest_batch=0").glob("*.parquet")
+    assert pq.read_metadata(file).row_group(0).column(0).compression == "ZSTD"
+
+
+def test_articles_meet_the_keys_of_feeds_without_a_shuffle(spark, tmp_path):
+    from newsloom.operators import registry
+    keys = spark.range(40).selectExpr("cast(id % 3 AS string) AS key").distinct()
+    path = str(tmp_path / "a")
+    _articles(spark).withColumn("feed_key", F.col("source")).write.parquet(path)
+    left = registry.without_keys(spark.read.parquet(path), tables.kept(keys, "keys"), "feed_key")
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and left.count() == 40
+
+
+def test_retention_meets_the_last_kept_rows_without_a_shuffle_of_articles(spark, tmp_path):
+    from newsloom.operators import retention
+    path = str(tmp_path / "a")
+    _articles(spark).selectExpr("*", "source AS feed_key").write.parquet(path)
+    rows, asked = spark.read.parquet(path), ("published", "article_id", F.current_timestamp(), 7, "feed_key")
+    last = tables.kept(retention.last_kept(rows, "published", "article_id", 7, "feed_key"), "last")
+    kept = retention.retain(rows, *asked, last=last)
+    assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(kept.collect()) == sorted(retention.retain(rows, *asked).collect()) and kept.count() == 7
+
+
+def test_statistics_of_an_unchanged_index_are_copied(spark, tmp_path, monkeypatch):
+    from newsloom.plans import ingest
+    from newsloom import schemas
+    old = ingest.Store(str(tmp_path / "old"), IndexLayout(3, 1), ("title", "source"))
+    rows = _articles(spark).selectExpr("*", *[f"cast(null AS {f.dataType.simpleString()}) AS {f.name}" for f in schemas.ARTICLES.fields
+                                              if f.name not in _articles(spark).columns])
+    tables.write_batch(rows.select([f.name for f in schemas.ARTICLES.fields]), old.articles, 0)
+    tables.write_batch(spark.createDataFrame([], schemas.UPDATE_LOGS), old.logs, 0)
+    postings.write_index(rows, old.index, 0, old.index_fields, layout=old.layout)
+    monkeypatch.setattr(postings, "write_statistics", lambda *_: 1 / 0)
+    new = ingest.rewrite(spark, old, str(tmp_path / "new"), 4, articles=lambda a: a.withColumn("feed_key", F.lit("other")))
+    for read in (postings.read_postings, postings.read_term_stats, postings.read_terms, postings.read_term_grams, postings.read_field_stats):
+        before, after = [sorted(map(repr, read(spark, s.index).drop("ingest_batch").collect())) for s in (old, new)]
+        assert before == after and before
