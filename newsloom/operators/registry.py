@@ -150,16 +150,15 @@ def rename_keys(feeds: DataFrame, articles: DataFrame, renames: DataFrame,
     """
     checked = checked_renames(feeds, renames)
     r = checked.filter("reason IS NULL").select("key", "new_key")
-    new_feeds = (feeds.join(r, "key", "left")
-                 .withColumn("key", F.coalesce("new_key", "key")).drop("new_key"))
+    out = {"feeds": with_new_keys(feeds, r, "key"), "articles": with_new_keys(articles, r, "feed_key"),
+           "rejected": checked.filter("reason IS NOT NULL")}
+    return out if logs is None else out | {"logs": with_new_keys(logs, r, "feed_key")}
 
-    def renamed(table):
-        return (table.join(r.withColumnRenamed("key", "feed_key"), "feed_key", "left")
-                .withColumn("feed_key", F.coalesce("new_key", "feed_key")).select(*table.columns))
 
-    out = {"feeds": new_feeds.select(*feeds.columns), "articles": renamed(articles),
-           "rejected": checked.filter("reason IS NOT NULL")}
-    return out if logs is None else out | {"logs": renamed(logs)}
+def with_new_keys(table: DataFrame, accepted: DataFrame, column: str) -> DataFrame:
+    """``table`` with the key in ``column`` changed by renames (``key``, ``new_key``) that have been accepted."""
+    return (table.join(accepted.withColumnRenamed("key", column), column, "left")
+            .withColumn(column, F.coalesce("new_key", column)).select(*table.columns))
 
 
 def toggle(base: DataFrame, keys: DataFrame, key: str, flag: str = "active") -> DataFrame:

@@ -35,7 +35,7 @@ def delete_feeds(spark: SparkSession, store: Store, new_root: str, through_batch
 
     Returns the new store and the remaining registry.
     """
-    keys = keys.select(F.col(keys.columns[0]).alias("key")).distinct()
+    keys = tables.kept(keys.select(F.col(keys.columns[0]).alias("key")).distinct(), "keys")
 
     def others(articles):
         return feed_registry.without_keys(articles, keys, "feed_key")
@@ -51,21 +51,22 @@ def rename_feeds(spark: SparkSession, store: Store, new_root: str, through_batch
 
     Renames that would break the uniqueness of keys are refused, see ``registry.checked_renames``.
     """
-    accepted = feed_registry.checked_renames(feeds, renames).filter("reason IS NULL")
+    accepted = tables.kept(feed_registry.checked_renames(feeds, renames).filter("reason IS NULL").select("key", "new_key"), "renames")
 
     def renamed(table):
-        return feed_registry.rename_keys(feeds, table, renames)["articles"]
+        return feed_registry.with_new_keys(table, accepted, "feed_key")
 
     return (rewrite(spark, store, new_root, through_batch, articles=renamed, logs=renamed,
                     counts=lambda before: rollups.with_new_keys(before, accepted)),
-            feed_registry.rename_keys(feeds, feeds.select(F.col("key").alias("feed_key")), renames)["feeds"])
+            feed_registry.with_new_keys(feeds, accepted, "key"))
 
 
 def retain_articles(spark: SparkSession, store: Store, new_root: str, through_batch: int, cutoff: Column,
                     keep_count: int = 10) -> Store:
     """Of every feed the newest articles stay, and all that are not older than ``cutoff``."""
     def newest(articles):
-        return retention.retain(articles, "published", "article_id", cutoff, keep_count, "feed_key")
+        last = tables.kept(retention.last_kept(articles, "published", "article_id", keep_count, "feed_key"), "last")
+        return retention.retain(articles, "published", "article_id", cutoff, keep_count, "feed_key", last)
 
     return rewrite(spark, store, new_root, through_batch, articles=newest)
 
