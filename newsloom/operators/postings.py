@@ -43,6 +43,8 @@ PLAIN_FIELDS = ("link", "author")
 KEYWORD_FIELDS = ("category", "source", "tags")
 DEFAULT_FIELDS = STEMMED_FIELDS
 
+# of the statistics of terms, for each task that makes their 3-grams
+TERM_BYTES = 2 << 20
 # of the files that articles come from: what one task sorts and writes (its rows are some 40 times as large), and
 # what is worth a task of its own
 TASK_BYTES, LEAST_BYTES = 12 << 20, 1 << 20
@@ -182,8 +184,7 @@ def dealt_articles(articles: DataFrame) -> DataFrame:
     size = tables.input_bytes(articles)
     if size <= LEAST_BYTES:
         return articles
-    parallel = min(articles.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES))
-    return articles.repartition(max(-(-size // TASK_BYTES), parallel), "article_id")
+    return articles.repartition(tables.tasks_for(articles.sparkSession, size, TASK_BYTES, LEAST_BYTES), "article_id")
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
@@ -296,9 +297,12 @@ def write_statistics(spark: SparkSession, path: str, batch_id: int, fields: tupl
     # the distinct terms in order, and by their grams
     terms = read_term_stats(spark, path).filter(batch).select("term").distinct()
     tables.write_batch(terms.repartitionByRange("term").sortWithinPartitions("term"), f"{path}/terms", batch_id)
-    grams = (read_terms(spark, path).filter(batch).select("term", F.explode(term_grams("term")).alias("gram"))
+    size = tables.input_bytes(spark.read.schema("term string").parquet(f"{path}/term_stats/ingest_batch={batch_id}"))
+    dealt = read_terms(spark, path).filter(batch).select("term").repartition(
+        tables.tasks_for(spark, size, TERM_BYTES, TERM_BYTES >> 3), "term")
+    grams = (dealt.select("term", F.explode(term_grams("term")).alias("gram"))
              .withColumn("gram_bucket", gram_bucket(F.col("gram"), buckets)))
-    # terms are dealt already; the few tasks that read them write a file per bucket
+    # terms are shuffled, not their grams; every task writes a file per bucket
     tables.write_batch(grams.sortWithinPartitions("gram_bucket", "gram", "term"), f"{path}/term_grams", batch_id, ("gram_bucket",))
     return n
 

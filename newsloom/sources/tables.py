@@ -32,6 +32,11 @@ def input_bytes(df: DataFrame) -> int:
     return sum(f.getFileSystem(conf).getFileStatus(f).getLen() for f in files)
 
 
+def tasks_for(spark: SparkSession, size: int, most: int, least: int) -> int:
+    """Tasks of about ``most`` bytes for ``size`` bytes; of fewer, down to ``least``, while there are idle cores."""
+    return max(-(-size // most), min(spark.sparkContext.defaultParallelism, -(-size // least)), 1)
+
+
 def scan(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Scan with a given schema: nothing is inferred, unused columns are not read."""
     return spark.read.schema(schema).parquet(path)

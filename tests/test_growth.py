@@ -142,3 +142,12 @@ def test_statistics_of_an_unchanged_index_are_copied(spark, tmp_path, monkeypatc
     for read in (postings.read_postings, postings.read_term_stats, postings.read_terms, postings.read_term_grams, postings.read_field_stats):
         before, after = [sorted(map(repr, read(spark, s.index).drop("ingest_batch").collect())) for s in (old, new)]
         assert before == after and before
+
+
+def test_tasks_of_term_grams_follow_the_bytes_of_terms(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "TERM_BYTES", 1 << 10)
+    rows = _articles(spark, 300).withColumn("content", F.concat(F.lit("x"), F.md5("article_id")))
+    postings.write_index(rows, str(tmp_path), fields=("content",), stem=False, layout=IndexLayout(1, 1))
+    assert len(list((tmp_path / "term_grams/ingest_batch=0/gram_bucket=0").glob("*.parquet"))) > 4
+    held = postings.read_term_grams(spark, str(tmp_path)).select("term").distinct()
+    assert sorted(held.collect()) == sorted(postings.read_term_stats(spark, str(tmp_path)).select("term").collect())
