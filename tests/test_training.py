@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.stemming import porter_stem
 from newsloom.operators import features, metrics
 from newsloom.plans import scoring, training
+from newsloom.plans.corpus import prepare
 from newsloom.sources import requests
 
 REAL = "council approved budget report minister said growth figures committee vote".split()
@@ -161,3 +162,12 @@ def test_cells_bound_their_terms_and_what_is_counted(spark):
 def test_screen_of_no_terms(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id int, text string")
     assert features.frequent_terms(docs.select(features.grams("text").alias("grams")), "grams", 2).isEmpty()
+
+
+def test_texts_are_stemmed_once_and_only_where_they_are_labelled(spark):
+    texts = spark.createDataFrame([(1, "Council", "voted on budgets"), (2, None, "the of 12"), (3, "", "no label"), (4, "Votes", None)],
+                                  "id long, title string, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 0), (5, 1)], "id long, label int")
+    rows = prepare(labels.join(texts, "id"), "id")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    assert sorted(map(tuple, rows.collect())) == [("1", "council vote budget", 1), ("4", "vote", 0)]
