@@ -1,5 +1,7 @@
 """What keeps large tables from ending in a few tasks, in many shuffles or in large Python objects."""
 
+import zlib
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -151,3 +153,29 @@ def test_tasks_of_term_grams_follow_the_bytes_of_terms(spark, tmp_path, monkeypa
     assert len(list((tmp_path / "term_grams/ingest_batch=0/gram_bucket=0").glob("*.parquet"))) > 4
     held = postings.read_term_grams(spark, str(tmp_path)).select("term").distinct()
     assert sorted(held.collect()) == sorted(postings.read_term_stats(spark, str(tmp_path)).select("term").collect())
+
+
+def test_blocks_are_handed_over_in_the_order_of_a_written_index(spark):
+    fields, buckets = ("title", "summary", "content"), 3
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(x, pa.list_(pa.string())) for x in (
+            [["zeta", "alpha"], None, ["é"]], [["alpha", "b"], ["\U0001F600", "￮"], []],
+            [["walking", "walks", "alpha"], ["alpha", "é", "alpha"], ["b", "zeta"]])], names=list(fields))
+    made = term_places.Postings([True, True, True], None, lambda field, tf, length: tf)
+    own = made.of_block(batch.columns)
+    order = term_places.sorted_rows(own, list(fields), buckets)
+    assert sorted(order) == list(range(len(own["row"])))
+    keys = [(fields[own["field"][i]], zlib.crc32(own["term"][i].as_py().encode()) % buckets, own["term"][i].as_py().encode(),
+             own["impact"][i]) for i in order.tolist()]
+    assert keys == sorted(keys)
+    empty = made.of_block([pa.array([[], None], pa.list_(pa.string()))] * 3)
+    assert len(term_places.sorted_rows(empty, list(fields), buckets)) == 0
+
+
+def test_ordered_postings_are_the_same_rows(spark):
+    articles, layout = _articles(spark), IndexLayout(3, 1)
+    plain, ordered = (postings.build_postings(articles.coalesce(1), layout=layout, in_order=x) for x in (False, True))
+    rows = [r.asDict() for r in ordered.collect()]
+    assert sorted(map(repr, rows)) == sorted(repr(r.asDict()) for r in plain.collect()) and rows
+    keys = [(r["field"], r["term_bucket"], r["term"], r["impact"]) for r in rows]
+    assert keys == sorted(keys)

@@ -114,3 +114,11 @@ def test_tags(spark):
     assert [r.t for r in rows] == [["a", "b c"], []]
     assert spark.createDataFrame([(" x, ,y ",)], "j string").select(
         tx.split_tags("j").alias("t")).first().t == ["x", "y"]
+
+
+def test_words_with_no_suffix_pass_all_steps(monkeypatch):
+    from newsloom.functions import stemming
+    words = ["hausb", "été", "a1b2", "probabo", "x_"]
+    assert [stemming._tidy(stemming._step4(stemming._step3(stemming._step2(w, True))), True) for w in words] == words
+    monkeypatch.setattr(stemming, "_plural", lambda *_: 1 / 0)
+    assert [stemming.porter_stem(w, extended) for w in words for extended in (False, True)] == [w for w in words for _ in "ab"]
