@@ -1,9 +1,11 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from newsloom.checks import model_checks
 from newsloom.functions.stemming import porter_stem
 from newsloom.operators import features, metrics
 from newsloom.plans import scoring, training
@@ -171,3 +173,33 @@ def test_texts_are_stemmed_once_and_only_where_they_are_labelled(spark):
     rows = prepare(labels.join(texts, "id"), "id")
     assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
     assert sorted(map(tuple, rows.collect())) == [("1", "council vote budget", 1), ("4", "vote", 0)]
+
+
+@pytest.fixture(scope="module")
+def many_labels(spark, tmp_path_factory):
+    """A folder with more labelled rows than the sample of a quick run has."""
+    sf, n = str(tmp_path_factory.mktemp("many")), training.QUICK.sample_size + 60
+    ids = spark.range(n).withColumnRenamed("id", "doc_id")
+    pool = F.when(F.col("doc_id") % 3 == 0, F.lit("miracle secret")).otherwise("council budget")
+    ids.withColumn("text", F.concat(pool, F.lit("\nword"), (F.col("doc_id") % 7).cast("string"))).write.parquet(f"{sf}/documents.parquet")
+    ids.withColumn("quality", (F.col("doc_id") % 3 > 0).cast("int")).write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "https://e.org/1", "<p>council budget of the secret miracle</p>")], "page_id int, url string, html string").write.parquet(
+        f"{sf}/pages.parquet")
+    return sf, n
+
+
+def trained_on(sf):
+    return {settings.sample_size for _, folder, settings in model_checks._trained if folder == sf}
+
+
+def test_model_queries_train_on_every_labelled_row(spark, many_labels, monkeypatch):
+    sf, n = many_labels
+    monkeypatch.setattr(training, "QUICK_WHOLE", replace(training.QUICK_WHOLE, folds=2, max_iter=3))  # short fits, of all rows
+    support = {r["class"]: r.support for r in model_checks.model_report_support(spark, sf).collect()}
+    zeros = -(-n // 3)
+    assert support == {"0": round(zeros * 0.2), "1": round((n - zeros) * 0.2)}
+    assert model_checks.model_report_facts(spark, sf).filter("in_bounds").count() == 2
+    assert model_checks.model_report(spark, sf).filter("class = 'accuracy'").first().support == sum(support.values())
+    assert model_checks.model_majority(spark, sf).first().majority_share == pytest.approx(support["1"] / sum(support.values()), abs=1e-6)
+    assert model_checks.page_scores(spark, sf).count() == 1
+    assert trained_on(sf) == {None}
