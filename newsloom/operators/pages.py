@@ -19,6 +19,9 @@ from ..sources import tables
 # how each order sorts: its column, and whether large values come first; nulls always come last
 ORDERS = {"published": ("published", True), "created": ("created_at", True), "title": ("title", False)}
 
+# what one task puts in order: of the files that articles come from, and rows; it writes as many ranges as that makes
+TASK_BYTES, TASK_ROWS = 32 << 20, 100_000
+
 
 @dataclass(frozen=True)
 class PageToken:
@@ -33,11 +36,21 @@ def _sort(order: str) -> list[Column]:
 
 
 def write_ordered(articles: DataFrame, path: str, order: str, rows_per_range: int = 100_000) -> None:
-    """Write ``articles`` in the order of its pages, about ``rows_per_range`` to a range."""
+    """Write ``articles`` in the order of its pages, about ``rows_per_range`` to a range.
+
+    Tasks are as many as the bytes and rows ask for, however small the ranges are: Spark samples a hundred or more keys
+    for each of them into the driver, and a title may be long.  A task cuts its own rows into ranges.
+    """
     spark = articles.sparkSession
-    ranges = max(1, -(-articles.count() // rows_per_range))
-    placed = (articles.repartitionByRange(ranges, *_sort(order)).sortWithinPartitions(*_sort(order))
-              .withColumn("page_range", F.spark_partition_id()))
+    n = articles.count()
+    ranges = max(1, -(-n // rows_per_range))
+    by_bytes = tables.tasks_for(spark, tables.input_bytes(articles), TASK_BYTES, TASK_BYTES >> 5)
+    tasks = min(ranges, max(by_bytes, -(-n // TASK_ROWS)))
+    # the number of a task stands above its 33rd bit, that of a row of the task below
+    numbered = (articles.repartitionByRange(tasks, *_sort(order)).sortWithinPartitions(*_sort(order))
+                .withColumn("_n", F.monotonically_increasing_id()))
+    task, row = F.shiftright("_n", 33), F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = numbered.withColumn("page_range", (task * F.lit(ranges) + F.floor(row / F.lit(rows_per_range))).cast("long")).drop("_n")
     placed.write.mode("overwrite").partitionBy("page_range").parquet(f"{path}/{order}/rows")
     column, _ = ORDERS[order]
     rows = _rows(spark, path, order, articles.schema).select("page_range", F.struct(
@@ -51,8 +64,12 @@ def _rank(order: str) -> Column:
     return F.row_number().over(Window.partitionBy("page_range").orderBy(*_sort(order)))
 
 
-def _rows(spark: SparkSession, path: str, order: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(StructType(list(schema.fields)).add("page_range", "integer")).parquet(f"{path}/{order}/rows")
+def _rows(spark: SparkSession, path: str, order: str, schema: StructType, ranges: list[int] | None = None) -> DataFrame:
+    """All rows, or those of some ranges: then the folders of no others are listed."""
+    home = f"{path}/{order}/rows"
+    reader = spark.read.schema(StructType(list(schema.fields)).add("page_range", "long")).option("basePath", home)
+    rows = reader.parquet(*[f"{home}/page_range={r}" for r in ranges] if ranges else [home])
+    return rows if ranges is None else rows.filter(F.col("page_range").isin(ranges))
 
 
 def _after(order: str, token: PageToken, value: Column, article_id: Column) -> Column:
@@ -76,12 +93,11 @@ def page_after(spark: SparkSession, path: str, schema: StructType, order: str =
         raise ValueError("per_page must be between 1 and 100")
     column, _ = ORDERS[order]
     kind = schema[column].dataType.simpleString()
-    ranges = spark.read.schema(f"page_range int, n long, none boolean, value {kind}, article_id string").parquet(f"{path}/{order}/ranges")
+    ranges = spark.read.schema(f"page_range long, n long, none boolean, value {kind}, article_id string").parquet(f"{path}/{order}/ranges")
     if token is not None:
         last = F.col("value").cast(kind)
         reaches = _after(order, token, F.when(~F.col("none"), last), F.col("article_id"))
         ranges = ranges.filter(reaches)
-    rows = _rows(spark, path, order, schema)
     # the range of the token has an unknown part behind it, so its rows are not counted on
     wanted, opened = 2 if token is not None else 1, 0
     while True:
@@ -91,7 +107,7 @@ def page_after(spark: SparkSession, path: str, schema: StructType, order: str =
             full = sum(sure) >= per_page
         else:
             full = None
-        found = rows.filter(F.col("page_range").isin([r.page_range for r in chosen]))
+        found = _rows(spark, path, order, schema, [r.page_range for r in chosen])
         if token is not None:
             found = found.filter(_after(order, token, F.col(column), F.col("article_id")))
         if condition is not None:

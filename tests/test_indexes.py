@@ -222,3 +222,17 @@ def test_a_deep_page_opens_few_ranges(spark, articles, tmp_path):
     assert [r.article_id for r in page.collect()] == [r.article_id for r in rows_[201:211]]
     named = re.search(r"PartitionFilters: \[.*?page_range#\d+L? IN \(([\d, ]+)\)|page_range#\d+ = (\d+)", plan(page))
     assert named and len((named.group(1) or named.group(2)).split(",")) <= 2
+
+
+def test_small_ranges_need_no_task_each(spark, articles, tmp_path, monkeypatch):
+    asked, given = [], type(articles).repartitionByRange
+    monkeypatch.setattr(type(articles), "repartitionByRange", lambda self, n, *cols: asked.append(n) or given(self, n, *cols))
+    monkeypatch.setattr(pages, "TASK_ROWS", 100)
+    path, n = str(tmp_path / "tiny"), articles.count()
+    pages.write_ordered(articles, path, "title", rows_per_range=1)
+    assert asked == [-(-n // 100)]
+    assert spark.read.parquet(f"{path}/title/ranges").filter("n = 1").count() == n
+    rows_ = articles.orderBy(*pages._sort("title")).collect()
+    page = pages.page_after(spark, path, articles.schema, "title", pages.PageToken(rows_[-3].title, rows_[-3].article_id), 10)
+    assert [r.article_id for r in page.collect()] == [r.article_id for r in rows_[-2:]]
+    assert pages.page_after(spark, path, articles.schema, "title", pages.PageToken(rows_[-1].title, rows_[-1].article_id)).count() == 0
