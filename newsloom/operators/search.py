@@ -451,8 +451,9 @@ def query_batch(index: SearchIndex, queries: DataFrame, k: int = 10,
 
     ``queries`` is ``(query_id, query)``, any number of rows; equal sets of terms are scored once.
     An article must hold all terms of a query, so it must hold the rarest: only articles with the
-    rarest term become candidates; the other terms are then looked up by (field, term, article), a
-    key without hot values.  The blocks of the rarest term are taken in the order of their bounds:
+    rarest term become candidates, and of these only those with the second rarest go on.  Postings that
+    no candidate asks for are dropped by a bit table before they are shuffled; the others meet the sets of their
+    article in one row.  The blocks of the rarest term are taken in the order of their bounds:
     first the best ones, of ``first_rows`` postings or more, then those that can still beat the
     k-th hit of their set.  Of each set at most ``k`` rows per task go on to the last choice.  Where even
     the rarest term is frequent, its list is dealt over salts, one per ``rows_per_salt`` postings.
@@ -498,23 +499,23 @@ def query_batch(index: SearchIndex, queries: DataFrame, k: int = 10,
         F.aggregate(b["fields"], F.lit(0).cast("long"), lambda n, x: n + x["df"]).alias("rows")))
     per_term = per_term.select(
         "term", F.aggregate("by_field", F.lit(0).cast("long"), lambda n, x: n + x["df"]).alias("any_df"),
-        F.transform("by_field", lambda x: F.struct(F.col("term").alias("term"), x["field"].alias("field"), x["df"].alias("df"))).alias("parts"),
+        F.transform(F.array(*[F.lit(f) for f in fields]), lambda f: F.coalesce(
+            F.get(F.filter("by_field", lambda x: x["field"] == f), F.lit(0))["df"], F.lit(0).cast("long"))).alias("dfs"),
         F.sort_array(bounded, asc=False).alias("blocks"))
     highest = F.col("blocks")[0]["bound"]
     # one row per set: its terms with their frequencies, as long as the query text, and the blocks of the rarest
     planned = _kept(asked.join(per_term, "term").groupBy("set_id", "n_terms").agg(
-        F.count("*").alias("known"), F.sum(highest).alias("highest"), F.flatten(F.collect_list("parts")).alias("parts"),
+        F.count("*").alias("known"), F.sum(highest).alias("highest"), F.sort_array(F.collect_list(F.struct("any_df", "term", "dfs"))).alias("parts"),
         F.min(F.struct("any_df", "term", "blocks")).alias("rarest"))
         .filter(F.col("known") == F.col("n_terms"))        # an unknown term: no hit
-        .select("set_id", "n_terms", "parts", F.col("rarest.term").alias("term"), F.col("rarest.blocks").alias("blocks"),
+        .select("set_id", "n_terms", F.transform("parts", lambda x: F.struct(x["term"].alias("term"), x["dfs"].alias("dfs"))).alias("parts"),
+                F.get("parts", F.lit(1))["term"].alias("second"), F.col("rarest.term").alias("term"), F.col("rarest.blocks").alias("blocks"),
                 (F.col("highest") - F.col("rarest.blocks")[0]["bound"]).alias("others")), "planned")
     best_first = Window.partitionBy("set_id").orderBy("place")
     of_sets = (planned.select("set_id", "term", "others", F.posexplode("blocks").alias("place", "b"))
                .select("set_id", "term", "place", "b.impact", "b.rows", (F.col("b.bound") + F.col("others")).alias("bound"))
                .withColumn("before", F.sum("rows").over(best_first) - F.col("rows")))
-    terms = _kept(planned.select(F.explode("parts.term").alias("term")).distinct().withColumn(
-        "term_bucket", postings.bucket_column(index.layout)), "terms")
-    few_terms = terms.count() <= broadcast_rows
+    means = _field_means(index).filter(F.col("field").isin(list(fields))).collect()  # a row per field
     block = F.col("impact") if index.path is not None else F.lit(0)
     in_fields = index.postings.filter(F.col("field").isin(list(fields))).withColumn("block", block)
 
@@ -522,27 +523,55 @@ def query_batch(index: SearchIndex, queries: DataFrame, k: int = 10,
         """(set_id, article_id, score) of the articles in the chosen blocks that hold all terms."""
         # a block is dealt over as many salts as its rows need
         salts = (F.col("rows") / rows_per_salt).cast("int") + 1
-        listed = chosen.select("term", F.col("impact").alias("block"), salts.alias("salts")).distinct().withColumn(
-            "term_bucket", postings.bucket_column(index.layout))
-        lists = (in_fields.select("term_bucket", "term", "block", "article_id").join(listed, ["term_bucket", "term", "block"])
-                 .withColumn("salt", F.pmod(F.xxhash64("article_id"), F.col("salts")).cast("int")))
+        listed = _kept(chosen.select("term", F.col("impact").alias("block"), salts.alias("salts")).distinct().withColumn(
+            "term_bucket", postings.bucket_column(index.layout)), f"{label}-listed")
+        own = in_fields.select("term_bucket", "term", "block", "article_id")
+        if listed.count() <= broadcast_rows:
+            own = own.join(F.broadcast(listed), ["term_bucket", "term", "block"])
+        else:
+            own = _screened(own, listed, ["term", "block"]).join(listed, ["term_bucket", "term", "block"])
+        lists = own.withColumn("salt", F.pmod(F.xxhash64("article_id"), F.col("salts")).cast("int"))
         dealt = chosen.select("set_id", "term", F.col("impact").alias("block"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
         candidates = dealt.join(lists, ["term", "block", "salt"]).select("set_id", "article_id").distinct()
-        candidates = _kept(candidates.join(planned.select("set_id", "n_terms", "parts"), "set_id"), f"{label}-candidates")
-        pairs = candidates.select("set_id", "article_id", "n_terms", F.explode("parts").alias("p")).select(
-            "set_id", "article_id", "n_terms", "p.*").withColumn("term_bucket", postings.bucket_column(index.layout))
-        # what is looked up are rows of the batch's own terms; few enough terms or articles are broadcast to drop the others
-        rows = in_fields.select("field", "term_bucket", "term", "article_id", "tf", "field_length")
-        if few_terms:
-            rows = rows.join(F.broadcast(terms), ["term_bucket", "term"], "left_semi")
-        if candidates.count() <= broadcast_rows:
-            rows = rows.join(F.broadcast(candidates.select("article_id").distinct()), "article_id", "left_semi")
-        scored = (pairs.join(rows, ["field", "term_bucket", "term", "article_id"]).join(F.broadcast(_field_means(index)), "field")
-                  .withColumn("weight", _bm25()))
-        return (scored.groupBy("set_id", "article_id", "n_terms")
-                .agg(F.countDistinct("term").alias("held"), F.round(F.sum("weight"), 6).alias("score"))
+        # of these only what has the second rarest term, too, is asked for the others
+        candidates = _kept(candidates.join(planned.select("set_id", F.col("second").alias("term")), "set_id"), f"{label}-candidates")
+        asked_second = candidates.filter("term IS NOT NULL")
+        held = _screened(in_fields.select("term", "article_id"), asked_second, ["term", "article_id"])
+        candidates = _kept(candidates.filter("term IS NULL").unionByName(asked_second.join(held, ["term", "article_id"], "left_semi"))
+                           .select("set_id", "article_id").join(planned.select("set_id", "n_terms", "parts"), "set_id"), f"{label}-both")
+        # an article's sets and those of its postings that they ask for meet in one row
+        rows = _screened(in_fields.select("term", "article_id", "field", "tf", "field_length"),
+                         candidates.select("article_id", F.explode("parts.term").alias("term")), ["term", "article_id"])
+        sets = candidates.groupBy("article_id").agg(F.collect_list(F.struct("set_id", "n_terms", "parts")).alias("sets"))
+        found = rows.groupBy("article_id").agg(F.collect_list(F.struct("term", "field", "tf", "field_length")).alias("found"))
+        none = lambda kind: F.lit(None).cast(kind)
+        of_sets = F.flatten(F.transform("sets", lambda x: F.transform(x["parts"], lambda part: F.struct(
+            part["term"].alias("term"), x["set_id"].alias("set_id"), x["n_terms"].alias("n_terms"), part["dfs"].alias("dfs"),
+            none("string").alias("field"), none("int").alias("tf"), none("int").alias("field_length")))))
+        of_postings = F.transform("found", lambda x: F.struct(
+            x["term"].alias("term"), none("string").alias("set_id"), none("int").alias("n_terms"), none("array<bigint>").alias("dfs"),
+            x["field"].alias("field"), x["tf"].alias("tf"), x["field_length"].alias("field_length")))
+        items = sets.join(found, "article_id").select("article_id", F.inline(F.concat(of_sets, of_postings)))
+        here = F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "tf", "field_length"))).over(
+            Window.partitionBy("article_id", "term"))
+        met = (items.withColumn("here", here).filter("set_id IS NOT NULL")
+               .withColumn("weights", F.filter(F.transform("here", posting_weight), lambda x: x.isNotNull()))
+               .filter(F.size("weights") > 0))
+        return (met.groupBy("article_id", "set_id", "n_terms")
+                .agg(F.count("*").alias("held"), F.round(F.sum(F.aggregate("weights", F.lit(0.0), lambda n, x: n + x)), 6).alias("score"))
                 .filter(F.col("held") == F.col("n_terms")).select("set_id", "article_id", "score"))
 
+    def posting_weight(x):
+        """What a posting adds; nothing where the statistics do not know the term in its field."""
+        out = F.lit(None).cast("double")
+        for r in means:
+            df = F.col("dfs")[fields.index(r.field)]
+            idf = F.log(F.lit(r.n_articles) / (df + F.lit(1.0))) + 1
+            norm = F.lit(1 - BM25_B) + F.lit(BM25_B) * x["field_length"] / F.lit(r.mean_length)
+            own = idf * (x["tf"] * F.lit(BM25_K1 + 1)) / (x["tf"] + F.lit(BM25_K1) * norm)
+            out = F.when((x["field"] == r.field) & (df > 0), own).otherwise(out)
+        return out
+
     def best(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("set_id").orderBy(F.col("score").desc(), F.col("article_id"))
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -563,3 +592,16 @@ def _kept(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, f"batch-{label}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _screened(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` without most of those whose keys are not among the ``asked``: a join that follows shuffles few others.
+
+    Hashes of the keys are bits of at most 2^20 cells of 64, which are broadcast whatever the number of keys is.
+    """
+    cell, bit = F.xxhash64(*keys).bitwiseAND(F.lit((1 << 20) - 1)), F.pmod(F.shiftright(F.xxhash64(*keys), 20), F.lit(64)).cast("int")
+    cells = asked.select(cell.alias("_cell"), bit.alias("_bit")).groupBy("_cell").agg(
+        F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    cells = _kept(cells, "cells")
+    return (rows.withColumn("_cell", cell).withColumn("_bit", bit).join(F.broadcast(cells), "_cell")
+            .filter(F.expr("shiftright(_bits, _bit) & 1L") == 1).select(*rows.columns))

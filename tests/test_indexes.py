@@ -236,3 +236,12 @@ def test_small_ranges_need_no_task_each(spark, articles, tmp_path, monkeypatch):
     page = pages.page_after(spark, path, articles.schema, "title", pages.PageToken(rows_[-3].title, rows_[-3].article_id), 10)
     assert [r.article_id for r in page.collect()] == [r.article_id for r in rows_[-2:]]
     assert pages.page_after(spark, path, articles.schema, "title", pages.PageToken(rows_[-1].title, rows_[-1].article_id)).count() == 0
+
+
+def test_postings_nobody_asks_for_are_dropped_before_a_shuffle(spark):
+    rows_ = spark.range(20_000).selectExpr("cast(id % 100 as string) AS term", "cast(id as string) AS article_id", "id AS tf")
+    asked = rows_.filter("tf % 50 = 0").select("term", "article_id").unionByName(
+        spark.createDataFrame([("none", "none"), ("none", None)], "term string, article_id string"))
+    left = search._screened(rows_, asked, ["term", "article_id"])
+    assert left.columns == rows_.columns and 400 <= left.count() < 500
+    assert left.filter("tf % 50 = 0").count() == 400 and search._screened(rows_, asked.limit(0), ["term"]).count() == 0
